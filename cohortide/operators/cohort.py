@@ -259,11 +259,7 @@ def _observation_rules(
         literal_table(cdm.spark, rows, "cohort_id long, rule_id int, since date, min_days int")
     )
     asked = index.join(rules, "cohort_id").alias("i")
-    long_ones = (
-        periods.where(F.date_diff("op_end", "op_start") >= min(r[3] for r in rows))
-        .where(F.col("op_start") < max(r[2] for r in rows))
-        .alias("a")
-    )
+    long_ones = ev.long_periods(periods, max(r[2] for r in rows), min(r[3] for r in rows)).alias("a")
     met = asked.join(
         long_ones,
         (F.col("i.person_id") == F.col("a.person_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortide.plans.specs import Criterion
@@ -197,3 +199,10 @@ def compact_periods(observation_period: DataFrame) -> DataFrame:
         F.col("observation_period_start_date").alias("op_start"),
         F.col("observation_period_end_date").alias("op_end"),
     ).agg(F.count("*").alias("n_op"))
+
+
+def long_periods(periods: DataFrame, since: dt.date, min_days: int = 365) -> DataFrame:
+    """Observation periods that start before a date and last at least ``min_days``."""
+    return periods.where(
+        (F.col("op_start") < F.lit(since)) & (F.date_diff("op_end", "op_start") >= min_days)
+    )
