@@ -42,20 +42,27 @@ class Fit:
         return -2 * self.loglik + len(self.terms) * math.log(self.n)
 
 
-def _sums(width: int) -> list[Column]:
-    """Log likelihood, score and upper triangle of the information matrix."""
-    x = [F.col(f"x{i}") for i in range(width)]
-    eta = sum((F.col(f"b{i}") * x[i] for i in range(1, width)), F.col("b0") * x[0])
-    p = 1 / (1 + F.exp(-eta))
-    n, y = F.col("n"), F.col("y")
-    weight, residual = n * p * (1 - p), y - n * p
+def _step_sums(rows: DataFrame, width: int) -> DataFrame:
+    """Per model: log likelihood, score and upper triangle of the information matrix.
+
+    Row: (model_id, sums) with the sums in that order.  Each pattern is unrolled into
+    its contributions by position, so one short aggregate adds up everything.
+    """
+    eta = " + ".join(f"b{i} * x{i}" for i in range(width))
+    score = [f"x{i} * r" for i in range(width)]
+    info = [f"x{i} * x{j} * w" for i in range(width) for j in range(i, width)]
     # log p and log(1 - p) without overflow for large |eta|
-    tail = F.log1p(F.exp(-F.abs(eta)))
-    log_p, log_q = F.least(eta, F.lit(0.0)) - tail, F.least(-eta, F.lit(0.0)) - tail
-    columns = [F.sum(y * log_p + (n - y) * log_q).alias("ll")]
-    columns += [F.sum(x[i] * residual).alias(f"s{i}") for i in range(width)]
-    columns += [F.sum(x[i] * x[j] * weight).alias(f"h{i}_{j}") for i in range(width) for j in range(i, width)]
-    return columns
+    log_lik = "y * least(eta, 0D) + (n - y) * least(-eta, 0D) - n * log1p(exp(-abs(eta)))"
+    return (
+        rows.selectExpr("*", f"{eta} AS eta")
+        .selectExpr("*", "1 / (1 + exp(-eta)) AS p")
+        .selectExpr("*", "n * p * (1 - p) AS w", "y - n * p AS r")
+        .selectExpr("model_id", f"posexplode(array({', '.join([log_lik, *score, *info])})) AS (at, term)")
+        .groupBy("model_id", "at")
+        .agg(F.sum("term").alias("total"))
+        .groupBy("model_id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "total"))), lambda e: e["total"]).alias("sums"))
+    )
 
 
 def fit_models(
@@ -87,14 +94,17 @@ def fit_models(
         # One row of coefficients per model still being fitted.
         now = F.broadcast(literal_table(spark, rows, schema))
         done = []
-        for r in patterns.join(now, "model_id").groupBy("model_id").agg(*_sums(width)).collect():
+        for r in _step_sums(patterns.join(now, "model_id"), width).collect():
             m, s = r["model_id"], state[r["model_id"]]
             at = [slots.index(t) for t in terms[m]]
-            if r["ll"] < s["ll"] - 1e-9 * (1 + abs(s["ll"])):
+            loglik, sums = r["sums"][0], np.array(r["sums"][1:])
+            if loglik < s["ll"] - 1e-9 * (1 + abs(s["ll"])):
                 s["beta"] = (s["beta"] + s["last"]) / 2
                 continue
-            info = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in at] for i in at])
-            score = np.array([r[f"s{i}"] for i in at])
+            full = np.zeros((width, width))
+            full[np.triu_indices(width)] = sums[width:]
+            info = (full + np.triu(full, 1).T)[np.ix_(at, at)]
+            score = sums[:width][at]
             try:
                 if np.linalg.cond(info) > 1e12:
                     raise np.linalg.LinAlgError
@@ -104,10 +114,10 @@ def fit_models(
                 continue
             step = cov @ score
             if np.max(np.abs(step)) < 1e-8:
-                fits[m] = Fit(terms[m], s["beta"][at], cov, r["ll"], totals[m][0], True)
+                fits[m] = Fit(terms[m], s["beta"][at], cov, loglik, totals[m][0], True)
                 done.append(m)
                 continue
-            s["last"], s["ll"] = s["beta"].copy(), r["ll"]
+            s["last"], s["ll"] = s["beta"].copy(), loglik
             s["beta"] = s["beta"].copy()
             s["beta"][at] += step
         for m in done:

@@ -35,65 +35,70 @@ def variable_columns() -> dict[str, str]:
 
 
 def covariate_patterns(
-    pop: DataFrame, facts: DataFrame, pairs: DataFrame, min_events: int = 30, min_exposed: int = 5
+    pop: DataFrame,
+    facts: DataFrame,
+    pairs: DataFrame,
+    work: Workspace | None = None,
+    min_events: int = 30,
+    min_exposed: int = 5,
 ) -> DataFrame:
     """Counts (n, y) by covariate pattern for each slice, variable and adjustment.
 
     People are first counted by their joint pattern, with the exposures as one bit
     mask, and only the counts are spread over variables and adjustments.  Slices with
-    too few events and variables with too few exposed people drop out.
+    too few events and variables with too few exposed people drop out before that.
     """
-    bits = [F.col(c) * (1 << i) for i, c in enumerate(variable_columns().values())]
+    variables = variable_columns()
+    mask = " + ".join(f"{column} * {1 << i}" for i, column in enumerate(variables.values()))
     profile = {
         "gender": F.col("gender"),
         "age": F.col("age"),
         "months": F.col("months_since_start"),
-        "mask": sum(bits[1:], bits[0]).cast("int"),
+        "mask": F.expr(f"CAST({mask} AS INT)"),
         COVID_FLAG: F.col(COVID_FLAG),
     }
     cells = (
         count_cells(pop, facts, pairs, profile)
         .groupBy(*PAIR, *profile)
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("event")).alias("y"))
+        .agg(F.sum("n").alias("n"), F.expr("sum(n * event)").alias("y"))
         .withColumn("slice", F.explode(slices()))
     )
-    no_text, no_int, no_double = (F.lit(None).cast(t) for t in ("string", "int", "double"))
-
-    def form(var: str, model: str, value, gender, age, months):
-        return F.struct(
-            F.lit(var).alias("var"),
-            F.lit(model).alias("model"),
-            value.alias("value"),
-            gender.alias("sex"),
-            age.alias("years"),
-            months.alias("time"),
-        )
-
-    gender, age, months = F.col("gender"), F.col("age"), F.col("months")
-    forms = [form("age", BY_AGE_SEX, F.lit(0), gender, age, no_double)]
-    for i, var in enumerate(variable_columns()):
-        value = F.shiftright("mask", i).bitwiseAND(F.lit(1))
-        forms += [
-            form(var, UNADJUSTED, value, no_text, no_int, no_double),
-            form(var, BY_AGE_SEX, value, gender, age, no_double),
-            form(var, BY_TIME, value, gender, age, months),
-        ]
-    spread = (
-        cells.select(*SLICE, "n", "y", F.col("months").isNull().alias("timeless"), F.inline(F.array(*forms)))
-        .where((F.col("model") != BY_TIME) | ~F.col("timeless"))
+    cells = work.keep(cells, "cells", None) if work else cells
+    # One row per slice: bounded by the study definition.
+    exposed = [F.expr(f"sum(n * (shiftright(mask, {i}) & 1)) AS e{i}") for i in range(len(variables))]
+    busy = (
+        cells.groupBy(*SLICE)
+        .agg(F.sum("y").alias("events"), *exposed)
+        .where(F.col("events") >= min_events)
+    )
+    none = "CAST(NULL AS STRING) AS sex, CAST(NULL AS INT) AS years, CAST(NULL AS DOUBLE) AS time"
+    by_age_sex = "gender AS sex, age AS years, CAST(NULL AS DOUBLE) AS time"
+    forms = [f"struct('age' AS var, '{BY_AGE_SEX}' AS model, true AS shown, 0 AS value, {by_age_sex})"]
+    for i, var in enumerate(variables):
+        for model, columns, shown in (
+            (UNADJUSTED, none, "true"),
+            (BY_AGE_SEX, by_age_sex, "true"),
+            (BY_TIME, "gender AS sex, age AS years, months AS time", "months IS NOT NULL"),
+        ):
+            forms.append(
+                f"struct('{var}' AS var, '{model}' AS model, {shown} AND e{i} > {min_exposed} AS shown, "
+                f"shiftright(mask, {i}) & 1 AS value, {columns})"
+            )
+    return (
+        cells.join(F.broadcast(busy), SLICE)
+        .select(*SLICE, "n", "y", F.expr(f"inline(array({', '.join(forms)}))"))
+        .where("shown")
         .groupBy(
-            *SLICE, "var", "model", "value", F.col("sex").alias("gender"), F.col("years").alias("age"),
+            *SLICE,
+            "var",
+            "model",
+            "value",
+            F.col("sex").alias("gender"),
+            F.col("years").alias("age"),
             F.col("time").alias("months"),
         )
         .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     )
-    # One row per slice and variable: bounded by the study definition.
-    enough = (
-        spread.groupBy(*SLICE, "var", "model")
-        .agg(F.sum("y").alias("events"), F.sum(F.col("value") * F.col("n")).alias("exposed"))
-        .where((F.col("events") >= min_events) & ((F.col("var") == "age") | (F.col("exposed") > min_exposed)))
-    )
-    return spread.join(F.broadcast(enough.select(*SLICE, "var", "model")), [*SLICE, "var", "model"])
 
 
 @dataclass
@@ -113,6 +118,7 @@ def _fit(patterns: DataFrame, jobs: list[_Job], work: Workspace | None) -> dict[
     """Fit all jobs together: features per job, then the shared Newton passes."""
     if not jobs:
         return {}
+    slots = [t for t in SLOTS if any(t in j.terms for j in jobs)]
     rows = [
         (
             i,
@@ -121,13 +127,13 @@ def _fit(patterns: DataFrame, jobs: list[_Job], work: Workspace | None) -> dict[
             j.model,
             j.gender,
             *(float(k) for k in (j.knots or (0.0, 1.0, 2.0))),
-            *(t in j.terms for t in SLOTS),
+            *(t in j.terms for t in slots),
         )
         for i, j in enumerate(jobs)
     ]
     schema = (
         "model_id int, study_id int, outcome_id int, slice string, var string, model string, only string, "
-        "k1 double, k2 double, k3 double, " + ", ".join(f"use_{t} boolean" for t in SLOTS)
+        "k1 double, k2 double, k3 double, " + ", ".join(f"use_{t} boolean" for t in slots)
     )
     table = F.broadcast(literal_table(patterns.sparkSession, rows, schema))
     male = (F.col("gender") == "Male").cast("double")
@@ -152,16 +158,16 @@ def _fit(patterns: DataFrame, jobs: list[_Job], work: Workspace | None) -> dict[
             "model_id",
             *(
                 F.when(F.col(f"use_{t}"), values[t]).otherwise(F.lit(0.0)).alias(f"x{i}")
-                for i, t in enumerate(SLOTS)
+                for i, t in enumerate(slots)
             ),
             "n",
             "y",
         )
-        .groupBy("model_id", *(f"x{i}" for i in range(len(SLOTS))))
+        .groupBy("model_id", *(f"x{i}" for i in range(len(slots))))
         .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     )
     features = work.keep(features, "features", None) if work else features.persist()
-    found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, SLOTS)
+    found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, slots)
     if not work:
         features.unpersist()
     return {(j.slice, j.name): found[i] for i, j in enumerate(jobs)}
@@ -192,14 +198,13 @@ def _ratio(fit: Fit | None, weights: dict[str, float]) -> tuple:
 def odds_ratios(
     patterns: DataFrame, work: Workspace | None = None, interaction_test: str = "total"
 ) -> DataFrame:
-    """All odds ratios of the study from covariate patterns.
+    """All odds ratios of the study from covariate patterns, which should be a kept table.
 
     First the linear and spline age models and the age group by sex model of every
     slice are fitted together; they decide the form of age and whether age is reported
     by sex.  Then everything else is fitted together.  ``interaction_test``: Wald test
     on all five coefficients ("total") or on the two interaction terms ("interaction").
     """
-    patterns = work.keep(patterns, "patterns", None) if work else patterns
     heads = (
         patterns.groupBy(*SLICE, "var", "model").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
     )

@@ -32,13 +32,13 @@ RENAMED = {
 }
 
 
-def counted_variables() -> dict[str, Column]:
-    """Variable -> condition counted over people."""
-    counted = {v: F.col("vax_type").contains(brand) for v, brand in BRAND_LABELS.items()}
-    counted |= {v: F.col("age_gr3") == band for band, v in AGE_LABELS.items()}
-    counted["sex_male"] = F.col("gender") == "Male"
+def counted_variables() -> dict[str, str]:
+    """Variable -> SQL condition counted over people."""
+    counted = {v: f"contains(vax_type, '{brand}')" for v, brand in BRAND_LABELS.items()}
+    counted |= {v: f"age_gr3 = '{band}'" for band, v in AGE_LABELS.items()}
+    counted["sex_male"] = "gender = 'Male'"
     flags = [COVID_FLAG, *(f"{c}_all_history" for c in d.CONDITIONS), *d.DRUGS]
-    counted |= {f: F.col(f) == 1 for f in [*flags, "cond_comp", "drug_comp", "cond_drug_comp"]}
+    counted |= {f: f"{f} = 1" for f in [*flags, "cond_comp", "drug_comp", "cond_drug_comp"]}
     return counted
 
 
@@ -54,7 +54,6 @@ def characteristics(rows: DataFrame, keys: list[str]) -> DataFrame:
     over whole days or years, so their state is bounded by distinct days.
     """
     counted = counted_variables()
-    quartiles = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     wide = (
         _vax_types(rows)
         .groupBy(*keys)
@@ -62,33 +61,28 @@ def characteristics(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.count("*").alias("total"),
             F.min("index_date").alias("first_day"),
             F.max("index_date").alias("last_day"),
-            F.percentile("age", quartiles).alias("age_q"),
-            F.percentile("prior_obs_days", quartiles).alias("obs_q"),
-            *(F.count_if(c).alias(v) for v, c in counted.items()),
+            F.expr("percentile(age, array(0.25D, 0.5D, 0.75D)) AS age_q"),
+            F.expr("percentile(prior_obs_days, array(0.25D, 0.5D, 0.75D)) AS obs_q"),
+            *(F.expr(f"count_if({sql}) AS {v}") for v, sql in counted.items()),
         )
     )
-    no_count, no_number, no_day = (F.lit(None).cast(t) for t in ("long", "double", "date"))
-
-    def row(var: str, n=no_count, q: str | None = None, day=no_day, scale: float = 1.0) -> Column:
-        parts = [F.col(q)[i] / scale if q else no_number for i in range(3)]
-        return F.struct(
-            F.lit(var).alias("var"),
-            n.alias("n"),
-            parts[0].alias("low"),
-            parts[1].alias("mid"),
-            parts[2].alias("high"),
-            day.alias("day"),
+
+    def row(var: str, n: str = "NULL", q: str | None = None, day: str = "NULL", scale: float = 1.0) -> str:
+        low, mid, high = (f"{q}[{i}] / {scale}D" if q else "CAST(NULL AS DOUBLE)" for i in range(3))
+        return (
+            f"struct('{var}' AS var, CAST({n} AS BIGINT) AS n, {low} AS low, {mid} AS mid, {high} AS high, "
+            f"CAST({day} AS DATE) AS day)"
         )
 
     entries = [
-        row("n", n=F.col("total")),
-        row("min_index_date", day=F.col("first_day")),
-        row("max_index_date", day=F.col("last_day")),
+        row("n", n="total"),
+        row("min_index_date", day="first_day"),
+        row("max_index_date", day="last_day"),
         row("age", q="age_q"),
         row("prior_obs_years", q="obs_q", scale=365.25),
-        *(row(v, n=F.col(v)) for v in counted),
+        *(row(v, n=v) for v in counted),
     ]
-    return wide.select(*keys, "total", F.inline(F.array(*entries)))
+    return wide.select(*keys, "total", F.expr(f"inline(array({', '.join(entries)}))"))
 
 
 def with_text(table: DataFrame) -> DataFrame:

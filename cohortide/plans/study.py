@@ -167,7 +167,7 @@ class Study:
 
     @cached_property
     def patterns(self) -> DataFrame:
-        rows = models.covariate_patterns(self.population, self.facts, self.pairs)
+        rows = models.covariate_patterns(self.population, self.facts, self.pairs, self.work)
         return self.work.keep(rows, "patterns", None)
 
     @cached_property
