@@ -593,7 +593,7 @@ _add("survival_by_strata", _curve_ends, study_sql.curve_ends())
 _add(
     "model_patterns",
     lambda s: s.patterns.where((F.col("model") == models.BY_AGE_SEX) & (F.col("var") != "age")).drop(
-        "model", "months"
+        "model"
     ),
     study_sql.patterns(),
 )

@@ -11,9 +11,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
-
-from cohortide.sources.literals import literal_table
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 
 @dataclass
@@ -45,32 +44,35 @@ class Fit:
 def _step_sums(rows: DataFrame, width: int) -> DataFrame:
     """Per model: log likelihood, score and upper triangle of the information matrix.
 
-    Row: (model_id, sums) with the sums in that order.  Each pattern is unrolled into
-    its contributions by position, so one short aggregate adds up everything.
+    The linear predictor and the weights are columns of their own, so the sums stay
+    short products; patterns are added up before anything is shuffled.
     """
     eta = " + ".join(f"b{i} * x{i}" for i in range(width))
-    score = [f"x{i} * r" for i in range(width)]
-    info = [f"x{i} * x{j} * w" for i in range(width) for j in range(i, width)]
     # log p and log(1 - p) without overflow for large |eta|
-    log_lik = "y * least(eta, 0D) + (n - y) * least(-eta, 0D) - n * log1p(exp(-abs(eta)))"
+    log_lik = "y * least(eta, 0D) + (n - y) * least(-eta, 0D) - n * log1p(exp(-abs(eta))) AS l"
+    xs = [f"x{i}" for i in range(width)]
+    sums = ["sum(l)", *(f"sum({x} * r)" for x in xs)]
+    sums += [f"sum({xs[i]} * {xs[j]} * w)" for i in range(width) for j in range(i, width)]
     return (
-        rows.selectExpr("*", f"{eta} AS eta")
-        .selectExpr("*", "1 / (1 + exp(-eta)) AS p")
-        .selectExpr("*", "n * p * (1 - p) AS w", "y - n * p AS r")
-        .selectExpr("model_id", f"posexplode(array({', '.join([log_lik, *score, *info])})) AS (at, term)")
-        .groupBy("model_id", "at")
-        .agg(F.sum("term").alias("total"))
+        rows.selectExpr("model_id", "n", "y", *xs, f"{eta} AS eta")
+        .selectExpr("model_id", "n", "y", *xs, "eta", "1 / (1 + exp(-eta)) AS p")
+        .selectExpr("model_id", *xs, "n * p * (1 - p) AS w", "y - n * p AS r", log_lik)
         .groupBy("model_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "total"))), lambda e: e["total"]).alias("sums"))
+        .agg(F.expr(f"array({', '.join(sums)}) AS sums"))
     )
 
 
 def fit_models(
-    patterns: DataFrame, terms: dict[int, list[str]], slots: list[str], max_steps: int = 30
+    patterns: DataFrame,
+    terms: dict[int, list[str]],
+    slots: list[str],
+    start: dict[int, dict[str, float]] | None = None,
+    max_steps: int = 30,
 ) -> dict[int, Fit]:
     """Fit every model in ``patterns`` (model_id, x0.., n, y) by Newton's method.
 
-    ``slots`` names the columns x0.., ``terms`` the slots each model uses.  A model
+    ``slots`` names the columns x0.., ``terms`` the slots each model uses; ``start``
+    may give first values, for example from a smaller model.  A model
     whose outcome is separated by a covariate, or whose matrix is singular, comes back
     with ``converged`` False.
     """
@@ -84,15 +86,17 @@ def fit_models(
         beta = np.zeros(width)
         if 0 < y < n:
             beta[0] = math.log(y / (n - y))
+            for term, value in (start or {}).get(m, {}).items():
+                beta[slots.index(term)] = value
             state[m] = {"beta": beta, "last": beta, "ll": -math.inf}
     fits: dict[int, Fit] = {}
-    schema = "model_id int, " + ", ".join(f"b{i} double" for i in range(width))
     for _ in range(max_steps):
         if not state:
             break
-        rows = [(m, *map(float, s["beta"])) for m, s in state.items()]
         # One row of coefficients per model still being fitted.
-        now = F.broadcast(literal_table(spark, rows, schema))
+        columns = {"model_id": pa.array(list(state), pa.int32())}
+        columns |= {f"b{i}": [float(s["beta"][i]) for s in state.values()] for i in range(width)}
+        now = F.broadcast(spark.createDataFrame(pa.table(columns)))
         done = []
         for r in _step_sums(patterns.join(now, "model_id"), width).collect():
             m, s = r["model_id"], state[r["model_id"]]
@@ -130,15 +134,16 @@ def fit_models(
     return fits
 
 
-def spline_term(age: Column, k1: Column, k2: Column, k3: Column) -> Column:
+def spline_sql(age: str, k1: str, k2: str, k3: str) -> str:
     """Nonlinear term of a restricted cubic spline with three knots."""
 
-    def cube(knot: Column) -> Column:
-        return F.pow(F.greatest(age - knot, F.lit(0.0)), F.lit(3.0))
+    def cube(knot: str) -> str:
+        return f"pow(greatest({age} - {knot}, 0D), 3D)"
 
     return (
-        cube(k1) - cube(k2) * (k3 - k1) / (k3 - k2) + cube(k3) * (k2 - k1) / (k3 - k2)
-    ) / F.pow(k3 - k1, F.lit(2.0))
+        f"({cube(k1)} - {cube(k2)} * ({k3} - {k1}) / ({k3} - {k2}) + {cube(k3)} * ({k2} - {k1}) / ({k3} - {k2}))"
+        f" / pow({k3} - {k1}, 2D)"
+    )
 
 
 def spline_value(age: float, knots: tuple[float, float, float]) -> float:

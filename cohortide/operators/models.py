@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortide.functions.tails import Z95, chi2_tail
 from cohortide.operators.covariates import COVID_FLAG
 from cohortide.operators.followup import PAIR, count_cells
-from cohortide.operators.logistic import Fit, fit_models, spline_term, spline_value
+from cohortide.operators.logistic import Fit, fit_models, spline_sql, spline_value
 from cohortide.operators.survival import slices
 from cohortide.plans import definitions as d
 from cohortide.sources.literals import literal_table
@@ -34,22 +34,15 @@ def variable_columns() -> dict[str, str]:
     return {v: f"{v}_all_history" if v in d.CONDITIONS else v for v in d.MODEL_VARIABLES}
 
 
-def covariate_patterns(
-    pop: DataFrame,
-    facts: DataFrame,
-    pairs: DataFrame,
-    work: Workspace | None = None,
-    min_events: int = 30,
-    min_exposed: int = 5,
+def joint_cells(
+    pop: DataFrame, facts: DataFrame, pairs: DataFrame, work: Workspace | None = None, min_events: int = 30
 ) -> DataFrame:
-    """Counts (n, y) by covariate pattern for each slice, variable and adjustment.
+    """Counts (n, y) per slice by sex, age, months since start and exposures.
 
-    People are first counted by their joint pattern, with the exposures as one bit
-    mask, and only the counts are spread over variables and adjustments.  Slices with
-    too few events and variables with too few exposed people drop out before that.
+    The exposures are bits of ``mask``.  Only slices with enough events are kept; they
+    are at most study cohorts times outcomes times three.
     """
-    variables = variable_columns()
-    mask = " + ".join(f"{column} * {1 << i}" for i, column in enumerate(variables.values()))
+    mask = " + ".join(f"{column} * {1 << i}" for i, column in enumerate(variable_columns().values()))
     profile = {
         "gender": F.col("gender"),
         "age": F.col("age"),
@@ -57,48 +50,54 @@ def covariate_patterns(
         "mask": F.expr(f"CAST({mask} AS INT)"),
         COVID_FLAG: F.col(COVID_FLAG),
     }
-    cells = (
-        count_cells(pop, facts, pairs, profile)
-        .groupBy(*PAIR, *profile)
-        .agg(F.sum("n").alias("n"), F.expr("sum(n * event)").alias("y"))
-        .withColumn("slice", F.explode(slices()))
-    )
-    cells = work.keep(cells, "cells", None) if work else cells
-    # One row per slice: bounded by the study definition.
-    exposed = [F.expr(f"sum(n * (shiftright(mask, {i}) & 1)) AS e{i}") for i in range(len(variables))]
-    busy = (
-        cells.groupBy(*SLICE)
-        .agg(F.sum("y").alias("events"), *exposed)
-        .where(F.col("events") >= min_events)
+    counts = count_cells(pop, facts, pairs, profile)
+    counts = counts.groupBy(*PAIR, *profile).agg(F.sum("n").alias("n"), F.expr("sum(n * event)").alias("y"))
+    counts = work.keep(counts, "counts", None) if work else counts
+    sliced = counts.withColumn("slice", F.explode(slices()))
+    busy = sliced.groupBy(*SLICE).agg(F.sum("y").alias("events")).where(F.col("events") >= min_events)
+    return (
+        sliced.join(F.broadcast(busy.select(*SLICE)), SLICE)
+        .groupBy(*SLICE, "gender", "age", "months", "mask")
+        .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     )
-    none = "CAST(NULL AS STRING) AS sex, CAST(NULL AS INT) AS years, CAST(NULL AS DOUBLE) AS time"
-    by_age_sex = "gender AS sex, age AS years, CAST(NULL AS DOUBLE) AS time"
-    forms = [f"struct('age' AS var, '{BY_AGE_SEX}' AS model, true AS shown, 0 AS value, {by_age_sex})"]
-    for i, var in enumerate(variables):
-        for model, columns, shown in (
-            (UNADJUSTED, none, "true"),
-            (BY_AGE_SEX, by_age_sex, "true"),
-            (BY_TIME, "gender AS sex, age AS years, months AS time", "months IS NOT NULL"),
-        ):
+
+
+def covariate_patterns(cells: DataFrame, min_exposed: int = 5) -> DataFrame:
+    """Counts (n, y) by covariate pattern for age and sex, and for each exposure.
+
+    Per exposure there is a pattern table without covariates and one by age and sex,
+    if more than ``min_exposed`` people have it.  All of them are small.
+    """
+    names = ["age", *variable_columns()]
+    exposed = [F.expr(f"sum(n * (shiftright(mask, {i}) & 1)) AS e{i + 1}") for i in range(len(names) - 1)]
+    sizes = cells.groupBy(*SLICE).agg(F.sum("y").alias("events"), *exposed)
+    forms = ["struct(0 AS v, 1 AS form, true AS shown, 0 AS value, gender AS sex, age AS years)"]
+    for i in range(1, len(names)):
+        for form, columns in enumerate(("CAST(NULL AS STRING) AS sex, CAST(NULL AS INT) AS years", "gender AS sex, age AS years")):
             forms.append(
-                f"struct('{var}' AS var, '{model}' AS model, {shown} AND e{i} > {min_exposed} AS shown, "
-                f"shiftright(mask, {i}) & 1 AS value, {columns})"
+                f"struct({i} AS v, {form} AS form, e{i} > {min_exposed} AS shown, "
+                f"shiftright(mask, {i - 1}) & 1 AS value, {columns})"
             )
-    return (
-        cells.join(F.broadcast(busy), SLICE)
+    # Months do not matter here, which shrinks the cells before they are spread.
+    merged = cells.groupBy(*SLICE, "gender", "age", "mask").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    spread = (
+        merged.join(F.broadcast(sizes), SLICE)
         .select(*SLICE, "n", "y", F.expr(f"inline(array({', '.join(forms)}))"))
         .where("shown")
-        .groupBy(
-            *SLICE,
-            "var",
-            "model",
-            "value",
-            F.col("sex").alias("gender"),
-            F.col("years").alias("age"),
-            F.col("time").alias("months"),
-        )
+        .groupBy(*SLICE, "v", "form", "value", "sex", "years")
         .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     )
+    quoted = ", ".join(f"'{n}'" for n in names)
+    return spread.select(
+        *SLICE,
+        F.expr(f"element_at(array({quoted}), v + 1) AS var"),
+        F.expr(f"element_at(array('{UNADJUSTED}', '{BY_AGE_SEX}'), form + 1) AS model"),
+        "value",
+        F.col("sex").alias("gender"),
+        F.col("years").alias("age"),
+        "n",
+        "y",
+    )
 
 
 @dataclass
@@ -114,11 +113,19 @@ class _Job:
     gender: str | None = None
 
 
-def _fit(patterns: DataFrame, jobs: list[_Job], work: Workspace | None) -> dict[tuple, Fit]:
-    """Fit all jobs together: features per job, then the shared Newton passes."""
+def _fit(
+    cells: DataFrame, patterns: DataFrame, jobs: list[_Job], start: dict[tuple, Fit] | None = None
+) -> dict[tuple, Fit]:
+    """Fit all jobs together.
+
+    Models with calendar time read the joint cells, picking their exposure from the
+    bit mask; all others read the small pattern tables.  Features are computed during
+    each pass, nothing per model is stored.
+    """
     if not jobs:
         return {}
     slots = [t for t in SLOTS if any(t in j.terms for j in jobs)]
+    bit = {v: i for i, v in enumerate(variable_columns())}
     rows = [
         (
             i,
@@ -126,50 +133,47 @@ def _fit(patterns: DataFrame, jobs: list[_Job], work: Workspace | None) -> dict[
             j.var,
             j.model,
             j.gender,
+            bit.get(j.var),
             *(float(k) for k in (j.knots or (0.0, 1.0, 2.0))),
             *(t in j.terms for t in slots),
         )
         for i, j in enumerate(jobs)
     ]
     schema = (
-        "model_id int, study_id int, outcome_id int, slice string, var string, model string, only string, "
+        "model_id int, study_id int, outcome_id int, slice string, var string, model string, only string, bit int, "
         "k1 double, k2 double, k3 double, " + ", ".join(f"use_{t} boolean" for t in slots)
     )
-    table = F.broadcast(literal_table(patterns.sparkSession, rows, schema))
-    male = (F.col("gender") == "Male").cast("double")
-    mid, old = F.col("age").between(45, 64).cast("double"), (F.col("age") >= 65).cast("double")
-    years = F.col("age").cast("double")
+    table = literal_table(patterns.sparkSession, rows, schema)
+    small = patterns.withColumn("months", F.lit(None).cast("double")).join(
+        F.broadcast(table.where(F.col("model") != BY_TIME).drop("bit")), [*SLICE, "var", "model"]
+    )
+    sources = small.where("only IS NULL OR only = gender").drop("var", "model", "only", "slice")
+    if any(j.model == BY_TIME for j in jobs):
+        timed = (
+            cells.join(F.broadcast(table.where(F.col("model") == BY_TIME)), SLICE)
+            .withColumn("value", F.expr("shiftright(mask, bit) & 1"))
+            .drop("var", "model", "only", "slice", "bit", "mask")
+        )
+        sources = sources.unionByName(timed)
+    male = "CAST(gender = 'Male' AS DOUBLE)"
+    mid, old = "CAST(age BETWEEN 45 AND 64 AS DOUBLE)", "CAST(age >= 65 AS DOUBLE)"
     values = {
-        "one": F.lit(1.0),
-        "value": F.col("value").cast("double"),
-        "age": (years - REFERENCE_AGE) / 10,
-        "spline": spline_term(years, F.col("k1"), F.col("k2"), F.col("k3")),
+        "one": "1D",
+        "value": "CAST(value AS DOUBLE)",
+        "age": f"(age - {REFERENCE_AGE}) / 10D",
+        "spline": spline_sql("age", "k1", "k2", "k3"),
         "male": male,
-        "months": F.col("months"),
+        "months": "months",
         "mid": mid,
         "old": old,
-        "mid_male": mid * male,
-        "old_male": old * male,
+        "mid_male": f"{mid} * {male}",
+        "old_male": f"{old} * {male}",
     }
-    features = (
-        patterns.join(table, [*SLICE, "var", "model"])
-        .where(F.col("only").isNull() | (F.col("only") == F.col("gender")))
-        .select(
-            "model_id",
-            *(
-                F.when(F.col(f"use_{t}"), values[t]).otherwise(F.lit(0.0)).alias(f"x{i}")
-                for i, t in enumerate(slots)
-            ),
-            "n",
-            "y",
-        )
-        .groupBy("model_id", *(f"x{i}" for i in range(len(slots))))
-        .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-    )
-    features = work.keep(features, "features", None) if work else features.persist()
-    found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, slots)
-    if not work:
-        features.unpersist()
+    columns = [f"CASE WHEN use_{t} THEN {values[t]} ELSE 0D END AS x{i}" for i, t in enumerate(slots)]
+    features = sources.selectExpr("model_id", "n", "y", *columns)
+    first = {i: start[(j.slice, j.name)] for i, j in enumerate(jobs)} if start else {}
+    first = {i: dict(zip(f.terms, f.beta)) for i, f in first.items() if f.converged}
+    found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, slots, first)
     return {(j.slice, j.name): found[i] for i, j in enumerate(jobs)}
 
 
@@ -195,19 +199,29 @@ def _ratio(fit: Fit | None, weights: dict[str, float]) -> tuple:
         return None, None, None
 
 
-def odds_ratios(
-    patterns: DataFrame, work: Workspace | None = None, interaction_test: str = "total"
-) -> DataFrame:
-    """All odds ratios of the study from covariate patterns, which should be a kept table.
+def odds_ratios(cells: DataFrame, patterns: DataFrame, interaction_test: str = "total") -> DataFrame:
+    """All odds ratios of the study; cells and patterns are read often and should be kept tables.
 
     First the linear and spline age models and the age group by sex model of every
     slice are fitted together; they decide the form of age and whether age is reported
-    by sex.  Then everything else is fitted together.  ``interaction_test``: Wald test
+    by sex.  Then everything else is fitted together, and last the models with calendar
+    time, which start from the ones without.  ``interaction_test``: Wald test
     on all five coefficients ("total") or on the two interaction terms ("interaction").
     """
     heads = (
-        patterns.groupBy(*SLICE, "var", "model").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
+        patterns.groupBy(*SLICE, "var", "model")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("y").alias("y"),
+            F.sum(F.col("value") * F.col("n")).alias("n1"),
+            F.sum(F.col("value") * F.col("y")).alias("y1"),
+        )
+        .collect()
     )
+    dated = {
+        (r["study_id"], r["outcome_id"], r["slice"])
+        for r in cells.where(F.col("months").isNotNull()).select(*SLICE).distinct().collect()
+    }
     totals = {(r["study_id"], r["outcome_id"], r["slice"]): (r["n"], r["y"]) for r in heads if r["var"] == "age"}
     knots = _knots(patterns)
 
@@ -222,7 +236,7 @@ def odds_ratios(
         if usable_knots(s):
             jobs.append(_Job(s, "spline", "age", BY_AGE_SEX, ["one", "age", "spline"], usable_knots(s)))
         jobs.append(_Job(s, "crossed", "age", BY_AGE_SEX, ["one", *crossed]))
-    first = _fit(patterns, jobs, work)
+    first = _fit(cells, patterns, jobs)
 
     curved, by_sex = {}, {}
     for s in totals:
@@ -248,18 +262,27 @@ def odds_ratios(
                 jobs.append(_Job(s, f"age {sex}", "age", BY_AGE_SEX, terms, own, sex))
         jobs.append(_Job(s, "sex", "age", BY_AGE_SEX, ["one", "male"]))
         jobs.append(_Job(s, "sex by age", "age", BY_AGE_SEX, ["one", "male", *age_terms(s)], k))
+    exposures, hopeless = [], []
     for r in heads:
         s = (r["study_id"], r["outcome_id"], r["slice"])
         if r["var"] == "age" or s not in totals:
             continue
-        terms = ["one", "value"]
-        if r["model"] != UNADJUSTED:
-            terms += [*age_terms(s), "male"]
-        if r["model"] == BY_TIME:
-            terms.append("months")
         k = usable_knots(s) if curved[s] else None
-        jobs.append(_Job(s, f"{r['var']}|{r['model']}", r["var"], r["model"], terms, k))
-    second = _fit(patterns, jobs, work)
+        forms = {r["model"]: ["one", "value"]}
+        if r["model"] == BY_AGE_SEX:
+            forms = {BY_AGE_SEX: ["one", "value", *age_terms(s), "male"]}
+            if s in dated:
+                forms[BY_TIME] = [*forms[BY_AGE_SEX], "months"]
+        # With an empty cell the estimate is infinite; there is nothing to fit.
+        finite = 0 < r["y1"] < r["n1"] and r["y1"] < r["y"] and r["n1"] - r["y1"] < r["n"] - r["y"]
+        for model, terms in forms.items():
+            job = _Job(s, f"{r['var']}|{model}", r["var"], model, terms, k)
+            (exposures if finite else hopeless).append(job)
+    jobs += [j for j in exposures if j.model != BY_TIME]
+    second = _fit(cells, patterns, jobs)
+    timed = [j for j in exposures if j.model == BY_TIME]
+    known = {(j.slice, j.name): second[(j.slice, f"{j.var}|{BY_AGE_SEX}")] for j in timed}
+    second |= _fit(cells, patterns, timed, known)
 
     rows = []
     for s, (n, y) in totals.items():
@@ -277,10 +300,9 @@ def odds_ratios(
         for name, label in (("sex", UNADJUSTED), ("sex by age", BY_AGE)):
             ratio = _ratio(second[(s, name)], {"male": 1.0})
             rows.append((*s, "Sex (Male:Female)", label, None, n, y, *ratio, None, None, "overall"))
-    for j in jobs:
-        if "|" in j.name:
-            ratio = _ratio(second[(j.slice, j.name)], {"value": 1.0})
-            rows.append((*j.slice, j.var, j.model, None, None, None, *ratio, None, None, "overall"))
+    for j in exposures + hopeless:
+        ratio = _ratio(second.get((j.slice, j.name)), {"value": 1.0})
+        rows.append((*j.slice, j.var, j.model, None, None, None, *ratio, None, None, "overall"))
     return patterns.sparkSession.createDataFrame(rows, RESULT)
 
 

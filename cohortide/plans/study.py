@@ -165,14 +165,18 @@ class Study:
     def survival(self) -> DataFrame:
         return survival.survival_summary(self.population, self.facts, self.pairs)
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        rows = models.joint_cells(self.population, self.facts, self.pairs, self.work)
+        return self.work.keep(rows, "cells", None)
+
     @cached_property
     def patterns(self) -> DataFrame:
-        rows = models.covariate_patterns(self.population, self.facts, self.pairs, self.work)
-        return self.work.keep(rows, "patterns", None)
+        return self.work.keep(models.covariate_patterns(self.cells), "patterns", None)
 
     @cached_property
     def odds_ratios(self) -> DataFrame:
-        return models.odds_ratios(self.patterns, self.work, self.interaction_test)
+        return models.odds_ratios(self.cells, self.patterns, self.interaction_test)
 
     @cached_property
     def characteristics(self) -> DataFrame:
