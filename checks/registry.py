@@ -222,7 +222,6 @@ _add(
         "condition_concept_id",
         "condition_start_date",
         concepts.ancestor_members(s.spark, adapter.CONDITION_TOPS, s.cdm.concept_ancestor),
-        None,
     ),
     with_tables(
         [],

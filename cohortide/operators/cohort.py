@@ -14,7 +14,7 @@ from cohortide.operators import eras, events as ev
 from cohortide.plans.specs import CohortSpec, Criterion, criteria_of
 from cohortide.sources.literals import literal_table
 from cohortide.sources.cdm import Cdm
-from cohortide.sources.workspace import Workspace
+from cohortide.sources.workspace import Workspace, place
 
 KEY = ["cohort_id", "person_id"]
 EVENT_KEY = [*KEY, "start_date", "op_start", "op_end"]
@@ -194,13 +194,13 @@ def count_nearby(index: DataFrame, rules: DataFrame, days: DataFrame) -> DataFra
         .where(F.col("day").isNotNull())
         .withColumn("is_probe", F.lit(1))
     )
-    wanted = F.broadcast(rules.select("criterion_id").distinct())
     facts = (
-        days.join(wanted, "criterion_id", "left_semi")
+        days.join(F.broadcast(rules.select("criterion_id")), "criterion_id", "left_semi")
         .select("person_id", "criterion_id", F.col("start_date").alias("day"), "n")
         .withColumn("is_probe", F.lit(0))
     )
-    stream = probes.unionByName(facts, allowMissingColumns=True)
+    # One shuffle by person serves the running totals and the sums per event and rule.
+    stream = place(probes.unionByName(facts, allowMissingColumns=True))
     so_far = (
         W.partitionBy("person_id", "criterion_id")
         .orderBy("day", "is_probe")
@@ -300,7 +300,7 @@ def with_mask(index: DataFrame, hits: DataFrame | None) -> DataFrame:
     carried = [c for c in index.columns if c not in EVENT_KEY]
     bits = hits.select(*EVENT_KEY, F.expr("shiftleft(1L, rule_id)").alias("mask"))
     rows = index.withColumn("mask", F.lit(0).cast("long")).unionByName(bits, allowMissingColumns=True)
-    return rows.groupBy(*EVENT_KEY).agg(
+    return place(rows).groupBy(*EVENT_KEY).agg(
         F.bit_or("mask").alias("mask"), *(F.max(c).alias(c) for c in carried)
     )
 
@@ -357,37 +357,58 @@ def strategy_end() -> Column:
 
 
 def cohort_intervals(cdm: Cdm, included: DataFrame, days: DataFrame, specs: list[CohortSpec]) -> DataFrame:
-    """Start and earliest valid end of every included event."""
+    """Start and earliest valid end of every included event.
+
+    Only cohorts with drug eras or censoring are lined up with those events; the rest
+    take their end from the row itself.
+    """
     spark = cdm.spark
     ids = {c: i for i, c in enumerate(criteria_of(specs))}
-    rows = included.join(_exit_table(spark, specs), "cohort_id")
-    ends = [strategy_end()]
-    eras_for = [
-        (s.id, ids[Criterion("drug_exposure", s.exit.era_codeset, concept)], s.exit.era_gap)
-        for s in specs
-        if s.exit.kind == "era"
-        for concept in ("standard", "source")
-    ]
-    if eras_for:
-        map_ = F.broadcast(literal_table(spark, eras_for, "cohort_id long, criterion_id int, gap int"))
-        used = days.join(map_, "criterion_id").select(
-            *KEY, "start_date", F.col("max_end").alias("end_date"), "gap"
+    exits = _exit_table(spark, specs)
+
+    def finish(rows: DataFrame, ends: list[Column]) -> DataFrame:
+        valid = [F.when(e >= F.col("start_date"), e) for e in ends]
+        earliest = F.least(*valid) if len(valid) > 1 else valid[0]
+        return (
+            rows.withColumn("end_date", earliest)
+            .where(F.col("end_date").isNotNull())
+            .select(*KEY, "start_date", "end_date", "pad")
         )
-        rows = covering_era_end(rows, eras.collapse(used, KEY, F.col("gap")), "era_end")
-        ends.append(F.col("era_end"))
-    censors = [(s.id, ids[c]) for s in specs for c in s.censor]
-    if censors:
-        map_ = F.broadcast(literal_table(spark, censors, "cohort_id long, criterion_id int"))
-        facts = days.join(map_, "criterion_id").select(*KEY, "start_date").distinct()
-        rows = next_event_day(rows, facts, "censor_day")
-        ends.append(F.when(F.col("censor_day") <= F.col("op_end"), F.col("censor_day")))
-    valid = [F.when(e >= F.col("start_date"), e) for e in ends]
-    earliest = F.least(*valid) if len(valid) > 1 else valid[0]
-    return (
-        rows.withColumn("end_date", earliest)
-        .where(F.col("end_date").isNotNull())
-        .select(*KEY, "start_date", "end_date", "pad")
-    )
+
+    def of(chosen: list[CohortSpec]) -> DataFrame:
+        rows = included
+        if len(chosen) < len(specs):
+            rows = rows.where(F.col("cohort_id").isin([s.id for s in chosen]))
+        return rows.join(exits, "cohort_id")
+
+    parts = []
+    plain = [s for s in specs if s.exit.kind != "era" and not s.censor]
+    if plain:
+        parts.append(finish(of(plain), [strategy_end()]))
+    other = [s for s in specs if s not in plain]
+    if other:
+        rows, ends = of(other), [strategy_end()]
+        eras_for = [
+            (s.id, ids[Criterion("drug_exposure", s.exit.era_codeset, concept)], s.exit.era_gap)
+            for s in other
+            if s.exit.kind == "era"
+            for concept in ("standard", "source")
+        ]
+        if eras_for:
+            map_ = F.broadcast(literal_table(spark, eras_for, "cohort_id long, criterion_id int, gap int"))
+            used = days.join(map_, "criterion_id").select(
+                *KEY, "start_date", F.col("max_end").alias("end_date"), "gap"
+            )
+            rows = covering_era_end(rows, eras.collapse(used, KEY, F.col("gap")), "era_end")
+            ends.append(F.col("era_end"))
+        censors = [(s.id, ids[c]) for s in other for c in s.censor]
+        if censors:
+            map_ = F.broadcast(literal_table(spark, censors, "cohort_id long, criterion_id int"))
+            facts = days.join(map_, "criterion_id").select(*KEY, "start_date").distinct()
+            rows = next_event_day(rows, facts, "censor_day")
+            ends.append(F.when(F.col("censor_day") <= F.col("op_end"), F.col("censor_day")))
+        parts.append(finish(rows, ends))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def as_cohort_rows(spans: DataFrame) -> DataFrame:

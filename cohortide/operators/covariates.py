@@ -12,48 +12,66 @@ from cohortide.sources.cdm import Cdm
 COVID_FLAG = "covid_year_prior"
 
 
-def _history_rows(hits: DataFrame, date: str) -> DataFrame:
-    return hits.select(
-        F.col("code").alias("cohort_definition_id"),
+def _cohort_rows(code: str, date: str) -> list[Column]:
+    return [
+        F.col(code).alias("cohort_definition_id"),
         F.col("person_id").alias("subject_id"),
         F.col(date).alias("cohort_start_date"),
         F.col(date).alias("cohort_end_date"),
-    )
+    ]
 
 
-def comorbidity_cohorts(cdm: Cdm, exposed: DataFrame, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
-    """First date of each condition group per exposed person, all groups in one scan."""
+def condition_firsts(cdm: Cdm, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
+    """One row per person with the first date of each condition group, in one scan and shuffle."""
     members = concepts.ancestor_members(cdm.spark, tops, cdm.concept_ancestor)
-    hits = ev.code_list_events(
-        cdm.condition_occurrence, "condition_concept_id", "condition_start_date", members, exposed
+    hits = ev.code_list_rows(
+        cdm.condition_occurrence, "condition_concept_id", "condition_start_date", members
+    )
+    return hits.groupBy("person_id").agg(
+        *(F.expr(f"min(CASE WHEN code = {code} THEN event_date END) AS {name}_first") for name, code in tops.items())
     )
-    first = hits.groupBy("code", "person_id").agg(F.min("event_date").alias("first_date"))
-    return _history_rows(first, "first_date")
 
 
-def medication_cohorts(
-    cdm: Cdm, exposed: DataFrame, eras_from, tops: dict[str, int] = d.DRUGS
-) -> DataFrame:
-    """Distinct drug era starts of each class per exposed person, for eras lasting past a date."""
+def comorbidity_cohorts(firsts: DataFrame, exposed: DataFrame, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
+    """First dates of exposed people as cohort rows, one per person and condition group."""
+    pairs = ", ".join(f"struct({code}L AS code, {name}_first AS first_date)" for name, code in tops.items())
+    return (
+        firsts.join(exposed.select("person_id"), "person_id", "left_semi")
+        .select("person_id", F.expr(f"inline(array({pairs}))"))
+        .where(F.col("first_date").isNotNull())
+        .select(*_cohort_rows("code", "first_date"))
+    )
+
+
+def medication_days(cdm: Cdm, eras_from, tops: dict[str, int] = d.DRUGS) -> DataFrame:
+    """(person_id, day, mask): drug classes with an era starting that day and lasting past a date.
+
+    Bit i of the mask stands for the i-th class.
+    """
     members = concepts.ancestor_members(cdm.spark, tops, cdm.concept_ancestor)
     recent = cdm.drug_era.where(F.col("drug_era_end_date") >= F.lit(eras_from))
-    hits = ev.code_list_events(recent, "drug_concept_id", "drug_era_start_date", members, exposed)
-    return _history_rows(hits, "event_date")
+    hits = ev.code_list_rows(recent, "drug_concept_id", "drug_era_start_date", members)
+    bits = " ".join(f"WHEN {code} THEN {1 << i}L" for i, code in enumerate(tops.values()))
+    return hits.groupBy("person_id", F.col("event_date").alias("day")).agg(
+        F.expr(f"bit_or(CASE code {bits} END) AS mask")
+    )
 
 
-def condition_flags(pop: DataFrame, comorbidities: DataFrame, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
-    """One 0/1 column per condition: recorded on a day before the index date."""
-    firsts = comorbidities.groupBy(F.col("subject_id").alias("person_id")).agg(
-        *(
-            F.min(F.when(F.col("cohort_definition_id") == code, F.col("cohort_start_date"))).alias(f"{name}_first")
-            for name, code in tops.items()
-        )
+def medication_cohorts(days: DataFrame, exposed: DataFrame, tops: dict[str, int] = d.DRUGS) -> DataFrame:
+    """Distinct era starts of exposed people as cohort rows, one per person, class and day."""
+    codes = ", ".join(f"struct({code}L AS code, {1 << i}L AS bit)" for i, code in enumerate(tops.values()))
+    return (
+        days.join(exposed.select("person_id"), "person_id", "left_semi")
+        .select("person_id", "day", "mask", F.expr(f"inline(array({codes}))"))
+        .where("mask & bit != 0")
+        .select(*_cohort_rows("code", "day"))
     )
-    flags = [
-        F.coalesce(F.col(f"{name}_first") < F.col("index_date"), F.lit(False)).cast("int").alias(f"{name}_all_history")
-        for name in tops
-    ]
-    return pop.join(firsts, "person_id", "left").select(*(pop[c] for c in pop.columns), *flags)
+
+
+def condition_flags(pop: DataFrame, firsts: DataFrame, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
+    """One 0/1 column per condition: recorded on a day before the index date."""
+    flags = [f"CAST(coalesce({name}_first < index_date, false) AS INT) AS {name}_all_history" for name in tops]
+    return pop.join(firsts, "person_id", "left").selectExpr(*pop.columns, *flags)
 
 
 def recent_flags(
@@ -65,46 +83,33 @@ def recent_flags(
 ) -> DataFrame:
     """0/1 columns for drugs 183 to 4 days before the index and infection in the year up to it.
 
-    The history of a person becomes one bit mask per day, so the join with the index
-    dates carries one row per day and study cohort, and flags are an OR of masks.
+    ``medications`` are masks by person and day; infections add one more bit.  The join
+    with the index dates carries one row per day and study cohort, and flags are an OR
+    of masks.
     """
-    bit = {code: 1 << i for i, code in enumerate(tops.values())}
     covid_bit = 1 << len(tops)
-    drug_bits = covid_bit - 1
-    which = F.lit(0).cast("long")
-    for code, value in bit.items():
-        which = F.when(F.col("cohort_definition_id") == code, F.lit(value).cast("long")).otherwise(which)
-    used = medications.select(
-        F.col("subject_id").alias("person_id"), F.col("cohort_start_date").alias("day"), which.alias("mask")
-    )
     infected = covid.where(F.year("cohort_start_date") >= covid_from_year).select(
         F.col("subject_id").alias("person_id"),
         F.col("cohort_start_date").alias("day"),
         F.lit(covid_bit).cast("long").alias("mask"),
     )
-    days = used.unionByName(infected).groupBy("person_id", "day").agg(F.bit_or("mask").alias("mask"))
-    index = pop.select(*PERSON_KEY, "index_date")
-    back = F.date_diff("index_date", "day")
-    in_drug_window = back.between(4, 183)
-    in_covid_window = (F.col("day") <= F.col("index_date")) & (F.col("day") >= F.add_months("index_date", -12))
-    nothing = F.lit(0).cast("long")
+    days = medications.unionByName(infected)
+    drug_window = "date_diff(index_date, day) BETWEEN 4 AND 183"
+    covid_window = "day BETWEEN add_months(index_date, -12) AND index_date"
     seen = (
-        F.when(in_drug_window, F.col("mask").bitwiseAND(F.lit(drug_bits).cast("long"))).otherwise(nothing)
-    ).bitwiseOR(
-        F.when(in_covid_window, F.col("mask").bitwiseAND(F.lit(covid_bit).cast("long"))).otherwise(nothing)
+        f"CASE WHEN {drug_window} THEN mask & {covid_bit - 1}L ELSE 0L END"
+        f" | CASE WHEN {covid_window} THEN mask & {covid_bit}L ELSE 0L END"
     )
     hits = (
-        index.join(days, "person_id")
-        .where(in_drug_window | in_covid_window)
+        pop.select(*PERSON_KEY, "index_date")
+        .join(days, "person_id")
+        .where(f"{drug_window} OR {covid_window}")
         .groupBy(*PERSON_KEY)
-        .agg(F.bit_or(seen).alias("recent_mask"))
+        .agg(F.expr(f"bit_or({seen}) AS recent_mask"))
     )
-
-    def flag(value: int) -> Column:
-        return (F.coalesce("recent_mask", nothing).bitwiseAND(F.lit(value).cast("long")) != 0).cast("int")
-
-    columns = {name: flag(1 << i) for i, name in enumerate(tops)} | {COVID_FLAG: flag(covid_bit)}
-    return pop.join(hits, PERSON_KEY, "left").withColumns(columns).drop("recent_mask")
+    bits = {name: 1 << i for i, name in enumerate(tops)} | {COVID_FLAG: covid_bit}
+    flags = [f"CAST(coalesce(recent_mask, 0L) & {bit}L != 0 AS INT) AS {name}" for name, bit in bits.items()]
+    return pop.join(hits, PERSON_KEY, "left").selectExpr(*pop.columns, *flags)
 
 
 def composite_flags(pop: DataFrame) -> DataFrame:

@@ -179,16 +179,20 @@ def compact_by_day(events: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def code_list_rows(rows: DataFrame, code_column: str, date_column: str, members: DataFrame) -> DataFrame:
+    """(person_id, event_date) of rows whose code is on a list, with the list's columns."""
+    listed = broadcast_checked(members.withColumnRenamed("concept_id", code_column))
+    extra = [c for c in members.columns if c != "concept_id"]
+    return rows.join(listed, code_column).select(*extra, "person_id", F.col(date_column).alias("event_date"))
+
+
 def code_list_events(
-    rows: DataFrame, code_column: str, date_column: str, members: DataFrame, people: DataFrame | None
+    rows: DataFrame, code_column: str, date_column: str, members: DataFrame, people: DataFrame | None = None
 ) -> DataFrame:
     """Distinct (code, person_id, event_date) for code lists, restricted to given people."""
-    hits = rows.join(
-        broadcast_checked(members.withColumnRenamed("concept_id", code_column)), code_column
-    ).select("code", "person_id", F.col(date_column).alias("event_date"))
-    hits = hits.distinct()
+    hits = code_list_rows(rows, code_column, date_column, members).distinct()
     if people is not None:
-        hits = hits.join(people.select("person_id").distinct(), "person_id", "left_semi")
+        hits = hits.join(people.select("person_id"), "person_id", "left_semi")
     return hits
 
 

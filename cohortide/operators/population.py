@@ -207,5 +207,22 @@ def with_months_since_start(pop: DataFrame, exposures: DataFrame) -> DataFrame:
 
 
 def sample(pop: DataFrame, rows: int, seed: int = 0) -> DataFrame:
-    """At most ``rows`` rows, chosen by a seeded hash of the person: the same on every run."""
-    return pop.orderBy(F.xxhash64("person_id", F.lit(seed)), "person_id").limit(rows)
+    """Exactly ``rows`` rows (or all), those with the lowest seeded hash of the person.
+
+    Hash prefixes are counted first.  Prefixes below the cut are taken whole, and only
+    the one prefix that straddles it, 1/65536 of the people, is sorted.
+    """
+    hashed = pop.withColumn("__hash", F.xxhash64("person_id", F.lit(seed)))
+    hashed = hashed.withColumn("__prefix", F.shiftright("__hash", 48))
+    counts = hashed.groupBy("__prefix").count().orderBy("__prefix").collect()  # at most 65536 rows
+    taken, cut = 0, None
+    for prefix, n in counts:
+        if taken + n > rows:
+            cut = prefix
+            break
+        taken += n
+    if cut is None:
+        return pop
+    whole = hashed.where(F.col("__prefix") < cut)
+    edge = hashed.where(F.col("__prefix") == cut).orderBy("__hash", "person_id").limit(rows - taken)
+    return whole.unionByName(edge).drop("__hash", "__prefix")

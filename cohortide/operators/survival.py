@@ -74,21 +74,22 @@ def reportable(counts: DataFrame) -> DataFrame:
 def kaplan_meier(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Curves from counts per key and time (``n`` leaving, ``n_event`` of them with the event).
 
-    Every day from 0 to the last time of the curve gets a row.  Limits use the log
+    ``counts`` holds one row per key and time.  Every day from 0 to the last time of the curve gets a row.  Limits use the log
     scale.  A curve has at most one row per day of follow-up, so the windows are small.
     """
-    ends = counts.groupBy(*keys).agg(F.max("time").alias("last"))
-    grid = ends.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("last"))).alias("time"),
-        F.lit(0).cast("long").alias("n"),
-        F.lit(0).cast("long").alias("n_event"),
-    )
+    in_order = W.partitionBy(*keys).orderBy("time")
+    # Each row also stands for the days since the row before, on which nobody leaves.
+    first_day = F.coalesce(F.lag("time").over(in_order), F.lit(-1)) + 1
+    here = F.col("day") == F.col("time")
     daily = (
-        counts.select(*keys, "time", "n", "n_event")
-        .unionByName(grid)
-        .groupBy(*keys, "time")
-        .agg(F.sum("n").alias("n"), F.sum("n_event").alias("n_event"))
+        counts.withColumn("__from", first_day)
+        .select(*keys, "time", "n", "n_event", F.explode(F.sequence("__from", "time")).alias("day"))
+        .select(
+            *keys,
+            F.col("day").alias("time"),
+            F.when(here, F.col("n")).otherwise(0).alias("n"),
+            F.when(here, F.col("n_event")).otherwise(0).alias("n_event"),
+        )
     )
     onwards = W.partitionBy(*keys).orderBy(F.desc("time")).rowsBetween(W.unboundedPreceding, 0)
     so_far = W.partitionBy(*keys).orderBy("time").rowsBetween(W.unboundedPreceding, 0)

@@ -79,7 +79,7 @@ class Study:
     def masked(self) -> DataFrame:
         """Qualified events of all cohorts with their inclusion masks."""
         rows = cohort.masked_events(self.cdm, self.days, self.periods, self.specs, self.work)
-        return self.work.keep(rows, "masked")
+        return self.work.keep(rows, "masked", placed=any(s.rules for s in self.specs))
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -116,15 +116,21 @@ class Study:
     def exposed(self) -> DataFrame:
         return self.exposures.select(F.col("subject_id").alias("person_id")).distinct()
 
+    @cached_property
+    def condition_firsts(self) -> DataFrame:
+        return covariates.condition_firsts(self.cdm, self.condition_tops)
+
+    @cached_property
+    def medication_days(self) -> DataFrame:
+        return covariates.medication_days(self.cdm, self.calendar.drug_eras_from, self.drug_tops)
+
     @cached_property
     def comorbidities(self) -> DataFrame:
-        return covariates.comorbidity_cohorts(self.cdm, self.exposed, self.condition_tops)
+        return covariates.comorbidity_cohorts(self.condition_firsts, self.exposed, self.condition_tops)
 
     @cached_property
     def medications(self) -> DataFrame:
-        return covariates.medication_cohorts(
-            self.cdm, self.exposed, self.calendar.drug_eras_from, self.drug_tops
-        )
+        return covariates.medication_cohorts(self.medication_days, self.exposed, self.drug_tops)
 
     @cached_property
     def population_plain(self) -> DataFrame:
@@ -141,9 +147,9 @@ class Study:
 
     @cached_property
     def population(self) -> DataFrame:
-        pop = covariates.condition_flags(self.population_plain, self.comorbidities, self.condition_tops)
+        pop = covariates.condition_flags(self.population_plain, self.condition_firsts, self.condition_tops)
         pop = covariates.recent_flags(
-            pop, self.medications, self.covid, self.calendar.covid_from_year, self.drug_tops
+            pop, self.medication_days, self.covid, self.calendar.covid_from_year, self.drug_tops
         )
         return self.work.keep(covariates.composite_flags(pop), "population")
 
@@ -161,9 +167,14 @@ class Study:
     def time_at_risk(self) -> DataFrame:
         return followup.time_at_risk(self.population, self.facts, self.pairs)
 
+    @cached_property
+    def curve_counts(self) -> DataFrame:
+        rows = survival.stratified_counts(self.population, self.facts, self.pairs)
+        return self.work.keep(rows, "curve_counts", None)
+
     @cached_property
     def survival(self) -> DataFrame:
-        return survival.survival_summary(self.population, self.facts, self.pairs)
+        return survival.kaplan_meier(survival.reportable(self.curve_counts), survival.CURVE)
 
     @cached_property
     def cells(self) -> DataFrame:

@@ -38,17 +38,33 @@ def bucket_count(spark: SparkSession) -> int:
     return max(width, 1)
 
 
+def place(df: DataFrame, by: str = "person_id") -> DataFrame:
+    """Shuffle rows to the buckets of ``by``: what follows per person needs no other shuffle."""
+    return df.repartition(bucket_count(df.sparkSession), by)
+
+
 class Workspace:
-    """Writes intermediate tables once and hands back readers on them."""
+    """Writes intermediate tables once and hands back readers on them.
+
+    Joins on (study cohort, person) or (outcome, person) may use the person buckets as
+    they are; Spark allows that when told that part of the join keys is enough to
+    co-locate rows.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.tag = uuid.uuid4().hex[:12]
         self.root = f"{checkpoint_root(spark)}/cohortide-{self.tag}"
         self.count = 0
 
-    def keep(self, df: DataFrame, name: str, by: str | None = "person_id") -> DataFrame:
-        """Write ``df`` and read it back, bucketed on ``by`` unless that is None."""
+    def keep(
+        self, df: DataFrame, name: str, by: str | None = "person_id", placed: bool = False
+    ) -> DataFrame:
+        """Write ``df`` and read it back, bucketed on ``by`` unless that is None.
+
+        ``placed`` says that ``place`` has already put the rows where they belong.
+        """
         self.count += 1
         name = f"{name}_{self.count}"
         path = f"{self.root}/{name}"
@@ -57,13 +73,8 @@ class Workspace:
             return self.spark.read.parquet(path)
         n = bucket_count(self.spark)
         table = f"cohortide_{self.tag}_{name}"
-        (
-            df.repartition(n, by)
-            .write.mode("overwrite")
-            .bucketBy(n, by)
-            .option("path", path)
-            .saveAsTable(table)
-        )
+        rows = df if placed else place(df, by)
+        rows.write.mode("overwrite").bucketBy(n, by).option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
 

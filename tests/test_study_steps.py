@@ -89,10 +89,11 @@ def pop_df(spark, data):
 
 def test_history_windows(spark):
     pop = pop_df(spark, [(102, p, "2021-07-01", None, "2022-12-31") for p in range(1, 9)])
-    drug = d.DRUGS["coxibs"]
-    meds = cohorts_df(
+    bit = 1 << list(d.DRUGS).index("coxibs")
+    meds = literal_table(
         spark,
-        [(drug, 1, "2020-12-30"), (drug, 2, "2020-12-29"), (drug, 3, "2021-06-27"), (drug, 4, "2021-06-28")],
+        [(p, day(t), bit) for p, t in enumerate(("2020-12-30", "2020-12-29", "2021-06-27", "2021-06-28"), 1)],
+        "person_id long, day date, mask long",
     )  # 183, 184, 4 and 3 days before
     covid = cohorts_df(
         spark,
@@ -104,8 +105,10 @@ def test_history_windows(spark):
     assert got.where("tamoxifen = 1").count() == 0 and got.count() == 8
     later = covariates.recent_flags(pop, meds, covid, 2021)
     assert rows(later.where("covid_year_prior = 1").select("person_id")) == [(7,)]
-    code = d.CONDITIONS["asthma"]
-    past = covariates.condition_flags(pop, cohorts_df(spark, [(code, 1, "2021-06-30"), (code, 2, "2021-07-01")]))
+    firsts = literal_table(
+        spark, [(1, day("2021-06-30")), (2, day("2021-07-01"))], "person_id long, asthma_first date"
+    )
+    past = covariates.condition_flags(pop, firsts, {"asthma": 1})
     assert rows(past.where("asthma_all_history = 1").select("person_id")) == [(1,)]
 
 
@@ -116,9 +119,11 @@ def test_comorbidity_first_date_and_descendants(spark, cdm_of):
         drug_era=[(1, 5, "2020-03-01", "2020-05-01"), (1, 6, "2020-03-01", "2020-04-30"), (1, 5, "2020-04-01", "2020-06-01")],
     )
     exposed = literal_table(spark, [(1,)], "person_id long")
-    got = covariates.comorbidity_cohorts(cdm, exposed, {"x": 100}).drop("cohort_end_date")
+    firsts = covariates.condition_firsts(cdm, {"x": 100})
+    got = covariates.comorbidity_cohorts(firsts, exposed, {"x": 100}).drop("cohort_end_date")
     assert rows(got) == [(100, 1, day("2020-01-01"))]
-    used = covariates.medication_cohorts(cdm, exposed, day("2020-05-01"), {"x": 100}).drop("cohort_end_date")
+    days = covariates.medication_days(cdm, day("2020-05-01"), {"x": 100})
+    used = covariates.medication_cohorts(days, exposed, {"x": 100}).drop("cohort_end_date")
     assert rows(used) == [(100, 1, day("2020-03-01")), (100, 1, day("2020-04-01"))]
 
 
