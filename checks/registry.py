@@ -617,7 +617,11 @@ _add(
     lambda s: _rounded(s.characteristics, "low", "mid", "high").drop("label"),
     study_sql.characteristics(),
 )
-_add("characteristics_wide", lambda s: summaries.wide_characteristics(s.characteristics))
+_add(
+    "characteristics_wide",
+    lambda s: summaries.wide_characteristics(s.characteristics),
+    study_sql.wide_characteristics(),
+)
 _add("age_histogram", lambda s: _rounded(s.histograms, "density"), study_sql.histogram())
 
 # ---- scalar functions ------------------------------------------------------------------

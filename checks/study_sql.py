@@ -567,3 +567,22 @@ def histogram() -> str:
         "LEFT JOIN bins b ON b.study_id = s.study_id AND b.outcome_id IS NOT DISTINCT FROM s.outcome_id AND b.k = s.k "
         "CROSS JOIN (VALUES ('No'), ('Yes')) v(prior_obs_required)",
     )
+
+
+def wide_characteristics() -> str:
+    renamed = {
+        "sex_male": "Sex: male",
+        "prior_obs_years": "Years of prior observation time",
+        "cond_comp": "One or more condition of interest",
+        "drug_comp": "One or more medication of interest",
+        "cond_drug_comp": "One or more condition/ medication of interest",
+    }
+    cases = " ".join(f"WHEN '{v}' THEN '{text}'" for v, text in renamed.items())
+    label = f"CASE var {cases} ELSE replace(upper(left(var, 1)) || lower(substr(var, 2)), '_', ' ') END"
+    columns = ", ".join(
+        f"max(CASE WHEN outcome_id = {i} THEN value END) AS \"{name}\"" for i, name in d.OUTCOMES.items()
+    )
+    return (
+        f"SELECT study_id, {label} AS label, max(CASE WHEN outcome_id IS NULL THEN value END) AS \"Overall\", "
+        f"{columns} FROM ({characteristics()}) GROUP BY 1, 2"
+    )
