@@ -118,15 +118,23 @@ def people_with_outcome(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> D
     ).join(pop, PERSON_KEY)
 
 
-def count_cells(pop: DataFrame, facts: DataFrame, pairs: DataFrame, profile: dict[str, Column]) -> DataFrame:
+def count_cells(
+    pop: DataFrame, facts: DataFrame, pairs: DataFrame, profile: dict[str, Column], by_day: bool = True
+) -> DataFrame:
     """Counts of people at risk by profile, days at risk and event flag, per open pair.
 
     ``profile`` maps cell columns to expressions over the population.  People without
     outcome rows are counted once for all outcomes; people with washout or an event
-    are then taken out of, or moved between, cells.
+    are then taken out of, or moved between, cells.  Without ``by_day`` all days at risk
+    share a cell, with ``days`` 0.
     """
     names = list(profile)
-    people = pop.select(*PERSON_KEY, "index_date", censored_days().alias("days"), *(c.alias(n) for n, c in profile.items()))
+    days, event_day = censored_days(), F.date_diff("event_date", "index_date")
+    if not by_day:
+        days = event_day = F.lit(0)
+    people = pop.select(
+        *PERSON_KEY, "index_date", days.alias("days"), *(c.alias(n) for n, c in profile.items())
+    )
     plain = people.groupBy("study_id", *names, "days").agg(F.count("*").alias("n"))
     for_all = plain.join(F.broadcast(pairs.select(*PAIR)), "study_id").select(
         *PAIR, *names, "days", F.lit(0).alias("event"), "n"
@@ -140,7 +148,7 @@ def count_cells(pop: DataFrame, facts: DataFrame, pairs: DataFrame, profile: dic
     moves = F.array(
         F.struct(F.col("days").alias("at"), F.lit(0).alias("event"), F.lit(-1).cast("long").alias("n")),
         F.struct(
-            F.date_diff("event_date", "index_date").alias("at"),
+            event_day.alias("at"),
             F.lit(1).alias("event"),
             F.lit(1).cast("long").alias("n"),
         ),

@@ -50,7 +50,7 @@ def joint_cells(
         "mask": F.expr(f"CAST({mask} AS INT)"),
         COVID_FLAG: F.col(COVID_FLAG),
     }
-    counts = count_cells(pop, facts, pairs, profile)
+    counts = count_cells(pop, facts, pairs, profile, by_day=False)
     counts = counts.groupBy(*PAIR, *profile).agg(F.sum("n").alias("n"), F.expr("sum(n * event)").alias("y"))
     counts = work.keep(counts, "counts", None) if work else counts
     sliced = counts.withColumn("slice", F.explode(slices()))
