@@ -114,13 +114,17 @@ class _Job:
 
 
 def _fit(
-    cells: DataFrame, patterns: DataFrame, jobs: list[_Job], start: dict[tuple, Fit] | None = None
+    cells: DataFrame,
+    patterns: DataFrame,
+    jobs: list[_Job],
+    work: Workspace | None,
+    start: dict[tuple, Fit] | None = None,
 ) -> dict[tuple, Fit]:
     """Fit all jobs together.
 
     Models with calendar time read the joint cells, picking their exposure from the
-    bit mask; all others read the small pattern tables.  Features are computed during
-    each pass, nothing per model is stored.
+    bit mask during each pass, so nothing as large as people times models is stored.
+    All others read the small pattern tables, whose features are kept between passes.
     """
     if not jobs:
         return {}
@@ -144,17 +148,6 @@ def _fit(
         "k1 double, k2 double, k3 double, " + ", ".join(f"use_{t} boolean" for t in slots)
     )
     table = literal_table(patterns.sparkSession, rows, schema)
-    small = patterns.withColumn("months", F.lit(None).cast("double")).join(
-        F.broadcast(table.where(F.col("model") != BY_TIME).drop("bit")), [*SLICE, "var", "model"]
-    )
-    sources = small.where("only IS NULL OR only = gender").drop("var", "model", "only", "slice")
-    if any(j.model == BY_TIME for j in jobs):
-        timed = (
-            cells.join(F.broadcast(table.where(F.col("model") == BY_TIME)), SLICE)
-            .withColumn("value", F.expr("shiftright(mask, bit) & 1"))
-            .drop("var", "model", "only", "slice", "bit", "mask")
-        )
-        sources = sources.unionByName(timed)
     male = "CAST(gender = 'Male' AS DOUBLE)"
     mid, old = "CAST(age BETWEEN 45 AND 64 AS DOUBLE)", "CAST(age >= 65 AS DOUBLE)"
     values = {
@@ -170,7 +163,21 @@ def _fit(
         "old_male": f"{old} * {male}",
     }
     columns = [f"CASE WHEN use_{t} THEN {values[t]} ELSE 0D END AS x{i}" for i, t in enumerate(slots)]
-    features = sources.selectExpr("model_id", "n", "y", *columns)
+    small = (
+        patterns.withColumn("months", F.lit(None).cast("double"))
+        .join(F.broadcast(table.where(F.col("model") != BY_TIME)), [*SLICE, "var", "model"])
+        .where("only IS NULL OR only = gender")
+    )
+    timed = cells.join(F.broadcast(table.where(F.col("model") == BY_TIME)), SLICE).withColumn(
+        "value", F.expr("shiftright(mask, bit) & 1")
+    )
+    features = []
+    if any(j.model != BY_TIME for j in jobs):
+        rows = small.selectExpr("model_id", "n", "y", *columns)
+        features.append(work.keep(rows, "features", None) if work else rows)
+    if any(j.model == BY_TIME for j in jobs):
+        features.append(timed.selectExpr("model_id", "n", "y", *columns))
+    features = features[0] if len(features) == 1 else features[0].unionByName(features[1])
     first = {i: start[(j.slice, j.name)] for i, j in enumerate(jobs)} if start else {}
     first = {i: dict(zip(f.terms, f.beta)) for i, f in first.items() if f.converged}
     found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, slots, first)
@@ -199,7 +206,9 @@ def _ratio(fit: Fit | None, weights: dict[str, float]) -> tuple:
         return None, None, None
 
 
-def odds_ratios(cells: DataFrame, patterns: DataFrame, interaction_test: str = "total") -> DataFrame:
+def odds_ratios(
+    cells: DataFrame, patterns: DataFrame, interaction_test: str = "total", work: Workspace | None = None
+) -> DataFrame:
     """All odds ratios of the study; cells and patterns are read often and should be kept tables.
 
     First the linear and spline age models and the age group by sex model of every
@@ -236,7 +245,7 @@ def odds_ratios(cells: DataFrame, patterns: DataFrame, interaction_test: str = "
         if usable_knots(s):
             jobs.append(_Job(s, "spline", "age", BY_AGE_SEX, ["one", "age", "spline"], usable_knots(s)))
         jobs.append(_Job(s, "crossed", "age", BY_AGE_SEX, ["one", *crossed]))
-    first = _fit(cells, patterns, jobs)
+    first = _fit(cells, patterns, jobs, work)
 
     curved, by_sex = {}, {}
     for s in totals:
@@ -279,10 +288,10 @@ def odds_ratios(cells: DataFrame, patterns: DataFrame, interaction_test: str = "
             job = _Job(s, f"{r['var']}|{model}", r["var"], model, terms, k)
             (exposures if finite else hopeless).append(job)
     jobs += [j for j in exposures if j.model != BY_TIME]
-    second = _fit(cells, patterns, jobs)
+    second = _fit(cells, patterns, jobs, work)
     timed = [j for j in exposures if j.model == BY_TIME]
     known = {(j.slice, j.name): second[(j.slice, f"{j.var}|{BY_AGE_SEX}")] for j in timed}
-    second |= _fit(cells, patterns, timed, known)
+    second |= _fit(cells, patterns, timed, work, known)
 
     rows = []
     for s, (n, y) in totals.items():

@@ -187,7 +187,7 @@ class Study:
 
     @cached_property
     def odds_ratios(self) -> DataFrame:
-        return models.odds_ratios(self.cells, self.patterns, self.interaction_test)
+        return models.odds_ratios(self.cells, self.patterns, self.interaction_test, self.work)
 
     @cached_property
     def characteristics(self) -> DataFrame:

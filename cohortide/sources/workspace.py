@@ -77,6 +77,12 @@ class Workspace:
         rows.write.mode("overwrite").bucketBy(n, by).option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
+    def close(self) -> None:
+        """Drop the catalog entries of the kept tables; the files stay in the shared folder."""
+        for table in self.spark.catalog.listTables():
+            if table.name.startswith(f"cohortide_{self.tag}_"):
+                self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` after counting that it is small; beyond that leave the join to Spark.

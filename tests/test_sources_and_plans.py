@@ -101,6 +101,8 @@ def test_study_writes_its_results(spark, tmp_path):
     pops = {r["pop"] for r in spark.read.parquet(f"{tmp_path}/survival_summary").select("pop").distinct().collect()}
     assert pops <= set(MAIN_STUDY_COHORTS) and pops
     assert tables.read_cohorts(spark, f"{tmp_path}/cohorts").count() == short.cohorts.count()
+    short.work.close()
+    assert not [t.name for t in spark.catalog.listTables() if short.work.tag in t.name]
 
 
 def test_birth_date_that_does_not_exist(spark):
