@@ -43,7 +43,7 @@ def main() -> None:
     by_id = {s.id: s for s in registry.SPECS}
 
     def one_cohort(id: int):
-        return cohort.build_cohorts(study.cdm, study.codesets, [by_id[id]], periods=study.periods)
+        return cohort.build_cohorts(study.cdm, study.codesets, [by_id[id]], study.work, study.periods)
 
     def run(df) -> None:
         df.write.format("noop").mode("overwrite").save()
