@@ -57,7 +57,7 @@ ARTICLE = frozenset("article main content body post entry story text prose page"
 
 FEATURES = (
     "bias", "side", "control", "main", "text", "list", "inline", "other", "around", "article",
-    "links: none", "links: some", "links: most", "words: 0", "words: 1-4", "words: 5-19", "words: 20+", "stops", "heading", "inside around",
+    "links: none", "links: some", "links: most", "words: 0", "words: 1-4", "words: 5-19", "words: 20+", "stops", "heading", "inside around", "footer",
 )
 _NAMING, _NO_NAMES = ("class", "id", "role", "aria-label", "itemprop"), frozenset()
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -187,6 +187,8 @@ def node_features(tree: Tree) -> tuple[list[list[int]], list[float], list[int],
             x.append(_AT["article"])
         if tag in _HEADING:
             x.append(_AT["heading"])
+        elif tag == "footer":
+            x.append(_AT["footer"])
         x.append(_AT["links: none" if not linked[i] else "links: some" if 2 * linked[i] < w else "links: most"])
         x.append(_AT["words: 0" if not w else "words: 1-4" if w < 5 else "words: 5-19" if w < 20 else "words: 20+"])
         if i and inside[el.parent]:

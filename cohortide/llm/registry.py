@@ -14,6 +14,7 @@ from cohortide.llm import (
     html_labelled,
     license_scan,
     mixing,
+    ngram_join,
     quality,
     substring_dedup,
     topk,
@@ -86,6 +87,16 @@ def topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("key")
+
+
+def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing_query,
     "op2_quality": quality_query,
@@ -95,7 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": decontamination_query,
     "op7_chat_format": chat_query,
     "op8_toxicity": toxicity_query,
+    "op9_ngram_join": ngram_query,
     "op10_topk": topk_query,
+    "pipeline": pipeline_query,
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.dedup_sql(),

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def by_value(module: str) -> None:
@@ -45,3 +46,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Up to so many short rows (ids, hashes, counts) a table may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """Mark a written table of short rows for broadcast if its count allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
