@@ -91,12 +91,6 @@ def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("key")
 
 
-def pipeline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing_query,
     "op2_quality": quality_query,
@@ -108,7 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_query,
     "op9_ngram_join": ngram_query,
     "op10_topk": topk_query,
-    "pipeline": pipeline_query,
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.dedup_sql(),
