@@ -33,6 +33,7 @@ def session() -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    registry.prepare(spark)
     return spark
 
 

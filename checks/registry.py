@@ -7,6 +7,7 @@ scanned once and later queries start from the kept tables.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,6 +21,7 @@ from cohortide.plans import definitions as d
 from cohortide.plans.specs import CohortSpec, Criterion
 from cohortide.plans.study import Study
 from cohortide.sources import adapter, tables
+from cohortide.sources.workspace import BUCKETS
 
 CAL = adapter.CALENDAR
 TEMPLATES = [
@@ -33,7 +35,16 @@ RULED = [s for s in SPECS if s.rules]
 _studies: dict[tuple[str, str], Study] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings of a cluster that a bare local session lacks: shared folder and number of buckets."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cohortide-"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(BUCKETS, str(min(width, spark.sparkContext.defaultParallelism)))
+
+
 def new_study(spark: SparkSession, sf_dir: str, **options) -> Study:
+    prepare(spark)
     return Study(
         adapter.open_test_tables(spark, sf_dir),
         adapter.concept_set_definitions(spark),
@@ -296,12 +307,12 @@ def _stage(specs: list[CohortSpec], select: str, needs=cohort_sql.CLINICAL) -> s
 _add(
     "qualified_events",
     lambda s: cohort.qualified_events(s.cdm, s.days, s.periods, s.specs).select(
-        "cohort_id", "person_id", "start_date", "op_start", "op_end", "n", "min_end"
+        "cohort_id", "person_id", "start_date", "op_start", "op_end", "n", "min_end", "max_end"
     ),
     _stage(
         SPECS,
         "SELECT CAST({id} AS BIGINT) AS cohort_id, person_id, s AS start_date, op_start, op_end, count(*) AS n, "
-        "min(e) AS min_end FROM {p}_q GROUP BY 2, 3, 4, 5",
+        "min(e) AS min_end, max(e) AS max_end FROM {p}_q GROUP BY 2, 3, 4, 5",
     ),
 )
 
@@ -409,11 +420,19 @@ _add(
     "inclusion_rule_statistics",
     lambda s: attrition.rule_statistics(attrition.mask_counts(s.masked), s.specs),
     with_tables(
-        [*_mask_ctes(RULED), ("rule", "SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS r")],
-        "SELECT cohort_id AS cohort_definition_id, r AS rule_sequence, mode_id, "
+        [
+            *_mask_ctes(RULED),
+            ("rule", "SELECT * FROM (VALUES " + ", ".join(
+                f"({s.id}::BIGINT, {r}, '{rule.name.replace(chr(39), chr(39) * 2)}', {len(s.rules)}, {mode})"
+                for s in RULED
+                for r, rule in enumerate(s.rules)
+                for mode in (0, 1)
+            ) + ") v(id, r, name, n_rules, mode)"),
+        ],
+        "SELECT id AS cohort_definition_id, r AS rule_sequence, name, mode AS mode_id, "
         "count(*) FILTER ((mask >> r) & 1 = 1) AS person_count, "
-        "count(*) FILTER ((mask >> r) & 1 = 0 AND bit_count(mask) = rules - 1) AS gain_count, "
-        "count(*) AS person_total FROM masks JOIN rule ON r < rules GROUP BY 1, 2, 3",
+        "count(*) FILTER ((mask >> r) & 1 = 0 AND bit_count(mask) = n_rules - 1) AS gain_count, "
+        "count(mask) AS person_total FROM rule LEFT JOIN masks ON cohort_id = id AND mode_id = mode GROUP BY 1, 2, 3, 4",
         cohort_sql.CLINICAL,
     ),
 )
@@ -578,17 +597,13 @@ def _overall_curves(s: Study) -> DataFrame:
     return _rounded(s.survival.where("strata = 'overall'"), "surv", "lower", "upper")
 
 
-def _curve_ends(s: Study) -> DataFrame:
-    """The last day of every curve, all strata."""
-    from cohortide.operators.survival import CURVE
-
-    last = F.max_by(F.struct("time", "n_risk", "n_event", "cum_n_event", "surv", "lower", "upper"), "time")
-    ends = s.survival.groupBy(*CURVE).agg(last.alias("last")).select(*CURVE, "last.*")
-    return _rounded(ends, "surv", "lower", "upper")
+def _all_curves(s: Study) -> DataFrame:
+    """Every day of every curve."""
+    return _rounded(s.survival, "surv", "lower", "upper")
 
 
 _add("survival_overall", _overall_curves, study_sql.curves("strata = 'overall'"))
-_add("survival_by_strata", _curve_ends, study_sql.curve_ends())
+_add("survival_by_strata", _all_curves, study_sql.curves("true"))
 _add(
     "model_patterns",
     lambda s: s.patterns.where((F.col("model") == models.BY_AGE_SEX) & (F.col("var") != "age")).drop(

@@ -208,7 +208,8 @@ FOLLOW_UP = [
     *cohort_sql.all_rows(d.outcome_specs(), "outcome"),
     (
         "hit",
-        "SELECT p.study_id, o.id AS outcome_id, p.person_id, p.index_date, p.next_vax_date, o.s, "
+        "SELECT p.study_id, o.id AS outcome_id, p.person_id, p.index_date, "
+        "CASE WHEN p.next_vax_date < p.index_date THEN NULL ELSE p.next_vax_date END AS next_vax_date, o.s, "
         f"{_HORIZON} AS horizon FROM pop p JOIN outcome o ON o.person_id = p.person_id "
         "WHERE o.id IN (SELECT id FROM outcome GROUP BY id HAVING count(*) > 5)",
     ),
@@ -429,13 +430,6 @@ def curves(where: str) -> str:
     return study(CURVES, f"SELECT {_CURVE_COLUMNS} FROM curve WHERE {where}")
 
 
-def curve_ends() -> str:
-    return study(
-        CURVES,
-        f"SELECT {_CURVE_COLUMNS} FROM curve QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY time DESC) = 1",
-    )
-
-
 def _tables(parts: str) -> str:
     return (
         "SELECT study_id, outcome_id, slice, var, "
@@ -571,7 +565,7 @@ def histogram() -> str:
 
 def wide_characteristics() -> str:
     renamed = {
-        "sex_male": "Sex: male",
+        "sex_male": "Sex: Male",
         "prior_obs_years": "Years of prior observation time",
         "cond_comp": "One or more condition of interest",
         "drug_comp": "One or more medication of interest",

@@ -29,4 +29,4 @@ def median_range_text(low: Column, mid: Column, high: Column, digits: int) -> Co
 
 def sentence_case(text: Column) -> Column:
     """First letter upper, the rest lower."""
-    return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, 2, 1_000_000)))
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))

@@ -45,16 +45,19 @@ def _rule_table(spark, specs: list[CohortSpec]) -> DataFrame:
 
 
 def rule_statistics(counts: DataFrame, specs: list[CohortSpec]) -> DataFrame:
-    """Per rule and mode: events meeting it, events lost to it alone, and the total.
+    """Per rule and mode: its name, events meeting it, events lost to it alone, and the total.
 
-    ``counts`` holds at most 2^rules rows per cohort, so everything here is small.
+    A cohort without events has a row of zeros for each rule.  ``counts`` holds at most 2^rules rows
+    per cohort, so everything here is small.
     """
     spark = counts.sparkSession
     rules = _rule_table(spark, specs)
-    rows = rules.join(counts, "cohort_definition_id")
+    modes = rules.crossJoin(literal_table(spark, [(0,), (1,)], "mode_id int"))
+    rows = modes.join(counts, ["cohort_definition_id", "mode_id"], "left")
+    rows = rows.na.fill(0, ["inclusion_rule_mask", "person_count"])
     bit = F.expr("shiftleft(1L, rule_sequence)")
     all_but = F.expr("shiftleft(1L, total_rules) - 1 - shiftleft(1L, rule_sequence)")
-    return rows.groupBy("cohort_definition_id", "rule_sequence", "mode_id").agg(
+    return rows.groupBy("cohort_definition_id", "rule_sequence", "name", "mode_id").agg(
         F.sum(F.when(F.col("inclusion_rule_mask").bitwiseAND(bit) != 0, F.col("person_count")).otherwise(0)).alias(
             "person_count"
         ),

@@ -420,6 +420,16 @@ def as_cohort_rows(spans: DataFrame) -> DataFrame:
     )
 
 
+def as_stored(cohorts: DataFrame) -> DataFrame:
+    """Stored cohort rows in the types that the builder gives."""
+    return cohorts.select(
+        F.col("cohort_definition_id").cast("long").alias("cohort_definition_id"),
+        "subject_id",
+        "cohort_start_date",
+        "cohort_end_date",
+    )
+
+
 def person_days(
     cdm: Cdm, codesets: DataFrame, specs: list[CohortSpec], work: Workspace | None = None, name: str = "days"
 ) -> DataFrame:

@@ -68,6 +68,24 @@ def medication_cohorts(days: DataFrame, exposed: DataFrame, tops: dict[str, int]
     )
 
 
+def firsts_from_cohorts(comorbidities: DataFrame, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
+    """``condition_firsts`` of exposed people from stored comorbidity cohorts."""
+    return comorbidities.groupBy(F.col("subject_id").alias("person_id")).agg(
+        *(
+            F.expr(f"min(CASE WHEN cohort_definition_id = {code} THEN cohort_start_date END) AS {name}_first")
+            for name, code in tops.items()
+        )
+    )
+
+
+def days_from_cohorts(medications: DataFrame, tops: dict[str, int] = d.DRUGS) -> DataFrame:
+    """``medication_days`` of exposed people from stored medication cohorts."""
+    bits = " ".join(f"WHEN {code} THEN {1 << i}L" for i, code in enumerate(tops.values()))
+    return medications.groupBy(F.col("subject_id").alias("person_id"), F.col("cohort_start_date").alias("day")).agg(
+        F.expr(f"bit_or(CASE cohort_definition_id {bits} END) AS mask")
+    )
+
+
 def condition_flags(pop: DataFrame, firsts: DataFrame, tops: dict[str, int] = d.CONDITIONS) -> DataFrame:
     """One 0/1 column per condition: recorded on a day before the index date."""
     flags = [f"CAST(coalesce({name}_first < index_date, false) AS INT) AS {name}_all_history" for name in tops]

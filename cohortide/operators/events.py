@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cohortide.plans.specs import Criterion
 from cohortide.sources.literals import literal_table
 from cohortide.sources.cdm import Cdm
-from cohortide.sources.workspace import broadcast_checked
+from cohortide.sources.workspace import broadcast_checked, broadcast_hint
 
 _CRITERIA = T.StructType(
     [
@@ -89,6 +89,15 @@ def _date_floor(criteria: list[Criterion]) -> Column | None:
     return None if any(b is None for b in bounds) else F.lit(min(bounds))
 
 
+def _in_code_range(edges: dict[str, tuple | None]) -> Column:
+    """Codes between the smallest and the largest wanted one, for the parquet reader to use."""
+    test = F.lit(False)
+    for column, edge in edges.items():
+        if edge is not None:
+            test = test | F.col(column).between(*edge)
+    return test
+
+
 def _matches(criteria: list[Criterion]) -> Column | None:
     """Filters carried as columns of the criteria table; only those in use."""
     tests = []
@@ -120,6 +129,7 @@ def extract_events(cdm: Cdm, codesets: DataFrame, criteria: list[Criterion]) ->
 
     The criteria become a lookup table keyed by code, broadcast to a single scan of
     each clinical table; a clinical row matching several criteria appears once for each.
+    The range of wanted codes reaches the reader, and so does a date that bounds all criteria.
     """
     rows = [
         (
@@ -137,7 +147,10 @@ def extract_events(cdm: Cdm, codesets: DataFrame, criteria: list[Criterion]) ->
         for i, c in enumerate(criteria)
     ]
     table = F.broadcast(literal_table(cdm.spark, rows, _CRITERIA))
-    lookup = broadcast_checked(codesets.join(table, "codeset").drop("codeset"))
+    lookup = codesets.join(table, "codeset").drop("codeset")
+    hint = broadcast_hint(lookup)
+    edges = lookup.groupBy("domain", "concept").agg(F.min("concept_id").alias("lo"), F.max("concept_id").alias("hi"))
+    edges = {(r["domain"], r["concept"]): (r["lo"], r["hi"]) for r in edges.collect()}
     parts = []
     for domain in dict.fromkeys(c.domain for c in criteria):
         own = [c for c in criteria if c.domain == domain]
@@ -146,16 +159,24 @@ def extract_events(cdm: Cdm, codesets: DataFrame, criteria: list[Criterion]) ->
         floor = _date_floor(own)
         if floor is not None:
             base = base.where(F.col("start_date") >= floor)
+        wanted = hint(lookup.where(F.col("domain") == domain).drop("domain"))
+        base = base.where(_in_code_range({k: edges.get((domain, k)) for k in kinds}))
         if len(kinds) == 1:
             coded = base.where(F.col(kinds[0]).isNotNull()).withColumns(
                 {"concept": F.lit(kinds[0]), "concept_id": F.col(kinds[0])}
             )
         else:
+            # only rows with a wanted code are spread over the kinds of codes
+            columns, found = base.columns, F.lit(False)
+            for k in kinds:
+                own_codes = wanted.where(F.col("concept") == k).select(F.col("concept_id").alias(f"__{k}")).distinct()
+                base = base.join(hint(own_codes), F.col(k) == F.col(f"__{k}"), "left")
+                found = found | F.col(f"__{k}").isNotNull()
             codes = F.array(
                 *(F.struct(F.lit(k).alias("concept"), F.col(k).alias("concept_id")) for k in kinds)
             )
-            coded = base.select("*", F.inline(codes))
-        hit = coded.join(lookup.where(F.col("domain") == domain).drop("domain"), ["concept", "concept_id"])
+            coded = base.where(found).select(*columns, F.inline(codes))
+        hit = coded.join(wanted, ["concept", "concept_id"])
         keep = _matches(own)
         if keep is not None:
             hit = hit.where(keep)

@@ -42,7 +42,7 @@ def outcome_facts(pop: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.col("subject_id").alias("person_id"),
         F.col("cohort_start_date").alias("event_date"),
     )
-    index = pop.select(*PERSON_KEY, "index_date", "next_vax_date")
+    index = pop.select(*PERSON_KEY, "index_date", _next_vax().alias("next_vax_date"))
     date = F.col("event_date")
     year_before = F.add_months("index_date", -12)
     uncensored = _is_general() | F.col("next_vax_date").isNull() | (date < F.col("next_vax_date"))

@@ -17,14 +17,24 @@ from pyspark.sql import DataFrame, functions as F
 
 @dataclass
 class Fit:
-    """Coefficients by term, their covariance, the log likelihood and the row count."""
+    """Coefficients by term, their covariance, the log likelihood and the row count.
+
+    ``status`` is "converged", "separated" (a covariate splits outcomes from the rest, so the estimate is
+    infinite), "singular" (a term is a combination of others) or "no data"; ``steps`` counts
+    passes.
+    """
 
     terms: list[str]
     beta: np.ndarray
     cov: np.ndarray
     loglik: float
     n: float
-    converged: bool
+    status: str
+    steps: int = 0
+
+    @property
+    def converged(self) -> bool:
+        return self.status == "converged"
 
     def contrast(self, weights: dict[str, float]) -> tuple[float, float]:
         """Value and standard error of a weighted sum of coefficients."""
@@ -67,14 +77,16 @@ def fit_models(
     terms: dict[int, list[str]],
     slots: list[str],
     start: dict[int, dict[str, float]] | None = None,
-    max_steps: int = 30,
 ) -> dict[int, Fit]:
     """Fit every model in ``patterns`` (model_id, x0.., n, y) by Newton's method.
 
     ``slots`` names the columns x0.., ``terms`` the slots each model uses; ``start``
-    may give first values, for example from a smaller model.  A model
-    whose outcome is separated by a covariate, or whose matrix is singular, comes back
-    with ``converged`` False.
+    may give first values, for example from a smaller model.
+
+    Every model goes on until it is decided, however many passes that takes.  It has converged
+    when no coefficient moves any more.  It is singular when a pivot of its information matrix,
+    scaled to a unit diagonal and so free of the columns' units, vanishes.  It is separated when its
+    likelihood has stopped rising while coefficients still run away.
     """
     spark, width = patterns.sparkSession, len(slots)
     totals = {
@@ -88,11 +100,10 @@ def fit_models(
             beta[0] = math.log(y / (n - y))
             for term, value in (start or {}).get(m, {}).items():
                 beta[slots.index(term)] = value
-            state[m] = {"beta": beta, "last": beta, "ll": -math.inf}
+            state[m] = {"beta": beta, "last": beta, "ll": -math.inf, "steps": 0, "halved": 0, "flat": 0}
     fits: dict[int, Fit] = {}
-    for _ in range(max_steps):
-        if not state:
-            break
+    ended: dict[int, tuple[str, int]] = {}
+    while state:
         # One row of coefficients per model still being fitted.
         columns = {"model_id": pa.array(list(state), pa.int32())}
         columns |= {f"b{i}": [float(s["beta"][i]) for s in state.values()] for i in range(width)}
@@ -102,26 +113,33 @@ def fit_models(
             m, s = r["model_id"], state[r["model_id"]]
             at = [slots.index(t) for t in terms[m]]
             loglik, sums = r["sums"][0], np.array(r["sums"][1:])
-            if loglik < s["ll"] - 1e-9 * (1 + abs(s["ll"])):
-                s["beta"] = (s["beta"] + s["last"]) / 2
+            s["steps"] += 1
+            # a step that overshoots is halved until it is too short to be one
+            if loglik < s["ll"] - 1e-9 * (1 + abs(s["ll"])) and s["halved"] < 50:
+                s["beta"], s["halved"] = (s["beta"] + s["last"]) / 2, s["halved"] + 1
                 continue
             full = np.zeros((width, width))
             full[np.triu_indices(width)] = sums[width:]
             info = (full + np.triu(full, 1).T)[np.ix_(at, at)]
             score = sums[:width][at]
-            try:
-                if np.linalg.cond(info) > 1e12:
-                    raise np.linalg.LinAlgError
-                cov = np.linalg.inv(info)
-            except np.linalg.LinAlgError:
+            cov = scaled_inverse(info)
+            if cov is None:  # only a model that runs away loses pivots on its way
+                ended[m] = ("singular" if s["steps"] == 1 else "separated", s["steps"])
                 done.append(m)
                 continue
             step = cov @ score
-            if np.max(np.abs(step)) < 1e-8:
-                fits[m] = Fit(terms[m], s["beta"][at], cov, loglik, totals[m][0], True)
+            s.setdefault("scale", np.sqrt(np.diag(info) / info[0, 0]))
+            move = np.max(np.abs(step) * s["scale"])  # on the linear predictor, whatever the columns' units
+            s["flat"] = s["flat"] + 1 if loglik - s["ll"] < 1e-9 * (1 + abs(loglik)) else 0
+            if move < 1e-9 or (s["flat"] >= 3 and move < 1e-5):
+                fits[m] = Fit(terms[m], s["beta"][at], cov, loglik, totals[m][0], "converged", s["steps"])
+                done.append(m)
+                continue
+            if s["flat"] >= 3:
+                ended[m] = ("separated", s["steps"])
                 done.append(m)
                 continue
-            s["last"], s["ll"] = s["beta"].copy(), loglik
+            s["last"], s["ll"], s["halved"] = s["beta"].copy(), loglik, 0
             s["beta"] = s["beta"].copy()
             s["beta"][at] += step
         for m in done:
@@ -130,10 +148,29 @@ def fit_models(
         if m not in fits:
             k = len(terms[m])
             n = totals.get(m, (0, 0))[0]
-            fits[m] = Fit(terms[m], np.full(k, np.nan), np.full((k, k), np.nan), math.nan, n, False)
+            status, steps = ended.get(m, ("no data", 0))
+            fits[m] = Fit(terms[m], np.full(k, np.nan), np.full((k, k), np.nan), math.nan, n, status, steps)
     return fits
 
 
+def scaled_inverse(info: np.ndarray, least: float = 1e-10) -> np.ndarray | None:
+    """Inverse of an information matrix, or None when a pivot of it vanishes.
+
+    Rows and columns are divided by the roots of the diagonal first: what is left of a term once the
+    others explain it is then a share of its own spread, whatever its unit.
+    """
+    spread = np.sqrt(np.diag(info))
+    if not np.all(np.isfinite(spread)) or np.min(spread) <= 0:
+        return None
+    scaled = info / np.outer(spread, spread)
+    left = scaled.copy()
+    for i in range(len(left)):
+        if left[i, i] < least:
+            return None
+        left[i + 1 :, i + 1 :] -= np.outer(left[i + 1 :, i], left[i, i + 1 :]) / left[i, i]
+    return np.linalg.inv(scaled) / np.outer(spread, spread)
+
+
 def spline_sql(age: str, k1: str, k2: str, k3: str) -> str:
     """Nonlinear term of a restricted cubic spline with three knots."""
 

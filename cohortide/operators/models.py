@@ -25,7 +25,7 @@ BY_AGE_SEX, BY_TIME = "Adjusted for age and sex", "Adjusted for age, sex, and ca
 RESULT = (
     "study_id int, outcome_id int, slice string, var string, model string, gender string, "
     "n_tot long, n_w_outcome long, `or` double, or_low double, or_high double, "
-    "ref_age int, rel_age int, model_type string"
+    "ref_age int, rel_age int, model_type string, status string, steps int"
 )
 
 
@@ -196,6 +196,11 @@ def _knots(patterns: DataFrame) -> dict[tuple, tuple[float, float, float]]:
     return {(r["study_id"], r["outcome_id"], r["slice"], r["who"]): tuple(r["k"]) for r in rows}
 
 
+def _how(fit: Fit | None) -> tuple[str, int]:
+    """How a model ended; one with an empty cell is separated before any fit."""
+    return (fit.status, fit.steps) if fit else ("separated", 0)
+
+
 def _ratio(fit: Fit | None, weights: dict[str, float]) -> tuple:
     if fit is None or not fit.converged:
         return None, None, None
@@ -250,9 +255,8 @@ def odds_ratios(
     curved, by_sex = {}, {}
     for s in totals:
         line, curve, cross = (first.get((s, n)) for n in ("linear", "spline", "crossed"))
-        curved[s] = bool(
-            curve and curve.converged and not (line.converged and line.bic() <= curve.bic())
-        )
+        # without both fits there is nothing to compare: age stays linear, and the status says why
+        curved[s] = bool(curve and curve.converged and line.converged and curve.bic() < line.bic())
         by_sex[s] = False
         if cross.converged:
             tested = crossed if interaction_test == "total" else crossed[3:]
@@ -305,13 +309,15 @@ def odds_ratios(
                 if "spline" in fit.terms:
                     weights["spline"] = spline_value(age, k) - spline_value(REFERENCE_AGE, k)
                 ratio = _ratio(fit, weights)
-                rows.append((*s, "Age", None, sex, n, y, *ratio, REFERENCE_AGE, age, "overall"))
+                rows.append((*s, "Age", None, sex, n, y, *ratio, REFERENCE_AGE, age, "overall", *_how(fit)))
         for name, label in (("sex", UNADJUSTED), ("sex by age", BY_AGE)):
             ratio = _ratio(second[(s, name)], {"male": 1.0})
-            rows.append((*s, "Sex (Male:Female)", label, None, n, y, *ratio, None, None, "overall"))
+            how = _how(second[(s, name)])
+            rows.append((*s, "Sex (Male:Female)", label, None, n, y, *ratio, None, None, "overall", *how))
     for j in exposures + hopeless:
-        ratio = _ratio(second.get((j.slice, j.name)), {"value": 1.0})
-        rows.append((*j.slice, j.var, j.model, None, None, None, *ratio, None, None, "overall"))
+        fit = second.get((j.slice, j.name))
+        ratio = _ratio(fit, {"value": 1.0})
+        rows.append((*j.slice, j.var, j.model, None, None, None, *ratio, None, None, "overall", *_how(fit)))
     return patterns.sparkSession.createDataFrame(rows, RESULT)
 
 

@@ -24,7 +24,7 @@ AGE_LABELS = {
 BRAND_LABELS = {"index_az": "AZ", "index_jnj": "janssen", "index_pfizer": "pfizer", "index_mrna": "moderna"}
 # Row names that are not just the sentence-cased variable.
 RENAMED = {
-    "sex_male": "Sex: male",
+    "sex_male": "Sex: Male",
     "prior_obs_years": "Years of prior observation time",
     "cond_comp": "One or more condition of interest",
     "drug_comp": "One or more medication of interest",

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from cohortide.operators import (
+    attrition,
     cohort,
     concepts,
     covariates,
@@ -29,7 +30,14 @@ class Study:
     """Lazily built tables of one study; each is derived once and kept in the workspace.
 
     ``studies`` and ``outcomes`` restrict the run, e.g. to ``d.MAIN_STUDY_COHORTS`` and
-    ``d.MAIN_OUTCOMES``.
+    ``d.MAIN_OUTCOMES``.  ``stored`` starts from cohort tables that are already there instead of building
+    them: "cohorts", "comorbidities" and "medications", any of them, as ``run`` writes them.
+
+    The gates are the study's own: a cohort counts from more than ``min_rows`` rows, a pair of study
+    cohort and outcome from ``min_pair`` outcome rows, a slice is modelled from ``min_events``
+    events, and an exposure from more than ``min_exposed`` exposed people.
+
+    Used as a context manager, a study drops its intermediate tables at the end.
     """
 
     def __init__(
@@ -45,6 +53,11 @@ class Study:
         born_after: int | None = None,
         op_containing_index: bool = False,
         interaction_test: str = "total",
+        stored: dict[str, DataFrame] | None = None,
+        min_rows: int = 5,
+        min_pair: int = 5,
+        min_events: int = 30,
+        min_exposed: int = 5,
     ):
         self.cdm, self.spark = cdm, cdm.spark
         self.definitions, self.calendar = concept_sets, calendar
@@ -53,8 +66,17 @@ class Study:
         self.extra_specs = list(extra_specs)
         self.born_after, self.op_containing_index = born_after, op_containing_index
         self.interaction_test = interaction_test
+        self.stored = stored or {}
+        self.min_rows, self.min_pair = min_rows, min_pair
+        self.min_events, self.min_exposed = min_events, min_exposed
         self.work = Workspace(cdm.spark)
 
+    def __enter__(self) -> Study:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.work.close()
+
     # ---- cohorts -----------------------------------------------------------------
 
     @cached_property
@@ -84,6 +106,8 @@ class Study:
     @cached_property
     def cohorts(self) -> DataFrame:
         """Cohort rows of every definition, bucketed by person."""
+        if "cohorts" in self.stored:
+            return self.work.keep(cohort.as_stored(self.stored["cohorts"]), "cohorts", "subject_id")
         included = cohort.included_events(self.masked, self.specs)
         spans = cohort.cohort_intervals(self.cdm, included, self.days, self.specs)
         merged = cohort.eras.collapse(spans, cohort.KEY, F.col("pad"))
@@ -95,7 +119,7 @@ class Study:
     def _large_enough(self, ids) -> DataFrame:
         """Cohorts with more than five rows; the list is bounded by the definitions."""
         rows = self._named(ids)
-        keep = F.broadcast(cohort.enough_rows(rows).select("cohort_definition_id"))
+        keep = F.broadcast(cohort.enough_rows(rows, self.min_rows).select("cohort_definition_id"))
         return rows.join(keep, "cohort_definition_id", "left_semi")
 
     @cached_property
@@ -118,11 +142,19 @@ class Study:
 
     @cached_property
     def condition_firsts(self) -> DataFrame:
-        return covariates.condition_firsts(self.cdm, self.condition_tops)
+        if "comorbidities" in self.stored:
+            rows = covariates.firsts_from_cohorts(self.stored["comorbidities"], self.condition_tops)
+        else:
+            rows = covariates.condition_firsts(self.cdm, self.condition_tops)
+        return self.work.keep(rows, "condition_firsts")
 
     @cached_property
     def medication_days(self) -> DataFrame:
-        return covariates.medication_days(self.cdm, self.calendar.drug_eras_from, self.drug_tops)
+        if "medications" in self.stored:
+            rows = covariates.days_from_cohorts(self.stored["medications"], self.drug_tops)
+        else:
+            rows = covariates.medication_days(self.cdm, self.calendar.drug_eras_from, self.drug_tops)
+        return self.work.keep(rows, "medication_days")
 
     @cached_property
     def comorbidities(self) -> DataFrame:
@@ -161,7 +193,7 @@ class Study:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self.work.keep(followup.open_pairs(self.facts), "pairs", None)
+        return self.work.keep(followup.open_pairs(self.facts, self.min_pair), "pairs", None)
 
     @cached_property
     def time_at_risk(self) -> DataFrame:
@@ -178,12 +210,12 @@ class Study:
 
     @cached_property
     def cells(self) -> DataFrame:
-        rows = models.joint_cells(self.population, self.facts, self.pairs, self.work)
+        rows = models.joint_cells(self.population, self.facts, self.pairs, self.work, self.min_events)
         return self.work.keep(rows, "cells", None)
 
     @cached_property
     def patterns(self) -> DataFrame:
-        return self.work.keep(models.covariate_patterns(self.cells), "patterns", None)
+        return self.work.keep(models.covariate_patterns(self.cells, self.min_exposed), "patterns", None)
 
     @cached_property
     def odds_ratios(self) -> DataFrame:
@@ -212,15 +244,33 @@ class Study:
         return named
 
     def results(self) -> dict[str, DataFrame]:
-        """The four result tables."""
+        """The four result tables, characteristics both long and with a column per outcome."""
+        wide = summaries.wide_characteristics(self.characteristics)
         return {
             "patient_characteristics": self.labelled(self.characteristics).withColumn("age_group", F.lit("All")),
+            "patient_characteristics_wide": wide.join(
+                F.broadcast(population.study_table(self.spark)), "study_id"
+            ).withColumns({"pop": F.col("study_cohort"), "pop_type": F.lit("All"), "prior_obs_required": F.lit("Yes")}),
             "survival_summary": self.labelled(self.survival).withColumn("surv_type", F.lit("KM")),
             "model_estimates": self.labelled(self.odds_ratios),
             "cohort_age_plot_data": self.labelled(self.histograms),
         }
 
     def run(self, path: str, database: str) -> None:
-        """Build everything and write cohorts and results under ``path``."""
-        tables.write_cohorts(self.cohorts, f"{path.rstrip('/')}/cohorts")
-        tables.write_results(self.results(), path, database)
+        """Build everything and write cohorts, inclusion statistics and results under ``path``.
+
+        Every cohort of the run is replaced in the tables under ``path``, one without rows by nothing.
+        """
+        root = path.rstrip("/")
+        results = self.results()
+        if "cohorts" not in self.stored:
+            tables.write_cohorts(self.cohorts, f"{root}/cohorts", [s.id for s in self.specs])
+            counts = self.work.keep(attrition.mask_counts(self.masked), "mask_counts", None)
+            results["cohort_inclusion"] = attrition.rule_statistics(counts, self.specs)
+            results["cohort_summary"] = attrition.summary_statistics(counts, self.specs)
+        if "comorbidities" not in self.stored:
+            ids = self.condition_tops.values()
+            tables.write_cohorts(self.comorbidities, f"{root}/comorbidity_cohorts", ids)
+        if "medications" not in self.stored:
+            tables.write_cohorts(self.medications, f"{root}/medication_cohorts", self.drug_tops.values())
+        tables.write_results(results, path, database)

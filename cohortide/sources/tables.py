@@ -25,10 +25,11 @@ def empty_cohort_table(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], schemas.COHORT).write.mode("overwrite").parquet(path)
 
 
-def write_cohorts(cohorts: DataFrame, path: str) -> None:
-    """Replace the cohorts present in ``cohorts``; leave the others in the table alone.
+def write_cohorts(cohorts: DataFrame, path: str, ids: Iterable[int] = ()) -> None:
+    """Replace the cohorts present in ``cohorts`` and those in ``ids``; leave the others in the table alone.
 
-    One partition folder per cohort, so replacing a cohort touches only its folder.
+    A cohort of ``ids`` without rows ends up empty.  One partition folder per cohort, so
+    replacing a cohort touches only its folder.
     Tasks keep their person partition and write one file per cohort each, so a cohort
     that holds most rows still has many writers.
     """
@@ -39,6 +40,12 @@ def write_cohorts(cohorts: DataFrame, path: str) -> None:
         .partitionBy("cohort_definition_id")
         .parquet(path)
     )
+    spark = cohorts.sparkSession
+    filled = {r[0] for r in cohorts.select("cohort_definition_id").distinct().collect()}
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for id in sorted(set(ids) - filled):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/cohort_definition_id={id}")
+        folder.getFileSystem(hadoop).delete(folder, True)
 
 
 def delete_cohorts(spark: SparkSession, ids: Iterable[int], path: str, target: str) -> None:

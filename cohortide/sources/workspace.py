@@ -9,8 +9,8 @@ aggregates that follow need no further shuffle.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,24 +18,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+COLOCATE = "spark.sql.requireAllClusterKeysForCoPartition"
+BUCKETS = "spark.cohortide.buckets"
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a scratch folder only in local mode."""
+    """Folder that all executors share, named by the cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="cohortide-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not root:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/")
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Shuffle width on a cluster; no wider than the threads in local mode."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        width = min(width, spark.sparkContext.defaultParallelism)
-    return max(width, 1)
+    """Person buckets: the setting ``spark.cohortide.buckets``, else the session's shuffle width.
+
+    A bucket should hold a few hundred MB: about 4,000 for each TB of clinical tables.
+    """
+    return int(spark.conf.get(BUCKETS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def place(df: DataFrame, by: str = "person_id") -> DataFrame:
@@ -48,12 +48,13 @@ class Workspace:
 
     Joins on (study cohort, person) or (outcome, person) may use the person buckets as
     they are; Spark allows that when told that part of the join keys is enough to
-    co-locate rows.
+    co-locate rows.  The session's own setting comes back with ``close``.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        self.colocate = spark.conf.get(COLOCATE, None)
+        spark.conf.set(COLOCATE, "false")
         self.tag = uuid.uuid4().hex[:12]
         self.root = f"{checkpoint_root(spark)}/cohortide-{self.tag}"
         self.count = 0
@@ -71,17 +72,27 @@ class Workspace:
         if by is None:
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
-        n = bucket_count(self.spark)
         table = f"cohortide_{self.tag}_{name}"
         rows = df if placed else place(df, by)
-        rows.write.mode("overwrite").bucketBy(n, by).option("path", path).saveAsTable(table)
+        rows.write.mode("overwrite").bucketBy(bucket_count(self.spark), by).option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
     def close(self) -> None:
-        """Drop the catalog entries of the kept tables; the files stay in the shared folder."""
+        """Drop the kept tables with their files, and give the session its setting back."""
         for table in self.spark.catalog.listTables():
             if table.name.startswith(f"cohortide_{self.tag}_"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if self.colocate is None:
+            self.spark.conf.unset(COLOCATE)
+        else:
+            self.spark.conf.set(COLOCATE, self.colocate)
+
+
+def broadcast_hint(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> Callable[[DataFrame], DataFrame]:
+    """Count ``df`` once; what comes back hints broadcasts of its parts if it is small, and nothing else."""
+    return F.broadcast if df.limit(max_rows + 1).count() <= max_rows else lambda part: part
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -90,6 +101,4 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     Without the hint the join falls back to a shuffle join, with skewed partitions
     split at run time.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return broadcast_hint(df, max_rows)(df)

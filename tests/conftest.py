@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import SparkSession  # noqa: E402
 
+from checks import registry  # noqa: E402
 from cohortide import schemas  # noqa: E402
 from cohortide.operators.eras import drug_eras  # noqa: E402
 from cohortide.sources.cdm import Cdm  # noqa: E402
@@ -28,6 +29,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    registry.prepare(session)
     yield session
     session.stop()
 

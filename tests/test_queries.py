@@ -5,10 +5,13 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
-from checks import compare
+from checks import compare, registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+#: With so few people no slice reaches the 30 events that a model needs.
+FEW_PEOPLE = {"odds_ratios"}
+QUERIES = {name: query for name, query in entry_points.queries().items() if name in registry.QUERIES}
+SQL = entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +26,7 @@ def test_query(spark, con, name):
         _, problems = compare.differences(df, con, SQL[name])
         assert not problems
     else:
-        assert df.count() >= 0
+        assert df.count() > 0 or name in FEW_PEOPLE
 
 
 def test_only_two_queries_lack_sql():

@@ -145,6 +145,8 @@ CASES = [
     (7, "2021-09-01", "2021-07-06", "2025-01-01", False, 5),
     (8, "2021-06-01", "2022-12-31", "2025-01-01", False, 28),
     (9, None, "2022-12-31", "2020-06-30", False, 28),  # more than a year before: history only
+    (11, "2021-06-01", "2022-12-31", "2021-07-10", True, 9),  # next vaccine before the index date
+    (12, "2021-07-01", "2022-12-31", "2021-07-01", False, 0),  # next vaccine on the index date
 ]
 
 
@@ -153,7 +155,7 @@ def test_follow_up_edges(spark):
     outcomes = cohorts_df(spark, [(302, p, e) for p, _, _, e, *_ in CASES] + [(302, 10, "2020-07-01"), (302, 10, "2021-07-05")])
     facts = followup.outcome_facts(pop, outcomes)
     pairs = followup.open_pairs(facts, minimum=1)
-    assert rows(pairs.select("n_rows", "followup_rows")) == [(11, 3)]
+    assert rows(pairs.select("n_rows", "followup_rows")) == [(13, 4)]
     tar = followup.time_at_risk(pop, facts, pairs)
     got = rows(tar.select("person_id", "f_u_outcome", "f_u_outcome_days", "history_outcome"))
     assert got == [(p, int(hit), days, int(p == 9)) for p, _, _, _, hit, days in CASES]  # person 10 is washed out
