@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks import cohort_sql, study_sql
+from checks import cohort_sql, model_sql, study_sql
 from checks.clinical_sql import packed, with_tables
 from cohortide.functions import dates, numbers
 from cohortide.operators import attrition, cohort, concepts, covariates, eras, events, models, population, summaries
@@ -59,7 +59,7 @@ def new_study(spark: SparkSession, sf_dir: str, **options) -> Study:
 def study_for(spark: SparkSession, sf_dir: str) -> Study:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _studies:
-        _studies[key] = new_study(spark, sf_dir)
+        _studies[key] = new_study(spark, sf_dir, min_events=study_sql.MODEL_EVENTS)
     return _studies[key]
 
 
@@ -77,13 +77,19 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 # ---- tables and vocabulary -----------------------------------------------------------
 
+# table -> (its CTE, key, date column and its name in the CTE)
 _SCANS = {
-    "condition_occurrence": ("cond", "condition_start_date"),
-    "drug_exposure": ("drug", "drug_exposure_start_date"),
-    "measurement": ("meas", "measurement_date"),
-    "observation": ("obs", "observation_date"),
-    "observation_period": ("op", "observation_period_start_date"),
+    "condition_occurrence": ("cond", "person_id", "condition_start_date", "s"),
+    "drug_exposure": ("drug", "person_id", "drug_exposure_start_date", "s"),
+    "measurement": ("meas", "person_id", "measurement_date", "s"),
+    "observation": ("obs", "person_id", "observation_date", "s"),
+    "observation_period": ("op", "person_id", "observation_period_start_date", "op_start"),
+    "drug_era": ("drug_era", "person_id", "drug_era_start_date", "s"),
+    "person": ("person", "person_id", None, None),
+    "concept": ("concept", "concept_id", None, None),
+    "concept_ancestor": ("(SELECT below AS descendant_concept_id FROM ancestor)", "descendant_concept_id", None, None),
 }
+_NO_DAY = "CAST(NULL AS DATE)"
 
 
 def _table_scans(s: Study) -> DataFrame:
@@ -91,12 +97,12 @@ def _table_scans(s: Study) -> DataFrame:
         getattr(s.cdm, t)
         .agg(
             F.count("*").alias("n"),
-            F.count_distinct("person_id").alias("people"),
-            F.min(day).alias("first_day"),
-            F.max(day).alias("last_day"),
+            F.count_distinct(key).alias("people"),
+            F.expr(f"min({day or _NO_DAY})").alias("first_day"),
+            F.expr(f"max({day or _NO_DAY})").alias("last_day"),
         )
         .withColumn("source", F.lit(t))
-        for t, (_, day) in _SCANS.items()
+        for t, (_, key, day, _) in _SCANS.items()
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -108,14 +114,13 @@ _add(
     "table_scans",
     _table_scans,
     with_tables(
-        [],
+        study_sql.DRUG_ERA,
         " UNION ALL ".join(
-            f"SELECT '{t}' AS source, count(*) AS n, count(DISTINCT person_id) AS people, "
-            f"min({'op_start' if t == 'observation_period' else 's'}) AS first_day, "
-            f"max({'op_start' if t == 'observation_period' else 's'}) AS last_day FROM {c}"
-            for t, (c, _) in _SCANS.items()
+            f"SELECT '{t}' AS source, count(*) AS n, count(DISTINCT {key}) AS people, "
+            f"min({day or _NO_DAY}) AS first_day, max({day or _NO_DAY}) AS last_day FROM {c}"
+            for t, (c, key, _, day) in _SCANS.items()
         ),
-        cohort_sql.CLINICAL,
+        (*cohort_sql.CLINICAL, "person", "concept", "ancestor"),
     ),
 )
 _add(
@@ -562,7 +567,11 @@ for _name, _columns in (
     ("composite_flags", _COMPOSITE),
 ):
     _add(_name, _flag_query(_columns), study_sql.flags(_columns))
-_add("population_sample", lambda s: population.sample(s.population, 500, seed=7))
+_add(
+    "population_sample",
+    lambda s: population.sample(s.population, 500, seed=7, edge_rows=20).select("study_id", "person_id", "index_date"),
+    study_sql.sampled(500, 7),
+)
 
 # ---- follow-up and results -------------------------------------------------------------
 
@@ -626,7 +635,17 @@ def _fitted_unadjusted(s: Study) -> DataFrame:
 
 
 _add("fitted_unadjusted_odds_ratios", _fitted_unadjusted, study_sql.unadjusted())
-_add("odds_ratios", lambda s: _rounded(s.odds_ratios, "or", "or_low", "or_high"))
+
+
+def _odds_ratios(s: Study) -> DataFrame:
+    """Every odds ratio with its interval, as logarithms, to five decimals."""
+    logs = {f"log_{n}": F.round(F.log(c), 5) + F.lit(0.0) for n, c in (("or", "or"), ("low", "or_low"), ("high", "or_high"))}
+    return s.odds_ratios.withColumns(logs).select(
+        "study_id", "outcome_id", "slice", "var", "model", "gender", "n_tot", "n_w_outcome", *logs, "ref_age", "rel_age"
+    )
+
+
+_add("odds_ratios", _odds_ratios, model_sql.odds_ratios())
 _add(
     "characteristics",
     lambda s: _rounded(s.characteristics, "low", "mid", "high").drop("label"),
@@ -637,6 +656,56 @@ _add(
     lambda s: summaries.wide_characteristics(s.characteristics),
     study_sql.wide_characteristics(),
 )
+
+
+def _labels(s: Study) -> DataFrame:
+    """Label columns of the four result tables, with their row counts."""
+    names = ["pop", "pop_type", "prior_obs_required", "outcome_name"]
+    parts = [
+        df.groupBy(*names).agg(F.count("*").alias("n")).withColumn("result", F.lit(name))
+        for name, df in s.results().items()
+        if name in ("survival_summary", "cohort_age_plot_data")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+_add("result_labels", _labels, study_sql.labels())
+
+
+def _restored(s: Study) -> DataFrame:
+    """The population of a second study that starts from the first one's written cohorts."""
+    root = f"{s.work.root}/restored"
+    tables.write_cohorts(s.cohorts, f"{root}/cohorts")
+    tables.write_cohorts(s.comorbidities, f"{root}/comorbidities")
+    tables.write_cohorts(s.medications, f"{root}/medications")
+    stored = {n: tables.read_cohorts(s.spark, f"{root}/{n}") for n in ("cohorts", "comorbidities", "medications")}
+    again = Study(
+        s.cdm, s.definitions, s.calendar, s.condition_tops, s.drug_tops, extra_specs=TEMPLATES, stored=stored
+    )
+    return again.population.select("study_id", "person_id", *_COND_FLAGS, *_RECENT, *_COMPOSITE)
+
+
+_add("population_from_stored_cohorts", _restored, study_sql.flags([*_COND_FLAGS, *_RECENT, *_COMPOSITE]))
+
+
+def _replaced(s: Study) -> DataFrame:
+    """A cohort table after one cohort was rebuilt to no rows and another to its own."""
+    path = f"{s.work.root}/replaced"
+    tables.write_cohorts(s.exposures, path)
+    tables.write_cohorts(s.exposures.where("cohort_definition_id = 102"), path, ids=[101, 102])
+    return tables.read_cohorts(s.spark, path)
+
+
+_add(
+    "replaced_cohorts",
+    _replaced,
+    with_tables(
+        _EXPOSURE_PARTS,
+        "SELECT id AS cohort_definition_id, person_id AS subject_id, s AS cohort_start_date, "
+        "e AS cohort_end_date FROM exposure WHERE id <> 101",
+        cohort_sql.CLINICAL,
+    ),
+)
 _add("age_histogram", lambda s: _rounded(s.histograms, "density"), study_sql.histogram())
 
 # ---- scalar functions ------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks import cohort_sql
 from checks.clinical_sql import packed, with_tables
 from cohortide.operators.models import variable_columns
-from cohortide.operators.population import STUDY_IDS
+from cohortide.operators.population import STUDY_IDS, person_hash
 from cohortide.plans import definitions as d
 from cohortide.sources import adapter
 
@@ -199,6 +199,9 @@ FULL_POPULATION = [
     ),
 ]
 
+#: Events from which a slice is modelled here: fewer than in the study, so that vaccine cohorts are.
+MODEL_EVENTS = 10
+
 _HORIZON = (
     f"CASE WHEN p.study_id = {GENERAL} THEN CAST(p.index_date + INTERVAL 2 YEAR AS DATE) "
     "ELSE p.index_date + 28 END"
@@ -410,6 +413,28 @@ def facts() -> str:
     )
 
 
+def sampled(rows: int, seed: int) -> str:
+    return study(
+        FULL_POPULATION,
+        f"SELECT study_id, person_id, index_date FROM pop QUALIFY row_number() OVER (ORDER BY {person_hash(seed)}, "
+        f"person_id, study_id) <= {rows}",
+    )
+
+
+def labels() -> str:
+    """Names of study cohorts and outcomes next to the rows of curves and histograms."""
+    studies = ", ".join(f"({i}, '{n}')" for n, i in STUDY_IDS.items())
+    outcomes = ", ".join(f"({i}, '{n}')" for i, n in d.OUTCOMES.items())
+    return (
+        "WITH studies AS (SELECT * FROM (VALUES " + studies + ") v(study_id, pop)), "
+        "outcomes AS (SELECT * FROM (VALUES " + outcomes + ") v(outcome_id, outcome_name)) "
+        "SELECT 'survival_summary' AS result, pop, slice AS pop_type, 'Yes' AS prior_obs_required, outcome_name, count(*) AS n "
+        f"FROM ({curves('true')}) JOIN studies USING (study_id) LEFT JOIN outcomes USING (outcome_id) GROUP BY ALL UNION ALL "
+        "SELECT 'cohort_age_plot_data', pop, 'All', prior_obs_required, outcome_name, count(*) "
+        f"FROM ({histogram()}) JOIN studies USING (study_id) LEFT JOIN outcomes USING (outcome_id) GROUP BY ALL"
+    )
+
+
 def time_at_risk() -> str:
     return study(
         FOLLOW_UP,
@@ -457,7 +482,7 @@ def unadjusted() -> str:
         f"round(CASE WHEN {full} THEN exp({log_or}) END, 6) AS \"or\", "
         f"round(CASE WHEN {full} THEN exp({log_or} - {_Z} * {se}) END, 6) AS or_low, "
         f"round(CASE WHEN {full} THEN exp({log_or} + {_Z} * {se}) END, 6) AS or_high "
-        "FROM four WHERE a + c >= 30 AND (var = 'Sex (Male:Female)' OR exposed > 5)",
+        f"FROM four WHERE a + c >= {MODEL_EVENTS} AND (var = 'Sex (Male:Female)' OR exposed > 5)",
     )
 
 
@@ -471,7 +496,7 @@ def patterns() -> str:
         [*FOLLOW_UP, ("sliced", _SLICES), ("long", parts)],
         "SELECT study_id, outcome_id, slice, var, value, gender, age, count(*) AS n, CAST(sum(ev) AS BIGINT) AS y "
         "FROM long GROUP BY 1, 2, 3, 4, 5, 6, 7 "
-        "QUALIFY sum(sum(ev)) OVER (PARTITION BY study_id, outcome_id, slice, var) >= 30 "
+        f"QUALIFY sum(sum(ev)) OVER (PARTITION BY study_id, outcome_id, slice, var) >= {MODEL_EVENTS} "
         "AND sum(count(*)) FILTER (value = 1) OVER (PARTITION BY study_id, outcome_id, slice, var) > 5",
     )
 

@@ -206,23 +206,40 @@ def with_months_since_start(pop: DataFrame, exposures: DataFrame) -> DataFrame:
     )
 
 
-def sample(pop: DataFrame, rows: int, seed: int = 0) -> DataFrame:
-    """Exactly ``rows`` rows (or all), those with the lowest seeded hash of the person.
+_PRIME = 2147483647
 
-    Hash prefixes are counted first.  Prefixes below the cut are taken whole, and only
-    the one prefix that straddles it, 1/65536 of the people, is sorted.
+
+def person_hash(seed: int) -> str:
+    """SQL for a number from 0 to 2^31 - 2 that depends on the person and a seed; integers only, so
+    that other engines get the same."""
+    start = f"((person_id % {_PRIME}) * 48271 + {seed % _PRIME} * 69621 + 11) % {_PRIME}"
+    return f"((({start}) * ({start})) % {_PRIME} * 16807 + ({start})) % {_PRIME}"
+
+
+def sample(pop: DataFrame, rows: int, seed: int = 0, edge_rows: int = 10_000) -> DataFrame:
+    """Exactly ``rows`` rows (or all), those with the lowest hash of the person, then person and study.
+
+    The range of hashes that straddles the cut is counted in ever finer parts, at most 4,096 at a
+    time, until it holds few rows or a single hash; only those are sorted.
     """
-    hashed = pop.withColumn("__hash", F.xxhash64("person_id", F.lit(seed)))
-    hashed = hashed.withColumn("__prefix", F.shiftright("__hash", 48))
-    counts = hashed.groupBy("__prefix").count().orderBy("__prefix").collect()  # at most 65536 rows
-    taken, cut = 0, None
-    for prefix, n in counts:
-        if taken + n > rows:
-            cut = prefix
+    hashed = pop.withColumn("__hash", F.expr(person_hash(seed)))
+    low, high, taken, edge = 0, _PRIME, 0, None
+    while True:
+        width = max(1, -(-(high - low) // 4096))
+        part = F.floor((F.col("__hash") - low) / width).cast("int")
+        inside = hashed.where((F.col("__hash") >= low) & (F.col("__hash") < high))
+        cut = None
+        for number, n in sorted(inside.groupBy(part.alias("part")).count().collect()):
+            if taken + n > rows:
+                cut, edge = number, n
+                break
+            taken += n
+        if cut is None:
+            return pop if high == _PRIME else hashed.where(F.col("__hash") < high).drop("__hash")
+        low, high = low + cut * width, min(high, low + (cut + 1) * width)
+        if edge <= edge_rows or width == 1:
             break
-        taken += n
-    if cut is None:
-        return pop
-    whole = hashed.where(F.col("__prefix") < cut)
-    edge = hashed.where(F.col("__prefix") == cut).orderBy("__hash", "person_id").limit(rows - taken)
-    return whole.unionByName(edge).drop("__hash", "__prefix")
+    whole = hashed.where(F.col("__hash") < low)
+    last = hashed.where((F.col("__hash") >= low) & (F.col("__hash") < high))
+    last = last.orderBy("__hash", *[c for c in ("person_id", "study_id") if c in pop.columns]).limit(rows - taken)
+    return whole.unionByName(last).drop("__hash")
