@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from cohortide.llm.scratch import keep
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has just one, which has none itself."""
+    parents = edges.select(F.col("v").alias("u"), F.lit(0).alias("k"), F.lit(1).alias("above"))
+    nodes = edges.select("u", F.lit(1).alias("k"), F.lit(0).alias("above")).union(parents)
+    nodes = nodes.groupBy("u").agg(F.sum("k").alias("k"), F.max("above").alias("above"))
+    return nodes.filter((F.col("k") > 1) | ((F.col("k") > 0) & (F.col("above") > 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,8 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
     edges = keep(ordered, "edges")
-    before = _state(edges)
-    while before[0]:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,9 +34,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = keep(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)

@@ -24,12 +24,14 @@ by_value(__name__)
 #: Shingles that get an order by frequency; all others count as equally rare.
 COMMON = 1 << 19
 #: Shingles that a task counts at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Lists longer than this make their shingle a common one, and the short lists are chosen again.
 LONG_LIST = 50_000
-#: Times that every list picks a center, before all pairs left are compared.
+#: Times at most that every list picks a center, before all pairs left are compared.
 CENTERS = 3
-CACHE = 1_000_000
+#: Pairs left for each member of a list at which they are compared without a further center.
+PAIRS = 8
+CACHE = 300_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -117,7 +119,8 @@ def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> pd.DataFr
 
 def document_sets(docs: DataFrame, common: pd.DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, key (hash of the text), n (shingles), node (digest of the set), bits (parity of the set in
-    512 cells) and short (the shingles whose lists are merged) of every row."""
+    half as many cells, 512 at least, rounded up to a power of two) and short (the shingles whose
+    lists are merged) of every row."""
     common = common.sort_values("token")
     shared = docs.sparkSession.sparkContext.broadcast((common["token"].to_numpy().view(np.uint64), common["n"].to_numpy()))
 
@@ -135,7 +138,8 @@ def document_sets(docs: DataFrame, common: pd.DataFrame, size: int, percent: int
                     node.append(None), bits.append(None), short.append(None)
                     continue
                 node.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                parity = (np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
+                cells = max(512, 1 << (len(h) // 2).bit_length())
+                parity = (np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
                 bits.append(np.packbits(parity).view(np.int64))
                 merge = len(h) - needed(len(h), percent) + 1
                 at = np.minimum(np.searchsorted(tokens, h), max(len(tokens) - 1, 0))
@@ -157,11 +161,20 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 def _bits_fit(x: Column, y: Column, total: Column, percent: int) -> Column:
     """Cells of different parity are at most the shingles that one set has and the other lacks, and linked
-    sets differ in at most (100 - percent) / (100 + percent) of both sizes."""
-    apart = F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0))))
-    for i in range(1, 8):
-        apart = apart + F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))))
-    return apart * (100 + percent) <= total * (100 - percent)
+    sets differ in at most (100 - percent) / (100 + percent) of both sizes.
+
+    The larger of two bit arrays is folded onto the smaller, which keeps parity; arrays that would need
+    a second fold pass.
+    """
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def fold(a: Column, to: Column) -> Column:
+        n = F.size(to)
+        return F.when(F.size(a) > n, F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, n + 1, n), xor)).otherwise(a)
+
+    apart = F.aggregate(F.zip_with(fold(x, y), fold(y, x), xor), F.lit(0), lambda n, c: n + F.bit_count(c))
+    near = F.greatest(F.size(x), F.size(y)) <= 2 * F.least(F.size(x), F.size(y))
+    return ~near | (apart * (100 + percent) <= total * (100 - percent))
 
 
 def probe(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -220,8 +233,8 @@ def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, p
 
     Every list first compares its members with a center, its set with the most copies.  Members that
     end in one component need no comparison with each other, so lists with a single component are done,
-    as are centers, which have met all members.  After some rounds, members of one list that
-    are still in different components are compared pair by pair, none left out.
+    as are centers, which have met all members.  After some rounds, or once few pairs are left, members
+    of one list that are still in different components are compared pair by pair, none left out.
     """
     sets = classes.select("node", "bits")
     links = None
@@ -240,8 +253,13 @@ def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, p
         rest = keep(rest, "rest")
         several = rest.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
         lists = keep(rest.join(broadcast_small(keep(several.select("token"), "several")), "token", "left_semi"), "lists")
-        if lists.isEmpty():
+        sizes = lists.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token")
+        sizes = sizes.agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        rows, apart = sizes.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
+        if not rows:
             return links
+        if apart <= PAIRS * rows:
+            break
     full = lists.join(sets, "node")
     x = full.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "bits")])
     y = full.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "bits")])
