@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, functions as F
 
 
-def day(value: dt.date | str) -> Column:
-    """A DATE literal."""
-    return F.lit(str(value)).cast("date")
-
-
 def birth_date(year: Column, month: Column, day_of_month: Column) -> Column:
     """Date of birth; NULL when a part is missing or the date does not exist."""
     complete = year.isNotNull() & month.isNotNull() & day_of_month.isNotNull()

@@ -22,10 +22,6 @@ def study_table(spark: SparkSession) -> DataFrame:
     return literal_table(spark, [(i, n) for n, i in STUDY_IDS.items()], "study_id int, study_cohort string")
 
 
-def exposure_table(spark: SparkSession) -> DataFrame:
-    return literal_table(spark, list(d.EXPOSURES.items()), "cohort_definition_id long, vax_type string")
-
-
 def membership_table(spark: SparkSession, studies: tuple[str, ...] | None = None) -> DataFrame:
     """(study_id, cohort_definition_id, role): which cohorts enter a study and which end follow-up."""
     ids = {name: id for id, name in d.EXPOSURES.items()}

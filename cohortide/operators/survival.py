@@ -122,8 +122,3 @@ def kaplan_meier(counts: DataFrame, keys: list[str]) -> DataFrame:
         F.when(alive, surv * F.exp(-reach)).alias("lower"),
         F.when(alive, F.least(F.lit(1.0), surv * F.exp(reach))).alias("upper"),
     )
-
-
-def survival_summary(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All Kaplan-Meier curves of the study."""
-    return kaplan_meier(reportable(stratified_counts(pop, facts, pairs)), CURVE)

@@ -133,6 +133,21 @@ POSITIVE_RESULTS = (9191, 4126681, 4181412, 45879438, 45884084, 45877985)
 # Coded answers that mean a smoker.
 SMOKER_ANSWERS = ((4034855,), (45884037,))
 MALE, FEMALE = 8507, 8532
+# Study cohorts made of several exposure cohorts.
+COMPOSITE_MEMBERS = {
+    "Any first-dose": ("dose1_AZ", "dose1_pfizer", "dose1_moderna", "dose1_janssen"),
+    "Any full-dose": ("dose1_janssen", "dose2_AZ", "dose2_moderna_any", "dose2_pfizer_any"),
+    "Viral vector first-dose": ("dose1_janssen", "dose1_AZ"),
+    "mRNA first-dose": ("dose1_moderna", "dose1_pfizer"),
+    "Viral vector full-dose": ("dose2_AZ", "dose1_janssen"),
+    "mRNA full-dose": ("dose2_moderna", "dose2_pfizer"),
+    "mRNA second-dose after viral vector first-dose": ("dose2_moderna_mix", "dose2_pfizer_mix"),
+}
+# Study cohorts whose follow-up ends with a next vaccine: one of these, or any second dose.
+CENSORED_BY_FULL_DOSE = ("dose1_AZ", "dose1_moderna", "dose1_pfizer")
+FULL_DOSES = ("dose2_AZ", "dose2_moderna_any", "dose2_pfizer_any")
+CENSORED_BY_SECOND_DOSE = ("Any first-dose", "Viral vector first-dose", "mRNA first-dose")
+
 # ---- end of fixed values --------------------------------------------------------
 
 BRANDS = ("AZ", "pfizer", "moderna", "janssen")
@@ -349,22 +364,10 @@ def derived_codesets() -> list[tuple[str, tuple[str, ...], tuple[str, ...]]]:
 
 def study_members() -> dict[str, tuple[str, ...]]:
     """Study cohort -> exposure cohorts it is made of."""
-    members = {name: (name,) for name in EXPOSURES.values()}
-    first = tuple(n for n in EXPOSURES.values() if "dose1" in n)
-    members["Any first-dose"] = first
-    members["Any full-dose"] = ("dose1_janssen", "dose2_AZ", "dose2_moderna_any", "dose2_pfizer_any")
-    members["Viral vector first-dose"] = ("dose1_janssen", "dose1_AZ")
-    members["mRNA first-dose"] = ("dose1_moderna", "dose1_pfizer")
-    members["Viral vector full-dose"] = ("dose2_AZ", "dose1_janssen")
-    members["mRNA full-dose"] = ("dose2_moderna", "dose2_pfizer")
-    members["mRNA second-dose after viral vector first-dose"] = ("dose2_moderna_mix", "dose2_pfizer_mix")
-    return members
+    return {name: (name,) for name in EXPOSURES.values()} | COMPOSITE_MEMBERS
 
 
 def study_censors() -> dict[str, tuple[str, ...]]:
     """Study cohort -> exposure cohorts that end follow-up (the next vaccine)."""
-    full = ("dose2_AZ", "dose2_moderna_any", "dose2_pfizer_any")
     any_second = tuple(n for n in EXPOSURES.values() if "dose2" in n)
-    censors = {n: full for n in ("dose1_AZ", "dose1_moderna", "dose1_pfizer")}
-    censors |= {n: any_second for n in ("Any first-dose", "Viral vector first-dose", "mRNA first-dose")}
-    return censors
+    return dict.fromkeys(CENSORED_BY_FULL_DOSE, FULL_DOSES) | dict.fromkeys(CENSORED_BY_SECOND_DOSE, any_second)
