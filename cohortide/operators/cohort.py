@@ -72,6 +72,36 @@ def _first_per_person(rows: DataFrame, flag: str, specs: list[CohortSpec]) -> Da
     )
 
 
+def inside_periods(rows: DataFrame, periods: DataFrame) -> DataFrame:
+    """Attach rows with a ``start_date`` to every period of the person that contains it.
+
+    Periods of a person that overlap form an island.  The latest island to begin is carried along in
+    day order, so each row meets one island, and only the periods of that island are tried: the work is linear
+    in days and periods, but for periods that overlap.
+    """
+    extra = [c for c in periods.columns if c != "person_id"]
+    before = W.partitionBy("person_id").orderBy("op_start", "op_end")
+    reach = F.max("op_end").over(before.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.when(F.coalesce(F.col("op_start") > reach, F.lit(True)), 1).otherwise(0)
+    islands = (
+        periods.withColumn("__begins", begins)
+        .withColumn("__island", F.sum("__begins").over(before.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy("person_id", "__island")
+        .agg(F.min("op_start").alias("start_date"), F.collect_list(F.struct(*extra)).alias("__periods"))
+        .drop("__island")
+        .withColumn("__row", F.lit(0))
+    )
+    carried = rows.columns
+    stream = rows.withColumn("__row", F.lit(1)).unionByName(islands, allowMissingColumns=True)
+    behind = W.partitionBy("person_id").orderBy("start_date", "__row").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        stream.withColumn("__periods", F.last("__periods", ignorenulls=True).over(behind))
+        .where("__row = 1")
+        .select(*carried, F.inline("__periods"))
+        .where(F.col("start_date").between(F.col("op_start"), F.col("op_end")))
+    )
+
+
 def primary_events(cdm: Cdm, days: DataFrame, periods: DataFrame, specs: list[CohortSpec]) -> DataFrame:
     """Entry events inside an observation period: the person-day rows of each cohort.
 
@@ -109,10 +139,7 @@ def primary_events(cdm: Cdm, days: DataFrame, periods: DataFrame, specs: list[Co
             )
         )
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    inside = rows.join(periods, "person_id").where(
-        F.col("start_date").between(F.col("op_start"), F.col("op_end"))
-    )
-    observed = inside.join(_limit_table(spark, specs), "cohort_id").where(
+    observed = inside_periods(rows, periods).join(_limit_table(spark, specs), "cohort_id").where(
         (F.date_add("op_start", F.col("prior_days")) <= F.col("start_date"))
         & (F.date_add("start_date", F.col("post_days")) <= F.col("op_end"))
     )
@@ -133,9 +160,7 @@ def numbered_events(events: DataFrame, periods: DataFrame) -> DataFrame:
     their count, so numbers ``event_id .. event_id + n - 1`` belong to the row.
     """
     same = events.groupBy("person_id", "start_date", "end_date").agg(F.count("*").alias("n"))
-    rows = same.join(periods, "person_id").where(
-        F.col("start_date").between(F.col("op_start"), F.col("op_end"))
-    )
+    rows = inside_periods(same, periods)
     rows = rows.withColumn("n", F.col("n") * F.col("n_op")).drop("n_op")
     order = W.partitionBy("person_id").orderBy("start_date", "end_date", "op_start", "op_end")
     before = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))

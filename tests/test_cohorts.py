@@ -5,6 +5,7 @@ from conftest import day, rows
 from cohortide.operators import attrition, cohort, events
 from cohortide.plans import definitions as d
 from cohortide.plans.specs import CohortSpec, Criterion, Exit, Nearby, Rule, criteria_of
+from cohortide.sources.literals import literal_table
 
 PERIOD = [(i, i, "2015-01-01", "2022-12-31") for i in range(1, 12)]
 PEOPLE = [(i, 8507, 1960, 1, 1) for i in range(1, 12)]
@@ -222,3 +223,26 @@ def test_long_record_of_one_person(spark, cdm_of, codes_of):
             for at in set(dates):
                 other = facts.get((person, 8), [])
                 assert got[(person, at)] == sum(1 <= (at - o).days <= 30 for o in other)
+
+
+def test_days_meet_only_the_periods_around_them(spark):
+    """A person with thousands of periods: rows stay in proportion, overlapping periods included."""
+    many = spark.range(3000).selectExpr(
+        "1L AS person_id", "date_add(DATE'2000-01-01', CAST(id * 3 AS INT)) AS op_start",
+        "date_add(DATE'2000-01-01', CAST(id * 3 + 1 AS INT)) AS op_end", "1L AS n_op",
+    )
+    nested = literal_table(
+        spark,
+        [(2, day("2001-01-01"), day("2001-12-31"), 1), (2, day("2001-03-01"), day("2001-04-01"), 2), (2, day("2001-06-01"), day("2002-02-01"), 1), (2, day("2003-01-01"), day("2003-01-01"), 1)],
+        "person_id long, op_start date, op_end date, n_op long",
+    )
+    periods = many.unionByName(nested)
+    days = spark.range(9000).selectExpr("1L AS person_id", "date_add(DATE'2000-01-01', CAST(id AS INT)) AS start_date", "id AS n")
+    days = days.unionByName(
+        spark.range(1100).selectExpr("2L AS person_id", "date_add(DATE'2000-12-01', CAST(id AS INT)) AS start_date", "id AS n")
+    )
+    days = days.unionByName(spark.range(1).selectExpr("3L AS person_id", "DATE'2001-01-01' AS start_date", "id AS n"))
+    got = cohort.inside_periods(days, periods).select("person_id", "start_date", "n", "op_start", "op_end", "n_op")
+    want = days.join(periods, "person_id").where("start_date BETWEEN op_start AND op_end").select(*got.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert got.where("person_id = 1").count() == 6000
