@@ -17,21 +17,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortide.llm.components import connected_components
-from cohortide.llm.scratch import broadcast_small, by_value, keep
+from cohortide.llm.scratch import broadcast_small, by_value, clear, keep
 
 by_value(__name__)
 
 #: Shingles that get an order by frequency; all others count as equally rare.
 COMMON = 1 << 19
 #: Shingles that a task counts at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Lists longer than this make their shingle a common one, and the short lists are chosen again.
 LONG_LIST = 50_000
 #: Times at most that every list picks a center, before all pairs left are compared.
 CENTERS = 3
 #: Pairs left for each member of a list at which they are compared without a further center.
 PAIRS = 8
-CACHE = 300_000
+CACHE = 100_000
+#: Columns with a set's parity in 256 cells.
+SMALL = ("p0", "p1", "p2", "p3")
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -104,7 +106,8 @@ def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> pd.DataFr
             yield report()
 
     counts = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = keep(counts.filter("n >= 8"), "common")
+    shelf: list[str] = []
+    counts = keep(counts.filter("n >= 8"), "common", shelf)
     # the least count that leaves at most so many
     steps = counts.groupBy(F.floor(8 * F.log2("n")).cast("int").alias("step")).agg(F.count("*").alias("k")).collect()
     floor, total = None, 0
@@ -112,15 +115,16 @@ def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> pd.DataFr
         if total + r["k"] > most:
             break
         floor, total = r["step"], total + r["k"]
-    if floor is None:
-        return pd.DataFrame({"token": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
-    return counts.filter(F.floor(8 * F.log2("n")) >= floor).toPandas()
+    chosen = counts.filter(F.floor(8 * F.log2("n")) >= floor) if floor is not None else counts.limit(0)
+    chosen = chosen.toPandas()
+    clear(docs.sparkSession, shelf)
+    return chosen
 
 
 def document_sets(docs: DataFrame, common: pd.DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, key (hash of the text), n (shingles), node (digest of the set), bits (parity of the set in
-    half as many cells, 512 at least, rounded up to a power of two) and short (the shingles whose
-    lists are merged) of every row."""
+    half as many cells, 512 at least, rounded up to a power of two), p0 to p3 (its parity in 256) and short
+    (the shingles whose lists are merged) of every row."""
     common = common.sort_values("token")
     shared = docs.sparkSession.sparkContext.broadcast((common["token"].to_numpy().view(np.uint64), common["n"].to_numpy()))
 
@@ -130,17 +134,18 @@ def document_sets(docs: DataFrame, common: pd.DataFrame, size: int, percent: int
         order = np.argsort(tokens)
         tokens, times = tokens[order], times[order]
         for pdf in batches:
-            node, n, bits, short = [], [], [], []
+            node, n, bits, small, short = [], [], [], [], []
             for text in pdf["text"]:
                 h = shingles(text)
                 n.append(len(h))
                 if not len(h):
-                    node.append(None), bits.append(None), short.append(None)
+                    node.append(None), bits.append(None), small.append((0, 0, 0, 0)), short.append(None)
                     continue
                 node.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 cells = max(512, 1 << (len(h) // 2).bit_length())
                 parity = (np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)
                 bits.append(np.packbits(parity).view(np.int64))
+                small.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, 4)))
                 merge = len(h) - needed(len(h), percent) + 1
                 at = np.minimum(np.searchsorted(tokens, h), max(len(tokens) - 1, 0))
                 known = tokens[at] == h if len(tokens) else np.zeros(len(h), bool)
@@ -149,10 +154,10 @@ def document_sets(docs: DataFrame, common: pd.DataFrame, size: int, percent: int
                     often = h[known]
                     rare = np.concatenate([rare, often[np.lexsort((often, times[at[known]]))][: merge - len(rare)]])
                 short.append(rare.view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").astype(object), "key": pdf["key"], "n": n, "node": node, "bits": bits, "short": short})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").astype(object), "key": pdf["key"], "n": n, "node": node, "bits": bits, **dict(zip(SMALL, np.array(small).reshape(-1, 4).T, strict=True)), "short": short})
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return rows.mapInPandas(run, "doc_id long, key long, n long, node binary, bits array<long>, short array<long>")
+    return rows.mapInPandas(run, "doc_id long, key long, n long, node binary, bits array<long>, p0 long, p1 long, p2 long, p3 long, short array<long>")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -177,6 +182,14 @@ def _bits_fit(x: Column, y: Column, total: Column, percent: int) -> Column:
     return ~near | (apart * (100 + percent) <= total * (100 - percent))
 
 
+def _small_fit(total: Column, percent: int) -> Column:
+    """The same test on 256 cells, columns p0 to p3 against the center's."""
+    apart = F.lit(0)
+    for c in SMALL:
+        apart = apart + F.bit_count(F.col(c).bitwiseXOR(F.col(f"c.{c}")))
+    return apart * (100 + percent) <= total * (100 - percent)
+
+
 def probe(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether sets link: the smaller one's shingles are looked up by binary search in the larger, rarest
     lists first read as they come, until the overlap is reached or out of reach."""
@@ -193,19 +206,20 @@ def probe(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return got >= least
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, kept: list[str]) -> DataFrame:
     """Of the pairs (u, v), those whose sets link.  Only texts of nodes in a pair are moved."""
+    shelf: list[str] = []
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = keep(classes.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")), "wanted")
+    wanted = keep(classes.join(nodes, "node", "left_semi").select("node", F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")), "wanted", shelf)
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     small = broadcast_small(wanted)
     texts = rows.join(small, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    texts = keep(texts, "texts")
+    texts = keep(texts, "texts", shelf)
     # a text that stands in several rows with one id is needed once
     repeated = texts.groupBy("node").agg(F.count("*").alias("k")).filter("k > 1").select("node")
     if not repeated.isEmpty():
         once = texts.join(repeated, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-        texts = keep(texts.join(repeated, "node", "left_anti").union(once), "texts")
+        texts = keep(texts.join(repeated, "node", "left_anti").union(once), "texts", shelf)
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
     both = both.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
 
@@ -219,16 +233,18 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
                 yes.append(probe(shingles(tv), center, percent))
             yield pdf.loc[yes, ["u", "v"]]
 
-    return keep(both.select("u", "v", "tu", "tv").mapInPandas(run, "u binary, v binary"), "links")
+    links = keep(both.select("u", "v", "tu", "tv").mapInPandas(run, "u long, v long"), "links", kept)
+    clear(docs.sparkSession, shelf)
+    return links
 
 
-def _with_labels(lists: DataFrame, links: DataFrame) -> DataFrame:
-    labels = keep(connected_components(links), "labels")
+def _with_labels(lists: DataFrame, links: DataFrame, shelf: list[str]) -> DataFrame:
+    labels = connected_components(links, shelf)
     lists = lists.drop("label").join(labels, "node", "left")
     return lists.withColumn("label", F.coalesce("label", "node"))
 
 
-def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, percent: int, centers: int = CENTERS) -> DataFrame:
+def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, percent: int, centers: int, kept: list[str]) -> DataFrame:
     """Links (u, v) between different sets that give the same components as all links.
 
     Every list first compares its members with a center, its set with the most copies.  Members that
@@ -237,22 +253,26 @@ def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, p
     of one list that are still in different components are compared pair by pair, none left out.
     """
     sets = classes.select("node", "bits")
-    links = None
+    spark, links, before = docs.sparkSession, None, []
     for _ in range(centers):
-        pick = lists.groupBy("token").agg(F.max(F.struct("copies", "node", "n")).alias("c"))
-        pick = keep(pick.select("token", F.col("c.node").alias("u"), F.col("c.n").alias("un")), "centers")
-        met = lists.join(broadcast_small(pick), "token")
-        pairs = met.filter((F.col("u") != F.col("node")) & _sizes_fit(F.col("n"), F.col("un"), percent))
-        pairs = keep(pairs.select("u", "un", F.col("node").alias("v"), "n").distinct(), "met")
+        shelf: list[str] = []
+        pick = lists.groupBy("token").agg(F.max(F.struct("copies", "node", "n", *SMALL)).alias("c"))
+        met = lists.join(broadcast_small(keep(pick, "centers", shelf)), "token").filter(F.col("c.node") != F.col("node"))
+        near = met.filter(_sizes_fit(F.col("n"), F.col("c.n"), percent) & _small_fit(F.col("n") + F.col("c.n"), percent))
+        pairs = near.select(F.col("c.node").alias("u"), F.col("c.n").alias("un"), F.col("node").alias("v"), "n")
+        pairs = keep(pairs.distinct(), "met", shelf)
         pairs = pairs.join(sets.select(F.col("node").alias("v"), F.col("bits").alias("bv")), "v")
         pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("bits").alias("bu")), "u")
-        pairs = keep(pairs.filter(_bits_fit(F.col("bu"), F.col("bv"), F.col("n") + F.col("un"), percent)).select("u", "v"), "pairs")
-        new = verified(pairs, docs, classes, size, percent)
-        links = keep(links.union(new), "links") if links is not None else new
-        rest = _with_labels(met.filter(F.col("u") != F.col("node")).drop("u", "un"), links)
-        rest = keep(rest, "rest")
+        pairs = keep(pairs.filter(_bits_fit(F.col("bu"), F.col("bv"), F.col("n") + F.col("un"), percent)).select("u", "v"), "pairs", shelf)
+        new = verified(pairs, docs, classes, size, percent, kept)
+        links = links.union(new) if links is not None else new
+        # a list of two has met its center and is done
+        rest = _with_labels(met.filter("k > 2").withColumn("k", F.col("k") - 1).drop("c"), links, shelf)
+        rest = keep(rest, "rest", shelf)
         several = rest.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b")
-        lists = keep(rest.join(broadcast_small(keep(several.select("token"), "several")), "token", "left_semi"), "lists")
+        lists = keep(rest.join(broadcast_small(keep(several.select("token"), "several", shelf)), "token", "left_semi"), "lists", now := [])
+        clear(spark, shelf + before)
+        before = now
         sizes = lists.groupBy("token", "label").agg(F.count("*").alias("m")).groupBy("token")
         sizes = sizes.agg(F.sum("m").alias("k"), F.sum(F.col("m") * F.col("m")).alias("own"))
         rows, apart = sizes.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
@@ -265,9 +285,12 @@ def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, p
     y = full.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "bits")])
     fit = (F.col("x_label") < F.col("y_label")) & _sizes_fit(F.col("x_n"), F.col("y_n"), percent)
     fit = fit & _bits_fit(F.col("x_bits"), F.col("y_bits"), F.col("x_n") + F.col("y_n"), percent)
-    pairs = keep(x, "x").join(keep(y, "y").withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & fit)
-    pairs = keep(pairs.select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct(), "pairs")
-    return links.union(verified(pairs, docs, classes, size, percent))
+    shelf = before
+    pairs = keep(x, "x", shelf).join(keep(y, "y", shelf).withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & fit)
+    pairs = keep(pairs.select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct(), "pairs", shelf)
+    new = verified(pairs, docs, classes, size, percent, kept)
+    clear(spark, shelf)
+    return links.union(new)
 
 
 def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "text", common: int = COMMON, long_list: int = LONG_LIST, centers: int = CENTERS) -> DataFrame:
@@ -280,30 +303,37 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "t
     that links with nothing has its own.  Repeated rows each get a row; an empty table gives none.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
+    spark, shelf = docs.sparkSession, []
     often = common_shingles(docs, size, common)
     while True:
-        sets = keep(document_sets(docs, often, size, percent), "sets")
+        sets = keep(document_sets(docs, often, size, percent), "sets", own := [])
         rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-        classes = sets.filter("n > 0").groupBy("node", "n")
-        classes = classes.agg(F.min(rank).alias("rep"), F.count("*").alias("copies"), F.first("bits").alias("bits"), F.first("short").alias("short"))
-        classes = keep(classes, "classes")
-        lists = classes.select("node", "n", "copies", F.explode("short").alias("token"))
-        shared = keep(lists.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared")
+        classes = sets.filter("n > 0").groupBy(F.col("node").alias("digest"), "n")
+        once = [F.first(c).alias(c) for c in ("bits", *SMALL, "short")]  # the same in all rows of a node
+        classes = classes.agg(F.min(rank).alias("rep"), F.count("*").alias("copies"), *once)
+        # a number of eight bytes for each set, fixed by writing it, stands for its digest from here on
+        classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes", shelf)
+        lists = classes.select("node", F.explode("short").alias("token"))
+        shared = keep(lists.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared", shelf)
         known = docs.sparkSession.createDataFrame(often[["token"]], "token long")
         long = shared.filter(F.col("k") > long_list).join(known, "token", "left_anti").orderBy(F.desc("k"), "token")
         new = long.limit(max(0, common - len(often))).select("token", F.col("k").alias("n")).toPandas()
         if not len(new):
             break
+        clear(spark, shelf + own)
+        shelf.clear()
         often = pd.concat([often, new], ignore_index=True)
-    lists = keep(lists.join(broadcast_small(shared.select("token")), "token", "left_semi"), "lists")
-    links = links_of(docs, classes, lists, size, percent, centers)
-    labels = keep(connected_components(links), "labels")
-    member = keep(classes.join(labels, "node").select("node", "label", F.col("rep.doc_id").alias("id")), "members")
-    least = keep(member.groupBy("label").agg(F.min("id").alias("least")), "least")
-    linked = keep(member.join(least, "label").select("node", "least"), "linked")
+    lists = lists.join(broadcast_small(shared), "token").join(classes.select("node", "n", "copies", *SMALL), "node")
+    lists = keep(lists, "lists", shelf)
+    links = links_of(docs, classes, lists, size, percent, centers, shelf)
+    labels = connected_components(links, shelf)
+    member = keep(classes.join(labels, "node").select("node", "digest", "label", F.col("rep.doc_id").alias("id")), "members", shelf)
+    least = keep(member.groupBy("label").agg(F.min("id").alias("least")), "least", shelf)
+    linked = keep(member.join(least, "label").select("node", "digest", "least"), "linked", shelf)
     alone = classes.join(linked.select("node"), "node", "left_anti").filter("copies > 1")
-    groups = keep(linked.union(alone.select("node", F.col("rep.doc_id").alias("least"))), "groups")
-    rows = sets.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(groups, "node", "left")
+    groups = keep(linked.select("digest", "least").union(alone.select("digest", F.col("rep.doc_id").alias("least"))), "groups")
+    clear(spark, shelf)
+    rows = sets.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("digest")).join(groups, "digest", "left")
     return rows.select("doc_id", "key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 

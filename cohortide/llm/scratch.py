@@ -30,26 +30,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def keep(df: DataFrame, name: str, shelf: list[str] | None = None) -> DataFrame:
     """Write a table once and read it back: lineage ends here, and lost executors cost nothing.
 
-    The files go when the session ends.
+    The files go when the session ends, or before that with the ``shelf`` that notes them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _place(spark, path)
+    files.deleteOnExit(where)
+    if shelf is not None:
+        shelf.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, shelf: list[str]) -> None:
+    """Delete the tables of a shelf, once nothing reads them any more."""
+    while shelf:
+        files, where = _place(spark, shelf.pop())
+        files.delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 #: Up to so many short rows (ids, hashes, counts) a table may be broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 100_000
 
 
 def broadcast_small(df: DataFrame) -> DataFrame:
