@@ -22,7 +22,7 @@ DIMS = 1 << 16
 #: Rated documents of each grade that the model is fitted on, the first in hash order.
 SAMPLE_PER_GRADE = 1500
 #: Tokens whose features a task keeps at hand.
-CACHE = 200_000
+CACHE = 50_000
 
 _UPPER, _LOWER, _DIGIT = re.compile("[A-ZÀ-Þ]+"), re.compile("[a-zß-￿]+"), re.compile("[0-9]+")
 
@@ -145,15 +145,22 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, per_grad
         features = Features()
         for pdf in batches:
             made = [features(t or "") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "p": [p.astype(np.int32) for p, _ in made], "v": [v for _, v in made]})
-
-    rows = chosen.mapInPandas(vectors, "doc_id long, grade int, p array<int>, v array<double>").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    grades = rows["grade"].to_numpy(int)
-    held = Counter(grades.tolist())
-    share = np.array([counts[g] / held[g] for g in grades.tolist()])
-    vectors_ = [(np.asarray(p, np.int64), np.asarray(v)) for p, v in zip(rows["p"], rows["v"], strict=True)]
-    return fit_ordinal(vectors_, grades, share, n_grades)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "p": [p.astype(np.int32) for p, _ in made], "v": [v.astype(np.float32) for _, v in made]})
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+        grades = rows["grade"].to_numpy(int)
+        held = Counter(grades.tolist())
+        share = np.array([counts[g] / held[g] for g in grades.tolist()])
+        model = fit_ordinal(list(zip(rows["p"], rows["v"], strict=True)), grades, share, n_grades)
+        return pd.DataFrame({"weights": [model.weights], "thresholds": [model.thresholds]})
+
+    # the sample, whose size is a parameter, meets in one task; the driver gets the weights alone
+    rows = chosen.mapInPandas(vectors, "doc_id long, grade int, p array<int>, v array<float>")
+    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(fit, "weights array<double>, thresholds array<double>").collect()
+    if not found:
+        return fit_ordinal([], np.array([], int), np.array([]), n_grades)
+    return OrdinalModel(np.array(found[0]["weights"]), np.array(found[0]["thresholds"]))
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text: str = "text", least: int = 1) -> DataFrame:
