@@ -30,9 +30,13 @@ def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     word = re.compile(WORD)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "_text", "line", "start", "end", "digest"]
         for pdf in batches:
             out = []
             for doc, key, whole in zip(pdf["doc_id"].astype(object), pdf["_text"], pdf["text"], strict=True):
+                if len(out) >= 5000:
+                    yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
+                    out = []
                 at = 0
                 for number, line in enumerate(whole.split("\n")):
                     end = at + len(line)
@@ -42,7 +46,7 @@ def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
                             digest = hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
                             out.append((None if pd.isna(doc) else int(doc), key, number, at, end, digest))
                     at = end + 1
-            yield pd.DataFrame(out, columns=["doc_id", "_text", "line", "start", "end", "digest"]).astype({"doc_id": object})
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
 
     rows = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
     return rows.mapInPandas(cut, "doc_id long, _text long, line int, start int, end int, digest binary")
