@@ -17,7 +17,7 @@ by_value(__name__)
 #: Rows of a data block and of a query block; a pair of blocks is searched in one task.
 DATA_BLOCK, QUERY_BLOCK = 4096, 4096
 #: Rows that a tree no longer divides, children of a node, and ratio of covering radii from level to level.
-LEAF, FAN_OUT, BASE = 64, 12, 1.4
+LEAF, FAN_OUT, BASE = 512, 8, 1.4
 
 
 @dataclass
@@ -87,12 +87,21 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
     def compare(q: Node, r: Node) -> None:
         got = queries[q.rows] @ data[r.rows].T
         got[query_ids[q.rows][:, None] == data_ids[r.rows][None, :]] = -np.inf
+        better = np.flatnonzero(got.max(1) >= score[q.rows, -1])  # the others keep what they have
+        if not len(better):
+            return
+        at, got = q.rows[better], got[better]
         ids = np.broadcast_to(data_ids[r.rows], got.shape)
-        both = np.concatenate([score[q.rows], got], 1)
-        ids = np.concatenate([ident[q.rows], ids], 1)
+        if got.shape[1] > k:  # all that reach the k-th best of the node, its ties included
+            edge = np.partition(got, got.shape[1] - k, 1)[:, got.shape[1] - k, None]
+            wide = int((got >= edge).sum(1).max())
+            pick = np.argpartition(-got, wide - 1, 1)[:, :wide] if wide < got.shape[1] else np.arange(got.shape[1])[None, :].repeat(len(got), 0)
+            got, ids = np.take_along_axis(got, pick, 1), np.take_along_axis(ids, pick, 1)
+        both = np.concatenate([score[at], got], 1)
+        ids = np.concatenate([ident[at], ids], 1)
         best = np.lexsort((ids, -both), axis=1)[:, :k]
-        score[q.rows] = np.take_along_axis(both, best, 1)
-        ident[q.rows] = np.take_along_axis(ids, best, 1)
+        score[at] = np.take_along_axis(both, best, 1)
+        ident[at] = np.take_along_axis(ids, best, 1)
 
     def worst(q: Node) -> float:
         q.worst = min(map(worst, q.children)) if q.children else score[q.rows, -1].min()
