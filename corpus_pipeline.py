@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked ones."""
-    return ngram_join.one_of_each(docs, ngram_join.ngram_join(docs)).select(*docs.columns)
+    """Keep one document of each group of linked ones: sets of five words that agree by 0.8."""
+    return ngram_join.one_of_each(docs, ngram_join.ngram_join(docs, size=5, percent=80)).select(*docs.columns)
 
 
 def _measured(docs: DataFrame, cut: Column) -> DataFrame:

@@ -40,3 +40,14 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert {r["source"] for r in seen["mixing to target weights"]} == {"s0", "s1", "s2"}
     again = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "taken").collect()
     assert sorted(map(tuple, again)) == sorted((r["doc_id"], r["taken"]) for r in seen["mixing to target weights"])
+
+
+def test_near_copies_of_five_words_and_0_8(spark):
+    def pair(seed, n):
+        whole = [f"x{seed}y{i}" for i in range(n)]
+        return " ".join(whole), " ".join([*whole[: n // 2], "changed", *whole[n // 2 + 1 :]])
+
+    # by sets of five words 41 / 51 and 39 / 49 agree; by sets of three the first pair's 45 / 51 would be no link at 0.9
+    rows = [(k, t, "s") for k, t in enumerate([*pair(1, 50), *pair(2, 48)])]
+    left = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 3]
