@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortide.llm.scratch import by_value, keep
@@ -52,13 +53,69 @@ def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     return rows.mapInPandas(cut, "doc_id long, _text long, line int, start int, end int, digest binary")
 
 
+def windows(counts: list[int], min_words: int) -> list[tuple[int, int]]:
+    """First and last line of every shortest run of lines that has ``min_words`` from its first line on or
+    up to its last one.  ``counts``: words of each line; runs begin and end on lines with words.
+
+    Any repeated run of lines with so many words is the union of such windows in it, so all of it is found.
+    """
+    lines = [i for i, n in enumerate(counts) if n]
+    out, first, held = set(), 0, 0
+    for last, i in enumerate(lines):  # up to a last line
+        held += counts[i]
+        while held - counts[lines[first]] >= min_words:
+            held -= counts[lines[first]]
+            first += 1
+        if held >= min_words:
+            out.add((lines[first], i))
+    last, held = 0, 0
+    for i in lines:  # from a first line on
+        while held < min_words and last < len(lines):
+            held += counts[lines[last]]
+            last += 1
+        if held < min_words:
+            break
+        out.add((i, lines[last - 1]))
+        held -= counts[i]
+    return sorted(out)
+
+
+def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """The ``windows`` of every text: doc_id, _text (hash of the whole text), line, last, start, end, digest.
+
+    A line of ``min_words`` or more is a window by itself; shorter ones are joined with their neighbours,
+    over blank lines too.  ``digest`` hashes the words, so where lines are broken doesn't matter to it.
+    """
+    word = re.compile(WORD)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", "_text", "line", "last", "start", "end", "digest"]
+        for pdf in batches:
+            out = []
+            for doc, key, whole in zip(pdf["doc_id"].astype(object), pdf["_text"], pdf["text"], strict=True):
+                low = whole.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split("\n")
+                lines = [word.findall(line) for line in low]
+                starts = list(accumulate((len(line) + 1 for line in low), initial=0))
+                for first, last in windows([len(w) for w in lines], min_words):
+                    if len(out) >= 5000:
+                        yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
+                        out = []
+                    joined = " ".join(" ".join(w) for w in lines[first : last + 1] if w)
+                    digest = hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest()
+                    out.append((None if pd.isna(doc) else int(doc), key, first, last, starts[first], starts[last + 1] - 1, digest))
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
+
+    rows = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
+    return rows.mapInPandas(cut, "doc_id long, _text long, line int, last int, start int, end int, digest binary")
+
+
 def repeated_units(units: DataFrame) -> DataFrame:
     """Every unit that another one with its digest comes before, in order of (doc_id, line), null ids last.
 
     The occurrences of a digest are dealt into shares; each share is reduced before they meet, and
     the earliest is handed back to the shares, so a line in every document stays spread out.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "line")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "line", *[c for c in ("last", "end") if "last" in units.columns])
     units = units.withColumn("_rank", rank).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_text", "line"), F.lit(SALTS)))
     shares = units.groupBy("digest", "_salt").agg(F.min("_rank").alias("first"), F.count("*").alias("n"))
     whole = shares.groupBy("digest").agg(F.min("first").alias("_first"), F.sum("n").alias("n")).filter("n > 1")
@@ -100,6 +157,49 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     ).drop("_text", "_id", "_key", "_gone")
 
 
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
+    """Take out of ``text`` every run of whole lines with ``min_words`` or more words that stands earlier, however
+    short its lines are.
+
+    Adds ``n_units`` (windows that were compared), ``n_removed`` and ``removed`` (start and end of the runs of
+    lines taken out, in code points of the original text, sorted).  Order, nulls and repeated rows are as in
+    ``dedup_lines``.  Of a passage that overlaps its own first occurrence only the lines after that go, so
+    every word taken out stands in an earlier place that stays.
+    """
+    docs = docs.drop("n_units", "n_removed", "removed")
+    units = keep(passage_units(docs, min_words, text), "units")
+    counts = units.groupBy("doc_id", "_text").agg(F.countDistinct("line", "last").cast("long").alias("n_units"))
+    first = F.col("_first")
+    within = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("_text") == first["_text"])
+    after = lambda c, at: F.when(within, F.greatest(F.col(c), at + 1)).otherwise(F.col(c))
+    spans = repeated_units(units).withColumns({"line": after("line", first["last"]), "start": after("start", first["end"])}).filter("line <= last")
+    # windows that overlap or meet become one run of lines
+    before = Window.partitionBy("doc_id", "_text").orderBy("line", "last")
+    reach = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("doc_id", "_text", "line", "last", "start", "end", (F.col("line") > F.coalesce(reach, F.lit(-2)) + 1).cast("int").alias("new"))
+    spans = spans.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "_text", "run")
+    spans = spans.agg(*[f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "end"), (F.min, "line"), (F.max, "last"))])
+    gone = spans.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end", "line", "last"))).alias("_gone"))
+    per = counts.join(gone, counts["doc_id"].eqNullSafe(gone["doc_id"]) & (counts["_text"] == gone["_text"]), "left")
+    per = per.select(counts["doc_id"].alias("_id"), counts["_text"].alias("_key"), "n_units", "_gone")
+    rows = docs.withColumn("_text", F.xxhash64(text))
+    rows = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & (rows["_text"] == per["_key"]), "left")
+    lines = F.split(F.col(text), "\n", -1)
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    left = F.array_except(places, F.flatten(F.transform("_gone", lambda g: F.sequence(g["line"], g["last"]))))
+    rebuilt = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    cuts = F.transform("_gone", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end")))
+    return rows.withColumns(
+        {
+            text: F.when(F.col("_gone").isNotNull(), rebuilt).otherwise(F.col(text)),
+            "n_units": F.coalesce("n_units", F.lit(0)),
+            "n_removed": F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0).cast("long"),
+            "removed": F.coalesce(cuts, none),
+        }
+    ).drop("_text", "_id", "_key", "_gone")
+
+
 def dedup_sql(min_words: int = MIN_WORDS) -> str:
     return f"""
 with l as (select doc_id, text, string_split(text, chr(10)) as lines from documents),

@@ -35,8 +35,8 @@ def _measured(docs: DataFrame, cut: Column) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated passages out of all texts but the first."""
-    cut = substring_dedup.dedup_lines(docs)
+    """Take repeated passages out of all texts but the first, on lines of any length."""
+    cut = substring_dedup.dedup_passages(docs)
     return _measured(cut, F.col("n_removed") > 0).select(*docs.columns)
 
 

@@ -3,7 +3,8 @@ from __future__ import annotations
 from helpers import by_id, docs, prose, words
 from pyspark.sql import functions as F
 
-from cohortide.llm.substring_dedup import dedup_lines
+import corpus_pipeline
+from cohortide.llm.substring_dedup import dedup_lines, dedup_passages
 
 
 def line(seed, n=60):
@@ -58,3 +59,42 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     got = dedup_lines(t).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, line(3)), (1, line(3)), (0, ""), (2, line(4))])
     assert dedup_lines(docs(spark, [])).count() == 0
+
+
+def verse(seed, n=6, width=10):
+    w = prose(seed, n * width, 100_000)
+    return [" ".join(w[k * width : (k + 1) * width]) for k in range(n)]
+
+
+def test_a_passage_on_short_lines_stays_once(spark):
+    poem = verse(1)  # 60 words on six lines
+    rows = [(k, "\n".join([f"own {k}", *verse(100 + k, 3), *poem, *verse(200 + k, 2)])) for k in range(4)]
+    rows += [(10, "\n".join(poem)), (11, "\n\n".join([poem[0].upper() + "!", *poem[1:]])), (12, poem[2]), (13, None), (14, "")]
+    want = {k: "\n".join([f"own {k}", *verse(100 + k, 3), *verse(200 + k, 2)]) for k in range(1, 4)}
+    want |= {0: rows[0][1], 10: "", 11: "", 12: poem[2], 13: None, 14: ""}
+    got = by_id(dedup_passages(docs(spark, rows).repartition(3)))
+    for doc, text in rows:
+        assert got[doc]["text"] == want[doc]
+        cut = [tuple(s) for s in got[doc]["removed"]]
+        assert len(cut) == got[doc]["n_removed"] == (doc in (1, 2, 3, 10, 11))
+        assert all(words(text[s:e]) == words(" ".join(poem)) for s, e in cut)
+    staged = by_id(corpus_pipeline.substring_stage(spark, docs(spark, rows), ""))
+    assert {k: r["text"] for k, r in staged.items()} == want
+
+
+def test_every_line_of_a_repeated_run_goes(spark):
+    for seed in range(3):  # lines of 1 to 25 words, blank ones between; neither end is a window's end by itself
+        w = prose(seed, 200, 100_000)
+        run, at = [], 0
+        for n in (15, 10, 3, 0, 25, 1, 19, 0, 7, 2):
+            run.append(" ".join(w[at : at + n]))
+            at += n
+        rows = [(1, "\n".join(["before this", *run, "and after"])), (2, "\n".join(["other", *run, "end"]))]
+        got = by_id(dedup_passages(docs(spark, rows)))
+        assert (got[1]["text"], got[2]["text"]) == (rows[0][1], "other\nend")
+
+
+def test_a_run_that_overlaps_itself_stays_once(spark):
+    same = " ".join(prose(5, 10))
+    got = by_id(dedup_passages(docs(spark, [(1, "\n".join([same] * 9 + ["tail"])), (2, same + "\n" + same)])))
+    assert (got[1]["text"], got[2]["text"]) == (f"{same}\n{same}\ntail", "")
