@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import os
 import sys
 
@@ -15,6 +14,7 @@ from cohortide import schemas  # noqa: E402
 from cohortide.operators.eras import drug_eras  # noqa: E402
 from cohortide.sources.cdm import Cdm  # noqa: E402
 from cohortide.sources.literals import literal_table  # noqa: E402
+from table_rows import day  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -34,10 +34,6 @@ def spark():
     session.stop()
 
 
-def day(text: str | None):
-    return dt.date.fromisoformat(text) if text else None
-
-
 def _date(v):
     return day(v) if isinstance(v, str) and len(v) == 10 and v[4] == "-" else v
 
@@ -65,7 +61,3 @@ def codes_of(spark):
         return literal_table(spark, rows, "codeset string, concept_id long")
 
     return build
-
-
-def rows(df) -> list[tuple]:
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((v is None, v) for v in t))

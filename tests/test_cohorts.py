@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import day, rows
+from table_rows import day, rows
 
 from cohortide.operators import attrition, cohort, events
 from cohortide.plans import definitions as d

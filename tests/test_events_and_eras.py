@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import day, rows
+from table_rows import day, rows
 from pyspark.sql import functions as F
 
 from cohortide.operators import eras, events

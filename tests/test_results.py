@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from table_rows import rows
 from pyspark.sql import functions as F
 
 from cohortide.functions.tails import Z95, chi2_tail

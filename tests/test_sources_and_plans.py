@@ -5,7 +5,7 @@ import os
 import re
 
 import pytest
-from conftest import day, rows
+from table_rows import day, rows
 from pyspark.sql import functions as F
 
 from checks import registry
