@@ -16,6 +16,7 @@ from cohortide.llm import (
     mixing,
     ngram_join,
     quality,
+    spelling,
     substring_dedup,
     topk,
     toxicity,
@@ -91,6 +92,10 @@ def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), drop=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing_query,
     "op2_quality": quality_query,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_query,
     "op9_ngram_join": ngram_query,
     "op10_topk": topk_query,
+    "op13_spelling": spelling_query,
 }
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.dedup_sql(),

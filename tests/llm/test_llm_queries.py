@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, con, name):
     assert not problems
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"op13_spelling"}))
 def test_query_returns_every_row(spark, name):
     table = "pages" if name == "op4_html_extract" else "documents"
     key = "page_id" if table == "pages" else "doc_id"
