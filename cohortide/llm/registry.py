@@ -15,6 +15,7 @@ from cohortide.llm import (
     license_scan,
     mixing,
     ngram_join,
+    phrases,
     quality,
     spelling,
     substring_dedup,
@@ -92,6 +93,10 @@ def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def phrase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), drop=97))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_query,
     "op9_ngram_join": ngram_query,
     "op10_topk": topk_query,
+    "op12_phrases": phrase_query,
     "op13_spelling": spelling_query,
 }
 ORACLES: dict[str, str] = {
@@ -115,4 +121,5 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.contamination_sql(),
     "op7_chat_format": chat.digests_sql(),
     "op10_topk": topk.top_k_sql(),
+    "op12_phrases": phrases.collocations_sql(),
 }

@@ -35,14 +35,15 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def keep(df: DataFrame, name: str, shelf: list[str] | None = None) -> DataFrame:
+def keep(df: DataFrame, name: str, shelf: list[str] | None = None, by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write a table once and read it back: lineage ends here, and lost executors cost nothing.
 
-    The files go when the session ends, or before that with the ``shelf`` that notes them.
+    The files go when the session ends, or before that with the ``shelf`` that notes them.  ``by`` names a
+    column whose values get a folder each.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by, compression=compression)
     files, where = _place(spark, path)
     files.deleteOnExit(where)
     if shelf is not None:
