@@ -314,12 +314,12 @@ t as (select lang, sum(len(w)) as n from w group by lang),
 g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from w, range(1, 5) r(k) where len(w) >= k),
 f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= {least}),
 c as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
-x as (select lang, k, phrase, a, at, {cut.format("1:at")} as lp, {cut.format("at + 1:k")} as rp from (select *, unnest(range(1, k)) as at from c)),
-s as (select x.lang, x.phrase, x.a, at, fl.a as l, fr.a as r, ((2000000::hugeint * x.a) // (fl.a + fr.a))::bigint as score
+x as (select lang, k, phrase, a, j, {cut.format("1:j")} as lp, {cut.format("j + 1:k")} as rp from (select *, unnest(range(1, k)) as j from c)),
+s as (select x.lang, x.phrase, x.a, j, fl.a as l, fr.a as r, ((2000000::hugeint * x.a) // (fl.a + fr.a))::bigint as score
       from x join f fl on fl.lang = x.lang and fl.phrase = lp join f fr on fr.lang = x.lang and fr.phrase = rp),
-b as (select * from s qualify row_number() over (partition by lang, phrase order by score, at) = 1),
-i as (select lang, array_to_string(w[at:at + m - 1], ' ') as phrase, max(a) as longer
-      from (select *, unnest(range(1, k - m + 2)) as at from (select *, unnest(range(2, k)) as m from c where k > 2)) group by all),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+i as (select lang, array_to_string(w[j:j + m - 1], ' ') as phrase, max(a) as longer
+      from (select *, unnest(range(1, k - m + 2)) as j from (select *, unnest(range(2, k)) as m from c where k > 2)) group by all),
 q as (select b.* from b left join i on i.lang = b.lang and i.phrase = b.phrase where coalesce(100 * longer::hugeint, 0) < {absorb} * a::hugeint)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score
 from q join t using (lang) qualify rank <= {top}
