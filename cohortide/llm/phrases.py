@@ -26,16 +26,20 @@ SHARDS, LONGEST = 3, 4
 CELLS = 1 << 23
 #: Windows that a task counts at once, and words whose hashes it keeps at hand.
 CHUNK, CACHE = 500_000, 100_000
+#: Words of a language after which a task hands its phrases over.
+NAMED = 1_500_000
 NEVER = 255
-#: Bytes of a text as they are counted: A-Z lowered, marks that end a piece as line ends, tabs as spaces.
-_BYTES = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\x0b\x0c\r\t", string.ascii_lowercase.encode() + b"\n" * 9 + b" ")
+#: Ends a piece; no byte of UTF-8.
+END = b"\xff"
+#: Bytes of a text as they are counted: A-Z lowered, marks and line ends as ends of a piece, tabs as spaces.
+_BYTES = bytes.maketrans(string.ascii_uppercase.encode() + b".,;:!?\n\x0b\x0c\r\t", string.ascii_lowercase.encode() + END * 10 + b" ")
 _BY = (np.arange(1, LONGEST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def words_of(text: str) -> list[bytes]:
-    """The words of a text, with a line end between pieces and after the last one."""
-    low = text.encode("utf-8", "surrogatepass").translate(_BYTES)
-    return [w for w in low.replace(b"\n", b" \n ").split(b" ") if w] + [b"\n"]
+    """The words of a text, with ``END`` between pieces and after the last one."""
+    low = text.encode("utf-8", "surrogatepass").translate(_BYTES) + END
+    return low.replace(END, b" " + END + b" ").split()
 
 
 class Hashes:
@@ -46,18 +50,18 @@ class Hashes:
         self.held = 0
 
     def __call__(self, lang: str, words: list[bytes]) -> np.ndarray:
-        own = self.known.setdefault(lang, {b"\n": 0})
+        own = self.known.setdefault(lang, {END: 0})
         try:
-            return np.array([own[w] for w in words], np.uint64)
+            return np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
         except KeyError:
             if self.held > CACHE:
                 self.known.clear()
-                self.held, own = 0, self.known.setdefault(lang, {b"\n": 0})
+                self.held, own = 0, self.known.setdefault(lang, {END: 0})
             seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
             new = {w: xxhash.xxh3_64_intdigest(w, seed) or 1 for w in set(words) if w not in own}
             own.update(new)
             self.held += len(new)
-            return np.array([own[w] for w in words], np.uint64)
+            return np.fromiter(map(own.__getitem__, words), np.uint64, len(words))
 
 
 def phrase_keys(w: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -234,19 +238,18 @@ def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFram
         def counted(lang: str) -> Iterator[pd.DataFrame]:
             words, parts = held.pop(lang)
             whole = np.concatenate(parts)
-            out = [(lang, 0, "", int((whole != 0).sum()))]
-            for start, (w, n) in zip(range(0, len(whole), CHUNK), _windows(whole, longest), strict=True):
-                inside = w != 0
-                for size in range(1, longest + 1):
-                    if size > 1:
-                        inside = inside[:-1] & (w[size - 1 :] != 0)
-                    at = np.flatnonzero(inside[:n])
-                    keys = phrase_keys(w, at, size)
-                    hit = masks[size][_cell(keys, cells[size])]
-                    _, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
-                    for i, k in zip((at[hit][first] + start).tolist(), counts.tolist(), strict=True):
-                        out.append((lang, size, b" ".join(words[i : i + size]).decode("utf-8", "surrogatepass"), k))
-            yield pd.DataFrame(out, columns=["lang", "size", "phrase", "n"])
+            yield pd.DataFrame({"lang": [lang], "size": [0], "phrase": [""], "n": [int((whole != 0).sum())]})
+            for size in range(1, longest + 1):
+                inside = whole != 0
+                for i in range(1, size):
+                    inside = inside[:-1] & (whole[i:] != 0)
+                at = np.flatnonzero(inside)
+                keys = phrase_keys(whole, at, size)
+                hit = masks[size][_cell(keys, cells[size])]
+                _, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
+                if len(first):
+                    phrases = [b" ".join(words[i : i + size]).decode("utf-8", "surrogatepass") for i in at[hit][first].tolist()]
+                    yield pd.DataFrame({"lang": lang, "size": size, "phrase": phrases, "n": counts})
 
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
@@ -254,7 +257,7 @@ def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFram
                 own = words_of(text)
                 words += own
                 parts.append(hashes(lang, own))
-                if len(words) >= CHUNK:
+                if len(words) >= NAMED:
                     yield from counted(lang)
         for lang in list(held):
             yield from counted(lang)
