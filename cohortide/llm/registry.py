@@ -17,6 +17,7 @@ from cohortide.llm import (
     ngram_join,
     phrases,
     quality,
+    secret_scan,
     spelling,
     substring_dedup,
     topk,
@@ -93,6 +94,14 @@ def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = secret_scan.scan_secrets(docs)
+    counts = [F.size(F.filter("secrets", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE]
+    base = secret_scan.joined(F.filter("secrets", lambda s: s["base"]))
+    return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
+
+
 def phrase_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -112,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity_query,
     "op9_ngram_join": ngram_query,
     "op10_topk": topk_query,
+    "op11_secret_scan": secret_query,
     "op12_phrases": phrase_query,
     "op13_spelling": spelling_query,
 }
@@ -121,5 +131,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.contamination_sql(),
     "op7_chat_format": chat.digests_sql(),
     "op10_topk": topk.top_k_sql(),
+    "op11_secret_scan": secret_scan.secrets_sql(),
     "op12_phrases": phrases.collocations_sql(),
 }
