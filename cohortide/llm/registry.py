@@ -97,7 +97,8 @@ def ngram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = secret_scan.scan_secrets(docs)
-    counts = [F.size(F.filter("secrets", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE]
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    counts = [(F.size("secrets") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secret_scan.BASE]
     base = secret_scan.joined(F.filter("secrets", lambda s: s["base"]))
     return rows.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"))
 

@@ -6,7 +6,9 @@ import re
 from helpers import by_id, docs
 from pyspark.sql import functions as F
 
+from checks import compare
 from cohortide.llm import secret_scan as scan
+from cohortide.llm.registry import ORACLES, QUERIES
 
 
 def brute(text, rules=scan.RULES):
@@ -67,3 +69,9 @@ def test_plan_has_no_python(spark):
     plan = scan.scan_secrets(docs(spark, [(1, "token=abcdefghi")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
     assert by_id(scan.scan_secrets(docs(spark, [(1, "token=abcdefghi")])))[1]["secrets"][0]["end"] == 15
+
+
+def test_query_equals_its_sql_on_more_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    rows, problems = compare.differences(QUERIES["op11_secret_scan"](spark, sf), compare.duck(sf), ORACLES["op11_secret_scan"])
+    assert not problems and rows == 1000
