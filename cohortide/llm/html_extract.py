@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value
+from cohortide.llm.scratch import by_value, received, send
 
 by_value(__name__)
 
@@ -61,6 +61,7 @@ FEATURES = (
 )
 _NAMING, _NO_NAMES = ("class", "id", "role", "aria-label", "itemprop"), frozenset()
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNFINISHED = re.compile("<[a-zA-Z/!?]")
 
 
 @dataclass
@@ -80,22 +81,26 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements = [Element("#page", -1, frozenset(), None)]
         self.open, self.at = [0], 0
+        #: places in ``open`` of each tag's open elements
+        self.places: dict[str, list[int]] = {"#page": [0]}
         #: block that each text piece lies in: a new one at each edge of a block element
         self.block, self.blocks = 0, []
 
     def _close_to(self, depth: int) -> None:
         if any(self.elements[e].tag not in INLINE for e in self.open[depth:]):
             self.block += 1
+        for e in self.open[depth:]:
+            self.places[self.elements[e].tag].pop()
         del self.open[depth:]
 
+    def _last(self, kinds: set[str] | frozenset[str]) -> int:
+        """The place of the innermost open element of some kinds; 0, the page, without any."""
+        return max([own[-1] for k in kinds if (own := self.places.get(k))], default=0)
+
     def _end_open(self, kinds: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.elements[self.open[depth]].tag
-            if tag in kinds:
-                self._close_to(depth)
-                return
-            if tag in until:
-                return
+        depth = self._last(kinds)
+        if depth > self._last(until):
+            self._close_to(depth)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS_P:
@@ -120,6 +125,7 @@ class Tree(HTMLParser):
                 words |= {"hidden"}
         self.elements.append(Element(tag, self.open[-1], words, keep))
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.elements) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -129,10 +135,13 @@ class Tree(HTMLParser):
         if tag == "br":
             self.handle_data(" ")
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.elements[self.open[depth]].tag == tag:
-                self._close_to(depth)
-                return
+        if depth := self._last({tag}):
+            self._close_to(depth)
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i) and self.rawdata[i : i + 9].lower() != "<![cdata[":
+            return self.parse_bogus_comment(i)  # as browsers do with any other marked section
+        return super().parse_html_declaration(i)
 
     def handle_data(self, data: str) -> None:
         self.elements[self.open[-1]].pieces.append((self.at, data))
@@ -144,6 +153,8 @@ def parse(html: str) -> Tree:
     """The tree of a page; a broken page gives what can be read of it, to its end."""
     tree = Tree()
     tree.feed(html)
+    if _UNFINISHED.match(tree.rawdata):  # a tag or comment that the page doesn't end
+        tree.rawdata = ""
     tree.close()
     return tree
 
@@ -304,11 +315,12 @@ def extract_pages(pages: DataFrame, model: TreeModel) -> DataFrame:
     A null or empty page has an empty text, as has one without an article.  Texts aren't cut.  Rows are
     handled one by one, so copies, ties and an empty table need no rule; other columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = send(pages.sparkSession, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = received(shared)
         for htmls in batches:
-            yield pd.DataFrame([extract(h or "", shared.value) for h in htmls], columns=["text", "confidence"])
+            yield pd.DataFrame([extract(h or "", model) for h in htmls], columns=["text", "confidence"])
 
     out = pages.select("page_id", "url", F.pandas_udf(run, "text string, confidence double")("html").alias("_x"))
     return out.select("page_id", "url", "_x.text", F.length("_x.text").cast("long").alias("n_chars"), "_x.confidence")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value
+from cohortide.llm.scratch import by_value, received, send
 
 by_value(__name__)
 
@@ -171,10 +171,10 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text: str = "text", leas
     empty table need no rule.  Input columns of those names are replaced.
     """
     docs = docs.drop("expected_grade", "tail", "accepted")
-    weights = docs.sparkSession.sparkContext.broadcast(model)
+    weights = send(docs.sparkSession, model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        features, model = Features(), weights.value
+        features, model = Features(), received(weights)
         for texts in batches:
             scores = []
             for t in texts:

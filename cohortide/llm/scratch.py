@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,15 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object with its class, for executors without the package; ``received`` unpacks it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> Any:
+    return pickle.loads(sent.value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only a local session without it gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value
+from cohortide.llm.scratch import by_value, received, send
 from cohortide.llm.words import WORD
 
 by_value(__name__)
@@ -207,10 +207,10 @@ def score_toxicity(docs: DataFrame, index: BlockIndex | float, text: str = "text
     rule.  Input columns of the names above are replaced.
     """
     docs = docs.drop("score", "predicted", "evidence", "cosines")
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = send(docs.sparkSession, index)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+        index = received(shared)
         vectors = None if isinstance(index, float) else Vectors(index.terms)
         for texts in batches:
             out = []

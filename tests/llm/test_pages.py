@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import time
 
 import numpy as np
 import pytest
 from helpers import by_id
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cohortide.llm import html_extract as h
 from cohortide.llm.html_labelled import PAGES
@@ -67,3 +70,29 @@ def test_pages_table(spark, model):
     assert rows_by[97]["n_chars"] == 50000 * 5 - 1
     assert h.extract_pages(t.limit(0), model).count() == 0
     assert by_id(h.extract_pages(t.filter("page_id = 0"), model), "page_id")[0]["url"] == "u"
+
+
+MARKUP = ["<p>", "</p>", "<b>", "</i>", "<div class=x>", "</div>", "<![foo bar]>", "<![ >", "<![CDATA[x]]>", "<!", "<!-- c", "-->", "<?x", "</", "<", "&amp", "&#x", "<table><td>", "<script>", "</script>", "text ", "<a href='", '"', ">", "\x00", "<!doctype", "]]>"]
+
+
+@given(st.lists(st.sampled_from(MARKUP), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_any_markup_is_parsed(model, parts):
+    text, _ = h.extract("".join(parts), model)
+    assert "<!--" not in text
+
+
+def test_unfinished_markup_is_no_text():
+    for end in ("<!-- c", "<div class=", "<![x", "<?php", "</di", "<!"):
+        tree = h.parse("<p>one</p> two" + end)
+        assert "".join(t for _, t in sorted(p for e in tree.elements for p in e.pieces)) == "one two"
+
+
+def test_parsing_is_linear():
+    def seconds(page):
+        start = time.perf_counter()
+        h.parse(page)
+        return time.perf_counter() - start
+
+    for unit in ("<b></i>x", "<p><button><b><div>", "<table><td><b>x"):
+        assert seconds(unit * 40_000) < 20 * max(seconds(unit * 4_000), 0.01)
