@@ -75,6 +75,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _curve_rounded(df: DataFrame) -> DataFrame:
+    """Products of logarithms end on either side of a tie at the seventh decimal; both engines step past it."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(1e-9), 6) for c in ("surv", "lower", "upper")})
+
+
 # ---- tables and vocabulary -----------------------------------------------------------
 
 # table -> (its CTE, key, date column and its name in the CTE)
@@ -603,12 +608,12 @@ _add("slice_counts", _slice_counts, study_sql.slice_counts())
 
 
 def _overall_curves(s: Study) -> DataFrame:
-    return _rounded(s.survival.where("strata = 'overall'"), "surv", "lower", "upper")
+    return _curve_rounded(s.survival.where("strata = 'overall'"))
 
 
 def _all_curves(s: Study) -> DataFrame:
     """Every day of every curve."""
-    return _rounded(s.survival, "surv", "lower", "upper")
+    return _curve_rounded(s.survival)
 
 
 _add("survival_overall", _overall_curves, study_sql.curves("strata = 'overall'"))

@@ -334,9 +334,9 @@ CURVES = [
 ]
 _Z = "1.959963984540054"
 _CURVE_COLUMNS = (
-    f"{_KEYS}, time, n_risk, n_event, cum_n_event, round(surv, 6) AS surv, "
-    f"round(CASE WHEN surv > 0 THEN surv * exp(-{_Z} * g) END, 6) AS lower, "
-    f"round(CASE WHEN surv > 0 THEN least(1.0, surv * exp({_Z} * g)) END, 6) AS upper"
+    f"{_KEYS}, time, n_risk, n_event, cum_n_event, round(surv + 1e-9, 6) AS surv, "
+    f"round(CASE WHEN surv > 0 THEN surv * exp(-{_Z} * g) END + 1e-9, 6) AS lower, "
+    f"round(CASE WHEN surv > 0 THEN least(1.0, surv * exp({_Z} * g)) END + 1e-9, 6) AS upper"
 )
 
 
