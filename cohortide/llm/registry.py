@@ -54,7 +54,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = substring_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = substring_dedup.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return rows.withColumn("removed", F.array_join(spans, ","))
 
@@ -127,7 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling": spelling_query,
 }
 ORACLES: dict[str, str] = {
-    "op3_substring_dedup": substring_dedup.dedup_sql(),
     "op5_license_scan": license_scan.scan_sql(),
     "op6_decontamination": decontaminate.contamination_sql(),
     "op7_chat_format": chat.digests_sql(),

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from itertools import accumulate
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value, keep
+from cohortide.llm.scratch import by_value, clear, keep
 from cohortide.llm.words import WORD, words_sql
 
 by_value(__name__)
@@ -20,6 +21,11 @@ by_value(__name__)
 SALTS = 64
 #: Lines of fewer words are too common to be worth removing: greetings, headings, list marks.
 MIN_WORDS = 20
+#: Bits of the table of digests that occur twice, those that a task packs at once, and words whose numbers it keeps at hand.
+CELLS, PART, CACHE = 1 << 24, 1 << 16, 100_000
+_WORD = re.compile(WORD)
+#: A sentence, or the rest of a line, with the blanks after it.
+_SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?![ \t])[^.!?]*)*(?:[.!?]+[ \t]+|$)")
 
 
 def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
@@ -80,29 +86,107 @@ def windows(counts: list[int], min_words: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """The ``windows`` of every text: doc_id, _text (hash of the whole text), line, last, start, end, digest.
+def pieces(text: str, long: int, cut: Callable[[str], int]) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the pieces of a text, in order; ``text`` has A-Z lowered.
 
-    A line of ``min_words`` or more is a window by itself; shorter ones are joined with their neighbours,
-    over blank lines too.  ``digest`` hashes the words, so where lines are broken doesn't matter to it.
+    A piece ends at a line end, after a sentence whose last word has an even ``cut`` number, and inside sentences of ``long`` words or more
+    after each word with a number divisible by 8.  Where a piece ends depends on the words around it alone, so a passage
+    is cut alike wherever it stands.
     """
-    word = re.compile(WORD)
+    out, at = [], 0
+    for line in text.split("\n"):
+        start, held = at, []
+        for sentence in _SENTENCE.finditer(line):
+            found = list(_WORD.finditer(sentence[0]))
+            base = at + sentence.start()
+            for i, w in enumerate(found):
+                held.append(w[0])
+                last = i + 1 == len(found)
+                if cut(w[0]) % (2 if last else 8) == 0 and (last or len(found) >= long):
+                    end = base + (len(sentence[0]) if last else found[i + 1].start())
+                    out.append((start, end, held))
+                    start, held = end, []
+        end = at + len(line)
+        if held or start == at:
+            out.append((start, end, held))
+        elif start < end:  # marks after the last piece belong to it
+            out[-1] = (out[-1][0], end, out[-1][2])
+        at = end + 1
+    return out
+
+
+class Passages:
+    """Windows of a text's pieces as (first, last, start, end, digest); ``digest`` is that of the words."""
+
+    def __init__(self, min_words: int) -> None:
+        self.min_words, self.cache = min_words, {}
+
+    def cut(self, word: str) -> int:
+        got = self.cache.get(word)
+        if got is None:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            got = self.cache[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return got
+
+    def __call__(self, text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        parts = pieces(low, self.min_words, self.cut)
+        for first, last in windows([len(p[2]) for p in parts], self.min_words):
+            joined = " ".join(" ".join(p[2]) for p in parts[first : last + 1] if p[2])
+            yield first, last, parts[first][0], parts[last][1], hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest()
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def repeated_cells(docs: DataFrame, min_words: int, text: str, cells: int) -> np.ndarray:
+    """A bit for each cell of digests: whether some digest in it occurs twice.  The table has ``cells`` bits, however
+    many passages there are; it only saves work, as digests are compared whole later."""
+
+    def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passages = Passages(min_words)
+        for pdf in batches:
+            held: list[int] = []
+            for whole in pdf["text"]:
+                held += [_number(d) for *_, d in passages(whole)]
+                if len(held) >= 100_000:
+                    yield pd.DataFrame({"h": np.array(held, np.int64)})
+                    held = []
+            yield pd.DataFrame({"h": np.array(held, np.int64)})
+
+    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(min(cells, PART), bool)
+        own[pdf["cell"].to_numpy() % PART] = True
+        return pd.DataFrame({"part": [int(pdf["cell"].iloc[0]) // PART], "bits": [np.packbits(own).tobytes()]})
+
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(numbers, "h long")
+    twice = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    found = twice.select(F.pmod("h", F.lit(cells)).cast("int").alias("cell")).distinct()
+    parts = found.groupBy(F.floor(F.col("cell") / PART)).applyInPandas(bits, "part int, bits binary").collect()
+    out = np.zeros(cells // 8, np.uint8)
+    for r in parts:
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * PART // 8 :][: len(own)] = own
+    return out
+
+
+def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", cells: int = CELLS) -> DataFrame:
+    """Windows of every text whose digest may occur again: doc_id, _text (hash of the whole text), line, last (pieces), start, end, digest."""
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, min_words, text, cells))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "_text", "line", "last", "start", "end", "digest"]
+        passages, mask = Passages(min_words), np.unpackbits(shared.value).view(bool)
         for pdf in batches:
             out = []
             for doc, key, whole in zip(pdf["doc_id"].astype(object), pdf["_text"], pdf["text"], strict=True):
-                low = whole.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").split("\n")
-                lines = [word.findall(line) for line in low]
-                starts = list(accumulate((len(line) + 1 for line in low), initial=0))
-                for first, last in windows([len(w) for w in lines], min_words):
-                    if len(out) >= 5000:
-                        yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
-                        out = []
-                    joined = " ".join(" ".join(w) for w in lines[first : last + 1] if w)
-                    digest = hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest()
-                    out.append((None if pd.isna(doc) else int(doc), key, first, last, starts[first], starts[last + 1] - 1, digest))
+                doc = None if pd.isna(doc) else int(doc)
+                out += [(doc, key, *p) for p in passages(whole) if mask[_number(p[-1]) % cells]]
+                if len(out) >= 5000:
+                    yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
+                    out = []
             yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
 
     rows = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
@@ -157,47 +241,58 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     ).drop("_text", "_id", "_key", "_gone")
 
 
-def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """Take out of ``text`` every run of whole lines with ``min_words`` or more words that stands earlier, however
-    short its lines are.
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", cells: int = CELLS) -> DataFrame:
+    """Take out of ``text`` every run of pieces with ``min_words`` or more words that stands earlier: whole lines, however
+    short, and passages inside lines.
 
-    Adds ``n_units`` (windows that were compared), ``n_removed`` and ``removed`` (start and end of the runs of
-    lines taken out, in code points of the original text, sorted).  Order, nulls and repeated rows are as in
-    ``dedup_lines``.  Of a passage that overlaps its own first occurrence only the lines after that go, so
-    every word taken out stands in an earlier place that stays.
+    Adds ``n_removed`` and ``removed`` (start and end of what is taken out, in code points of the original
+    text, sorted); a line that is taken out whole goes with its line end.  Order, nulls and repeated rows are as in
+    ``dedup_lines``.  Of a passage that overlaps its own first occurrence only the pieces after that go, so
+    every word taken out stands in an earlier place that stays.  Of a repeated passage, what lies before the first and after the
+    last place where a piece ends stays: some words inside a line, nothing of whole lines.  Input columns of the names above are replaced.
     """
-    docs = docs.drop("n_units", "n_removed", "removed")
-    units = keep(passage_units(docs, min_words, text), "units")
-    counts = units.groupBy("doc_id", "_text").agg(F.countDistinct("line", "last").cast("long").alias("n_units"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("n_removed", "removed")]).alias("row"), "doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
+    units = keep(passage_units(docs, min_words, text, cells), "units", shelf := [])
     first = F.col("_first")
     within = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("_text") == first["_text"])
-    after = lambda c, at: F.when(within, F.greatest(F.col(c), at + 1)).otherwise(F.col(c))
-    spans = repeated_units(units).withColumns({"line": after("line", first["last"]), "start": after("start", first["end"])}).filter("line <= last")
-    # windows that overlap or meet become one run of lines
+    spans = repeated_units(units).withColumns(
+        {"line": F.when(within, F.greatest("line", first["last"] + 1)).otherwise(F.col("line")), "start": F.when(within, F.greatest("start", first["end"])).otherwise(F.col("start"))}
+    ).filter("line <= last")
+    # windows that overlap or meet become one run of pieces
     before = Window.partitionBy("doc_id", "_text").orderBy("line", "last")
     reach = F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.select("doc_id", "_text", "line", "last", "start", "end", (F.col("line") > F.coalesce(reach, F.lit(-2)) + 1).cast("int").alias("new"))
     spans = spans.withColumn("run", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "_text", "run")
-    spans = spans.agg(*[f(c).alias(c) for f, c in ((F.min, "start"), (F.max, "end"), (F.min, "line"), (F.max, "last"))])
-    gone = spans.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end", "line", "last"))).alias("_gone"))
-    per = counts.join(gone, counts["doc_id"].eqNullSafe(gone["doc_id"]) & (counts["_text"] == gone["_text"]), "left")
-    per = per.select(counts["doc_id"].alias("_id"), counts["_text"].alias("_key"), "n_units", "_gone")
-    rows = docs.withColumn("_text", F.xxhash64(text))
-    rows = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & (rows["_text"] == per["_key"]), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    places = F.sequence(F.lit(0), F.size(lines) - 1)
-    left = F.array_except(places, F.flatten(F.transform("_gone", lambda g: F.sequence(g["line"], g["last"]))))
-    rebuilt = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    spans = spans.agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    gone = spans.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    gone = keep(gone.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "gone"), "gone")
+    clear(docs.sparkSession, shelf)
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_key"]), "left")
+    at = lambda i: F.substring("text", i + 1, F.lit(1))
+    size = F.length("text")
+    # what begins right after its own first occurrence begins on the next line
+    cuts = F.transform("gone", lambda g: F.struct(F.when(at(g["start"]) == "\n", g["start"] + 1).otherwise(g["start"]).alias("start"), g["end"].alias("end")))
+    rows = rows.withColumn("cuts", F.when(F.col("gone").isNotNull(), cuts))
+
+    def whole(c: Column) -> Column:
+        return ((c["start"] == 0) | (at(c["start"] - 1) == "\n")) & ((c["end"] == size) | (at(c["end"]) == "\n"))
+
+    wide = F.transform(
+        "cuts",
+        lambda c: F.struct(
+            F.when(whole(c) & (c["end"] == size) & (c["start"] > 0), c["start"] - 1).otherwise(c["start"]).alias("start"),
+            F.when(whole(c) & (c["end"] < size), c["end"] + 1).otherwise(c["end"]).alias("end"),
+        ),
+    )
+    rows = rows.withColumn("wide", wide)
+    ends = F.concat(F.array(F.lit(0)), F.transform("wide", lambda c: c["end"]))
+    starts = F.concat(F.transform("wide", lambda c: c["start"]), F.array(size))
+    left = F.array_join(F.zip_with(ends, starts, lambda s, e: F.substring("text", s + 1, F.greatest(e - s, F.lit(0)))), "")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    cuts = F.transform("_gone", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end")))
-    return rows.withColumns(
-        {
-            text: F.when(F.col("_gone").isNotNull(), rebuilt).otherwise(F.col(text)),
-            "n_units": F.coalesce("n_units", F.lit(0)),
-            "n_removed": F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0).cast("long"),
-            "removed": F.coalesce(cuts, none),
-        }
-    ).drop("_text", "_id", "_key", "_gone")
+    cut = F.col("gone").isNotNull()
+    rows = rows.select("row", F.when(cut, left).otherwise(F.col("text")).alias("left"), F.coalesce("cuts", none).alias("removed"))
+    columns = [F.col("left").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_removed", "removed")]
+    return rows.select(*columns, F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def dedup_sql(min_words: int = MIN_WORDS) -> str:

@@ -4,7 +4,9 @@ from helpers import by_id, docs, prose, words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortide.llm.substring_dedup import dedup_lines, dedup_passages
+from checks import compare
+from cohortide.llm.registry import QUERIES
+from cohortide.llm.substring_dedup import dedup_lines, dedup_passages, dedup_sql
 
 
 def line(seed, n=60):
@@ -98,3 +100,58 @@ def test_a_run_that_overlaps_itself_stays_once(spark):
     same = " ".join(prose(5, 10))
     got = by_id(dedup_passages(docs(spark, [(1, "\n".join([same] * 9 + ["tail"])), (2, same + "\n" + same)])))
     assert (got[1]["text"], got[2]["text"]) == (f"{same}\n{same}\ntail", "")
+
+
+def test_lines_equal_their_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    have = dedup_lines(table).withColumn("removed", F.array_join(spans, ","))
+    _, problems = compare.differences(have, compare.duck(sf), dedup_sql())
+    assert not problems
+
+
+def test_a_passage_inside_lines_stays_once(spark):
+    shared = " ".join(prose(9, 70, 100_000))
+    rows = [(k, " ".join(prose(100 + k, 13 + k, 100_000)) + ". " + shared + ", " + " ".join(prose(300 + k, 17, 100_000))) for k in range(12)]
+    for cells in (1 << 24, 1 << 16):
+        got = by_id(dedup_passages(docs(spark, rows).repartition(3), cells=cells))
+        assert got[0]["text"] == rows[0][1]
+        for k, text in rows[1:]:
+            left = got[k]["text"]
+            assert text.startswith(left[:20]) and text.endswith(left[-20:])
+            assert len(set(words(left)) & set(words(shared))) <= 25  # the ends of the passage at most
+            assert all(words(text[s:e]) in [words(shared)[i : i + len(words(text[s:e]))] for i in range(70)] for s, e in got[k]["removed"])
+
+
+def test_query_leaves_few_long_runs_and_takes_nothing_else(spark):
+    sf = "/root/testdata/sf0.01"
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = by_id(QUERIES["op3_substring_dedup"](spark, sf))
+
+    def runs(text, n):
+        w = words(text)
+        return {hash(tuple(w[i : i + n])) for i in range(len(w) - n + 1)}
+
+    def later(texts, n):
+        seen, out = set(), set()
+        for doc in sorted(texts):
+            own = runs(texts[doc], n)
+            out |= {doc} if own & seen else set()
+            seen |= own
+        return out
+
+    repeated = later(before, 50)
+    left = later({d: r["text"] for d, r in rows.items()}, 50)
+    assert len(repeated) > 100 and len(left) < 0.05 * len(before)
+    assert len({d for d in repeated if rows[d]["n_removed"]}) > 0.9 * len(repeated)
+    # what goes stands in an earlier place, whole
+    seen = set()
+    for doc in sorted(before):
+        own = runs(before[doc], 20)
+        for s, e in (map(int, x.split("-")) for x in rows[doc]["removed"].split(",") if x):
+            assert runs(before[doc][s:e], 20) <= seen | own
+        if not rows[doc]["n_removed"]:
+            assert rows[doc]["text"] == before[doc]
+        seen |= own
+    print(len(repeated), len(left))
