@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortide.llm.components import connected_components
-from cohortide.llm.scratch import broadcast_small, by_value, clear, keep
+from cohortide.llm.scratch import bound_batches, broadcast_small, by_value, clear, keep
 
 by_value(__name__)
 
@@ -303,6 +303,7 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "t
     that links with nothing has its own.  Repeated rows each get a row; an empty table gives none.
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
+    bound_batches(docs.sparkSession)
     spark, shelf = docs.sparkSession, []
     often = common_shingles(docs, size, common)
     while True:

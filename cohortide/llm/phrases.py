@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value, clear, keep, partitions
+from cohortide.llm.scratch import bound_batches, by_value, clear, keep, partitions
 
 by_value(__name__)
 
@@ -277,6 +277,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, absorb: int
     A null language is ``und``, a null text has no words.  Copies count each for itself; an empty table gives no rows;
     further columns are ignored.  Hashes only choose the phrases; counts are of words.
     """
+    bound_batches(docs.sparkSession)
     shelf: list[str] = []
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = phrase_counts(texts, frequent_cells(texts, least, shards, cells=cells, log=log))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value, received, send
+from cohortide.llm.scratch import bound_batches, by_value, received, send
 
 by_value(__name__)
 
@@ -128,6 +128,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, per_grad
 
     ``ratings``: doc_id and grade, 0 to ``n_grades - 1``; rows with null or other values are left out.
     """
+    bound_batches(docs.sparkSession)
     ratings = ratings.filter(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull())
     ratings = ratings.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     counts = {r["grade"]: r["n"] for r in ratings.groupBy("grade").agg(F.count("*").alias("n")).collect()}
@@ -170,6 +171,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text: str = "text", leas
     Null and empty texts have one feature of their own; rows are scored one by one, so ties, copies and an
     empty table need no rule.  Input columns of those names are replaced.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop("expected_grade", "tail", "accepted")
     weights = send(docs.sparkSession, model)
 

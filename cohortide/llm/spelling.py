@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value, clear, keep, partitions
+from cohortide.llm.scratch import bound_batches, by_value, clear, keep, partitions
 
 by_value(__name__)
 
@@ -59,6 +59,7 @@ def word_counts(docs: DataFrame, drop: int | None = None, doc: str = "doc_id", t
         if held:
             yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
+    bound_batches(docs.sparkSession)
     rows = docs.filter(F.col(text).isNotNull())
     rows = rows.select(F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("doc"), F.col(text).alias("text"))
     counts = rows.mapInPandas(count, "word string, n long").filter("word <> ''")

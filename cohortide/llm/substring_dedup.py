@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value, clear, keep
+from cohortide.llm.scratch import bound_batches, by_value, clear, keep
 from cohortide.llm.words import WORD, words_sql
 
 by_value(__name__)
@@ -252,6 +252,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     last place where a piece ends stays: some words inside a line, nothing of whole lines.  Input columns of the names above are replaced.
     """
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("n_removed", "removed")]).alias("row"), "doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
+    bound_batches(docs.sparkSession)
     units = keep(passage_units(docs, min_words, text, cells), "units", shelf := [])
     first = F.col("_first")
     within = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("_text") == first["_text"])
