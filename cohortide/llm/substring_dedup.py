@@ -97,15 +97,21 @@ def pieces(text: str, long: int, cut: Callable[[str], int]) -> list[tuple[int, i
     for line in text.split("\n"):
         start, held = at, []
         for sentence in _SENTENCE.finditer(line):
-            found = list(_WORD.finditer(sentence[0]))
-            base = at + sentence.start()
-            for i, w in enumerate(found):
-                held.append(w[0])
-                last = i + 1 == len(found)
-                if cut(w[0]) % (2 if last else 8) == 0 and (last or len(found) >= long):
-                    end = base + (len(sentence[0]) if last else found[i + 1].start())
-                    out.append((start, end, held))
-                    start, held = end, []
+            found = _WORD.findall(sentence[0])
+            if len(found) >= long:
+                places = [w.start() for w in _WORD.finditer(sentence[0])]
+                done = 0
+                for i in range(len(found) - 1):
+                    if cut(found[i]) % 8 == 0:
+                        end = at + sentence.start() + places[i + 1]
+                        out.append((start, end, held + found[done : i + 1]))
+                        start, held, done = end, [], i + 1
+                found = found[done:]
+            held += found
+            if found and cut(found[-1]) % 2 == 0:
+                end = at + sentence.end()
+                out.append((start, end, held))
+                start, held = end, []
         end = at + len(line)
         if held or start == at:
             out.append((start, end, held))
@@ -132,8 +138,9 @@ class Passages:
     def __call__(self, text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
         low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         parts = pieces(low, self.min_words, self.cut)
+        said = [" ".join(p[2]) for p in parts]
         for first, last in windows([len(p[2]) for p in parts], self.min_words):
-            joined = " ".join(" ".join(p[2]) for p in parts[first : last + 1] if p[2])
+            joined = " ".join([said[i] for i in range(first, last + 1) if said[i]])
             yield first, last, parts[first][0], parts[last][1], hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest()
 
 
