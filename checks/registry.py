@@ -17,10 +17,12 @@ from checks.clinical_sql import packed, with_tables
 from cohortide.functions import dates, numbers
 from cohortide.operators import attrition, cohort, concepts, covariates, eras, events, models, population, summaries
 from cohortide.operators import followup
-from cohortide.plans import definitions as d
+from cohortide import schemas
+from cohortide.plans import definitions as d, manifest
 from cohortide.plans.specs import CohortSpec, Criterion
 from cohortide.plans.study import Study
 from cohortide.sources import adapter, tables
+from cohortide.sources.literals import literal_table
 from cohortide.sources.workspace import BUCKETS
 
 CAL = adapter.CALENDAR
@@ -677,6 +679,64 @@ def _labels(s: Study) -> DataFrame:
 _add("result_labels", _labels, study_sql.labels())
 
 
+def _listed(s: Study) -> DataFrame:
+    """Cohorts of a run from a CSV list that gives each exposure another number."""
+    path, given = f"{s.work.root}/manifest", {id: id + 1000 for id in d.EXPOSURES}
+    lines = [(None, spec.name, given[spec.id], spec.name) for spec in s.specs if spec.id in given]
+    literal_table(s.spark, lines, schemas.MANIFEST).write.mode("overwrite").csv(path, header=True)
+    cohorts = manifest.renumbered(s.cohorts, manifest.resolve(tables.read_manifest(s.spark, path), s.specs))
+    tables.write_cohorts(cohorts, f"{s.work.root}/listed")
+    return tables.read_cohorts(s.spark, f"{s.work.root}/listed")
+
+
+_add(
+    "cohorts_from_manifest",
+    _listed,
+    with_tables(
+        _EXPOSURE_PARTS,
+        "SELECT id + 1000 AS cohort_definition_id, person_id AS subject_id, s AS cohort_start_date, "
+        "e AS cohort_end_date FROM exposure",
+        cohort_sql.CLINICAL,
+    ),
+)
+
+
+def _two_databases(s: Study) -> DataFrame:
+    """Counts of slices, written for two databases, one of them twice, and read back."""
+    path = f"{s.work.root}/by_database"
+    for name in ("north 1", "007", "north 1"):
+        tables.write_results({"slice_counts": _slice_counts(s)}, path, name)
+    return tables.read_results(s.spark, path, "slice_counts")
+
+
+_add(
+    "results_of_two_databases",
+    _two_databases,
+    f"SELECT s.*, db FROM ({study_sql.slice_counts()}) s, (VALUES ('north 1'), ('007')) v(db)",
+)
+
+
+def _emptied(s: Study) -> DataFrame:
+    """A cohort table that was dropped and made again, then filled with two cohorts."""
+    path = f"{s.work.root}/emptied"
+    tables.write_cohorts(s.exposures, path)
+    tables.empty_cohort_table(s.spark, path)
+    tables.write_cohorts(s.exposures.where("cohort_definition_id in (101, 102)"), path)
+    return tables.read_cohorts(s.spark, path)
+
+
+_add(
+    "emptied_cohort_table",
+    _emptied,
+    with_tables(
+        _EXPOSURE_PARTS,
+        "SELECT id AS cohort_definition_id, person_id AS subject_id, s AS cohort_start_date, "
+        "e AS cohort_end_date FROM exposure WHERE id IN (101, 102)",
+        cohort_sql.CLINICAL,
+    ),
+)
+
+
 def _restored(s: Study) -> DataFrame:
     """The population of a second study that starts from the first one's written cohorts."""
     root = f"{s.work.root}/restored"

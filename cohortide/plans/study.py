@@ -18,7 +18,7 @@ from cohortide.operators import (
     summaries,
     survival,
 )
-from cohortide.plans import definitions as d
+from cohortide.plans import definitions as d, manifest as listing
 from cohortide.plans.specs import CohortSpec
 from cohortide.sources import tables
 from cohortide.sources.cdm import Cdm
@@ -58,6 +58,7 @@ class Study:
         min_pair: int = 5,
         min_events: int = 30,
         min_exposed: int = 5,
+        manifest: DataFrame | None = None,
     ):
         self.cdm, self.spark = cdm, cdm.spark
         self.definitions, self.calendar = concept_sets, calendar
@@ -69,6 +70,7 @@ class Study:
         self.stored = stored or {}
         self.min_rows, self.min_pair = min_rows, min_pair
         self.min_events, self.min_exposed = min_events, min_exposed
+        self.manifest = manifest
         self.work = Workspace(cdm.spark)
 
     def __enter__(self) -> Study:
@@ -84,6 +86,18 @@ class Study:
         chosen = [s for s in d.outcome_specs() if self.outcomes is None or s.name in self.outcomes]
         return d.exposure_specs(self.calendar) + chosen + d.covid_specs() + self.extra_specs
 
+    @cached_property
+    def listed(self) -> dict[int, int]:
+        """Number of each cohort to write -> its number in the cohort table; all under their own without a manifest."""
+        if self.manifest is None:
+            return {s.id: s.id for s in self.specs}
+        return listing.resolve(self.manifest, self.specs)
+
+    @property
+    def listed_cohorts(self) -> DataFrame:
+        """Cohort rows as the cohort table has them."""
+        return self.cohorts if self.manifest is None else listing.renumbered(self.cohorts, self.listed)
+
     @cached_property
     def codesets(self) -> DataFrame:
         sets = concepts.resolve_concept_sets(self.definitions, self.cdm.concept, self.cdm.concept_ancestor)
@@ -264,7 +278,7 @@ class Study:
         root = path.rstrip("/")
         results = self.results()
         if "cohorts" not in self.stored:
-            tables.write_cohorts(self.cohorts, f"{root}/cohorts", [s.id for s in self.specs])
+            tables.write_cohorts(self.listed_cohorts, f"{root}/cohorts", self.listed.values())
             counts = self.work.keep(attrition.mask_counts(self.masked), "mask_counts", None)
             results["cohort_inclusion"] = attrition.rule_statistics(counts, self.specs)
             results["cohort_summary"] = attrition.summary_statistics(counts, self.specs)

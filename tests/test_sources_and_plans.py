@@ -12,6 +12,7 @@ from checks import registry
 from cohortide import schemas
 from cohortide.functions import dates
 from cohortide.operators import cohort, concepts, events, followup
+from cohortide.plans import manifest
 from cohortide.plans.definitions import MAIN_OUTCOMES, MAIN_STUDY_COHORTS
 from cohortide.plans.specs import CohortSpec, Criterion, criteria_of
 from cohortide.sources import cdm as cdm_source, tables, workspace
@@ -73,6 +74,71 @@ def test_cohort_table_replaces_one_cohort(spark, tmp_path):
     assert rows(tables.read_cohorts(spark, copy).groupBy("cohort_definition_id").count()) == [(2, 2)]
 
 
+def _cohort(spark, id, n):
+    return literal_table(spark, [(id, p, day("2020-01-01"), day("2020-01-02")) for p in range(n)], schemas.COHORT)
+
+
+def _sizes(spark, path):
+    return rows(tables.read_cohorts(spark, path).groupBy("cohort_definition_id").count())
+
+
+def test_a_run_that_dies_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cohorts")
+    tables.write_cohorts(_cohort(spark, 1, 3).unionByName(_cohort(spark, 2, 2)), path)
+    reader = tables.read_cohorts(spark, path)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError, match="lost"):
+        m.setattr(tables, "_switch", die)  # after the data is written, before it counts
+        tables.write_cohorts(_cohort(spark, 1, 9), path, ids=[2])
+    assert _sizes(spark, path) == [(1, 3), (2, 2)]
+    tables.write_cohorts(_cohort(spark, 1, 5), path, ids=[2])
+    assert _sizes(spark, path) == [(1, 5)]
+    assert reader.count() == 5  # who began before the switch still reads the old rows
+    tables.write_cohorts(_cohort(spark, 1, 6), path)
+    tables.write_cohorts(_cohort(spark, 1, 7), path)
+    assert len([n for n in os.listdir(path) if n.startswith("version=")]) == 2
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "cohorts")
+    tables.write_cohorts(_cohort(spark, 1, 3), path)
+    number, versions = tables._current(spark, path)
+    tables.write_cohorts(_cohort(spark, 1, 4), path)
+    with pytest.raises(RuntimeError, match="another run"):
+        tables._switch(spark, path, number + 1, versions)
+    assert _sizes(spark, path) == [(1, 4)]
+
+
+def test_files_grow_with_rows_not_with_tasks(spark, tmp_path):
+    many = spark.range(20_000).select((F.col("id") % 20).cast("int").alias("cohort_definition_id"), F.col("id").alias("subject_id"), F.lit(day("2020-01-01")).alias("cohort_start_date"), F.lit(day("2020-01-02")).alias("cohort_end_date"))
+    tables.write_cohorts(many.repartition(64, "subject_id"), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 20 * 2
+
+
+def test_results_of_databases_stand_side_by_side(spark, tmp_path):
+    one = spark.createDataFrame([(1, "x")], "n int, t string")
+    for db, df in (("a/b", one), ("2020", one), ("a/b", one.union(one)), ("gone", one), ("gone", one.limit(0))):
+        tables.write_results({"counts": df}, str(tmp_path), db)
+    assert rows(tables.read_results(spark, str(tmp_path), "counts").select("n", "db")) == [(1, "2020"), (1, "a/b"), (1, "a/b")]
+
+
+def test_manifest_names_the_cohorts_to_write(spark):
+    specs = registry.SPECS[:3]
+    listed = literal_table(spark, [(specs[0].id + 50, specs[0].name), (7, specs[2].name)], "cohort_definition_id long, name string")
+    numbers = manifest.resolve(listed, specs)
+    assert numbers == {specs[0].id: specs[0].id + 50, specs[2].id: 7}
+    cohorts = _cohort(spark, specs[0].id, 2).unionByName(_cohort(spark, specs[1].id, 4)).unionByName(_cohort(spark, specs[2].id, 1))
+    cohorts = cohorts.withColumn("cohort_definition_id", F.col("cohort_definition_id").cast("int"))
+    assert rows(manifest.renumbered(cohorts, numbers).groupBy("cohort_definition_id").count()) == sorted([(specs[0].id + 50, 2), (7, 1)])
+    for bad in ([(1, "unheard of")], [(1, specs[0].name), (1, specs[1].name)], [(1, specs[0].name), (2, specs[0].name)], [(None, specs[0].name)]):
+        with pytest.raises(ValueError):
+            manifest.resolve(literal_table(spark, bad, "cohort_definition_id long, name string"), specs)
+    assert manifest.resolve(listed.limit(0), specs) == {}
+
+
 def test_manifest_and_concept_set_csv(spark, tmp_path):
     (tmp_path / "m.csv").write_text("atlasId,atlasName,cohortId,name\n5,x,105,dose\n")
     assert rows(tables.read_manifest(spark, str(tmp_path / "m.csv"))) == [(105, "dose")]
