@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from cohortide.plans.specs import Criterion
 from cohortide.sources.literals import literal_table
 from cohortide.sources.cdm import Cdm
 from cohortide.sources.workspace import broadcast_checked, broadcast_hint
 
+#: Codes that are listed for the reader one by one, and ranges that cover them in any case.
+LISTED, TILES = 1000, 16
+
 _CRITERIA = T.StructType(
     [
         T.StructField("criterion_id", T.IntegerType()),
@@ -83,18 +86,33 @@ def _domain_rows(cdm: Cdm, domain: str) -> DataFrame:
     )
 
 
-def _date_floor(criteria: list[Criterion]) -> Column | None:
-    """The latest date bound all criteria share, for the parquet reader to use."""
-    bounds = [c.after or c.not_before for c in criteria]
-    return None if any(b is None for b in bounds) else F.lit(min(bounds))
-
-
-def _in_code_range(edges: dict[str, tuple | None]) -> Column:
-    """Codes between the smallest and the largest wanted one, for the parquet reader to use."""
+def _wanted_codes(lookup: DataFrame, most: int = LISTED, tiles: int = TILES) -> list[Row]:
+    """Of each domain, kind of code and date bound: the wanted codes in at most ``tiles`` ranges, with their list as
+    long as all of them are at most ``most``.  What reaches the driver has a bound, however many codes are wanted.
+    """
+    group = ["domain", "concept", "bound"]
+    codes = lookup.select(*group, "concept_id").distinct()
+    order = Window.partitionBy(*group).orderBy("concept_id")
+    codes = codes.withColumns({"at": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(*group))})
+    codes = codes.withColumn("tile", F.floor(F.col("at") * tiles / F.col("n")))
+    ranges = codes.groupBy(*group, "n", "tile").agg(F.min("concept_id").alias("lo"), F.max("concept_id").alias("hi"), F.collect_list("concept_id").alias("codes"))
+    return ranges.withColumn("codes", F.when(F.col("n") <= most, F.col("codes"))).collect()
+
+
+def _reader_test(wanted: list[Row], domain: str) -> Column:
+    """Rows that some criterion may want, for the parquet reader: the code is listed and in a range of wanted codes, and the
+    date not before the bound of the criteria with that code."""
     test = F.lit(False)
-    for column, edge in edges.items():
-        if edge is not None:
-            test = test | F.col(column).between(*edge)
+    groups: dict[tuple, list[Row]] = {}
+    for r in sorted((r for r in wanted if r["domain"] == domain), key=lambda r: (r["concept"], str(r["bound"]), r["tile"])):
+        groups.setdefault((r["concept"], r["bound"]), []).append(r)
+    for (column, bound), ranges in groups.items():
+        own = F.lit(False)
+        for r in ranges:
+            own = own | F.col(column).between(r["lo"], r["hi"])
+        if ranges[0]["codes"] is not None:
+            own = F.col(column).isin([c for r in ranges for c in r["codes"]]) & own
+        test = test | (own if bound is None else (F.col("start_date") >= F.lit(bound)) & own)
     return test
 
 
@@ -129,7 +147,7 @@ def extract_events(cdm: Cdm, codesets: DataFrame, criteria: list[Criterion]) ->
 
     The criteria become a lookup table keyed by code, broadcast to a single scan of
     each clinical table; a clinical row matching several criteria appears once for each.
-    The range of wanted codes reaches the reader, and so does a date that bounds all criteria.
+    Which codes are wanted, and from which date on, reaches the reader for each criterion.
     """
     rows = [
         (
@@ -149,18 +167,14 @@ def extract_events(cdm: Cdm, codesets: DataFrame, criteria: list[Criterion]) ->
     table = F.broadcast(literal_table(cdm.spark, rows, _CRITERIA))
     lookup = codesets.join(table, "codeset").drop("codeset")
     hint = broadcast_hint(lookup)
-    edges = lookup.groupBy("domain", "concept").agg(F.min("concept_id").alias("lo"), F.max("concept_id").alias("hi"))
-    edges = {(r["domain"], r["concept"]): (r["lo"], r["hi"]) for r in edges.collect()}
+    wanted_codes = _wanted_codes(lookup.withColumn("bound", F.coalesce("after", "not_before")))
     parts = []
     for domain in dict.fromkeys(c.domain for c in criteria):
         own = [c for c in criteria if c.domain == domain]
         kinds = list(dict.fromkeys(c.concept for c in own))
         base = _domain_rows(cdm, domain)
-        floor = _date_floor(own)
-        if floor is not None:
-            base = base.where(F.col("start_date") >= floor)
         wanted = hint(lookup.where(F.col("domain") == domain).drop("domain"))
-        base = base.where(_in_code_range({k: edges.get((domain, k)) for k in kinds}))
+        base = base.where(_reader_test(wanted_codes, domain))
         if len(kinds) == 1:
             coded = base.where(F.col(kinds[0]).isNotNull()).withColumns(
                 {"concept": F.lit(kinds[0]), "concept_id": F.col(kinds[0])}

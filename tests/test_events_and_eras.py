@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import random
+import re
 
 import pytest
 from table_rows import day, rows
@@ -128,3 +130,39 @@ def test_compact_by_day_bounds_rows_per_person(spark):
     days = events.compact_by_day(raw, "criterion_id").where("person_id = 1")
     got = days.agg(F.count("*"), F.sum("n")).first()
     assert tuple(got) == (50, 10_000)
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_membership_and_bounds_reach_the_reader(spark, tmp_path, cdm_of, codes_of, monkeypatch, most):
+    """Codes far apart, each with its own bound: rows of codes between them, or before their own bound, stop at the scan."""
+    drugs = [(code, start) for code in (5, 500, 90_000_000) for start in ("2019-06-01", "2020-06-01", "2021-06-01")] * 3
+    made = cdm_of(drug_exposure=[])
+    names = made.drug_exposure.columns
+    rows_ = [{n: None for n in names} | {"person_id": p % 7, "drug_concept_id": code, "drug_exposure_start_date": day(start)} for p, (code, start) in enumerate(drugs)]
+    table = literal_table(spark, [tuple(r[n] for n in names) for r in rows_], made.drug_exposure.schema)
+    table.write.parquet(f"{tmp_path}/drug")
+    made = dataclasses.replace(made, drug_exposure=spark.read.parquet(f"{tmp_path}/drug"))
+    codes = codes_of(near=[5, 6], far=[90_000_000])
+    criteria = [Criterion("drug_exposure", "near", after=day("2020-01-01")), Criterion("drug_exposure", "far", not_before=day("2021-01-01"))]
+    monkeypatch.setattr(events._wanted_codes, "__defaults__", (most, events.TILES))
+    found = events.extract_events(made, codes, criteria)
+    assert rows(found.groupBy("criterion_id").count()) == [(0, 6), (1, 3)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # else filters are cut in the text of the plan
+    plan = events.extract_events(made, codes, criteria)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", plan)
+    assert any("90000000" in p and "2021-01-01" in p and "2020-01-01" in p for p in pushed)
+    wanted = events._wanted_codes(codes.select(F.lit("drug_exposure").alias("domain"), F.lit("standard").alias("concept"), F.lit(None).cast("date").alias("bound"), "concept_id"), most)
+    assert [(r["lo"], r["hi"]) for r in sorted(wanted, key=lambda r: r["lo"])] == [(5, 5), (6, 6), (90_000_000, 90_000_000)]
+    assert all((r["codes"] is None) == (most == 2) for r in wanted)
+    passing = events._domain_rows(made, "drug_exposure").where(events._reader_test(wanted, "drug_exposure"))
+    assert passing.count() == 18  # none of code 500, though it lies between
+
+
+def test_many_codes_are_covered_by_few_ranges(spark):
+    codes = spark.range(5000).select(F.lit("d").alias("domain"), F.lit("standard").alias("concept"), F.lit(None).cast("date").alias("bound"), (F.col("id") * F.when(F.col("id") < 2500, 1).otherwise(1000)).alias("concept_id"))
+    wanted = events._wanted_codes(codes)
+    assert len(wanted) <= events.TILES and all(r["codes"] is None for r in wanted)
+    spans = sorted((r["lo"], r["hi"]) for r in wanted)
+    assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
+    assert codes.withColumn("standard", F.col("concept_id")).where(events._reader_test(wanted, "d")).count() == 5000
