@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,13 @@ from cohortide.llm.words import WORD, words_sql
 
 by_value(__name__)
 
-#: Shares into which the occurrences of one digest are dealt.
-SALTS = 64
 #: Lines of fewer words are too common to be worth removing: greetings, headings, list marks.
 MIN_WORDS = 20
 #: Bits of the table of digests that occur twice, those that a task packs at once, and words whose numbers it keeps at hand.
 CELLS, PART, CACHE = 1 << 24, 1 << 16, 100_000
 _WORD = re.compile(WORD)
-#: A sentence, or the rest of a line, with the blanks after it.
-_SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?![ \t])[^.!?]*)*(?:[.!?]+[ \t]+|$)")
+#: Ends of lines and sentences, with the blanks after a sentence.
+_END = re.compile(r"\n|[.!?]+[ \t]+")
 
 
 def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
@@ -93,31 +92,32 @@ def pieces(text: str, long: int, cut: Callable[[str], int]) -> list[tuple[int, i
     after each word with a number divisible by 8.  Where a piece ends depends on the words around it alone, so a passage
     is cut alike wherever it stands.
     """
-    out, at = [], 0
-    for line in text.split("\n"):
-        start, held = at, []
-        for sentence in _SENTENCE.finditer(line):
-            found = _WORD.findall(sentence[0])
-            if len(found) >= long:
-                places = [w.start() for w in _WORD.finditer(sentence[0])]
-                done = 0
-                for i in range(len(found) - 1):
-                    if cut(found[i]) % 8 == 0:
-                        end = at + sentence.start() + places[i + 1]
-                        out.append((start, end, held + found[done : i + 1]))
-                        start, held, done = end, [], i + 1
-                found = found[done:]
-            held += found
+    out, held, start, begin, line = [], [], 0, 0, 0
+    for mark in chain(_END.finditer(text), [None]):
+        stop = mark.start() if mark else len(text)
+        ends_line = mark is None or text[stop] == "\n"
+        found = _WORD.findall(text, begin, stop)
+        if len(found) >= long:
+            places = [w.start() for w in _WORD.finditer(text, begin, stop)]
+            done = 0
+            for i in range(len(found) - 1):
+                if cut(found[i]) % 8 == 0:
+                    out.append((start, places[i + 1], held + found[done : i + 1]))
+                    start, held, done = places[i + 1], [], i + 1
+            found = found[done:]
+        held += found
+        if ends_line:
+            if held or start == line:
+                out.append((start, stop, held))
+            elif start < stop:  # marks after the last piece belong to it
+                out[-1] = (out[-1][0], stop, out[-1][2])
+            start = begin = line = stop + 1
+            held = []
+        else:
+            begin = mark.end()
             if found and cut(found[-1]) % 2 == 0:
-                end = at + sentence.end()
-                out.append((start, end, held))
-                start, held = end, []
-        end = at + len(line)
-        if held or start == at:
-            out.append((start, end, held))
-        elif start < end:  # marks after the last piece belong to it
-            out[-1] = (out[-1][0], end, out[-1][2])
-        at = end + 1
+                out.append((start, begin, held))
+                start, held = begin, []
     return out
 
 
@@ -203,15 +203,12 @@ def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
 def repeated_units(units: DataFrame) -> DataFrame:
     """Every unit that another one with its digest comes before, in order of (doc_id, line), null ids last.
 
-    The occurrences of a digest are dealt into shares; each share is reduced before they meet, and
-    the earliest is handed back to the shares, so a line in every document stays spread out.
+    The earliest of a digest is found with what each task has combined, and handed back by a join that Spark
+    splits where a digest is frequent, so a line in every document stays spread out.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text", "line", *[c for c in ("last", "end") if "last" in units.columns])
-    units = units.withColumn("_rank", rank).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_text", "line"), F.lit(SALTS)))
-    shares = units.groupBy("digest", "_salt").agg(F.min("_rank").alias("first"), F.count("*").alias("n"))
-    whole = shares.groupBy("digest").agg(F.min("first").alias("_first"), F.sum("n").alias("n")).filter("n > 1")
-    known = shares.select("digest", "_salt").join(whole.select("digest", "_first"), "digest")
-    return units.join(known, ["digest", "_salt"]).filter(F.col("_rank") != F.col("_first"))
+    first = units.groupBy("digest").agg(F.min(rank).alias("_first"), F.count("*").alias("n")).filter("n > 1")
+    return units.withColumn("_rank", rank).join(first.select("digest", "_first"), "digest").filter(F.col("_rank") != F.col("_first"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
