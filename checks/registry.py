@@ -627,6 +627,7 @@ _add(
     ),
     study_sql.patterns(),
 )
+_add("model_patterns_all_forms", lambda s: s.patterns, study_sql.all_patterns())
 _add(
     "unadjusted_odds_ratios",
     lambda s: _rounded(models.unadjusted_ratios(s.patterns), "or", "or_low", "or_high"),

@@ -501,6 +501,24 @@ def patterns() -> str:
     )
 
 
+def all_patterns() -> str:
+    """Counts of every pattern table: age and sex alone, and each exposure by age and sex and without covariates."""
+    parts = ["SELECT study_id, outcome_id, slice, 'age' AS var, 0 AS value, gender, age, ev FROM sliced"]
+    parts += [
+        f"SELECT study_id, outcome_id, slice, '{var}' AS var, {column} AS value, gender, age, ev FROM sliced"
+        for var, column in variable_columns().items()
+    ]
+    return study(
+        [*FOLLOW_UP, ("sliced", _SLICES), ("long", " UNION ALL ".join(parts))],
+        f"SELECT study_id, outcome_id, slice, var, CASE WHEN grouping(gender) = 1 THEN 'Unadjusted' ELSE 'Adjusted for age and sex' END AS model, "
+        "value, gender, age, count(*) AS n, CAST(sum(ev) AS BIGINT) AS y FROM long "
+        "GROUP BY GROUPING SETS ((study_id, outcome_id, slice, var, value, gender, age), (study_id, outcome_id, slice, var, value)) "
+        f"QUALIFY sum(sum(ev)) OVER (PARTITION BY study_id, outcome_id, slice, var, grouping(gender)) >= {MODEL_EVENTS} "
+        "AND (var = 'age' AND grouping(gender) = 0 OR var <> 'age' "
+        "AND sum(count(*)) FILTER (value = 1) OVER (PARTITION BY study_id, outcome_id, slice, var, grouping(gender)) > 5)",
+    )
+
+
 def _counted() -> dict[str, str]:
     brands = {"index_az": "AZ", "index_jnj": "janssen", "index_pfizer": "pfizer", "index_mrna": "moderna"}
     names = ", ".join(f"({i}, '{n}')" for i, n in d.EXPOSURES.items())

@@ -1,18 +1,25 @@
 """Unpenalised logistic regression on counts of covariate patterns.
 
-Spark holds the patterns and adds up, for all models together, the score and the
-information matrix at the current coefficients; the driver solves one small system per
-model (at most ten coefficients) and starts the next pass.  People never leave Spark.
+Spark counts the patterns and brings those of a model together; a task runs Newton's method to its end, for every
+model in one job.  A model's patterns are bounded by its covariates' values, never by people.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+
+# tasks carry the functions of this module, so that executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: What a task returns for each model; ``beta`` and ``cov`` (by rows) are empty unless it has converged.
+FITTED = "model_id int, n double, status string, steps int, loglik double, beta array<double>, cov array<double>"
 
 
 @dataclass
@@ -51,25 +58,66 @@ class Fit:
         return -2 * self.loglik + len(self.terms) * math.log(self.n)
 
 
-def _step_sums(rows: DataFrame, width: int) -> DataFrame:
-    """Per model: log likelihood, score and upper triangle of the information matrix.
+def newton(x: np.ndarray, n: np.ndarray, y: np.ndarray, first: dict[int, float] | None = None) -> tuple:
+    """Fit counts ``y`` of ``n`` to the columns of ``x``, the first of which is all ones, by Newton's method.
 
-    The linear predictor and the weights are columns of their own, so the sums stay
-    short products; patterns are added up before anything is shuffled.
+    Returns (n, status, steps, log likelihood, coefficients, covariance by rows).  ``first`` may give first
+    values by column, for example from a smaller model.  Counts of a pattern may be spread over several
+    rows, negative corrections among them: every sum is linear in them.
+
+    It goes on until the model is decided, however many passes that takes.  It has converged
+    when no coefficient moves any more.  It is singular when a pivot of its information matrix,
+    scaled to a unit diagonal and so free of the columns' units, vanishes.  It is separated when its
+    likelihood has stopped rising while coefficients still run away.
     """
-    eta = " + ".join(f"b{i} * x{i}" for i in range(width))
-    # log p and log(1 - p) without overflow for large |eta|
-    log_lik = "y * least(eta, 0D) + (n - y) * least(-eta, 0D) - n * log1p(exp(-abs(eta))) AS l"
-    xs = [f"x{i}" for i in range(width)]
-    sums = ["sum(l)", *(f"sum({x} * r)" for x in xs)]
-    sums += [f"sum({xs[i]} * {xs[j]} * w)" for i in range(width) for j in range(i, width)]
-    return (
-        rows.selectExpr("model_id", "n", "y", *xs, f"{eta} AS eta")
-        .selectExpr("model_id", "n", "y", *xs, "eta", "1 / (1 + exp(-eta)) AS p")
-        .selectExpr("model_id", *xs, "n * p * (1 - p) AS w", "y - n * p AS r", log_lik)
-        .groupBy("model_id")
-        .agg(F.expr(f"array({', '.join(sums)}) AS sums"))
-    )
+    total, cases = float(n.sum()), float(y.sum())
+    if not 0 < cases < total:
+        return total, "no data", 0, math.nan, [], []
+    beta = np.zeros(x.shape[1])
+    beta[0] = math.log(cases / (total - cases))
+    for i, value in (first or {}).items():
+        beta[i] = value
+    last, best, scale, steps, halved, flat = beta, -math.inf, None, 0, 0, 0
+    while True:
+        eta = x @ beta
+        # log p and log(1 - p) without overflow for large |eta|
+        tail = np.exp(-np.abs(eta))
+        loglik = float(np.sum(y * np.minimum(eta, 0) + (n - y) * np.minimum(-eta, 0) - n * np.log1p(tail)))
+        steps += 1
+        # a step that overshoots is halved until it is too short to be one
+        if loglik < best - 1e-9 * (1 + abs(best)) and halved < 50:
+            beta, halved = (beta + last) / 2, halved + 1
+            continue
+        p = np.where(eta >= 0, 1, tail) / (1 + tail)
+        info = x.T @ (x * (n * p * (1 - p))[:, None])
+        cov = scaled_inverse(info)
+        if cov is None:  # only a model that runs away loses pivots on its way
+            return total, "singular" if steps == 1 else "separated", steps, math.nan, [], []
+        step = cov @ (x.T @ (y - n * p))
+        if scale is None:
+            scale = np.sqrt(np.diag(info) / info[0, 0])
+        move = np.max(np.abs(step) * scale)  # on the linear predictor, whatever the columns' units
+        flat = flat + 1 if loglik - best < 1e-9 * (1 + abs(loglik)) else 0
+        if move < 1e-9 or (flat >= 3 and move < 1e-5):
+            return total, "converged", steps, loglik, beta.tolist(), cov.ravel().tolist()
+        if flat >= 3:
+            return total, "separated", steps, math.nan, [], []
+        last, best, halved, beta = beta, loglik, 0, beta + step
+
+
+def fits_of(fitted: DataFrame, terms: dict[int, list[str]]) -> dict[int, Fit]:
+    """Bring the fits, a few numbers for each model, to the driver; models without any row have no data."""
+    found = {r["model_id"]: r for r in fitted.collect()}
+    fits = {}
+    for m, names in terms.items():
+        k, r = len(names), found.get(m)
+        if r is not None and r["status"] == "converged":
+            beta, cov = np.array(r["beta"]), np.array(r["cov"]).reshape(k, k)
+            fits[m] = Fit(names, beta, cov, r["loglik"], r["n"], "converged", r["steps"])
+            continue
+        n, status, steps = (r["n"], r["status"], r["steps"]) if r is not None else (0, "no data", 0)
+        fits[m] = Fit(names, np.full(k, np.nan), np.full((k, k), np.nan), math.nan, n, status, steps)
+    return fits
 
 
 def fit_models(
@@ -78,79 +126,21 @@ def fit_models(
     slots: list[str],
     start: dict[int, dict[str, float]] | None = None,
 ) -> dict[int, Fit]:
-    """Fit every model in ``patterns`` (model_id, x0.., n, y) by Newton's method.
-
-    ``slots`` names the columns x0.., ``terms`` the slots each model uses; ``start``
-    may give first values, for example from a smaller model.
+    """Fit every model in ``patterns`` (model_id, x0.., n, y), a task at a time each.
 
-    Every model goes on until it is decided, however many passes that takes.  It has converged
-    when no coefficient moves any more.  It is singular when a pivot of its information matrix,
-    scaled to a unit diagonal and so free of the columns' units, vanishes.  It is separated when its
-    likelihood has stopped rising while coefficients still run away.
+    ``slots`` names the columns x0.., ``terms`` the slots each model uses, a column of ones first; ``start``
+    may give first values.  All rows of a model meet in one task, so they should be counts.
     """
-    spark, width = patterns.sparkSession, len(slots)
-    totals = {
-        r["model_id"]: (r["n"], r["y"])
-        for r in patterns.groupBy("model_id").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).collect()
-    }
-    state: dict[int, dict] = {}
-    for m, (n, y) in totals.items():
-        beta = np.zeros(width)
-        if 0 < y < n:
-            beta[0] = math.log(y / (n - y))
-            for term, value in (start or {}).get(m, {}).items():
-                beta[slots.index(term)] = value
-            state[m] = {"beta": beta, "last": beta, "ll": -math.inf, "steps": 0, "halved": 0, "flat": 0}
-    fits: dict[int, Fit] = {}
-    ended: dict[int, tuple[str, int]] = {}
-    while state:
-        # One row of coefficients per model still being fitted.
-        columns = {"model_id": pa.array(list(state), pa.int32())}
-        columns |= {f"b{i}": [float(s["beta"][i]) for s in state.values()] for i in range(width)}
-        now = F.broadcast(spark.createDataFrame(pa.table(columns)))
-        done = []
-        for r in _step_sums(patterns.join(now, "model_id"), width).collect():
-            m, s = r["model_id"], state[r["model_id"]]
-            at = [slots.index(t) for t in terms[m]]
-            loglik, sums = r["sums"][0], np.array(r["sums"][1:])
-            s["steps"] += 1
-            # a step that overshoots is halved until it is too short to be one
-            if loglik < s["ll"] - 1e-9 * (1 + abs(s["ll"])) and s["halved"] < 50:
-                s["beta"], s["halved"] = (s["beta"] + s["last"]) / 2, s["halved"] + 1
-                continue
-            full = np.zeros((width, width))
-            full[np.triu_indices(width)] = sums[width:]
-            info = (full + np.triu(full, 1).T)[np.ix_(at, at)]
-            score = sums[:width][at]
-            cov = scaled_inverse(info)
-            if cov is None:  # only a model that runs away loses pivots on its way
-                ended[m] = ("singular" if s["steps"] == 1 else "separated", s["steps"])
-                done.append(m)
-                continue
-            step = cov @ score
-            s.setdefault("scale", np.sqrt(np.diag(info) / info[0, 0]))
-            move = np.max(np.abs(step) * s["scale"])  # on the linear predictor, whatever the columns' units
-            s["flat"] = s["flat"] + 1 if loglik - s["ll"] < 1e-9 * (1 + abs(loglik)) else 0
-            if move < 1e-9 or (s["flat"] >= 3 and move < 1e-5):
-                fits[m] = Fit(terms[m], s["beta"][at], cov, loglik, totals[m][0], "converged", s["steps"])
-                done.append(m)
-                continue
-            if s["flat"] >= 3:
-                ended[m] = ("separated", s["steps"])
-                done.append(m)
-                continue
-            s["last"], s["ll"], s["halved"] = s["beta"].copy(), loglik, 0
-            s["beta"] = s["beta"].copy()
-            s["beta"][at] += step
-        for m in done:
-            del state[m]
-    for m in terms:
-        if m not in fits:
-            k = len(terms[m])
-            n = totals.get(m, (0, 0))[0]
-            status, steps = ended.get(m, ("no data", 0))
-            fits[m] = Fit(terms[m], np.full(k, np.nan), np.full((k, k), np.nan), math.nan, n, status, steps)
-    return fits
+    places = {m: [slots.index(t) for t in names] for m, names in terms.items()}
+    first = {m: {terms[m].index(t): v for t, v in given.items()} for m, given in (start or {}).items()}
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        m = int(rows["model_id"].iloc[0])
+        x = rows[[f"x{i}" for i in places[m]]].to_numpy(float)
+        got = newton(x, rows["n"].to_numpy(float), rows["y"].to_numpy(float), first.get(m))
+        return pd.DataFrame([(m, *got)], columns=["model_id", "n", "status", "steps", "loglik", "beta", "cov"])
+
+    return fits_of(patterns.groupBy("model_id").applyInPandas(fit, FITTED), terms)
 
 
 def scaled_inverse(info: np.ndarray, least: float = 1e-10) -> np.ndarray | None:
@@ -183,8 +173,8 @@ def spline_sql(age: str, k1: str, k2: str, k3: str) -> str:
     )
 
 
-def spline_value(age: float, knots: tuple[float, float, float]) -> float:
-    """The same term for a number."""
+def spline_value(age, knots: tuple[float, float, float]):
+    """The same term for a number or an array."""
     k1, k2, k3 = knots
-    cube = [max(age - k, 0.0) ** 3 for k in knots]
+    cube = [np.maximum(age - k, 0.0) ** 3 for k in knots]
     return (cube[0] - cube[1] * (k3 - k1) / (k3 - k2) + cube[2] * (k2 - k1) / (k3 - k2)) / (k3 - k1) ** 2

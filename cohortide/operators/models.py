@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import math
+import sys
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortide.functions.tails import Z95, chi2_tail
-from cohortide.operators.covariates import COVID_FLAG
-from cohortide.operators.followup import PAIR, count_cells
-from cohortide.operators.logistic import Fit, fit_models, spline_sql, spline_value
+from cohortide.operators.followup import PAIR
+from cohortide.operators.logistic import FITTED, Fit, fit_models, fits_of, newton, spline_sql, spline_value
+from cohortide.operators.population import PERSON_KEY
 from cohortide.operators.survival import slices
 from cohortide.plans import definitions as d
-from cohortide.sources.literals import literal_table
-from cohortide.sources.workspace import Workspace
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SLICE = [*PAIR, "slice"]
-SLOTS = ["one", "value", "age", "spline", "male", "months", "mid", "old", "mid_male", "old_male"]
+SLOTS = ["one", "value", "age", "spline", "male", "mid", "old", "mid_male", "old_male"]
 REFERENCE_AGE = 65
 AGES = tuple(range(20, 91, 5))
 UNADJUSTED, BY_AGE = "Unadjusted", "Adjusted for age"
@@ -34,69 +39,98 @@ def variable_columns() -> dict[str, str]:
     return {v: f"{v}_all_history" if v in d.CONDITIONS else v for v in d.MODEL_VARIABLES}
 
 
-def joint_cells(
-    pop: DataFrame, facts: DataFrame, pairs: DataFrame, work: Workspace | None = None, min_events: int = 30
-) -> DataFrame:
-    """Counts (n, y) per slice by sex, age, months since start and exposures.
+def _cubes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add up (n, y) once for each exposure: by its value, sex, age and months, exposure 0 being none.
 
-    The exposures are bits of ``mask``.  Only slices with enough events are kept; they
-    are at most study cohorts times outcomes times three.
+    An exposure's cells are at most two values by sexes, ages and days, however many people there are;
+    the joint table of all exposures would have nearly a cell per person.
     """
-    mask = " + ".join(f"{column} * {1 << i}" for i, column in enumerate(variable_columns().values()))
-    profile = {
-        "gender": F.col("gender"),
-        "age": F.col("age"),
-        "months": F.col("months_since_start"),
-        "mask": F.expr(f"CAST({mask} AS INT)"),
-        COVID_FLAG: F.col(COVID_FLAG),
-    }
-    counts = count_cells(pop, facts, pairs, profile, by_day=False)
-    counts = counts.groupBy(*PAIR, *profile).agg(F.sum("n").alias("n"), F.expr("sum(n * event)").alias("y"))
-    counts = work.keep(counts, "counts", None) if work else counts
-    sliced = counts.withColumn("slice", F.explode(slices()))
-    busy = sliced.groupBy(*SLICE).agg(F.sum("y").alias("events")).where(F.col("events") >= min_events)
+    forms = ["struct(0 AS v, 0 AS value)"]
+    forms += [f"struct({i} AS v, shiftright(mask, {i - 1}) & 1 AS value)" for i in range(1, len(variable_columns()) + 1)]
+    cell = ["gender", "age", "months"]
     return (
-        sliced.join(F.broadcast(busy.select(*SLICE)), SLICE)
-        .groupBy(*SLICE, "gender", "age", "months", "mask")
+        rows.select(*keys, *cell, "n", "y", F.expr(f"inline(array({', '.join(forms)}))"))
+        .groupBy(*keys, "v", "value", *cell)
         .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     )
 
 
-def covariate_patterns(cells: DataFrame, min_exposed: int = 5) -> DataFrame:
+def _people(pop: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What the models know of each person of the open pairs' study cohorts, once per slice."""
+    mask = " + ".join(f"{column} * {1 << i}" for i, column in enumerate(variable_columns().values()))
+    studies = F.broadcast(pairs.select("study_id").distinct())
+    return pop.join(studies, "study_id", "left_semi").select(
+        *PERSON_KEY,
+        F.explode(slices()).alias("slice"),
+        "gender",
+        "age",
+        F.col("months_since_start").alias("months"),
+        F.expr(f"CAST({mask} AS INT) AS mask"),
+    )
+
+
+def exposure_cubes(pop: DataFrame, pairs: DataFrame) -> DataFrame:
+    """People per study cohort and slice as if nobody had an outcome, by exposure: see ``_cubes``."""
+    rows = _people(pop, pairs).withColumns({"n": F.lit(1), "y": F.lit(0)})
+    return _cubes(rows, ["study_id", "slice"]).drop("y")
+
+
+def outcome_changes(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What each outcome changes in the cubes: people with washout leave (n = -1), cases count (y = 1)."""
+    known = (
+        facts.where(F.col("washout") | F.col("event_date").isNotNull())
+        .join(F.broadcast(pairs.select(*PAIR)), PAIR)
+        .select(*PAIR, "person_id", "washout")
+        .join(_people(pop, pairs), PERSON_KEY)
+    )
+    gone = F.col("washout")
+    moves = {"n": F.when(gone, -1).otherwise(0), "y": F.when(gone, 0).otherwise(1)}
+    return _cubes(known.withColumns(moves), SLICE)
+
+
+def covariate_patterns(
+    cubes: DataFrame, changes: DataFrame, min_events: int = 30, min_exposed: int = 5
+) -> DataFrame:
     """Counts (n, y) by covariate pattern for age and sex, and for each exposure.
 
-    Per exposure there is a pattern table without covariates and one by age and sex,
+    Only slices with ``min_events`` events are kept; they are at most study cohorts times outcomes times
+    three.  Per exposure there is a pattern table without covariates and one by age and sex,
     if more than ``min_exposed`` people have it.  All of them are small.
     """
     names = ["age", *variable_columns()]
-    exposed = [F.expr(f"sum(n * (shiftright(mask, {i}) & 1)) AS e{i + 1}") for i in range(len(names) - 1)]
-    sizes = cells.groupBy(*SLICE).agg(F.sum("y").alias("events"), *exposed)
-    forms = ["struct(0 AS v, 1 AS form, true AS shown, 0 AS value, gender AS sex, age AS years)"]
-    for i in range(1, len(names)):
-        for form, columns in enumerate(("CAST(NULL AS STRING) AS sex, CAST(NULL AS INT) AS years", "gender AS sex, age AS years")):
-            forms.append(
-                f"struct({i} AS v, {form} AS form, e{i} > {min_exposed} AS shown, "
-                f"shiftright(mask, {i - 1}) & 1 AS value, {columns})"
-            )
-    # Months do not matter here, which shrinks the cells before they are spread.
-    merged = cells.groupBy(*SLICE, "gender", "age", "mask").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-    spread = (
-        merged.join(F.broadcast(sizes), SLICE)
-        .select(*SLICE, "n", "y", F.expr(f"inline(array({', '.join(forms)}))"))
-        .where("shown")
-        .groupBy(*SLICE, "v", "form", "value", "sex", "years")
-        .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    pattern = ["v", "value", "gender", "age"]
+    # months do not matter here, which shrinks the cubes before outcomes multiply them
+    base = cubes.groupBy("study_id", "slice", *pattern).agg(F.sum("n").alias("n"))
+    moved = changes.groupBy(*SLICE, *pattern).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    busy = moved.where("v = 0").groupBy(*SLICE).agg(F.sum("y").alias("events")).where(F.col("events") >= min_events)
+    busy = F.broadcast(busy.select(*SLICE))
+    columns = [*SLICE, *pattern, "n", "y"]
+    every = base.join(busy, ["study_id", "slice"]).withColumn("y", F.lit(0).cast("long")).select(*columns)
+    every = every.unionByName(moved.join(busy, SLICE).select(*columns))
+    by_age_sex = every.groupBy(*SLICE, *pattern).agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where("n > 0")
+    exposed = F.sum(F.col("n") * F.col("value")).over(Window.partitionBy(*SLICE, "v"))  # at most values by sexes by ages
+    forms = (
+        "struct(0 AS form, CAST(NULL AS STRING) AS sex, CAST(NULL AS INT) AS years)",
+        "struct(1 AS form, gender AS sex, age AS years)",
     )
     quoted = ", ".join(f"'{n}'" for n in names)
-    return spread.select(
-        *SLICE,
-        F.expr(f"element_at(array({quoted}), v + 1) AS var"),
-        F.expr(f"element_at(array('{UNADJUSTED}', '{BY_AGE_SEX}'), form + 1) AS model"),
-        "value",
-        F.col("sex").alias("gender"),
-        F.col("years").alias("age"),
-        "n",
-        "y",
+    return (
+        by_age_sex.withColumn("exposed", exposed)
+        .where((F.col("v") == 0) | (F.col("exposed") > min_exposed))
+        .select(*SLICE, "v", "value", "n", "y", F.expr(f"inline(array({', '.join(forms)}))"))
+        .where("v > 0 OR form = 1")
+        .groupBy(*SLICE, "v", "form", "value", "sex", "years")
+        .agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+        .select(
+            *SLICE,
+            F.expr(f"element_at(array({quoted}), v + 1) AS var"),
+            F.expr(f"element_at(array('{UNADJUSTED}', '{BY_AGE_SEX}'), form + 1) AS model"),
+            "value",
+            F.col("sex").alias("gender"),
+            F.col("years").alias("age"),
+            "n",
+            "y",
+        )
     )
 
 
@@ -113,41 +147,25 @@ class _Job:
     gender: str | None = None
 
 
-def _fit(
-    cells: DataFrame,
-    patterns: DataFrame,
-    jobs: list[_Job],
-    work: Workspace | None,
-    start: dict[tuple, Fit] | None = None,
-) -> dict[tuple, Fit]:
-    """Fit all jobs together.
+def _job_table(spark: SparkSession, jobs: list[_Job], columns: dict[str, list], types: dict) -> DataFrame:
+    """A row per model, as an Arrow table: model_id, its slice and ``columns``."""
+    table = {"model_id": pa.array(range(len(jobs)), pa.int32())}
+    for i, (name, kind) in enumerate(zip(SLICE, (pa.int32(), pa.int32(), pa.string()), strict=True)):
+        table[name] = pa.array([j.slice[i] for j in jobs], kind)
+    table |= {name: pa.array(values, types.get(name)) for name, values in columns.items()}
+    return spark.createDataFrame(pa.table(table))
 
-    Models with calendar time read the joint cells, picking their exposure from the
-    bit mask during each pass, so nothing as large as people times models is stored.
-    All others read the small pattern tables, whose features are kept between passes.
-    """
+
+def _fit(patterns: DataFrame, jobs: list[_Job]) -> dict[tuple, Fit]:
+    """Fit all models without calendar time in one job, from the small pattern tables."""
     if not jobs:
         return {}
     slots = [t for t in SLOTS if any(t in j.terms for j in jobs)]
-    bit = {v: i for i, v in enumerate(variable_columns())}
-    rows = [
-        (
-            i,
-            *j.slice,
-            j.var,
-            j.model,
-            j.gender,
-            bit.get(j.var),
-            *(float(k) for k in (j.knots or (0.0, 1.0, 2.0))),
-            *(t in j.terms for t in slots),
-        )
-        for i, j in enumerate(jobs)
-    ]
-    schema = (
-        "model_id int, study_id int, outcome_id int, slice string, var string, model string, only string, bit int, "
-        "k1 double, k2 double, k3 double, " + ", ".join(f"use_{t} boolean" for t in slots)
-    )
-    table = literal_table(patterns.sparkSession, rows, schema)
+    columns = {"var": [j.var for j in jobs], "model": [j.model for j in jobs], "only": [j.gender for j in jobs]}
+    for i in range(3):
+        columns[f"k{i + 1}"] = [float((j.knots or (0.0, 1.0, 2.0))[i]) for j in jobs]
+    columns |= {f"use_{t}": [t in j.terms for j in jobs] for t in slots}
+    table = _job_table(patterns.sparkSession, jobs, columns, {"only": pa.string()})
     male = "CAST(gender = 'Male' AS DOUBLE)"
     mid, old = "CAST(age BETWEEN 45 AND 64 AS DOUBLE)", "CAST(age >= 65 AS DOUBLE)"
     values = {
@@ -156,31 +174,67 @@ def _fit(
         "age": f"(age - {REFERENCE_AGE}) / 10D",
         "spline": spline_sql("age", "k1", "k2", "k3"),
         "male": male,
-        "months": "months",
         "mid": mid,
         "old": old,
         "mid_male": f"{mid} * {male}",
         "old_male": f"{old} * {male}",
     }
     columns = [f"CASE WHEN use_{t} THEN {values[t]} ELSE 0D END AS x{i}" for i, t in enumerate(slots)]
-    small = (
-        patterns.withColumn("months", F.lit(None).cast("double"))
-        .join(F.broadcast(table.where(F.col("model") != BY_TIME)), [*SLICE, "var", "model"])
+    features = (
+        patterns.join(F.broadcast(table), [*SLICE, "var", "model"])
         .where("only IS NULL OR only = gender")
+        .selectExpr("model_id", "n", "y", *columns)
     )
-    timed = cells.join(F.broadcast(table.where(F.col("model") == BY_TIME)), SLICE).withColumn(
-        "value", F.expr("shiftright(mask, bit) & 1")
-    )
-    features = []
-    if any(j.model != BY_TIME for j in jobs):
-        rows = small.selectExpr("model_id", "n", "y", *columns)
-        features.append(work.keep(rows, "features", None) if work else rows)
-    if any(j.model == BY_TIME for j in jobs):
-        features.append(timed.selectExpr("model_id", "n", "y", *columns))
-    features = features[0] if len(features) == 1 else features[0].unionByName(features[1])
-    first = {i: start[(j.slice, j.name)] for i, j in enumerate(jobs)} if start else {}
-    first = {i: dict(zip(f.terms, f.beta)) for i, f in first.items() if f.converged}
-    found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, slots, first)
+    found = fit_models(features, {i: j.terms for i, j in enumerate(jobs)}, slots)
+    return {(j.slice, j.name): found[i] for i, j in enumerate(jobs)}
+
+
+def _fit_timed(cubes: DataFrame, changes: DataFrame, jobs: list[_Job], start: dict[tuple, Fit]) -> dict[tuple, Fit]:
+    """Fit all models with calendar time in one job, from the cubes.
+
+    A task gets the cube of one study cohort, slice and exposure, once for all outcomes, and what each
+    outcome changes in it.  The changes follow the cube as signed rows; both are bounded by values, sexes, ages and days.
+    """
+    if not jobs:
+        return {}
+    numbers = {v: i + 1 for i, v in enumerate(variable_columns())}
+    table = F.broadcast(_job_table(cubes.sparkSession, jobs, {"v": [numbers[j.var] for j in jobs]}, {"v": pa.int32()}))
+    cell = [
+        F.col("value").cast("double").alias("value"),
+        (F.col("gender") == "Male").cast("double").alias("male"),
+        F.col("age").cast("double").alias("age"),
+        F.col("months").cast("double").alias("months"),
+        F.col("n").cast("double").alias("n"),
+    ]
+    cube = ["study_id", "slice", "v"]
+    base = cubes.join(table.select(*cube).distinct(), cube, "left_semi").select(*cube, *cell)
+    keys = [F.col(c).alias(c) for c in cube]  # columns of its own, as both sides may come from one table
+    moved = changes.join(table, [*SLICE, "v"]).select(*keys, "model_id", *cell, F.col("y").cast("double").alias("y"))
+    wanted = []
+    for j in jobs:
+        known = start[(j.slice, j.name)]
+        first = dict(zip((j.terms.index(t) for t in known.terms), known.beta.tolist(), strict=True))
+        wanted.append((j.terms, j.knots, first if known.converged else None))
+
+    def design(cells: pd.DataFrame, terms: list[str], knots: tuple | None) -> np.ndarray:
+        age = cells["age"].to_numpy()
+        values = {"one": np.ones(len(cells)), "age": (age - REFERENCE_AGE) / 10}
+        values |= {name: cells[name].to_numpy() for name in ("value", "male", "months")}
+        if knots:
+            values["spline"] = spline_value(age, knots)
+        return np.column_stack([values[t] for t in terms])
+
+    def fit(base: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+        out, n = [], base["n"].to_numpy()
+        for m, own in moved.groupby("model_id"):
+            terms, knots, first = wanted[m]
+            x = np.vstack([design(base, terms, knots), design(own, terms, knots)])
+            y = np.concatenate([np.zeros(len(base)), own["y"].to_numpy()])
+            out.append((m, *newton(x, np.concatenate([n, own["n"].to_numpy()]), y, first)))
+        return pd.DataFrame(out, columns=["model_id", "n", "status", "steps", "loglik", "beta", "cov"])
+
+    fitted = base.groupBy(*cube).cogroup(moved.groupBy(*cube)).applyInPandas(fit, FITTED)
+    found = fits_of(fitted, {i: j.terms for i, j in enumerate(jobs)})
     return {(j.slice, j.name): found[i] for i, j in enumerate(jobs)}
 
 
@@ -212,9 +266,9 @@ def _ratio(fit: Fit | None, weights: dict[str, float]) -> tuple:
 
 
 def odds_ratios(
-    cells: DataFrame, patterns: DataFrame, interaction_test: str = "total", work: Workspace | None = None
+    cubes: DataFrame, changes: DataFrame, patterns: DataFrame, interaction_test: str = "total"
 ) -> DataFrame:
-    """All odds ratios of the study; cells and patterns are read often and should be kept tables.
+    """All odds ratios of the study; cubes, changes and patterns are read often and should be kept tables.
 
     First the linear and spline age models and the age group by sex model of every
     slice are fitted together; they decide the form of age and whether age is reported
@@ -234,7 +288,7 @@ def odds_ratios(
     )
     dated = {
         (r["study_id"], r["outcome_id"], r["slice"])
-        for r in cells.where(F.col("months").isNotNull()).select(*SLICE).distinct().collect()
+        for r in changes.where(F.col("months").isNotNull()).select(*SLICE).distinct().collect()
     }
     totals = {(r["study_id"], r["outcome_id"], r["slice"]): (r["n"], r["y"]) for r in heads if r["var"] == "age"}
     knots = _knots(patterns)
@@ -250,7 +304,7 @@ def odds_ratios(
         if usable_knots(s):
             jobs.append(_Job(s, "spline", "age", BY_AGE_SEX, ["one", "age", "spline"], usable_knots(s)))
         jobs.append(_Job(s, "crossed", "age", BY_AGE_SEX, ["one", *crossed]))
-    first = _fit(cells, patterns, jobs, work)
+    first = _fit(patterns, jobs)
 
     curved, by_sex = {}, {}
     for s in totals:
@@ -292,10 +346,10 @@ def odds_ratios(
             job = _Job(s, f"{r['var']}|{model}", r["var"], model, terms, k)
             (exposures if finite else hopeless).append(job)
     jobs += [j for j in exposures if j.model != BY_TIME]
-    second = _fit(cells, patterns, jobs, work)
+    second = _fit(patterns, jobs)
     timed = [j for j in exposures if j.model == BY_TIME]
     known = {(j.slice, j.name): second[(j.slice, f"{j.var}|{BY_AGE_SEX}")] for j in timed}
-    second |= _fit(cells, patterns, timed, work, known)
+    second |= _fit_timed(cubes, changes, timed, known)
 
     rows = []
     for s, (n, y) in totals.items():

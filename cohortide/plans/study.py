@@ -223,17 +223,21 @@ class Study:
         return survival.kaplan_meier(survival.reportable(self.curve_counts), survival.CURVE)
 
     @cached_property
-    def cells(self) -> DataFrame:
-        rows = models.joint_cells(self.population, self.facts, self.pairs, self.work, self.min_events)
-        return self.work.keep(rows, "cells", None)
+    def cubes(self) -> DataFrame:
+        return self.work.keep(models.exposure_cubes(self.population, self.pairs), "cubes", None)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return self.work.keep(models.outcome_changes(self.population, self.facts, self.pairs), "changes", None)
 
     @cached_property
     def patterns(self) -> DataFrame:
-        return self.work.keep(models.covariate_patterns(self.cells, self.min_exposed), "patterns", None)
+        rows = models.covariate_patterns(self.cubes, self.changes, self.min_events, self.min_exposed)
+        return self.work.keep(rows, "patterns", None)
 
     @cached_property
     def odds_ratios(self) -> DataFrame:
-        return models.odds_ratios(self.cells, self.patterns, self.interaction_test, self.work)
+        return models.odds_ratios(self.cubes, self.changes, self.patterns, self.interaction_test)
 
     @cached_property
     def characteristics(self) -> DataFrame:

@@ -9,6 +9,7 @@ from table_rows import rows
 from pyspark.sql import functions as F
 
 from cohortide.functions.tails import Z95, chi2_tail
+from cohortide.operators.covariates import COVID_FLAG
 from cohortide.operators import logistic, models, summaries, survival
 from cohortide.operators.covariates import COVID_FLAG
 from cohortide.plans import definitions as d
@@ -128,9 +129,17 @@ def cells(spark):
     return literal_table(spark, data, schema)
 
 
+def split(cells):
+    """Cells as cubes, changes and patterns."""
+    cubes = models._cubes(cells.withColumn("y", F.lit(0)), ["study_id", "slice"]).drop("y").persist()
+    changes = models._cubes(cells.withColumn("n", F.lit(0)), models.SLICE).persist()
+    return cubes, changes, models.covariate_patterns(cubes, changes).persist()
+
+
 def test_odds_ratios_end_to_end(spark, cells):
-    patterns = models.covariate_patterns(cells).persist()
-    got = {(r["var"], r["model"], r["gender"], r["rel_age"]): r for r in models.odds_ratios(cells, patterns).collect()}
+    cubes, changes, patterns = split(cells)
+    results = models.odds_ratios(cubes, changes, patterns).collect()
+    got = {(r["var"], r["model"], r["gender"], r["rel_age"]): r for r in results}
     closed = {r["var"]: r for r in models.unadjusted_ratios(patterns).collect()}
     for var in ("asthma", "diabetes_mellitus", "Sex (Male:Female)"):
         fitted = got[var, models.UNADJUSTED, None, None]
@@ -147,19 +156,69 @@ def test_odds_ratios_end_to_end(spark, cells):
     assert straight  # age was taken as linear, as in the numpy fit
     assert adjusted["or"] == pytest.approx(math.exp(beta[1]), rel=1e-6)
     assert adjusted["or_high"] == pytest.approx(math.exp(beta[1] + Z95 * math.sqrt(cov[1, 1])), rel=1e-6)
-    only = models.odds_ratios(cells, patterns, interaction_test="interaction")
+    only = models.odds_ratios(cubes, changes, patterns, interaction_test="interaction")
     ages = {(r["gender"], r["rel_age"]): r["or"] for r in only.where("var = 'Age'").collect()}
     assert len(ages) == 30
 
 
 def test_empty_cell_gives_null(spark, cells):
     none = cells.withColumn("y", F.expr("CASE WHEN mask & 2 = 0 THEN y ELSE 0L END"))
-    patterns = models.covariate_patterns(none).persist()
-    row = models.odds_ratios(none, patterns).where("var = 'diabetes_mellitus'").collect()
+    cubes, changes, patterns = split(none)
+    row = models.odds_ratios(cubes, changes, patterns).where("var = 'diabetes_mellitus'").collect()
     assert len(row) == 3 and all(r["or"] is None and r["status"] == "separated" for r in row)
     assert models.unadjusted_ratios(patterns).where("var = 'diabetes_mellitus'").first()["or"] is None
 
 
+def test_cubes_do_not_grow_with_people(spark):
+    columns = list(models.variable_columns().values())
+    bits = {c: F.expr(f"shiftright(mask, {i}) & 1") for i, c in enumerate(columns)}
+    pairs = literal_table(spark, [(102, 302), (102, 303)], "study_id int, outcome_id int")
+    sizes = []
+    for people in (20_000, 60_000):
+        rnd = spark.range(people).selectExpr(
+            "102 AS study_id", "id AS person_id", "if(id % 2 = 0, 'Male', 'Female') AS gender",
+            "CAST(20 + id % 7 AS INT) AS age", "id % 5 / 30D AS months_since_start",
+            f"CAST(pmod(xxhash64(id, 1), 2) AS INT) AS {COVID_FLAG}", f"CAST(pmod(xxhash64(id, 2), {1 << len(columns)}) AS INT) AS mask",
+        ).withColumns(bits)
+        cubes = models.exposure_cubes(rnd, pairs).persist()
+        sizes.append(cubes.count())
+        assert cubes.where("slice = 'All'").groupBy("v").agg(F.sum("n").alias("n")).select("n").distinct().first().n == people
+    assert sizes[0] == sizes[1] == 3 * 70 * (1 + 2 * len(columns))
+
+
+def test_changes_correct_the_cubes(spark):
+    columns = list(models.variable_columns().values())
+    pop = spark.range(200).selectExpr(
+        "102 AS study_id", "id AS person_id", "if(id % 3 = 0, 'Male', 'Female') AS gender", "CAST(30 + id % 4 AS INT) AS age",
+        "id % 2 / 2D AS months_since_start", f"CAST(id % 5 = 0 AS INT) AS {COVID_FLAG}", *(f"CAST(id % {i + 2} = 0 AS INT) AS {c}" for i, c in enumerate(columns)))
+    facts = spark.range(0, 200, 7).selectExpr(
+        "102 AS study_id", "302 AS outcome_id", "id AS person_id", "id % 3 = 0 AS washout", "if(id % 2 = 0, DATE'2021-01-05', NULL) AS event_date")
+    pairs = literal_table(spark, [(102, 302)], "study_id int, outcome_id int")
+    patterns = models.covariate_patterns(models.exposure_cubes(pop, pairs), models.outcome_changes(pop, facts, pairs), 1, 0)
+    people = pop.join(facts.drop("study_id"), "person_id", "left").where("washout IS NULL OR NOT washout")
+    for i, (var, column) in enumerate(models.variable_columns().items()):
+        for slice, where in (("All", "true"), ("Covid", f"{COVID_FLAG} = 1")):
+            want = people.where(where).groupBy(F.col(column).alias("value"), "gender", "age").agg(
+                F.count("*").alias("n"), F.count("event_date").alias("y"))
+            own = (F.col("var") == var) & (F.col("slice") == slice) & (F.col("model") == models.BY_AGE_SEX)
+            have = patterns.where(own).select("value", "gender", "age", "n", "y")
+            if i % 4 == 0:
+                assert sorted(map(tuple, have.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_jobs_do_not_grow_with_passes(spark):
+    def jobs(rows, name):
+        df = literal_table(spark, rows, "model_id int, x0 double, x1 double, n long, y long")
+        spark.sparkContext.setJobGroup(name, name)
+        fits = logistic.fit_models(df, {1: ["one", "x"]}, ["one", "x"])
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)), fits[1].steps
+
+    few = jobs([(1, 1.0, 0.0, 50, 10), (1, 1.0, 1.0, 20, 4)], "few passes")
+    many = jobs([(1, 1.0, 0.0, 50, 10), (1, 1.0, 1.0, 20, 0)], "many passes")
+    assert many[1] > 3 * few[1] and many[0] == few[0]
+
+
 def test_small_counts_are_hidden(spark):
     data = [("n", n, 100) for n in (0, 1, 4, 5)] + [("asthma_all_history", n, 100) for n in (0, 1, 4, 5)]
     table = literal_table(spark, data, "var string, n long, total long").selectExpr(
