@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortide.operators import concepts, events as ev
 from cohortide.operators.population import PERSON_KEY
@@ -101,33 +101,31 @@ def recent_flags(
 ) -> DataFrame:
     """0/1 columns for drugs 183 to 4 days before the index and infection in the year up to it.
 
-    ``medications`` are masks by person and day; infections add one more bit.  The join
-    with the index dates carries one row per day and study cohort, and flags are an OR
-    of masks.
+    ``medications`` are masks by person and day.  Index dates and days of a person pass by in one order of
+    dates, and each index date reads the last day so far of every drug and of infection: the work is linear
+    in days and index dates, whoever has how many.
     """
-    covid_bit = 1 << len(tops)
+    people = pop.select("person_id").distinct()
+    last = {name: F.expr(f"CASE WHEN mask & {1 << i}L != 0 THEN day END") for i, name in enumerate(tops)}
+    # a drug day is visible four days later
+    drugs = medications.select("person_id", F.date_add("day", 4).alias("at"), *(c.alias(n) for n, c in last.items()))
     infected = covid.where(F.year("cohort_start_date") >= covid_from_year).select(
         F.col("subject_id").alias("person_id"),
-        F.col("cohort_start_date").alias("day"),
-        F.lit(covid_bit).cast("long").alias("mask"),
+        F.col("cohort_start_date").alias("at"),
+        F.col("cohort_start_date").alias(COVID_FLAG),
     )
-    days = medications.unionByName(infected)
-    drug_window = "date_diff(index_date, day) BETWEEN 4 AND 183"
-    covid_window = "day BETWEEN add_months(index_date, -12) AND index_date"
-    seen = (
-        f"CASE WHEN {drug_window} THEN mask & {covid_bit - 1}L ELSE 0L END"
-        f" | CASE WHEN {covid_window} THEN mask & {covid_bit}L ELSE 0L END"
+    days = drugs.unionByName(infected, allowMissingColumns=True).join(people, "person_id", "left_semi")
+    stream = days.unionByName(
+        pop.select(*PERSON_KEY, F.col("index_date").alias("at")), allowMissingColumns=True
     )
-    hits = (
-        pop.select(*PERSON_KEY, "index_date")
-        .join(days, "person_id")
-        .where(f"{drug_window} OR {covid_window}")
-        .groupBy(*PERSON_KEY)
-        .agg(F.expr(f"bit_or({seen}) AS recent_mask"))
+    so_far = Window.partitionBy("person_id").orderBy("at", F.col("study_id").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    bits = {name: 1 << i for i, name in enumerate(tops)} | {COVID_FLAG: covid_bit}
-    flags = [f"CAST(coalesce(recent_mask, 0L) & {bit}L != 0 AS INT) AS {name}" for name, bit in bits.items()]
-    return pop.join(hits, PERSON_KEY, "left").selectExpr(*pop.columns, *flags)
+    names = [*tops, COVID_FLAG]
+    seen = stream.select(*PERSON_KEY, "at", *(F.max(n).over(so_far).alias(n) for n in names)).where("study_id IS NOT NULL")
+    floor = {n: F.date_sub("at", 183) for n in tops} | {COVID_FLAG: F.add_months("at", -12)}
+    flags = [F.coalesce(F.col(n) >= floor[n], F.lit(False)).cast("int").alias(n) for n in names]
+    return pop.join(seen.select(*PERSON_KEY, *flags), PERSON_KEY).select(*pop.columns, *names)
 
 
 def composite_flags(pop: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ corrected by those few people.  The counts are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortide.operators.population import GENERAL_POPULATION_ID, PERSON_KEY
 
@@ -34,30 +34,65 @@ def _next_vax() -> Column:
 def outcome_facts(pop: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per study cohort, outcome and person with any outcome row: what happened when.
 
-    One join and one aggregate give washout, history, rows in follow-up and the first
-    follow-up date for all study cohorts and outcomes.
+    A person's rows of an outcome pass by in one order of dates, with two marks for each index date: one
+    before the first day of follow-up, one after the last.  Running counts at the marks, the last date before and the
+    next one after give washout, history, rows in follow-up and the first follow-up date.  The work is linear in
+    a person's rows and index dates.
     """
     events = outcomes.select(
         F.col("cohort_definition_id").cast("int").alias("outcome_id"),
         F.col("subject_id").alias("person_id"),
-        F.col("cohort_start_date").alias("event_date"),
+        F.col("cohort_start_date").alias("at"),
     )
-    index = pop.select(*PERSON_KEY, "index_date", _next_vax().alias("next_vax_date"))
-    date = F.col("event_date")
-    year_before = F.add_months("index_date", -12)
-    uncensored = _is_general() | F.col("next_vax_date").isNull() | (date < F.col("next_vax_date"))
-    followed = date.between(F.col("index_date"), horizon()) & uncensored
-    return (
-        index.join(events, "person_id")
-        .groupBy(*PAIR, "person_id")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.bool_or((date >= year_before) & (date < F.col("index_date"))).alias("washout"),
-            F.bool_or(date < year_before).alias("history"),
-            F.count_if(followed).alias("followup_rows"),
-            F.min(F.when(followed, date)).alias("event_date"),
+    vax = F.when(~_is_general(), _next_vax())
+    index = pop.select(
+        *PERSON_KEY, "index_date", F.least(horizon(), F.date_sub(vax, 1)).alias("last_day")
+    ).join(events.select("person_id", "outcome_id").distinct(), "person_id")
+    # order within a day: the first mark, then outcome rows, then the second mark
+    marks = F.inline(
+        F.array(
+            F.struct(F.col("index_date").alias("at"), F.lit(0).alias("kind")),
+            F.struct(F.col("last_day").alias("at"), F.lit(2).alias("kind")),
         )
     )
+    stream = events.withColumn("kind", F.lit(1)).unionByName(
+        index.select(*PAIR, "person_id", marks), allowMissingColumns=True
+    )
+    own = Window.partitionBy("person_id", "outcome_id")
+    forward = own.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = own.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    event = F.when(F.col("kind") == 1, F.col("at"))
+    seen = stream.withColumns(
+        {
+            "n_rows": F.count(event).over(own),
+            "earliest": F.min(event).over(own),
+            "so_far": F.count(event).over(forward),
+            "before": F.max(event).over(forward),
+            "after": F.min(event).over(backward),
+        }
+    ).where("kind <> 1")
+
+    def at_mark(kind: int, name: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col(name)))
+
+    facts = seen.groupBy(*PAIR, "person_id").agg(
+        F.max("n_rows").alias("n_rows"),
+        F.max("earliest").alias("earliest"),
+        at_mark(0, "at").alias("index_date"),
+        at_mark(0, "before").alias("before"),
+        (at_mark(2, "so_far") - at_mark(0, "so_far")).alias("followup_rows"),
+        at_mark(0, "after").alias("after"),
+    )
+    year_before = F.add_months("index_date", -12)
+    return facts.select(
+        *PAIR,
+        "person_id",
+        "n_rows",
+        F.coalesce(F.col("before") >= year_before, F.lit(False)).alias("washout"),
+        (F.col("earliest") < year_before).alias("history"),
+        "followup_rows",
+        F.when(F.col("followup_rows") > 0, F.col("after")).alias("event_date"),
+    )
 
 
 def open_pairs(facts: DataFrame, minimum: int = 5) -> DataFrame:

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # tasks carry the functions of this module, so that executors need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Models that a task gets together, as each has some hundred rows only.
+PACK = 32
 #: What a task returns for each model; ``beta`` and ``cov`` (by rows) are empty unless it has converged.
 FITTED = "model_id int, n double, status string, steps int, loglik double, beta array<double>, cov array<double>"
 
@@ -126,21 +128,26 @@ def fit_models(
     slots: list[str],
     start: dict[int, dict[str, float]] | None = None,
 ) -> dict[int, Fit]:
-    """Fit every model in ``patterns`` (model_id, x0.., n, y), a task at a time each.
+    """Fit every model in ``patterns`` (model_id, x0.., n, y), ``PACK`` models at a time in a task.
 
     ``slots`` names the columns x0.., ``terms`` the slots each model uses, a column of ones first; ``start``
     may give first values.  All rows of a model meet in one task, so they should be counts.
     """
     places = {m: [slots.index(t) for t in names] for m, names in terms.items()}
     first = {m: {terms[m].index(t): v for t, v in given.items()} for m, given in (start or {}).items()}
+    width = len(slots)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        m = int(rows["model_id"].iloc[0])
-        x = rows[[f"x{i}" for i in places[m]]].to_numpy(float)
-        got = newton(x, rows["n"].to_numpy(float), rows["y"].to_numpy(float), first.get(m))
-        return pd.DataFrame([(m, *got)], columns=["model_id", "n", "status", "steps", "loglik", "beta", "cov"])
-
-    return fits_of(patterns.groupBy("model_id").applyInPandas(fit, FITTED), terms)
+        out, rows = [], rows.sort_values("model_id", kind="stable")
+        models, starts = np.unique(rows["model_id"].to_numpy(), return_index=True)
+        x = rows[[f"x{i}" for i in range(width)]].to_numpy(float)
+        n, y = rows["n"].to_numpy(float), rows["y"].to_numpy(float)
+        for m, low, high in zip(models.tolist(), starts, [*starts[1:], len(rows)], strict=True):
+            out.append((m, *newton(x[low:high, places[m]], n[low:high], y[low:high], first.get(m))))
+        return pd.DataFrame(out, columns=["model_id", "n", "status", "steps", "loglik", "beta", "cov"])
+
+    pack = F.expr(f"model_id div {PACK}")
+    return fits_of(patterns.groupBy(pack).applyInPandas(fit, FITTED), terms)
 
 
 def scaled_inverse(info: np.ndarray, least: float = 1e-10) -> np.ndarray | None:

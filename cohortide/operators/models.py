@@ -225,10 +225,12 @@ def _fit_timed(cubes: DataFrame, changes: DataFrame, jobs: list[_Job], start: di
         return np.column_stack([values[t] for t in terms])
 
     def fit(base: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
-        out, n = [], base["n"].to_numpy()
+        out, n, shared = [], base["n"].to_numpy(), (None, None)
         for m, own in moved.groupby("model_id"):
             terms, knots, first = wanted[m]
-            x = np.vstack([design(base, terms, knots), design(own, terms, knots)])
+            if shared[0] != (terms, knots):  # outcomes often share their terms
+                shared = (terms, knots), design(base, terms, knots)
+            x = np.vstack([shared[1], design(own, terms, knots)])
             y = np.concatenate([np.zeros(len(base)), own["y"].to_numpy()])
             out.append((m, *newton(x, np.concatenate([n, own["n"].to_numpy()]), y, first)))
         return pd.DataFrame(out, columns=["model_id", "n", "status", "steps", "loglik", "beta", "cov"])

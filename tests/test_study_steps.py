@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 import random
 
@@ -162,6 +163,65 @@ def test_follow_up_edges(spark):
     assert followup.open_pairs(facts, minimum=5).count() == 0
 
 
+@pytest.fixture(scope="module")
+def long_history(spark):
+    """A person with thousands of days and an index date in every study cohort, and some with few."""
+    rnd, start = random.Random(4), dt.date(2016, 1, 1)
+
+    def some(n):
+        return [start + dt.timedelta(days=rnd.randrange(2200)) for _ in range(n)]
+
+    pop = []
+    for person in range(12):
+        for study in (GENERAL, 102, 103, 202, 203):
+            index = some(1)[0]
+            vax = index + dt.timedelta(days=rnd.randrange(-3, 40)) if rnd.random() < 0.5 else None
+            pop.append((study, person, index, vax, index + dt.timedelta(days=rnd.randrange(900))))
+    days = {p: sorted(set(some(4000 if p == 0 else rnd.randrange(40)))) for p in range(12)}
+    return pop, days
+
+
+def test_histories_equal_a_search_of_all_days(spark, long_history):
+    pop, days = long_history
+    masks = [(p, t, (p + t.toordinal()) % 1024 & 1 << t.toordinal() % 10) for p, at in days.items() for t in at if t.day % 3]
+    ill = [(1, p, t) for p, at in days.items() for t in at if t.day % 7 == 0 and t.year >= 2020]
+    covid = spark.createDataFrame( [(i, p, t, t) for i, p, t in ill], COHORT)
+    got = covariates.recent_flags(
+        spark.createDataFrame( pop, POP), spark.createDataFrame( masks, "person_id long, day date, mask long"), covid, 2020)
+    for r in got.collect():
+        at = r.index_date
+        seen = 0
+        for p, t, mask in masks:
+            if p == r.person_id and 4 <= (at - t).days <= 183:
+                seen |= mask
+        assert [r[n] for n in d.DRUGS] == [seen >> i & 1 for i in range(len(d.DRUGS))]
+        year = at.replace(year=at.year - 1, day=28) if (at.month, at.day) == (2, 29) else at.replace(year=at.year - 1)
+        assert r.covid_year_prior == int(any(p == r.person_id and year <= t <= at for _, p, t in ill))
+
+
+def test_facts_equal_a_search_of_all_days(spark, long_history):
+    pop, days = long_history
+    events = [(o, p, t) for p, at in days.items() for t in at for o in (302, 303) if (t.toordinal() + o) % 5 < 3]
+    outcomes = spark.createDataFrame( [(o, p, t, t) for o, p, t in events], COHORT)
+    facts = followup.outcome_facts(spark.createDataFrame( pop, POP), outcomes)
+    joins = [line for line in facts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1  # index dates with the person's outcomes, not with their days
+    want = []
+    for study, person, index, vax, _ in pop:
+        year = index.replace(year=index.year - 1, day=28) if (index.month, index.day) == (2, 29) else index.replace(year=index.year - 1)
+        two = index.replace(year=index.year + 2, day=28) if (index.month, index.day) == (2, 29) else index.replace(year=index.year + 2)
+        end = two if study == GENERAL else index + dt.timedelta(days=28)
+        for o in (302, 303):
+            own = [t for x, p, t in events if (x, p) == (o, person)]
+            if not own:
+                continue
+            free = study == GENERAL or vax is None or vax < index
+            hits = [t for t in own if index <= t <= end and (free or t < vax)]
+            washout, history = any(year <= t < index for t in own), any(t < year for t in own)
+            want.append((study, o, person, len(own), washout, history, len(hits), min(hits, default=None)))
+    assert sorted(map(tuple, facts.collect()), key=str) == sorted(want, key=str)
+
+
 def test_general_population_follows_two_years(spark):
     pop = pop_df(spark, [(GENERAL, 1, "2016-02-29", None, "2022-12-31"), (GENERAL, 2, "2017-01-01", None, "2018-06-01")])
     facts = followup.outcome_facts(pop, cohorts_df(spark, [(302, 1, "2018-02-28"), (302, 2, "2015-02-28")]))
