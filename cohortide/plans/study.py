@@ -18,12 +18,13 @@ from cohortide.operators import (
     summaries,
     survival,
 )
+from cohortide import schemas
 from cohortide.plans import definitions as d, manifest as listing
 from cohortide.plans.specs import CohortSpec
 from cohortide.sources import tables
 from cohortide.sources.cdm import Cdm
 from cohortide.sources.literals import literal_table
-from cohortide.sources.workspace import Workspace
+from cohortide.sources.workspace import Workspace, fingerprint
 
 
 class Study:
@@ -37,7 +38,9 @@ class Study:
     cohort and outcome from ``min_pair`` outcome rows, a slice is modelled from ``min_events``
     events, and an exposure from more than ``min_exposed`` exposed people.
 
-    Used as a context manager, a study drops its intermediate tables at the end.
+    Used as a context manager, a study drops its intermediate tables at the end.  With ``resume``, a
+    study that fails leaves them, and the next one over the same files with the same settings goes on from
+    there; inputs that are not files, like ``stored`` tables computed on the fly, should not be resumed.
     """
 
     def __init__(
@@ -59,6 +62,7 @@ class Study:
         min_events: int = 30,
         min_exposed: int = 5,
         manifest: DataFrame | None = None,
+        resume: bool = False,
     ):
         self.cdm, self.spark = cdm, cdm.spark
         self.definitions, self.calendar = concept_sets, calendar
@@ -71,13 +75,23 @@ class Study:
         self.min_rows, self.min_pair = min_rows, min_pair
         self.min_events, self.min_exposed = min_events, min_exposed
         self.manifest = manifest
-        self.work = Workspace(cdm.spark)
+        self.work = Workspace(cdm.spark, self._key() if resume else None)
 
     def __enter__(self) -> Study:
         return self
 
-    def __exit__(self, *_) -> None:
-        self.work.close()
+    def __exit__(self, failure, *_) -> None:
+        self.work.close(finished=failure is None)
+
+    def _key(self) -> str:
+        """What the tables of this study depend on."""
+        sets = sorted(map(tuple, self.definitions.collect()), key=repr)  # the declared code lists
+        frames = [getattr(self.cdm, name) for name in schemas.CLINICAL_TABLES]
+        frames += [self.stored[name] for name in sorted(self.stored)]
+        return fingerprint(
+            frames, sets, self.specs, self.calendar, self.condition_tops, self.drug_tops, self.studies, sorted(self.stored),
+            self.born_after, self.op_containing_index, self.min_rows, self.min_pair, self.min_events, self.min_exposed,
+        )
 
     # ---- cohorts -----------------------------------------------------------------
 
@@ -100,12 +114,15 @@ class Study:
 
     @cached_property
     def codesets(self) -> DataFrame:
-        sets = concepts.resolve_concept_sets(self.definitions, self.cdm.concept, self.cdm.concept_ancestor)
-        return self.work.keep(concepts.add_derived_sets(sets), "codesets", None)
+        def build() -> DataFrame:
+            sets = concepts.resolve_concept_sets(self.definitions, self.cdm.concept, self.cdm.concept_ancestor)
+            return concepts.add_derived_sets(sets)
+
+        return self.work.stage("codesets", build, None)
 
     @cached_property
     def periods(self) -> DataFrame:
-        return self.work.keep(events.compact_periods(self.cdm.observation_period), "periods")
+        return self.work.stage("periods", lambda: events.compact_periods(self.cdm.observation_period))
 
     @cached_property
     def days(self) -> DataFrame:
@@ -114,18 +131,22 @@ class Study:
     @cached_property
     def masked(self) -> DataFrame:
         """Qualified events of all cohorts with their inclusion masks."""
-        rows = cohort.masked_events(self.cdm, self.days, self.periods, self.specs, self.work)
-        return self.work.keep(rows, "masked", placed=any(s.rules for s in self.specs))
+        def build() -> DataFrame:
+            return cohort.masked_events(self.cdm, self.days, self.periods, self.specs, self.work)
+
+        return self.work.stage("masked", build, placed=any(s.rules for s in self.specs))
 
     @cached_property
     def cohorts(self) -> DataFrame:
         """Cohort rows of every definition, bucketed by person."""
-        if "cohorts" in self.stored:
-            return self.work.keep(cohort.as_stored(self.stored["cohorts"]), "cohorts", "subject_id")
-        included = cohort.included_events(self.masked, self.specs)
-        spans = cohort.cohort_intervals(self.cdm, included, self.days, self.specs)
-        merged = cohort.eras.collapse(spans, cohort.KEY, F.col("pad"))
-        return self.work.keep(cohort.as_cohort_rows(merged), "cohorts", "subject_id")
+        def build() -> DataFrame:
+            if "cohorts" in self.stored:
+                return cohort.as_stored(self.stored["cohorts"])
+            included = cohort.included_events(self.masked, self.specs)
+            spans = cohort.cohort_intervals(self.cdm, included, self.days, self.specs)
+            return cohort.as_cohort_rows(cohort.eras.collapse(spans, cohort.KEY, F.col("pad")))
+
+        return self.work.stage("cohorts", build, "subject_id")
 
     def _named(self, ids) -> DataFrame:
         return self.cohorts.where(F.col("cohort_definition_id").isin(list(ids)))
@@ -156,19 +177,21 @@ class Study:
 
     @cached_property
     def condition_firsts(self) -> DataFrame:
-        if "comorbidities" in self.stored:
-            rows = covariates.firsts_from_cohorts(self.stored["comorbidities"], self.condition_tops)
-        else:
-            rows = covariates.condition_firsts(self.cdm, self.condition_tops)
-        return self.work.keep(rows, "condition_firsts")
+        def build() -> DataFrame:
+            if "comorbidities" in self.stored:
+                return covariates.firsts_from_cohorts(self.stored["comorbidities"], self.condition_tops)
+            return covariates.condition_firsts(self.cdm, self.condition_tops)
+
+        return self.work.stage("condition_firsts", build)
 
     @cached_property
     def medication_days(self) -> DataFrame:
-        if "medications" in self.stored:
-            rows = covariates.days_from_cohorts(self.stored["medications"], self.drug_tops)
-        else:
-            rows = covariates.medication_days(self.cdm, self.calendar.drug_eras_from, self.drug_tops)
-        return self.work.keep(rows, "medication_days")
+        def build() -> DataFrame:
+            if "medications" in self.stored:
+                return covariates.days_from_cohorts(self.stored["medications"], self.drug_tops)
+            return covariates.medication_days(self.cdm, self.calendar.drug_eras_from, self.drug_tops)
+
+        return self.work.stage("medication_days", build)
 
     @cached_property
     def comorbidities(self) -> DataFrame:
@@ -193,21 +216,24 @@ class Study:
 
     @cached_property
     def population(self) -> DataFrame:
-        pop = covariates.condition_flags(self.population_plain, self.condition_firsts, self.condition_tops)
-        pop = covariates.recent_flags(
-            pop, self.medication_days, self.covid, self.calendar.covid_from_year, self.drug_tops
-        )
-        return self.work.keep(covariates.composite_flags(pop), "population")
+        def build() -> DataFrame:
+            pop = covariates.condition_flags(self.population_plain, self.condition_firsts, self.condition_tops)
+            pop = covariates.recent_flags(
+                pop, self.medication_days, self.covid, self.calendar.covid_from_year, self.drug_tops
+            )
+            return covariates.composite_flags(pop)
+
+        return self.work.stage("population", build)
 
     # ---- follow-up and results -----------------------------------------------------
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self.work.keep(followup.outcome_facts(self.population, self.outcome_rows), "facts")
+        return self.work.stage("facts", lambda: followup.outcome_facts(self.population, self.outcome_rows))
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return self.work.keep(followup.open_pairs(self.facts, self.min_pair), "pairs", None)
+        return self.work.stage("pairs", lambda: followup.open_pairs(self.facts, self.min_pair), None)
 
     @cached_property
     def time_at_risk(self) -> DataFrame:
@@ -215,8 +241,10 @@ class Study:
 
     @cached_property
     def curve_counts(self) -> DataFrame:
-        rows = survival.stratified_counts(self.population, self.facts, self.pairs)
-        return self.work.keep(rows, "curve_counts", None)
+        def build() -> DataFrame:
+            return survival.stratified_counts(self.population, self.facts, self.pairs)
+
+        return self.work.stage("curve_counts", build, None)
 
     @cached_property
     def survival(self) -> DataFrame:
@@ -224,16 +252,18 @@ class Study:
 
     @cached_property
     def cubes(self) -> DataFrame:
-        return self.work.keep(models.exposure_cubes(self.population, self.pairs), "cubes", None)
+        return self.work.stage("cubes", lambda: models.exposure_cubes(self.population, self.pairs), None)
 
     @cached_property
     def changes(self) -> DataFrame:
-        return self.work.keep(models.outcome_changes(self.population, self.facts, self.pairs), "changes", None)
+        return self.work.stage("changes", lambda: models.outcome_changes(self.population, self.facts, self.pairs), None)
 
     @cached_property
     def patterns(self) -> DataFrame:
-        rows = models.covariate_patterns(self.cubes, self.changes, self.min_events, self.min_exposed)
-        return self.work.keep(rows, "patterns", None)
+        def build() -> DataFrame:
+            return models.covariate_patterns(self.cubes, self.changes, self.min_events, self.min_exposed)
+
+        return self.work.stage("patterns", build, None)
 
     @cached_property
     def odds_ratios(self) -> DataFrame:
@@ -283,7 +313,7 @@ class Study:
         results = self.results()
         if "cohorts" not in self.stored:
             tables.write_cohorts(self.listed_cohorts, f"{root}/cohorts", self.listed.values())
-            counts = self.work.keep(attrition.mask_counts(self.masked), "mask_counts", None)
+            counts = self.work.stage("mask_counts", lambda: attrition.mask_counts(self.masked), None)
             results["cohort_inclusion"] = attrition.rule_statistics(counts, self.specs)
             results["cohort_summary"] = attrition.summary_statistics(counts, self.specs)
         if "comorbidities" not in self.stored:

@@ -9,8 +9,9 @@ aggregates that follow need no further shuffle.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -43,16 +44,42 @@ def place(df: DataFrame, by: str = "person_id") -> DataFrame:
     return df.repartition(bucket_count(df.sparkSession), by)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """File system and Hadoop path of a path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def fingerprint(frames: Iterable[DataFrame], *settings: object) -> str:
+    """Digest of settings and of the files that frames read: name, length and time of each.
+
+    Folders are listed, files are not opened.  Only frames over files are told apart by it.
+    """
+    seen = hashlib.sha256(repr(settings).encode())
+    for frame in frames:
+        spark = frame.sparkSession
+        for folder in sorted({f.rsplit("/", 1)[0] for f in frame.inputFiles()}):
+            files, where = _place(spark, folder)
+            listed = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)]
+            seen.update(repr(sorted(listed)).encode())
+        seen.update(b"|")
+    return seen.hexdigest()[:24]
+
+
 class Workspace:
     """Writes intermediate tables once and hands back readers on them.
 
     Joins on (study cohort, person) or (outcome, person) may use the person buckets as
     they are; Spark allows that when told that part of the join keys is enough to
     co-locate rows.  The session's own setting comes back with ``close``.
+
+    With a ``key``, the tables of ``stage`` outlive a run that fails: the next workspace of that key, in
+    any session, reads the finished ones and builds the others.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, key: str | None = None):
         self.spark = spark
+        self.lasting = f"{checkpoint_root(spark)}/cohortide-run-{key}-{bucket_count(spark)}" if key else None
         self.colocate = spark.conf.get(COLOCATE, None)
         spark.conf.set(COLOCATE, "false")
         self.tag = uuid.uuid4().hex[:12]
@@ -72,18 +99,50 @@ class Workspace:
         if by is None:
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.parquet(path)
-        table = f"cohortide_{self.tag}_{name}"
-        rows = df if placed else place(df, by)
+        return self._write_bucketed(df if placed else place(df, by), f"cohortide_{self.tag}_{name}", path, by)
+
+    def _write_bucketed(self, rows: DataFrame, table: str, path: str, by: str) -> DataFrame:
         rows.write.mode("overwrite").bucketBy(bucket_count(self.spark), by).option("path", path).saveAsTable(table)
         return self.spark.table(table)
 
-    def close(self) -> None:
-        """Drop the kept tables with their files, and give the session its setting back."""
+    def stage(
+        self, name: str, build: Callable[[], DataFrame], by: str | None = "person_id", placed: bool = False
+    ) -> DataFrame:
+        """``keep`` what ``build`` returns, or read it if an earlier run of the key has finished it.
+
+        ``build`` is only called when it has to be, so whatever a finished table was made of is neither
+        planned nor read.  Spark marks a folder once all its files are there; one without the mark is written anew.
+        """
+        if self.lasting is None:
+            return self.keep(build(), name, by, placed)
+        path, table = f"{self.lasting}/{name}", f"cohortide_{self.tag}_{name}"
+        files, mark = _place(self.spark, f"{path}/_SUCCESS")
+        done = files.exists(mark)
+        if by is None:
+            if not done:
+                build().write.mode("overwrite").parquet(path)
+            return self.spark.read.parquet(path)
+        if not done:
+            rows = build()
+            return self._write_bucketed(rows if placed else place(rows, by), table, path, by)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
+        self.spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({by}) "
+            f"INTO {bucket_count(self.spark)} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(table)
+
+    def close(self, finished: bool = True) -> None:
+        """Drop the kept tables with their files, and give the session its setting back.
+
+        The files of stages with a key stay unless the run has ``finished``.
+        """
         for table in self.spark.catalog.listTables():
             if table.name.startswith(f"cohortide_{self.tag}_"):
                 self.spark.sql(f"DROP TABLE IF EXISTS {table.name}")
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        for root in [self.root, *([self.lasting] if self.lasting and finished else [])]:
+            files, folder = _place(self.spark, root)
+            files.delete(folder, True)
         if self.colocate is None:
             self.spark.conf.unset(COLOCATE)
         else:

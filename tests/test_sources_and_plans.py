@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import registry
 from cohortide import schemas
 from cohortide.functions import dates
-from cohortide.operators import cohort, concepts, events, followup
+from cohortide.operators import cohort, concepts, covariates, events, followup, models
 from cohortide.plans import manifest
 from cohortide.plans.definitions import MAIN_OUTCOMES, MAIN_STUDY_COHORTS
 from cohortide.plans.specs import CohortSpec, Criterion, criteria_of
@@ -266,3 +266,28 @@ def test_person_steps_do_not_shuffle_kept_tables(spark, study):
             assert "CartesianProduct" not in text and "NestedLoop" not in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_run_goes_on_where_it_stopped(spark, monkeypatch):
+    def study(**options):
+        return registry.new_study(spark, SF, resume=True, min_events=1, **options)
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(models, "covariate_patterns", lost)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            with study() as first:
+                people = rows(first.population)
+                assert first.patterns.count() >= 0
+    with monkeypatch.context() as finished:
+        for module, name in ((cohort, "person_days"), (covariates, "recent_flags"), (followup, "outcome_facts"), (models, "exposure_cubes")):
+            finished.setattr(module, name, lost)  # none of them is built again
+        with study() as second, study(min_pair=6) as other:
+            assert second.work.lasting == first.work.lasting != other.work.lasting
+            assert rows(second.population) == people and len(people) > 0
+            plan = second.population.groupBy("person_id").count()._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan  # still bucketed by person
+            assert second.patterns.count() > 0 and second.facts.count() > 0
+        assert not os.path.exists(second.work.lasting.removeprefix("file:"))
