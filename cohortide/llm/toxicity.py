@@ -6,26 +6,34 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortide.llm.scratch import by_value, received, send
+from cohortide.llm.scratch import by_value, keep, received, send
 from cohortide.llm.words import WORD
 
 by_value(__name__)
 
 #: Labelled documents of each class in the index, the first in hash order.
 SAMPLE_PER_CLASS = 4000
-#: Terms of the vector space: those of the sample that tell most about the label.
-TERMS = 512
-#: Labelled documents in a block.
-BLOCK = 64
+#: Examples in a block, and terms that a search adds up first; it doubles them while too many examples are open.
+BLOCK, STEP = 64, 64
 #: Neighbours that vote, and the weight of the prior vote.
 NEIGHBOURS, PRIOR = 15, 1.0
-CACHE = 100_000
+#: A term weighs at least this part of its TF-IDF, and half of it where the label's log odds are this many errors off.
+LEAST, ERRORS = 0.001, 7.0
+#: Sums of short floats are off by less than this.
+SLACK = 1e-5
+#: First letters of words that are terms too.
+HEADS = (4, 5, 6)
+#: Lists of more than this part of the examples are held with a weight for every example.
+COMMON = 0.25
+#: A search compares what is open by their vectors once that is at most so many times the neighbours.
+OPEN = 4
 
 _WORD = re.compile(WORD)
 
@@ -35,73 +43,125 @@ def _lower(text: str) -> str:
 
 
 def terms_of(word: str) -> list[str]:
-    """A word and its first 4 to 6 letters, so inflected and compound words share terms."""
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)]
+    """A word and its first 4, 5 and 6 letters, so inflected and compound words share terms."""
+    return [word, *(word[:n] + "*" for n in HEADS if len(word) >= n)]
 
 
 class Vectors:
-    """Term counts of texts, for a given vocabulary."""
+    """Terms and their counts in texts, for a given vocabulary."""
 
     def __init__(self, terms: dict[str, int]) -> None:
-        self.terms, self.cache = terms, {}
-
-    def __call__(self, text: str) -> Counter:
-        out: Counter = Counter()
-        cache = self.cache
-        for word, n in Counter(_WORD.findall(_lower(text))).items():
-            got = cache.get(word)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = cache[word] = [self.terms[t] for t in terms_of(word) if t in self.terms]
-            for t in got:
-                out[t] += n
-        return out
+        self.terms = terms
+        self.words = {t: i for t, i in terms.items() if not t.endswith("*")}
+        self.heads = {n: {t[:-1]: i for t, i in terms.items() if t.endswith("*") and len(t) == n + 1} for n in HEADS}
+
+    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different terms, and for each known word or part of one its term's place and its count."""
+        counts = Counter(_WORD.findall(_lower(text)))
+        n, none = len(counts), repeat(-1)
+        found = [np.fromiter(map(self.words.get, counts, none), np.int64, n)]
+        for size, heads in self.heads.items():
+            found.append(np.fromiter(map(heads.get, [w[:size] for w in counts], none), np.int64, n))
+        at = np.concatenate(found)
+        known = np.flatnonzero(at >= 0)
+        times = np.fromiter(counts.values(), np.int64, n)[known % n] if n else known
+        return *np.unique(at[known], return_inverse=True), times
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        at, place, times = self.places(text)
+        return at, np.bincount(place, times, len(at)).astype(np.int64)
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of several ranges, one range after the other."""
+    end = np.cumsum(length)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + length, length)
 
 
 @dataclass
 class BlockIndex:
-    """Weights of labelled documents by block and term, and the largest weight of each term in each block."""
+    """Vectors of labelled documents, as they are (``forward``, ``term``, ``weight``) and as inverted lists
+    (``lists``, ``row``, ``held``), with the largest weight of each list in each block of examples that it reaches
+    (``reach``, ``block``, ``most``) and at all (``peak``).  Lists of ``common`` terms are rows of ``full``."""
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     share: np.ndarray
-    blocks: list[np.ndarray]
-    most: np.ndarray
     base: float
+    forward: np.ndarray
+    term: np.ndarray
+    weight: np.ndarray
+    lists: np.ndarray
+    row: np.ndarray
+    held: np.ndarray
+    reach: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    common: np.ndarray
+    full: np.ndarray
+    peak: np.ndarray
     scale: tuple[float, float] = (0.0, 1.0)
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def __post_init__(self) -> None:
+        self.asked = np.zeros(len(self.idf))
+
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a text, of length 1."""
-        at = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.idf[at]
-        norm = np.sqrt(w @ w)
-        return (at, w / norm) if norm > 0 else (at[:0], w[:0])
+        return _unit(at, n, self.idf)
+
+    def cosines(self, at: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Cosines of some examples, from their own vectors."""
+        asked = self.asked
+        asked[at] = w
+        length = self.forward[rows + 1] - self.forward[rows]
+        places = _ranges(self.forward[rows], length)
+        owner = np.repeat(np.arange(len(rows)), length)
+        got = np.bincount(owner, asked[self.term[places]] * self.weight[places], len(rows))
+        asked[at] = 0
+        return np.round(got, 9)  # equal texts tie whatever the order of sums
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows of highest cosine above 0, ties to smaller rows, exactly.
+        """The k examples of highest cosine above 0, ties to smaller ids, exactly.
 
-        Blocks are opened in order of their upper bounds and no longer once a bound is below the k-th
-        cosine so far.
+        Lists are added up in the order of what their blocks could give.  An example stays open while its sum so
+        far and the largest weights in its block of the lists not yet added could reach the k-th sum; once
+        few are open, or all lists are added, those are compared by their vectors.
         """
-        rows, cos = np.zeros(0, np.int64), np.zeros(0)
-        if not len(at) or not len(self.blocks):
-            return rows, cos
-        bound = w @ self.most[at]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(cos) >= k and bound[b] < cos[-1] - 1e-12):
-                break
-            got = w @ self.blocks[b][at]
-            hit = np.flatnonzero(got > 0)
-            new = hit + b * BLOCK
+        n = len(self.ids)
+        total, open_ = np.zeros(n), np.zeros(0, np.int64)
+        order = np.argsort(-w * self.peak[at], kind="stable")
+        at, w = at[order], w[order]
+        length = self.reach[at + 1] - self.reach[at]
+        places = _ranges(self.reach[at], length)
+        cell, gain = self.block[places], np.repeat(w, length) * self.most[places]
+        edge = np.concatenate([[0], np.cumsum(length)])
+        rest = np.bincount(cell, gain, -(-n // BLOCK))
+        done, step = 0, STEP
+        while done < len(at):
+            last = min(done + step, len(at))
+            now = at[done:last]
+            full = self.common[now]
+            total += w[done:last][full >= 0].astype(np.float32) @ self.full[full[full >= 0]]
+            long = self.lists[now + 1] - self.lists[now]
+            places = _ranges(self.lists[now], long)
+            total += np.bincount(self.row[places], np.repeat(w[done:last], long) * self.held[places], n)
+            cells = slice(edge[done], edge[last])
+            rest -= np.bincount(cell[cells], gain[cells], len(rest))
             if leave >= 0:
-                hit, new = hit[new != leave], new[new != leave]
-            rows, cos = np.concatenate([rows, new]), np.concatenate([cos, got[hit]])
-            best = np.lexsort((rows, -cos))[:k]
-            rows, cos = rows[best], cos[best]
-        return rows, cos
+                total[leave] = 0
+            floor = np.partition(total, n - k)[n - k] if n >= k else 0.0
+            open_ = np.flatnonzero(total + np.repeat(rest, BLOCK)[:n] >= floor - SLACK)
+            done, step = last, 2 * step
+            if len(open_) <= OPEN * k:
+                break
+        if leave >= 0:
+            open_ = open_[open_ != leave]
+        cos = self.cosines(at, w, open_)
+        best = np.lexsort((self.ids[open_], -cos))[:k]
+        best = best[cos[best] > 0]
+        return open_[best], cos[best]
 
     def vote(self, rows: np.ndarray, cos: np.ndarray) -> float:
         """Share of toxic votes; each neighbour counts by cosine and by the documents it stands for."""
@@ -113,24 +173,93 @@ class BlockIndex:
         return float(1 / (1 + np.exp(-(a + b * np.log(vote / (1 - vote))))))
 
 
+def _unit(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = (1 + np.log(n)) * idf[at]
+    norm = np.sqrt(w @ w)
+    return (at, w / norm) if norm > 0 else (at[:0], w[:0])
+
+
+def informed(idf: np.ndarray, clean: np.ndarray, toxic: np.ndarray, n0: float, n1: float) -> np.ndarray:
+    """IDF of every term times what the term tells of the label: z^2 / (z^2 + ERRORS^2), z the difference of its log odds
+    in the two classes over its standard error; never below ``LEAST``, so that no term is without weight."""
+    odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
+    error = 1 / (toxic + 0.5) + 1 / (n1 - toxic + 0.5) + 1 / (clean + 0.5) + 1 / (n0 - clean + 0.5)
+    z2 = odds * odds / error
+    return idf * (LEAST + (1 - LEAST) * z2 / (z2 + ERRORS**2))
+
+
+def build_index(
+    terms: dict[str, int],
+    idf: np.ndarray,
+    examples: list[tuple[int, int, np.ndarray, np.ndarray]],
+    totals: dict[int, int],
+) -> BlockIndex:
+    """Index examples (id, toxic, terms, counts).  Those with the same strongest term stand together, so that few
+    blocks hold large weights of it."""
+    units = [_unit(np.asarray(at, np.int64), np.asarray(n, float), idf) for _, _, at, n in examples]
+    strongest = [int(at[w.argmax()]) if len(at) else -1 for at, w in units]
+    order = sorted(range(len(examples)), key=lambda i: (examples[i][1], strongest[i], examples[i][0]))
+    ids = np.array([examples[i][0] for i in order], np.int64)
+    toxic = np.array([examples[i][1] for i in order], float)
+    forward = np.concatenate([[0], np.cumsum([len(units[i][0]) for i in order])]).astype(np.int64)
+    term = np.concatenate([units[i][0] for i in order] or [np.zeros(0)]).astype(np.int32)
+    weight = np.concatenate([units[i][1] for i in order] or [np.zeros(0)]).astype(np.float32)
+    row = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(forward))
+    by_term = np.argsort(term, kind="stable")  # rows stay in order within a list
+    listed, row, held = term[by_term], row[by_term], weight[by_term]
+    every = np.arange(len(terms) + 1)
+    cells = listed.astype(np.int64) * (-(-max(len(order), 1) // BLOCK)) + row // BLOCK
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    most = np.maximum.reduceat(held, first) if len(first) else held
+    count = np.bincount(term, minlength=len(terms))
+    often = np.flatnonzero(count > COMMON * len(order))
+    common = np.full(len(terms), -1, np.int32)
+    common[often] = np.arange(len(often))
+    full = np.zeros((len(often), len(order)), np.float32)
+    dense = common[listed] >= 0
+    full[common[listed[dense]], row[dense]] = held[dense]
+    in_blocks, cell_rows = listed[first], row[first]
+    listed, row, held = listed[~dense], row[~dense], held[~dense]
+    peak = np.zeros(len(terms), np.float32)
+    np.maximum.at(peak, term, weight)
+    share = np.where(toxic == 1, totals[1] / max(toxic.sum(), 1), totals[0] / max((1 - toxic).sum(), 1))
+    return BlockIndex(
+        terms, idf, ids, toxic, share / share.mean(), totals[1] / (totals[0] + totals[1]),
+        forward, term, weight, np.searchsorted(listed, every), row, held,
+        np.searchsorted(in_blocks, every), (cell_rows // BLOCK).astype(np.int32), most, common, full, peak,
+    )
+
+
 def _platt(votes: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of the labels on the log odds of left-out votes, with a small ridge."""
+    """Logistic fit of the labels on the log odds of left-out votes, with a small ridge, to the end."""
     x = np.column_stack([np.ones(len(votes)), np.log(votes / (1 - votes))])
+
+    def loss(w: np.ndarray) -> float:
+        m = x @ w
+        return float(share @ (np.logaddexp(0, m) - toxic * m) + 5e-3 * ((w - [0, 1]) ** 2).sum())
+
     w = np.array([0.0, 1.0])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    while True:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         g = x.T @ (share * (p - toxic)) + 1e-2 * (w - [0, 1])
         h = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
-    return float(w[0]), float(max(w[1], 1e-3))
+        step, now = np.linalg.solve(h, g), loss(w)
+        # strictly convex: halved steps get lower until the minimum is reached as far as numbers go
+        while np.abs(step).max() > 1e-9 and loss(w - step) >= now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
+            return float(w[0]), float(max(w[1], 1e-3))
+        w = w - step
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, n_terms: int = TERMS, text: str = "text") -> BlockIndex | float:
-    """Index at most ``per_class`` labelled documents of each class; inverse document frequencies are of
-    all documents.  ``labels``: doc_id, toxic (0 or 1); other values are left out.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, text: str = "text") -> BlockIndex | float:
+    """Index at most ``per_class`` labelled documents of each class by all their terms; inverse document frequencies
+    are of all documents.  ``labels``: doc_id, toxic (0 or 1); other values are left out.  Of rows that share an
+    id the smallest text counts.
 
     Without labels of both classes the result is the share of toxic labels, 0 without any.
     """
+    spark = docs.sparkSession
     labels = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -140,61 +269,66 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     sample = labels.filter("toxic = 0").orderBy(order, "doc_id").limit(per_class)
     sample = sample.union(labels.filter("toxic = 1").orderBy(order, "doc_id").limit(per_class))
     # at most 2 x per_class ids: a bound set by parameters
-    chosen = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    chosen = keep(chosen, "examples")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(pdf["text"], pdf["toxic"], strict=True):
                 seen[y].update({x for w in set(_WORD.findall(_lower(t))) for x in terms_of(w)})
-            every = [x for x in {*seen[0], *seen[1]} if seen[0][x] + seen[1][x] > 1]
-            yield pd.DataFrame({"term": every, "clean": [seen[0][x] for x in every], "toxic": [seen[1][x] for x in every]})
+            every = list({*seen[0], *seen[1]})
+            if every:
+                yield pd.DataFrame({"term": every, "clean": [seen[0][x] for x in every], "toxic": [seen[1][x] for x in every]})
 
-    n0, n1 = (float(min(totals[y], per_class)) for y in (0, 1))
     counts = chosen.mapInPandas(tally, "term string, clean long, toxic long").groupBy("term")
-    counts = counts.agg(F.sum("clean").cast("double").alias("c"), F.sum("toxic").cast("double").alias("t"))
-    # chi-square of the term's 2 x 2 table, for terms more common among toxic documents
-    n, both = F.lit(n0 + n1), F.col("c") + F.col("t")
-    chi = n * F.pow(F.col("t") * (n0 - F.col("c")) - F.col("c") * (n1 - F.col("t")), 2) / (n0 * n1 * both * (n - both + 1e-9))
-    counts = counts.filter((F.col("c") + F.col("t") >= 5) & (F.col("t") * n0 > 2 * F.col("c") * n1)).withColumn("chi", chi)
-    chosen_terms = counts.filter("chi > 15").orderBy(F.desc("chi"), "term").limit(n_terms).collect()
-    terms = {r["term"]: i for i, r in enumerate(chosen_terms)}
-    if not terms:
-        return float(totals[1] / (totals[0] + totals[1]))
+    known = counts.agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).orderBy("term").toPandas()
+    terms = {t: i for i, t in enumerate(known["term"])}
+    vocabulary = send(spark, terms)
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, seen, rows = Vectors(terms), Counter(), 0
+        vectors, rows = Vectors(received(vocabulary)), 0
+        seen = np.zeros(len(vectors.terms), np.int64)
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["text"]:
-                seen.update(vectors(t).keys())
-        yield pd.DataFrame({"term": [-1, *seen], "n": [rows, *seen.values()]})
+                seen[vectors.places(t)[0]] += 1
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": [-1, *some], "n": [rows, *seen[some]]})
 
-    every = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(frequencies, "term int, n long")
-    df = {r["term"]: r["n"] for r in every.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((df[-1] + 1) / (df.get(i, 0) + 1)) + 1e-3 for i in range(len(terms))])
+    every = texts.select("text").mapInPandas(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    n_docs = int(every.loc[every["term"] < 0, "n"].sum())
+    df = np.zeros(len(terms))
+    some = every[every["term"] >= 0]
+    df[some["term"]] = some["n"]
+    idf = np.log((n_docs + 1) / (df + 1)) + 1e-3
 
     def vectors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors = Vectors(terms)
+        vectors = Vectors(received(vocabulary))
         for pdf in batches:
             got = [vectors(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "p": [list(c) for c in got], "n": [list(c.values()) for c in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "p": [p for p, _ in got], "n": [n for _, n in got]})
 
     rows = chosen.mapInPandas(vectors_of, "doc_id long, toxic int, p array<int>, n array<int>").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    toxic = rows["toxic"].to_numpy(float)
-    weight = np.where(toxic == 1, totals[1] / max(toxic.sum(), 1), totals[0] / max((1 - toxic).sum(), 1))
-    base = totals[1] / (totals[0] + totals[1])
-    index = BlockIndex(terms, idf, rows["doc_id"].to_numpy(), toxic, weight / weight.mean(), [], np.zeros((len(terms), 0)), base)
-    sparse = [index.vector(Counter(dict(zip(p, n, strict=True)))) for p, n in zip(rows["p"], rows["n"], strict=True)]
-    for at in range(0, len(sparse), BLOCK):
-        block = np.zeros((len(terms), BLOCK))
-        for j, (t, w) in enumerate(sparse[at : at + BLOCK]):
-            block[t, j] = w
-        index.blocks.append(block)
-    index.most = np.column_stack([b.max(1) for b in index.blocks])
-    votes = np.array([index.vote(*index.nearest(t, w, NEIGHBOURS, leave=i)) for i, (t, w) in enumerate(sparse)])
-    index.scale = _platt(votes, toxic, index.share)
+    n0, n1 = (float((rows["toxic"] == y).sum()) for y in (0, 1))
+    idf = informed(idf, known["c"].to_numpy(float), known["t"].to_numpy(float), n0, n1)
+    index = build_index(terms, idf, list(rows.itertuples(index=False, name=None)), totals)
+    vocabulary.destroy()
+    whole = send(spark, index)
+
+    def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = received(whole)
+        for pdf in batches:
+            out = []
+            for i in pdf["id"]:
+                own = slice(index.forward[i], index.forward[i + 1])
+                out.append(index.vote(*index.nearest(index.term[own], index.weight[own].astype(float), NEIGHBOURS, leave=i)))
+            yield pd.DataFrame({"id": pdf["id"], "vote": out})
+
+    votes = spark.range(0, len(rows), 1, 16).mapInPandas(left_out, "id long, vote double").toPandas().sort_values("id")
+    whole.destroy()
+    index.scale = _platt(votes["vote"].to_numpy(), index.toxic, index.share)
     return index
 
 
@@ -218,7 +352,7 @@ def score_toxicity(docs: DataFrame, index: BlockIndex | float, text: str = "text
                 if vectors is None:
                     out.append((index, [], []))
                     continue
-                rows, cos = index.nearest(*index.vector(vectors(t or "")), NEIGHBOURS)
+                rows, cos = index.nearest(*index.vector(*vectors(t or "")), NEIGHBOURS)
                 out.append((index.calibrated(index.vote(rows, cos)), index.ids[rows], cos))
             yield pd.DataFrame(out, columns=["score", "evidence", "cosines"])
 

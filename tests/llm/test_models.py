@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from helpers import LABELS, by_id, docs, prose
+from helpers import LABELS, by_id, docs, prose, words
 from pyspark.sql import functions as F
 
 from cohortide.llm import quality as q
@@ -68,29 +68,100 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_block_max_search_is_exact(spark):
-    d, labels = graded(spark)
+def weights_by_hand(texts, labels, doc_rows):
+    """Unit vectors over all terms of the labelled texts, by dictionaries."""
+    counted = [Counter(t for w in words(x) for t in tx.terms_of(w)) for x in texts]
+    known = sorted({t for c in counted for t in c})
+    every = [{t for w in words(x) for t in tx.terms_of(w)} for x in doc_rows]
+    n1 = sum(labels)
+    n0 = len(labels) - n1
+    weight = {}
+    for t in known:
+        idf = math.log((len(every) + 1) / (sum(t in e for e in every) + 1)) + 1e-3
+        c = [sum(t in x for x, y in zip(counted, labels, strict=True) if y == k) + 0.5 for k in (0, 1)]
+        m = [n0 + 1 - c[0], n1 + 1 - c[1]]
+        z2 = (math.log(c[1] / m[1]) - math.log(c[0] / m[0])) ** 2 / sum(1 / x for x in c + m)
+        weight[t] = idf * (tx.LEAST + (1 - tx.LEAST) * z2 / (z2 + tx.ERRORS**2))
+
+    def unit(x):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in Counter(t for w in words(x) for t in tx.terms_of(w)).items() if t in weight}
+        norm = math.sqrt(sum(a * a for a in v.values()))
+        return {t: a / norm for t, a in v.items()} if norm else {}
+
+    return unit, [unit(x) for x in texts]
+
+
+def nearest_by_hand(unit, vectors, ids, text, leave=None):
+    v = unit(text)
+    cos = [(-round(sum(a * e.get(t, 0.0) for t, a in v.items()), 9), i, n) for n, (i, e) in enumerate(zip(ids, vectors, strict=True)) if i != leave]
+    return [(i, n, -c) for c, i, n in sorted(cos)[: tx.NEIGHBOURS] if c < 0]
+
+
+def test_scores_are_votes_by_cosine_over_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(tx, "BLOCK", 4)
+    monkeypatch.setattr(tx, "STEP", 8)
+    d, labels = graded(spark, 200)
+    marked = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    ids = sorted(marked)
+    unit, vectors = weights_by_hand([texts[i] for i in ids], [marked[i] for i in ids], list(texts.values()))
     index = tx.fit_toxicity(d, labels)
-    vectors = tx.Vectors(index.terms)
-    whole = np.concatenate(index.blocks, 1)
-    for r in d.limit(80).collect():
-        at, w = index.vector(vectors(r["text"]))
-        rows, cos = index.nearest(at, w, 5)
-        every = w @ whole[at] if len(at) else np.zeros(whole.shape[1])
-        want = [i for i in np.lexsort((np.arange(len(every)), -every)) if every[i] > 0][:5]
+    assert set(index.terms) == {t for i in ids for w in words(texts[i]) for t in tx.terms_of(w)}  # every term counts
+    base = sum(marked.values()) / len(marked)  # all labelled rows are examples, so each stands for itself
+
+    def vote(found):
+        v = [c for _, _, c in found]
+        return (sum(c * marked[i] for i, _, c in found) + tx.PRIOR * base) / (sum(v) + tx.PRIOR)
+
+    left = [vote(nearest_by_hand(unit, vectors, ids, texts[i], leave=i)) for i in ids]
+    a, b = tx._platt(np.array(left), np.array([marked[i] for i in ids], float), np.ones(len(ids)))
+    assert index.scale == pytest.approx((a, b), abs=1e-4)
+    for r in tx.score_toxicity(d, index).collect():
+        found = nearest_by_hand(unit, vectors, ids, r["text"])
+        assert r["cosines"] == pytest.approx([c for _, _, c in found], abs=1e-6)
+        held = dict(zip(r["evidence"], r["cosines"], strict=True))
+        assert all(i in held for i, _, c in found if c > found[-1][2] + 1e-6)
+        v = vote([(i, None, c) for i, c in held.items()])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(a + b * math.log(v / (1 - v))))), abs=1e-4)
+
+
+def test_block_max_search_is_exact_and_leaves_out():
+    rng = np.random.default_rng(5)
+    terms = {f"t{i}": i for i in range(900)}
+    idf = rng.uniform(0.01, 1, 900) ** 3
+    examples = []
+    for i in range(700):
+        at = np.unique((rng.zipf(1.3, 60) - 1) % 900)
+        examples.append((1000 - i, int(rng.integers(2)), at, rng.integers(1, 9, len(at))))
+    examples += [(i, 0, *examples[7][2:]) for i in range(2000, 2020)]  # ties
+    examples.append((3000, 1, np.zeros(0, int), np.zeros(0, int)))
+    index = tx.build_index(terms, idf, examples, {0: 500, 1: 300})
+    assert 0 < len(index.full) < 900
+    for n, (_, _, at, count) in enumerate(examples[:150] + examples[-3:]):
+        leave = n if n % 2 else -1
+        w = index.vector(at, count)
+        cos = index.cosines(*w, np.arange(len(index.ids)))
+        if leave >= 0:
+            cos[leave] = 0
+        want = [i for i in np.lexsort((index.ids, -cos)) if cos[i] > 0][:5]
+        rows, got = index.nearest(*w, 5, leave)
         assert rows.tolist() == want
-        assert cos == pytest.approx(every[want])
+        assert got.tolist() == cos[want].tolist()
 
 
-def test_tf_idf_by_hand(spark):
-    d, labels = graded(spark, 60)
-    index = tx.fit_toxicity(d, labels)
-    texts = [r["text"] for r in d.collect()]
-    word = next(t for t in index.terms if not t.endswith("*"))
-    df = sum(word in t.lower().replace("!!", "").split() for t in texts)
-    assert index.idf[index.terms[word]] == pytest.approx(math.log((len(texts) + 1) / (df + 1)) + 1e-3)
-    at, w = index.vector(Counter({index.terms[word]: 3}))
-    assert w.tolist() == [1.0]
+def test_a_rare_toxic_word_is_enough(spark):
+    rows = [(k, " ".join(prose(k, 60, 3000) + (["zorgon"] if k % 100 == 1 else ["vile"] if k % 4 == 1 else []))) for k in range(1200)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 1)) for k in range(1200)], LABELS)
+    index = tx.fit_toxicity(docs(spark, rows), labels)
+    new = docs(spark, [(5000 + k, " ".join([*prose(5000 + k, 60, 3000), *(["zorgon"] if k < 5 else [])])) for k in range(25)])
+    assert [r["predicted"] for r in tx.score_toxicity(new, index).orderBy("doc_id").collect()] == [1] * 5 + [0] * 20
+
+
+def test_examples_without_words(spark):
+    d = docs(spark, [(k, None if k % 2 else " .") for k in range(8)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(8)], LABELS)
+    got = tx.score_toxicity(docs(spark, [(1, "some words"), (2, None)]), tx.fit_toxicity(d, labels)).collect()
+    assert [(r["evidence"], r["predicted"]) for r in got] == [([], got[0]["predicted"])] * 2
 
 
 def test_toxicity_edge_cases(spark):
