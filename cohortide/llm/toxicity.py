@@ -21,30 +21,30 @@ by_value(__name__)
 #: Labelled documents of each class in the index, the first in hash order.
 SAMPLE_PER_CLASS = 4000
 #: Examples in a block, and terms that a search adds up first; it doubles them while too many examples are open.
-BLOCK, STEP = 64, 64
+BLOCK, STEP = 128, 128
 #: Neighbours that vote, and the weight of the prior vote.
 NEIGHBOURS, PRIOR = 15, 1.0
 #: A term weighs at least this part of its TF-IDF, and half of it where the label's log odds are this many errors off.
 LEAST, ERRORS = 0.001, 7.0
 #: Sums of short floats are off by less than this.
 SLACK = 1e-5
-#: First letters of words that are terms too.
-HEADS = (4, 5, 6)
+#: First letters of a word that make its term.
+STEM = 5
 #: Lists of more than this part of the examples are held with a weight for every example.
-COMMON = 0.25
+COMMON = 0.1
 #: A search compares what is open by their vectors once that is at most so many times the neighbours.
 OPEN = 4
 
-_WORD = re.compile(WORD)
+_STEM = re.compile(f"({WORD[:-1]}{{1,{STEM}}}){WORD[:-1]}*")
 
 
 def _lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def terms_of(word: str) -> list[str]:
-    """A word and its first 4, 5 and 6 letters, so inflected and compound words share terms."""
-    return [word, *(word[:n] + "*" for n in HEADS if len(word) >= n)]
+def stems(text: str) -> list[str]:
+    """The words of a text by their first letters, so inflected and compound words share a term."""
+    return _STEM.findall(_lower(text))
 
 
 class Vectors:
@@ -52,24 +52,20 @@ class Vectors:
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms = terms
-        self.words = {t: i for t, i in terms.items() if not t.endswith("*")}
-        self.heads = {n: {t[:-1]: i for t, i in terms.items() if t.endswith("*") and len(t) == n + 1} for n in HEADS}
-
-    def places(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different terms, and for each known word or part of one its term's place and its count."""
-        counts = Counter(_WORD.findall(_lower(text)))
-        n, none = len(counts), repeat(-1)
-        found = [np.fromiter(map(self.words.get, counts, none), np.int64, n)]
-        for size, heads in self.heads.items():
-            found.append(np.fromiter(map(heads.get, [w[:size] for w in counts], none), np.int64, n))
-        at = np.concatenate(found)
-        known = np.flatnonzero(at >= 0)
-        times = np.fromiter(counts.values(), np.int64, n)[known % n] if n else known
-        return *np.unique(at[known], return_inverse=True), times
+
+    def places(self, text: str) -> np.ndarray:
+        """The different terms of a text, in no order."""
+        different = set(stems(text))
+        at = np.fromiter(map(self.terms.get, different, repeat(-1)), np.int64, len(different))
+        return at[at >= 0]
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, place, times = self.places(text)
-        return at, np.bincount(place, times, len(at)).astype(np.int64)
+        counts = Counter(stems(text))
+        at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        known = np.flatnonzero(at >= 0)
+        known = known[np.argsort(at[known])]
+        return at[known], n[known]
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -277,7 +273,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
         for pdf in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(pdf["text"], pdf["toxic"], strict=True):
-                seen[y].update({x for w in set(_WORD.findall(_lower(t))) for x in terms_of(w)})
+                seen[y].update(set(stems(t)))
             every = list({*seen[0], *seen[1]})
             if every:
                 yield pd.DataFrame({"term": every, "clean": [seen[0][x] for x in every], "toxic": [seen[1][x] for x in every]})
@@ -293,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["text"]:
-                seen[vectors.places(t)[0]] += 1
+                seen[vectors.places(t)] += 1
         some = np.flatnonzero(seen)
         yield pd.DataFrame({"term": [-1, *some], "n": [rows, *seen[some]]})
 
@@ -347,13 +343,15 @@ def score_toxicity(docs: DataFrame, index: BlockIndex | float, text: str = "text
         index = received(shared)
         vectors = None if isinstance(index, float) else Vectors(index.terms)
         for texts in batches:
-            out = []
+            out, copies = [], {}
             for t in texts:
-                if vectors is None:
-                    out.append((index, [], []))
-                    continue
-                rows, cos = index.nearest(*index.vector(*vectors(t or "")), NEIGHBOURS)
-                out.append((index.calibrated(index.vote(rows, cos)), index.ids[rows], cos))
+                got = copies.get(t)
+                if got is None and vectors is None:
+                    got = copies[t] = index, [], []
+                elif got is None:
+                    rows, cos = index.nearest(*index.vector(*vectors(t or "")), NEIGHBOURS)
+                    got = copies[t] = index.calibrated(index.vote(rows, cos)), index.ids[rows], cos
+                out.append(got)
             yield pd.DataFrame(out, columns=["score", "evidence", "cosines"])
 
     scored = F.pandas_udf(score, "score double, evidence array<long>, cosines array<double>")

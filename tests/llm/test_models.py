@@ -70,9 +70,9 @@ def test_toxicity_held_out(spark):
 
 def weights_by_hand(texts, labels, doc_rows):
     """Unit vectors over all terms of the labelled texts, by dictionaries."""
-    counted = [Counter(t for w in words(x) for t in tx.terms_of(w)) for x in texts]
+    counted = [Counter(w[:5] for w in words(x)) for x in texts]
     known = sorted({t for c in counted for t in c})
-    every = [{t for w in words(x) for t in tx.terms_of(w)} for x in doc_rows]
+    every = [{w[:5] for w in words(x)} for x in doc_rows]
     n1 = sum(labels)
     n0 = len(labels) - n1
     weight = {}
@@ -84,7 +84,7 @@ def weights_by_hand(texts, labels, doc_rows):
         weight[t] = idf * (tx.LEAST + (1 - tx.LEAST) * z2 / (z2 + tx.ERRORS**2))
 
     def unit(x):
-        v = {t: (1 + math.log(n)) * weight[t] for t, n in Counter(t for w in words(x) for t in tx.terms_of(w)).items() if t in weight}
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in Counter(w[:5] for w in words(x)).items() if t in weight}
         norm = math.sqrt(sum(a * a for a in v.values()))
         return {t: a / norm for t, a in v.items()} if norm else {}
 
@@ -106,7 +106,7 @@ def test_scores_are_votes_by_cosine_over_all_terms(spark, monkeypatch):
     ids = sorted(marked)
     unit, vectors = weights_by_hand([texts[i] for i in ids], [marked[i] for i in ids], list(texts.values()))
     index = tx.fit_toxicity(d, labels)
-    assert set(index.terms) == {t for i in ids for w in words(texts[i]) for t in tx.terms_of(w)}  # every term counts
+    assert set(index.terms) == {w[:5] for i in ids for w in words(texts[i])}  # every term counts
     base = sum(marked.values()) / len(marked)  # all labelled rows are examples, so each stands for itself
 
     def vote(found):
