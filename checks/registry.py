@@ -593,6 +593,18 @@ _add(
 )
 
 
+def _time_at_risk_earliest(s: Study) -> DataFrame:
+    """Days at risk by the earliest end, and whether that is before the usual one."""
+    key, days = ["study_id", "outcome_id", "person_id"], F.col("f_u_outcome_days")
+    first = followup.time_at_risk(s.population, s.facts, s.pairs, earliest=True)
+    usual = s.time_at_risk.select(*key, days.alias("usual"))
+    rows = first.select(*key, "f_u_outcome", days).join(usual, key)
+    return rows.select(*key, "f_u_outcome", days, (days < F.col("usual")).alias("shorter"))
+
+
+_add("time_at_risk_earliest", _time_at_risk_earliest, study_sql.time_at_risk_earliest())
+
+
 def _slice_counts(s: Study) -> DataFrame:
     from cohortide.operators.survival import slices
 

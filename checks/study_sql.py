@@ -443,6 +443,21 @@ def time_at_risk() -> str:
     )
 
 
+def time_at_risk_earliest() -> str:
+    first = (
+        "SELECT *, CAST(CASE WHEN ev = 1 THEN event_date ELSE least(horizon, op_end, "
+        f"CASE WHEN study_id <> {GENERAL} AND next_vax_date >= index_date THEN next_vax_date END) END - index_date AS INTEGER) "
+        "AS days FROM risk"
+    )
+    return study(
+        [*FOLLOW_UP, ("first", first)],
+        "SELECT study_id, outcome_id, person_id, f_u_outcome, f_u_outcome_days, "
+        "f_u_outcome_days < usual AS shorter FROM (SELECT study_id, outcome_id, person_id, ev AS f_u_outcome, "
+        "days AS f_u_outcome_days FROM first) JOIN (SELECT study_id, outcome_id, person_id, days AS usual FROM tar) "
+        "USING (study_id, outcome_id, person_id)",
+    )
+
+
 def slice_counts() -> str:
     return study(
         [*FOLLOW_UP, ("sliced", _SLICES)],

@@ -110,17 +110,19 @@ def open_pairs(facts: DataFrame, minimum: int = 5) -> DataFrame:
     )
 
 
-def censored_days() -> Column:
+def censored_days(earliest: bool = False) -> Column:
     """Days at risk without the outcome: to the next vaccine, else end of observation, else horizon.
 
-    A next vaccine within the horizon wins even over an earlier end of observation.
+    A next vaccine within the horizon wins even over an earlier end of observation, unless the
+    ``earliest`` of the three is asked for.
     """
     vax = F.when(~_is_general() & (_next_vax() < horizon()), _next_vax())
-    end = F.coalesce(vax, F.least(F.col("op_end"), horizon()))
+    observed = F.least(F.col("op_end"), horizon())
+    end = F.least(vax, observed) if earliest else F.coalesce(vax, observed)
     return F.date_diff(end, F.col("index_date"))
 
 
-def time_at_risk(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+def time_at_risk(pop: DataFrame, facts: DataFrame, pairs: DataFrame, earliest: bool = False) -> DataFrame:
     """One row per study cohort, outcome and person at risk: days, event flag, history flag.
 
     People with the outcome in the year before are left out.  This is the full table;
@@ -137,7 +139,7 @@ def time_at_risk(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFram
                 "history_outcome": F.coalesce("history", F.lit(False)).cast("int"),
                 "f_u_outcome": happened.cast("int"),
                 "f_u_outcome_days": F.when(happened, F.date_diff("event_date", "index_date")).otherwise(
-                    censored_days()
+                    censored_days(earliest)
                 ),
             }
         )
@@ -154,7 +156,12 @@ def people_with_outcome(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> D
 
 
 def count_cells(
-    pop: DataFrame, facts: DataFrame, pairs: DataFrame, profile: dict[str, Column], by_day: bool = True
+    pop: DataFrame,
+    facts: DataFrame,
+    pairs: DataFrame,
+    profile: dict[str, Column],
+    by_day: bool = True,
+    earliest: bool = False,
 ) -> DataFrame:
     """Counts of people at risk by profile, days at risk and event flag, per open pair.
 
@@ -164,7 +171,7 @@ def count_cells(
     share a cell, with ``days`` 0.
     """
     names = list(profile)
-    days, event_day = censored_days(), F.date_diff("event_date", "index_date")
+    days, event_day = censored_days(earliest), F.date_diff("event_date", "index_date")
     if not by_day:
         days = event_day = F.lit(0)
     people = pop.select(

@@ -40,9 +40,9 @@ def strata() -> Column:
     )
 
 
-def stratified_counts(pop: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+def stratified_counts(pop: DataFrame, facts: DataFrame, pairs: DataFrame, earliest: bool = False) -> DataFrame:
     """People and events by day for every curve."""
-    cells = count_cells(pop, facts, pairs, {c: F.col(c) for c in PROFILE})
+    cells = count_cells(pop, facts, pairs, {c: F.col(c) for c in PROFILE}, earliest=earliest)
     return (
         cells.withColumns(age_bands())
         .withColumn("slice", F.explode(slices()))

@@ -38,6 +38,8 @@ class Study:
     cohort and outcome from ``min_pair`` outcome rows, a slice is modelled from ``min_events``
     events, and an exposure from more than ``min_exposed`` exposed people.
 
+    With ``earliest``, days at risk without the outcome end with observation where that comes before a next vaccine.
+
     Used as a context manager, a study drops its intermediate tables at the end.  With ``resume``, a
     study that fails leaves them, and the next one over the same files with the same settings goes on from
     there; inputs that are not files, like ``stored`` tables computed on the fly, should not be resumed.
@@ -63,6 +65,7 @@ class Study:
         min_exposed: int = 5,
         manifest: DataFrame | None = None,
         resume: bool = False,
+        earliest: bool = False,
     ):
         self.cdm, self.spark = cdm, cdm.spark
         self.definitions, self.calendar = concept_sets, calendar
@@ -74,7 +77,7 @@ class Study:
         self.stored = stored or {}
         self.min_rows, self.min_pair = min_rows, min_pair
         self.min_events, self.min_exposed = min_events, min_exposed
-        self.manifest = manifest
+        self.manifest, self.earliest = manifest, earliest
         self.work = Workspace(cdm.spark, self._key() if resume else None)
 
     def __enter__(self) -> Study:
@@ -91,6 +94,7 @@ class Study:
         return fingerprint(
             frames, sets, self.specs, self.calendar, self.condition_tops, self.drug_tops, self.studies, sorted(self.stored),
             self.born_after, self.op_containing_index, self.min_rows, self.min_pair, self.min_events, self.min_exposed,
+            self.earliest,
         )
 
     # ---- cohorts -----------------------------------------------------------------
@@ -237,12 +241,12 @@ class Study:
 
     @cached_property
     def time_at_risk(self) -> DataFrame:
-        return followup.time_at_risk(self.population, self.facts, self.pairs)
+        return followup.time_at_risk(self.population, self.facts, self.pairs, self.earliest)
 
     @cached_property
     def curve_counts(self) -> DataFrame:
         def build() -> DataFrame:
-            return survival.stratified_counts(self.population, self.facts, self.pairs)
+            return survival.stratified_counts(self.population, self.facts, self.pairs, self.earliest)
 
         return self.work.stage("curve_counts", build, None)
 

@@ -160,6 +160,9 @@ def test_follow_up_edges(spark):
     tar = followup.time_at_risk(pop, facts, pairs)
     got = rows(tar.select("person_id", "f_u_outcome", "f_u_outcome_days", "history_outcome"))
     assert got == [(p, int(hit), days, int(p == 9)) for p, _, _, _, hit, days in CASES]  # person 10 is washed out
+    first = followup.time_at_risk(pop, facts, pairs, earliest=True)
+    shorter = {6: 5}  # observation ends before the next vaccine
+    assert rows(first.select("person_id", "f_u_outcome_days")) == [(p, shorter.get(p, days)) for p, _, _, _, _, days in CASES]
     assert followup.open_pairs(facts, minimum=5).count() == 0
 
 
@@ -229,7 +232,8 @@ def test_general_population_follows_two_years(spark):
     assert rows(tar.select("person_id", "f_u_outcome", "f_u_outcome_days")) == [(1, 1, 730), (2, 0, 516)]
 
 
-def test_count_cells_equal_the_full_table(spark):
+@pytest.mark.parametrize("earliest", [False, True])
+def test_count_cells_equal_the_full_table(spark, earliest):
     rnd = random.Random(3)
     pop = pop_df(
         spark,
@@ -242,9 +246,9 @@ def test_count_cells_equal_the_full_table(spark):
     outcomes = cohorts_df(spark, [(o, rnd.randrange(300), rnd.choice(dates)) for o, _ in itertools.product((302, 303), range(150))])
     facts = followup.outcome_facts(pop, outcomes)
     pairs = followup.open_pairs(facts)
-    cells = followup.count_cells(pop, facts, pairs, {"sex": F.col("sex")})
+    cells = followup.count_cells(pop, facts, pairs, {"sex": F.col("sex")}, earliest=earliest)
     direct = (
-        followup.time_at_risk(pop, facts, pairs)
+        followup.time_at_risk(pop, facts, pairs, earliest)
         .groupBy("study_id", "outcome_id", "sex", F.col("f_u_outcome_days").alias("days"), F.col("f_u_outcome").alias("event"))
         .agg(F.count("*").alias("n"))
     )
