@@ -6,7 +6,7 @@ import numpy as np
 from helpers import by_id  # noqa: F401
 from pyspark.sql import functions as F
 
-from cohortide.llm.topk import cover_tree, top_k
+from cohortide.llm.topk import choose_pivots, cover_tree, dual_search, top_k
 
 
 def brute(rows, every, k):
@@ -45,6 +45,7 @@ def test_matches_brute_force_over_blocks(spark):
     want = brute(rows, 20, 20)
     assert run(spark, rows) == want
     assert run(spark, rows, data_block=200, query_block=10) == want
+    assert run(spark, rows, data_block=20, query_block=10, pivots=30) == want  # many cells, a hot one in parts
 
 
 def test_null_vectors_lengths_ties_and_repeats(spark):
@@ -68,3 +69,33 @@ def test_tree_covers_its_points():
         else:
             leaves.append(node.rows)
     assert sorted(np.concatenate(leaves)) == list(range(len(points)))
+
+
+def test_products_past_53_bits_are_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-(2**22), 2**22, 4)]) for i in range(120)]
+    want = brute(rows, 20, 20)
+    assert any(abs(s) > 2**53 for *_, s in want)
+    assert run(spark, rows) == want
+    assert run(spark, rows, data_block=30) == want
+
+
+def test_cells_and_scores_from_elsewhere_spare_comparisons():
+    rng = np.random.default_rng(2)
+    middle = 100 * rng.normal(size=(16, 8))
+    data = np.floor(middle[rng.integers(0, 16, 8000)] + rng.normal(size=(8000, 8)))
+    cells = choose_pivots([(8, row) for row in data[:32].tolist()])
+    number, away = cells.nearest(data)
+    cells.radius = {(8, int(c)): float(away[number == c].max()) for c in np.unique(number)}
+    asked = data[:200]
+    exact = asked @ data.T
+    kth = np.sort(exact, 1)[:, -20]
+    known, bound = cells.bounds(asked)
+    for c, b in zip(known, bound.T, strict=True):
+        assert (exact[:, number == c].max(1) <= b).all()  # no bound is exceeded
+    reached = bound >= kth[:, None]
+    compared = sum(reached[:, j].sum() * (number == c).sum() for j, c in enumerate(known))
+    assert compared < 0.3 * exact.size
+    ids = np.arange(len(data))
+    score, ident = dual_search(asked, np.full(200, -1), data, ids, 20, floor=kth)
+    assert np.array_equal(score, -np.sort(-exact, 1)[:, :20]) and (ident < len(data)).all()
