@@ -107,13 +107,16 @@ def mark_contaminated(
 
 def hit_items(marked: DataFrame, items: DataFrame, columns: list[str], width: int = 10) -> DataFrame:
     """``columns`` of every marked row, and ``items``: the sorted ids, as text, of the benchmark items
-    whose windows occur in it.  Null ids are left out."""
-    rows = marked.select(*columns, "hits").withColumn("_row", F.monotonically_increasing_id())
+    whose windows occur in it.  Null ids are left out.  Only rows with hits are joined."""
+    rows = keep(marked.select(*columns, "hits"), "marked")
+    some = F.coalesce(F.size("hits") > 0, F.lit(False))
+    hit = rows.filter(some).withColumn("_row", F.monotonically_increasing_id())
     found = F.array_distinct(F.transform("hits", lambda h: h["window"]))
-    rows = rows.select("_row", *columns, F.explode_outer(found).alias("_window"))
+    hit = hit.select("_row", *columns, F.explode(found).alias("_window"))
     lookup = item_windows(items, width).select(F.col("window").alias("_window"), F.col("items").alias("_items"))
-    grouped = rows.join(lookup, "_window", "left").groupBy("_row", *columns)
-    return grouped.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items")).drop("_row")
+    grouped = hit.join(lookup, "_window", "left").groupBy("_row", *columns)
+    named = grouped.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items")).drop("_row")
+    return named.unionByName(rows.filter(~some).select(*columns, F.array().cast(named.schema["items"].dataType).alias("items")))
 
 
 def remove_spans(marked: DataFrame, text: str = "text") -> DataFrame:
