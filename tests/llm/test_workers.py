@@ -14,7 +14,7 @@ spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.
 assert spark.range(1).rdd.map(lambda _: __import__("importlib.util").util.find_spec("cohortide") is None).first()
 sys.path.insert(0, sys.argv[1])  # the driver alone
 from cohortide.llm.registry import QUERIES
-for name in ("op2_quality", "op4_html_extract", "op8_toxicity", "op12_phrases", "op13_spelling"):
+for name in ("op2_quality", "op4_html_extract", "op8_toxicity", "op10_topk", "op12_phrases", "op13_spelling"):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0, name
 print("all ran")
 """
