@@ -69,7 +69,7 @@ def clear(spark: SparkSession, shelf: list[str]) -> None:
         files.delete(where, True)
 
 
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+def bound_batches(spark: SparkSession, size: str = "2m") -> None:
     """Python tasks of the session get so many bytes at once, however long texts are, unless the session has its own bound."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

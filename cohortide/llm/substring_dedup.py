@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,9 +149,26 @@ def _number(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def repeated_cells(docs: DataFrame, min_words: int, text: str, cells: int) -> np.ndarray:
-    """A bit for each cell of digests: whether some digest in it occurs twice.  The table has ``cells`` bits, however
-    many passages there are; it only saves work, as digests are compared whole later."""
+def cells_of(numbers: DataFrame, cells: int) -> bytes:
+    """A bit for each cell of numbers ``h``: whether some number is in it.  The table has ``cells`` bits, however many
+    numbers there are; it only saves work, as what it lets through is compared whole later."""
+
+    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(min(cells, PART), bool)
+        own[pdf["cell"].to_numpy() % PART] = True
+        return pd.DataFrame({"part": [int(pdf["cell"].iloc[0]) // PART], "bits": [np.packbits(own).tobytes()]})
+
+    found = numbers.select(F.pmod("h", F.lit(cells)).cast("int").alias("cell")).distinct()
+    parts = found.groupBy(F.floor(F.col("cell") / PART)).applyInPandas(bits, "part int, bits binary").collect()
+    out = np.zeros(cells // 8, np.uint8)
+    for r in parts:
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * PART // 8 :][: len(own)] = own
+    return out.tobytes()
+
+
+def repeated_cells(docs: DataFrame, min_words: int, text: str, cells: int) -> bytes:
+    """The cells of digests that occur twice."""
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages = Passages(min_words)
@@ -163,20 +181,20 @@ def repeated_cells(docs: DataFrame, min_words: int, text: str, cells: int) -> np
                     held = []
             yield pd.DataFrame({"h": np.array(held, np.int64)})
 
-    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(min(cells, PART), bool)
-        own[pdf["cell"].to_numpy() % PART] = True
-        return pd.DataFrame({"part": [int(pdf["cell"].iloc[0]) // PART], "bits": [np.packbits(own).tobytes()]})
-
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(numbers, "h long")
-    twice = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    found = twice.select(F.pmod("h", F.lit(cells)).cast("int").alias("cell")).distinct()
-    parts = found.groupBy(F.floor(F.col("cell") / PART)).applyInPandas(bits, "part int, bits binary").collect()
-    out = np.zeros(cells // 8, np.uint8)
-    for r in parts:
-        own = np.frombuffer(r["bits"], np.uint8)
-        out[r["part"] * PART // 8 :][: len(own)] = own
-    return out
+    return cells_of(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), cells)
+
+
+def in_cells(number: Column, table: Broadcast, cells: int) -> Column:
+    """Whether a number's cell is set."""
+
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.frombuffer(table.value, np.uint8)
+        for h in batches:
+            cell = h.to_numpy() % cells
+            yield pd.Series((bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return F.pandas_udf(look, "boolean")(number)
 
 
 def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", cells: int = CELLS) -> DataFrame:
@@ -185,12 +203,17 @@ def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "_text", "line", "last", "start", "end", "digest"]
-        passages, mask = Passages(min_words), np.unpackbits(shared.value).view(bool)
+        passages, bits = Passages(min_words), shared.value
+
+        def repeated(digest: bytes) -> int:
+            cell = _number(digest) % cells
+            return bits[cell >> 3] >> (7 - (cell & 7)) & 1
+
         for pdf in batches:
             out = []
             for doc, key, whole in zip(pdf["doc_id"].astype(object), pdf["_text"], pdf["text"], strict=True):
                 doc = None if pd.isna(doc) else int(doc)
-                out += [(doc, key, *p) for p in passages(whole) if mask[_number(p[-1]) % cells]]
+                out += [(doc, key, *p) for p in passages(whole) if repeated(p[-1])]
                 if len(out) >= 5000:
                     yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
                     out = []
@@ -255,7 +278,8 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     every word taken out stands in an earlier place that stays.  Of a repeated passage, what lies before the first and after the
     last place where a piece ends stays: some words inside a line, nothing of whole lines.  Input columns of the names above are replaced.
     """
-    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("n_removed", "removed")]).alias("row"), "doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
+    others = F.struct(*[F.col(c) for c in docs.columns if c not in (text, "n_removed", "removed")]).alias("row")
+    rows = docs.select(others, "doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_text"))
     bound_batches(docs.sparkSession)
     units = keep(passage_units(docs, min_words, text, cells), "units", shelf := [])
     first = F.col("_first")
@@ -272,6 +296,11 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     gone = spans.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
     gone = keep(gone.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "gone"), "gone")
     clear(docs.sparkSession, shelf)
+    # texts that nothing is taken out of stay where they are; all others are moved
+    moved = docs.sparkSession.sparkContext.broadcast(cells_of(gone.select(F.xxhash64("_id", "_key").alias("h")), cells))
+    rows = rows.withColumn("_may", in_cells(F.xxhash64("doc_id", "_text"), moved, cells))
+    whole_rows = rows.filter(~F.col("_may")).drop("_may")
+    rows = rows.filter("_may").drop("_may")
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_text"] == gone["_key"]), "left")
     at = lambda i: F.substring("text", i + 1, F.lit(1))
     size = F.length("text")
@@ -296,6 +325,7 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "tex
     none = F.array().cast("array<struct<start:int,end:int>>")
     cut = F.col("gone").isNotNull()
     rows = rows.select("row", F.when(cut, left).otherwise(F.col("text")).alias("left"), F.coalesce("cuts", none).alias("removed"))
+    rows = rows.union(whole_rows.select("row", "text", none))
     columns = [F.col("left").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("n_removed", "removed")]
     return rows.select(*columns, F.size("removed").cast("long").alias("n_removed"), "removed")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from checks import compare
 from cohortide.llm.registry import QUERIES
-from cohortide.llm.substring_dedup import dedup_lines, dedup_passages, dedup_sql
+from cohortide.llm.substring_dedup import cells_of, dedup_lines, dedup_passages, dedup_sql, in_cells
 
 
 def line(seed, n=60):
@@ -155,3 +155,20 @@ def test_query_leaves_few_long_runs_and_takes_nothing_else(spark):
             assert rows[doc]["text"] == before[doc]
         seen |= own
     print(len(repeated), len(left))
+
+
+def test_only_texts_with_cuts_are_moved(spark):
+    shared = line(1)
+    rows = [(k, line(100 + k)) for k in range(300)] + [(400, shared), (401, shared + "\n" + line(2)), (402, None), (None, line(500))]
+    table = docs(spark, rows)
+    got = dedup_passages(table)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("Join LeftOuter") == 1
+    seen = {r["doc_id"]: (r["text"], r["n_removed"], len(r["removed"])) for r in got.collect()}
+    assert len(seen) == len(rows)
+    assert seen.pop(401) == (line(2), 1, 1)
+    assert all(seen[d] == (t, 0, 0) for d, t in rows if d != 401)
+    first = spark.createDataFrame([(7,), (7 + (1 << 16),), (-3,)], "h long")
+    bits = spark.sparkContext.broadcast(cells_of(first, 1 << 16))
+    numbers = spark.createDataFrame([(h,) for h in (7, 8, -3, (1 << 16) - 3, -4)], "h long")
+    assert [r[0] for r in numbers.select(in_cells(F.col("h"), bits, 1 << 16)).collect()] == [True, False, True, True, False]
