@@ -2,12 +2,15 @@
 
 A partner of a set of n shingles shares at least T of them.  As in DivideSkip, the n - T + 1 rarest
 shingles are the short lists, which are merged: a partner occurs in at least one of them.  The other, long
-lists are never read; a candidate's remaining shingles are probed by binary search.
+lists are never read; a candidate's remaining shingles are probed by binary search.  As in PPJoin, the smaller
+set of a linked pair has the shared shingle among fewer still, its first ones; lists that are first ones of no
+set, or whose two sets differ too much in size, are dropped before anything is joined with them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ CENTERS = 3
 #: Pairs left for each member of a list at which they are compared without a further center.
 PAIRS = 8
 CACHE = 100_000
+#: Classes of set sizes, in a circle, and the bit that tells that a list is among the first ones of a set.
+CLASSES, FIRST = 60, 1 << 60
 #: Columns with a set's parity in 256 cells.
 SMALL = ("p0", "p1", "p2", "p3")
 
@@ -80,6 +85,30 @@ def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-n * percent // 100)
 
 
+def first_ones(n: Column, percent: int) -> Column:
+    """How many of the rarest shingles of a set of n hold one of every partner that is no smaller."""
+    return n + 1 - F.ceil(n * (2 * percent) / (100 + percent))
+
+
+def list_sizes(lists: DataFrame, percent: int) -> DataFrame:
+    """token and k (sets) of all lists that can hold a linked pair.
+
+    ``lists`` is (token, n, first).  The smaller set of a linked pair has the token among its first ones.  Linked sets
+    are in one class of sizes or in neighbouring ones; a list's classes and whether it is a first one are one number,
+    so little is shuffled.
+    """
+    # a little wider than the ratio of linked sizes, so that rounding parts no pair
+    width = 1.001 * math.log(100 / percent) or 1.0
+    bit = F.floor(F.log(F.col("n").cast("double")) / width) % CLASSES
+    seen = F.expr("shiftleft(1L, cast(_bit as int))") + F.when(F.col("first"), FIRST).otherwise(0)
+    sizes = lists.withColumn("_bit", bit).select("token", seen.alias("seen")).groupBy("token")
+    sizes = sizes.agg(F.count("*").alias("k"), F.bit_or("seen").alias("seen")).filter((F.col("k") > 1) & (F.col("seen") >= FIRST))
+    own = F.col("seen").bitwiseAND(FIRST - 1)
+    next_ = F.shiftleft(own, 1).bitwiseOR(F.shiftright(own, CLASSES - 1))
+    two = (F.bit_count(own) == 1) | (own.bitwiseAND(next_) != 0)
+    return sizes.filter((F.col("k") > 2) | two).select("token", "k")
+
+
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> pd.DataFrame:
     """The most frequent shingles over all documents, at most ``most``, with their counts.
 
@@ -314,8 +343,9 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "t
         classes = classes.agg(F.min(rank).alias("rep"), F.count("*").alias("copies"), *once)
         # a number of eight bytes for each set, fixed by writing it, stands for its digest from here on
         classes = keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes", shelf)
-        lists = classes.select("node", F.explode("short").alias("token"))
-        shared = keep(lists.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"), "shared", shelf)
+        lists = classes.select("node", "n", F.posexplode("short").alias("at", "token"))
+        sizes = list_sizes(lists.select("token", "n", (F.col("at") < first_ones(F.col("n"), percent)).alias("first")), percent)
+        shared = keep(sizes, "shared", shelf)
         known = docs.sparkSession.createDataFrame(often[["token"]], "token long")
         long = shared.filter(F.col("k") > long_list).join(known, "token", "left_anti").orderBy(F.desc("k"), "token")
         new = long.limit(max(0, common - len(often))).select("token", F.col("k").alias("n")).toPandas()
@@ -324,8 +354,14 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "t
         clear(spark, shelf + own)
         shelf.clear()
         often = pd.concat([often, new], ignore_index=True)
-    lists = lists.join(broadcast_small(shared), "token").join(classes.select("node", "n", "copies", *SMALL), "node")
-    lists = keep(lists, "lists", shelf)
+    # the wide columns of all rows are not needed from here on
+    rows = keep(sets.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("digest")), "rows")
+    clear(spark, own)
+    lists = lists.select("node", "token").join(broadcast_small(shared), "token")
+    lists = keep(lists.join(classes.select("node", "n", "copies", *SMALL), "node"), "lists", now := [])
+    classes = keep(classes.drop("short"), "slim", now)
+    clear(spark, shelf)
+    shelf = now
     links = links_of(docs, classes, lists, size, percent, centers, shelf)
     labels = connected_components(links, shelf)
     member = keep(classes.join(labels, "node").select("node", "digest", "label", F.col("rep.doc_id").alias("id")), "members", shelf)
@@ -334,8 +370,7 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "t
     alone = classes.join(linked.select("node"), "node", "left_anti").filter("copies > 1")
     groups = keep(linked.select("digest", "least").union(alone.select("digest", F.col("rep.doc_id").alias("least"))), "groups")
     clear(spark, shelf)
-    rows = sets.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("digest")).join(groups, "digest", "left")
-    return rows.select("doc_id", "key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rows.join(groups, "digest", "left").select("doc_id", "key", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame, text: str = "text") -> DataFrame:

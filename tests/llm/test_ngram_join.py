@@ -6,7 +6,7 @@ from helpers import ascii_lower, docs, prose
 from pyspark.sql import functions as F
 
 from cohortide.llm.components import connected_components
-from cohortide.llm.ngram_join import ngram_join, one_of_each
+from cohortide.llm.ngram_join import first_ones, list_sizes, ngram_join, one_of_each
 
 
 def shingles(text, size=3):
@@ -114,3 +114,21 @@ def test_components(spark):
             root[b] = a
     assert got == {x: find(x) for x in root}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_lists_without_a_possible_pair_are_dropped(spark):
+    rows = [(1, 100, True), (1, 95, True), (2, 100, True), (2, 80, True), (3, 100, False), (3, 98, False), (4, 100, True), (4, 98, False)]
+    rows += [(5, 100, True), (6, 100, False), (6, 99, True), (6, 10, False), (7, 9, False), (7, 10, False), (7, 9, False)]
+    lists = spark.createDataFrame(rows, "token long, n long, first boolean")
+    assert sorted(tuple(r) for r in list_sizes(lists, 90).collect()) == [(1, 2), (4, 2), (6, 3)]
+    # no pair whose sizes fit is dropped
+    for percent in (50, 80, 90, 99, 100):
+        pairs = [(n, m) for n in (1, 2, 9, 10, 81, 90, 99, 100, 450, 729, 810, 900, 990, 1000, 10**6) for m in range(n * percent // 100, n + 1) if n < 1001 and 100 * m >= percent * n]
+        sets = [(i, x, x == m) for i, (n, m) in enumerate(pairs) for x in (n, m)]
+        assert list_sizes(spark.createDataFrame(sets, "token long, n long, first boolean"), percent).count() == len(pairs)
+    sizes = spark.range(1, 3000).select("id", first_ones(F.col("id"), 90).alias("a"), first_ones(F.col("id"), 80).alias("b"), first_ones(F.col("id"), 100).alias("c"))
+    for r in sizes.collect():
+        n = r["id"]
+        for got, percent in ((r["a"], 90), (r["b"], 80), (r["c"], 100)):
+            # a partner of n shingles or more shares at least so many of them
+            assert got == n + 1 - next(t for t in range(n * percent // 100, n + 1) if t * (100 + percent) >= 2 * percent * n)
