@@ -29,6 +29,8 @@ CHUNK, CACHE = 500_000, 100_000
 #: Words of a language after which a task hands its phrases over.
 NAMED = 1_500_000
 NEVER = 255
+#: Words of eight bytes that a filter of phrases has at least.
+WORDS = 1 << 12
 #: Ends a piece; no byte of UTF-8.
 END = b"\xff"
 #: Bytes of a text as they are counted: A-Z lowered, marks and line ends as ends of a piece, tabs as spaces.
@@ -165,7 +167,7 @@ def _merge(step: int, shards: int, buckets: int, cells: int, least: int) -> Call
         keys, n, since = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, n, since = keys[order], n[order], since[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))  # a bucket may have lost all its phrases
         keys, n, since = keys[first], np.add.reduceat(n, first), since[first]
         low, high = (-(-b * cells // buckets) for b in (bucket, bucket + 1))
         hit = np.zeros(high - low, bool)
@@ -187,8 +189,46 @@ def _hits(state: DataFrame, cells: int) -> dict[int, np.ndarray]:
     return {size: mask[:cells] for size, mask in out.items()}
 
 
+def _marks(keys: np.ndarray) -> np.ndarray:
+    """Three bits of a key's word in a filter."""
+    one = np.uint64(1)
+    return one << (keys & np.uint64(63)) | one << (keys >> np.uint64(6) & np.uint64(63)) | one << (keys >> np.uint64(12) & np.uint64(63))
+
+
+def key_filters(state: DataFrame, words: int) -> dict[int, np.ndarray]:
+    """By length, a filter of all keys of packed rows: three bits of one word for each.
+
+    There are ``words`` words at least, and more than a quarter of the keys, so that one other key in a hundred or so
+    passes however many phrases there are.
+    """
+    sizes = state.groupBy("size").agg(F.sum(F.length("since")).alias("k")).collect()
+    many = {r["size"]: max(words, 1 << (r["k"] // 4).bit_length()) for r in sizes}
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, keys, n, since in zip(pdf["size"], pdf["keys"], pdf["n"], pdf["since"], strict=True):
+                keys = _unpack(keys, n, since)[0]
+                if len(keys):
+                    at = _cell(keys, many[size])  # keys are sorted, and so are their words
+                    first = np.flatnonzero(np.diff(at, prepend=-1))
+                    own = np.zeros(at[-1] - at[0] + 1, np.uint64)
+                    own[at[first] - at[0]] = np.bitwise_or.reduceat(_marks(keys), first)
+                    yield pd.DataFrame({"size": [size], "low": [at[0]], "own": [own.tobytes()]})
+
+    out = {size: np.zeros(k, np.uint64) for size, k in many.items()}
+    for r in state.mapInPandas(part, "size int, low long, own binary").toLocalIterator():
+        own = np.frombuffer(r["own"], np.uint64)
+        out[r["size"]][r["low"] : r["low"] + len(own)] |= own
+    return out
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    marks = _marks(keys)
+    return table[_cell(keys, len(table))] & marks == marks
+
+
 def frequent_cells(texts: DataFrame, least: int, shards: int = SHARDS, longest: int = LONGEST, cells: int = CELLS, buckets: int | None = None, log: list | None = None) -> dict[int, np.ndarray]:
-    """Count in circles: the cells of all phrases that occur ``least`` times, by length.
+    """Count in circles: filters of the phrases that occur ``least`` times, by length, for ``may_hold``.
 
     ``texts`` is (lang, text).  Each step scans one shard for phrases of all lengths that are active.  The driver holds
     a table of ``cells`` bytes for each length, however many phrases there are.  ``log`` gets (step, {length: phrases counted}).
@@ -220,18 +260,17 @@ def frequent_cells(texts: DataFrame, least: int, shards: int = SHARDS, longest:
             own[hit & (own == NEVER)] = step
         if log is not None:
             log.append((step, {r["size"]: r["k"] for r in state.groupBy("size").agg((F.sum(F.length("since"))).alias("k")).collect()}))
+    found = key_filters(state, WORDS)
     clear(spark, shelf + before)
-    return {size: own < NEVER for size, own in reached.items()}
+    return found
 
 
 def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, size, phrase, n) by words, not hashes, of all phrases in frequent cells; size 0 has all words of a language."""
-    longest = max(frequent, default=1)
-    shared = texts.sparkSession.sparkContext.broadcast({size: np.packbits(mask) for size, mask in frequent.items()})
-    cells = {size: len(mask) for size, mask in frequent.items()}
+    """(lang, size, phrase, n) by words, not hashes, of all phrases that pass the filters; size 0 has all words of a language."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = {size: np.unpackbits(bits)[: cells[size]].astype(bool) for size, bits in shared.value.items()}
+        filters = shared.value
         hashes = Hashes()
         held: dict[str, tuple[list[bytes], list[np.ndarray]]] = {}
 
@@ -239,13 +278,13 @@ def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFram
             words, parts = held.pop(lang)
             whole = np.concatenate(parts)
             yield pd.DataFrame({"lang": [lang], "size": [0], "phrase": [""], "n": [int((whole != 0).sum())]})
-            for size in range(1, longest + 1):
+            for size in sorted(filters):
                 inside = whole != 0
                 for i in range(1, size):
                     inside = inside[:-1] & (whole[i:] != 0)
                 at = np.flatnonzero(inside)
                 keys = phrase_keys(whole, at, size)
-                hit = masks[size][_cell(keys, cells[size])]
+                hit = may_hold(filters[size], keys)
                 _, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
                 if len(first):
                     phrases = [b" ".join(words[i : i + size]).decode("utf-8", "surrogatepass") for i in at[hit][first].tolist()]

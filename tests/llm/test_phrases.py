@@ -82,3 +82,19 @@ def test_query_equals_its_sql_on_more_texts(spark):
 
     rows, problems = compare.differences(QUERIES["op12_phrases"](spark, sf), compare.duck(sf), ORACLES["op12_phrases"])
     assert not problems and rows > 200
+
+
+def test_rare_phrases_do_not_pass_with_few_cells(spark):
+    pick = random.Random(8)
+    rows = [("en", " ".join(pick.choices([f"w{i}" for i in range(3000)], k=100)) + ". once upon a time") for _ in range(120)]
+    texts = frame(spark, rows).select("lang", "text")
+    f = Counter()
+    for _, text in rows:
+        for piece in text.split(". "):
+            w = piece.split()
+            f.update(" ".join(w[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    counts = phrases.phrase_counts(texts, phrases.frequent_cells(texts, 30, cells=64)).collect()
+    have = {r["phrase"]: r["n"] for r in counts if r["size"]}
+    want = {p: n for p, n in f.items() if n >= 30}
+    assert want and all(have[p] == n for p, n in want.items()) and all(f[p] == n for p, n in have.items())
+    assert len(have) < 0.02 * len(f)  # every table of 64 cells is full
