@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,11 +19,13 @@ by_value(__name__)
 
 #: Lines of fewer words are too common to be worth removing: greetings, headings, list marks.
 MIN_WORDS = 20
-#: Bits of the table of digests that occur twice, those that a task packs at once, and words whose numbers it keeps at hand.
-CELLS, PART, CACHE = 1 << 24, 1 << 16, 100_000
-_WORD = re.compile(WORD)
-#: Ends of lines and sentences, with the blanks after a sentence.
-_END = re.compile(r"\n|[.!?]+[ \t]+")
+#: Bits of the table of digests that occur twice, and those that a task packs at once.
+CELLS, PART = 1 << 24, 1 << 16
+#: Neighbours on either side among which a piece ends after the word of least hash, and code points read at once.
+REACH, BLOCK = 4, 1 << 18
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What stands in no word.
+_GAP = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
@@ -59,94 +59,109 @@ def line_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
     return rows.mapInPandas(cut, "doc_id long, _text long, line int, start int, end int, digest binary")
 
 
-def windows(counts: list[int], min_words: int) -> list[tuple[int, int]]:
-    """First and last line of every shortest run of lines that has ``min_words`` from its first line on or
-    up to its last one.  ``counts``: words of each line; runs begin and end on lines with words.
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
 
-    Any repeated run of lines with so many words is the union of such windows in it, so all of it is found.
-    """
-    lines = [i for i, n in enumerate(counts) if n]
-    out, first, held = set(), 0, 0
-    for last, i in enumerate(lines):  # up to a last line
-        held += counts[i]
-        while held - counts[lines[first]] >= min_words:
-            held -= counts[lines[first]]
-            first += 1
-        if held >= min_words:
-            out.add((lines[first], i))
-    last, held = 0, 0
-    for i in lines:  # from a first line on
-        while held < min_words and last < len(lines):
-            held += counts[lines[last]]
-            last += 1
-        if held < min_words:
-            break
-        out.add((i, lines[last - 1]))
-        held -= counts[i]
-    return sorted(out)
-
-
-def pieces(text: str, long: int, cut: Callable[[str], int]) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the pieces of a text, in order; ``text`` has A-Z lowered.
-
-    A piece ends at a line end, after a sentence whose last word has an even ``cut`` number, and inside sentences of ``long`` words or more
-    after each word with a number divisible by 8.  Where a piece ends depends on the words around it alone, so a passage
-    is cut alike wherever it stands.
-    """
-    out, held, start, begin, line = [], [], 0, 0, 0
-    for mark in chain(_END.finditer(text), [None]):
-        stop = mark.start() if mark else len(text)
-        ends_line = mark is None or text[stop] == "\n"
-        found = _WORD.findall(text, begin, stop)
-        if len(found) >= long:
-            places = [w.start() for w in _WORD.finditer(text, begin, stop)]
-            done = 0
-            for i in range(len(found) - 1):
-                if cut(found[i]) % 8 == 0:
-                    out.append((start, places[i + 1], held + found[done : i + 1]))
-                    start, held, done = places[i + 1], [], i + 1
-            found = found[done:]
-        held += found
-        if ends_line:
-            if held or start == line:
-                out.append((start, stop, held))
-            elif start < stop:  # marks after the last piece belong to it
-                out[-1] = (out[-1][0], stop, out[-1][2])
-            start = begin = line = stop + 1
-            held = []
-        else:
-            begin = mark.end()
-            if found and cut(found[-1]) % 2 == 0:
-                out.append((start, begin, held))
-                start, held = begin, []
-    return out
 
+class Sums:
+    """Polynomial hashes of stretches of numbers: the same for equal stretches, wherever they stand."""
 
-class Passages:
-    """Windows of a text's pieces as (first, last, start, end, digest); ``digest`` is that of the words."""
+    def __init__(self, base: int) -> None:
+        self.base, self.powers = base, [np.zeros(0, np.uint64)] * 2
 
-    def __init__(self, min_words: int) -> None:
-        self.min_words, self.cache = min_words, {}
+    def __call__(self, values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.powers[0]) <= len(values):
+            n = 2 * len(values) + 1
+            back = pow(self.base, -1, 1 << 64)
+            self.powers = [np.cumprod(np.r_[np.uint64(1), np.full(n, b, np.uint64)]) for b in (self.base, back)]
+        up, down = self.powers
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        return _mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
 
-    def cut(self, word: str) -> int:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-        return got
 
-    def __call__(self, text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
-        low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        parts = pieces(low, self.min_words, self.cut)
-        said = [" ".join(p[2]) for p in parts]
-        for first, last in windows([len(p[2]) for p in parts], self.min_words):
-            joined = " ".join([said[i] for i in range(first, last + 1) if said[i]])
-            yield first, last, parts[first][0], parts[last][1], hashlib.md5(joined.encode("utf-8", "surrogatepass")).digest()
+class Passages:
+    """Runs of ``min_words`` or more words, of many texts at once: from the begin of each piece on, and the shortest ones of
+    whole lines from each line on and up to each line.
 
+    A piece is a line, or a part of one that ends after a word whose hash (with the word before it) is the least
+    among its ``reach`` neighbours on either side.  Where a piece ends depends on the words around it alone, so a passage
+    is cut alike wherever it stands.  Any repeated run of lines with so many words is the union of runs of lines in it, so all of
+    it is found; of a passage inside a line, all from the first begin of a piece to the end of the last run.
+    """
 
-def _number(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
+    def __init__(self, min_words: int, reach: int = REACH) -> None:
+        self.min_words, self.reach = min_words, reach
+        self.letters, self.one, self.two = Sums(0x9E3779B97F4A7C15), Sums(0xC2B2AE3D27D4EB4F), Sums(0x165667B19E3779F9)
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and hash of each word, and the places of line ends; A-Z is lowered."""
+        starts, hashes, lines, at = [], [], [], 0
+        while at < len(text):
+            stop = at + BLOCK
+            if stop < len(text):  # no word stands in two blocks
+                gap = _GAP.search(text, stop)
+                stop = gap.end() if gap else len(text)
+            code = np.frombuffer(text[at:stop].encode("utf-32-le", "surrogatepass"), np.uint32)
+            code = code + np.where((code >= 65) & (code <= 90), np.uint32(32), np.uint32(0))
+            inside = np.zeros(len(code) + 2, bool)
+            inside[1:-1] = (code >= 128) | (code - np.uint32(48) < 10) | (code - np.uint32(97) < 26)
+            first, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            hashes.append(self.letters((code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25), first, end))
+            starts.append(first + at)
+            lines.append(np.flatnonzero(code == 10) + at)
+            at = stop
+        return np.concatenate(starts), np.concatenate(hashes), np.concatenate(lines)
+
+    def ends(self, word: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Whether a piece ends after a word by its hash."""
+        new = np.r_[True, text[1:] != text[:-1]]
+        own = word + np.where(new, np.uint64(0), np.r_[np.uint64(0), word[:-1]]) * np.uint64(0x9E3779B97F4A7C15)
+        own = own ^ (own >> np.uint64(32))
+        at = np.arange(len(word)) + self.reach * (text + 1)
+        padded = np.full(at[-1] + self.reach + 1, NONE, np.uint64)
+        padded[at] = own
+        least = np.ones(len(word), bool)
+        for i in range(1, self.reach + 1):
+            least &= (own < padded[at - i]) & (own <= padded[at + i])
+        return least
+
+    def __call__(self, texts: list[str]) -> pd.DataFrame:
+        """text (its place in the list), line and last (words, and lines without words, before it), start and end (code points), h and g (two hashes) of every run."""
+        starts, word, lines = self.words("\n".join(texts) + "\n")
+        if not len(word):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", "line", "last", "start", "end", "h", "g")})
+        stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+        text, line = np.searchsorted(stops, starts), np.searchsorted(lines, starts)
+        opens = np.r_[True, line[1:] != line[:-1]]
+        closes = np.r_[opens[1:], True]
+        left = np.where(opens, np.r_[0, lines + 1][line], starts)
+        right = np.where(closes, lines[line], np.r_[starts[1:], 0])
+        ends = closes | self.ends(word, text)
+        begin = np.flatnonzero(np.r_[True, ends[:-1]])
+        top, bottom = np.flatnonzero(opens), np.flatnonzero(closes)
+        more = self.min_words - 1
+        to = np.searchsorted(bottom, top + more)
+        runs = [(x := begin[begin + more < len(word)], x + more), (top[to < len(bottom)], bottom[to[to < len(bottom)]])]
+        since = np.searchsorted(top, bottom - more, "right") - 1
+        runs.append((top[since[since >= 0]], bottom[since >= 0]))
+        a, z = (np.concatenate(x) for x in zip(*runs, strict=True))
+        a, z = np.divmod(np.unique((a * len(word) + z)[text[a] == text[z]]), len(word))
+        base = np.r_[0, stops + 1][text[a]]
+        place = np.arange(len(word)) + line - np.cumsum(opens)  # lines without words count as one
+        first = place[np.searchsorted(text, text[a])]
+        h, g = (s(word, a, z + 1).view(np.int64) for s in (self.one, self.two))
+        return pd.DataFrame({"text": text[a], "line": place[a] - first, "last": place[z] - first, "start": left[a] - base, "end": right[z] - base, "h": h, "g": g})
+
+
+def _together(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows whose texts are cut at once: about a block of code points."""
+    block = (pdf["text"].str.len().cumsum() // BLOCK).to_numpy()
+    for at in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(block)) + 1):
+        if len(at):
+            yield pdf.iloc[at]
 
 
 def cells_of(numbers: DataFrame, cells: int) -> bytes:
@@ -173,13 +188,8 @@ def repeated_cells(docs: DataFrame, min_words: int, text: str, cells: int) -> by
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         passages = Passages(min_words)
         for pdf in batches:
-            held: list[int] = []
-            for whole in pdf["text"]:
-                held += [_number(d) for *_, d in passages(whole)]
-                if len(held) >= 100_000:
-                    yield pd.DataFrame({"h": np.array(held, np.int64)})
-                    held = []
-            yield pd.DataFrame({"h": np.array(held, np.int64)})
+            for part in _together(pdf):
+                yield passages(part["text"].tolist())[["h"]]
 
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(numbers, "h long")
     return cells_of(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), cells)
@@ -198,29 +208,24 @@ def in_cells(number: Column, table: Broadcast, cells: int) -> Column:
 
 
 def passage_units(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", cells: int = CELLS) -> DataFrame:
-    """Windows of every text whose digest may occur again: doc_id, _text (hash of the whole text), line, last (pieces), start, end, digest."""
+    """Runs of every text whose digest may occur again: doc_id, _text (hash of the whole text), line, last (words), start, end, digest."""
     shared = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, min_words, text, cells))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "_text", "line", "last", "start", "end", "digest"]
-        passages, bits = Passages(min_words), shared.value
-
-        def repeated(digest: bytes) -> int:
-            cell = _number(digest) % cells
-            return bits[cell >> 3] >> (7 - (cell & 7)) & 1
-
+        passages, bits = Passages(min_words), np.frombuffer(shared.value, np.uint8)
         for pdf in batches:
-            out = []
-            for doc, key, whole in zip(pdf["doc_id"].astype(object), pdf["_text"], pdf["text"], strict=True):
-                doc = None if pd.isna(doc) else int(doc)
-                out += [(doc, key, *p) for p in passages(whole) if repeated(p[-1])]
-                if len(out) >= 5000:
-                    yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
-                    out = []
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
-
-    rows = docs.filter(F.col(text).isNotNull()).select("doc_id", F.xxhash64(text).alias("_text"), F.col(text).alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, _text long, line int, last int, start int, end int, digest binary")
+            for part in _together(pdf):
+                runs = passages(part["text"].tolist())
+                cell = runs["h"].to_numpy() % cells
+                runs = runs[(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
+                own = part[["none", "id", "_text"]].iloc[runs["text"].to_numpy()].reset_index(drop=True)
+                yield pd.concat([own, runs.drop(columns="text").reset_index(drop=True)], axis=1)
+
+    rows = docs.filter(F.col(text).isNotNull()).select(
+        F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("_text"), F.col(text).alias("text")
+    )
+    rows = rows.mapInPandas(cut, "none boolean, id long, _text long, line int, last int, start int, end int, h long, g long")
+    return rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "_text", "line", "last", "start", "end", F.struct("h", "g").alias("digest"))
 
 
 def repeated_units(units: DataFrame) -> DataFrame:
@@ -269,14 +274,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text")
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", cells: int = CELLS) -> DataFrame:
-    """Take out of ``text`` every run of pieces with ``min_words`` or more words that stands earlier: whole lines, however
-    short, and passages inside lines.
+    """Take out of ``text`` every run of pieces (see ``Passages``) with ``min_words`` or more words that stands earlier: whole
+    lines, however short, and passages inside lines.
 
     Adds ``n_removed`` and ``removed`` (start and end of what is taken out, in code points of the original
     text, sorted); a line that is taken out whole goes with its line end.  Order, nulls and repeated rows are as in
-    ``dedup_lines``.  Of a passage that overlaps its own first occurrence only the pieces after that go, so
-    every word taken out stands in an earlier place that stays.  Of a repeated passage, what lies before the first and after the
-    last place where a piece ends stays: some words inside a line, nothing of whole lines.  Input columns of the names above are replaced.
+    ``dedup_lines``.  Of a passage that overlaps its own first occurrence only the words after that go, so
+    every word taken out stands in an earlier place that stays.  Of a repeated passage, what lies before the first begin of a piece
+    and after the last run stays: some words inside a line, nothing of whole lines.  Input columns of the names above are replaced.
     """
     others = F.struct(*[F.col(c) for c in docs.columns if c not in (text, "n_removed", "removed")]).alias("row")
     rows = docs.select(others, "doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_text"))

@@ -172,3 +172,25 @@ def test_only_texts_with_cuts_are_moved(spark):
     bits = spark.sparkContext.broadcast(cells_of(first, 1 << 16))
     numbers = spark.createDataFrame([(h,) for h in (7, 8, -3, (1 << 16) - 3, -4)], "h long")
     assert [r[0] for r in numbers.select(in_cells(F.col("h"), bits, 1 << 16)).collect()] == [True, False, True, True, False]
+
+
+def test_every_passage_of_fifty_words_inside_lines_is_found(spark):
+    def around(seed):  # sentences of 9 words, whose ends need not be those of the passage
+        w = prose(seed, 63, 100_000)
+        return " ".join(" ".join(w[i : i + 9]) + "." for i in range(0, 63, 9))
+
+    rows = []
+    for k in range(150):
+        shared = " ".join(x + "." * (i % 12 == k % 12) for i, x in enumerate(prose(5000 + k, 52, 100_000)))
+        rows += [(k, f"{around(k)} {shared} {around(1000 + k)}"), (1000 + k, f"{around(2000 + k)} {shared} {around(3000 + k)}")]
+    got = by_id(dedup_passages(docs(spark, rows)))
+    for doc, text in rows:
+        assert (got[doc]["n_removed"] > 0) == (doc >= 1000)
+        assert doc < 1000 or all(20 <= len(words(text[s:e])) <= 52 for s, e in got[doc]["removed"])
+
+
+def test_marks_between_two_repeated_lines_stay(spark):
+    one, two = line(1), line(2)
+    rows = [(1, one), (2, two), (3, f"{one}\n---\n\n{two}"), (4, f"{line(3)}\n{one}\n***\n{line(4)}")]
+    got = by_id(dedup_passages(docs(spark, rows)))
+    assert [got[k]["text"] for k in (3, 4)] == ["---\n", f"{line(3)}\n***\n{line(4)}"]
