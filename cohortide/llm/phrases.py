@@ -26,8 +26,8 @@ SHARDS, LONGEST = 3, 4
 CELLS = 1 << 23
 #: Windows that a task counts at once, and words whose hashes it keeps at hand.
 CHUNK, CACHE = 500_000, 100_000
-#: Words of a language after which a task hands its phrases over.
-NAMED = 1_500_000
+#: Words of a language that a task counts at once by name, and phrases it holds before it hands them over.
+NAMED, HELD = 500_000, 500_000
 NEVER = 255
 #: Words of eight bytes that a filter of phrases has at least.
 WORDS = 1 << 12
@@ -101,7 +101,7 @@ def _unpack(keys: bytes, n: bytes, since: bytes) -> tuple[np.ndarray, np.ndarray
 
 
 def active_phrases(w: np.ndarray, n: int, step: int, shards: int, reached: dict[int, np.ndarray], longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of a stretch of words: (length, sorted keys, counts, since) of the phrases counted in this step.
+    """Of a stretch of words: (length, sorted keys, counts, since) of the phrases counted in this step, by length and since.
 
     A phrase is counted in the ``shards`` steps after ``since``, when the cell of the later of its subphrases was reached, but not before
     that was counted itself.
@@ -119,8 +119,12 @@ def active_phrases(w: np.ndarray, n: int, step: int, shards: int, reached: dict[
         own = since[:n]
         at = np.flatnonzero((own < step) & (own + shards >= step))
         if len(at):
-            keys, first, counts = np.unique(phrase_keys(w, at, size), return_index=True, return_counts=True)
-            yield size, keys, counts, own[at][first]
+            # a phrase has the same since wherever it stands, so each is counted by a plain sort
+            keys, own = phrase_keys(w, at, size), own[at]
+            for s in np.flatnonzero(np.bincount(own)):
+                some = np.sort(keys[own == s])
+                first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+                yield size, some[first], np.diff(first, append=len(some)), np.full(len(first), s, own.dtype)
 
 
 def _stretches(batches: Iterator[pd.DataFrame], longest: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -165,7 +169,7 @@ def _merge(step: int, shards: int, buckets: int, cells: int, least: int) -> Call
         bucket, size = int(pdf["bucket"].iloc[0]), int(pdf["size"].iloc[0])
         parts = [_unpack(*r) for r in zip(pdf["keys"], pdf["n"], pdf["since"], strict=True)]
         keys, n, since = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, n, since = keys[order], n[order], since[order]
         first = np.flatnonzero(np.concatenate([[len(keys) > 0], keys[1:] != keys[:-1]]))  # a bucket may have lost all its phrases
         keys, n, since = keys[first], np.add.reduceat(n, first), since[first]
@@ -265,19 +269,38 @@ def frequent_cells(texts: DataFrame, least: int, shards: int = SHARDS, longest:
     return found
 
 
+def _named(held: tuple, new: tuple, name: Callable[[np.ndarray], list[str]]) -> tuple:
+    """Phrases held as (sorted keys, counts, names), with those of a stretch, (sorted keys, counts, places); ``name`` is asked
+    for what is not held yet."""
+    keys, counts, names = held
+    more, times, places = new
+    at = np.searchsorted(keys, more)
+    known = np.zeros(len(more), bool)
+    known[at < len(keys)] = keys[at[at < len(keys)]] == more[at < len(keys)]
+    counts[at[known]] += times[known]
+    fresh = np.empty(int((~known).sum()), object)
+    fresh[:] = name(places[~known])
+    return tuple(np.insert(x, at[~known], y) for x, y in ((keys, more[~known]), (counts, times[~known]), (names, fresh)))
+
+
 def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFrame:
-    """(lang, size, phrase, n) by words, not hashes, of all phrases that pass the filters; size 0 has all words of a language."""
+    """(lang, size, phrase, n) by words, not hashes, of all phrases that pass the filters; size 0 has all words of a language.
+
+    Texts are ordered by language first, so that a phrase is handed over by the few tasks of its language and not by all.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filters = shared.value
         hashes = Hashes()
-        held: dict[str, tuple[list[bytes], list[np.ndarray]]] = {}
+        words: dict[str, tuple[list[bytes], list[np.ndarray]]] = {}
+        held: dict[tuple[str, int], tuple] = {}
+        total: dict[str, int] = {}
 
-        def counted(lang: str) -> Iterator[pd.DataFrame]:
-            words, parts = held.pop(lang)
+        def count(lang: str) -> None:
+            said, parts = words.pop(lang)
             whole = np.concatenate(parts)
-            yield pd.DataFrame({"lang": [lang], "size": [0], "phrase": [""], "n": [int((whole != 0).sum())]})
+            total[lang] = total.get(lang, 0) + int((whole != 0).sum())
             for size in sorted(filters):
                 inside = whole != 0
                 for i in range(1, size):
@@ -285,23 +308,39 @@ def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFram
                 at = np.flatnonzero(inside)
                 keys = phrase_keys(whole, at, size)
                 hit = may_hold(filters[size], keys)
-                _, first, counts = np.unique(keys[hit], return_index=True, return_counts=True)
-                if len(first):
-                    phrases = [b" ".join(words[i : i + size]).decode("utf-8", "surrogatepass") for i in at[hit][first].tolist()]
-                    yield pd.DataFrame({"lang": lang, "size": size, "phrase": phrases, "n": counts})
+                keys, at = keys[hit], at[hit]
+                if len(keys):
+                    order = np.argsort(keys)
+                    keys, at = keys[order], at[order]
+                    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                    new = keys[first], np.diff(first, append=len(keys)), at[first]
+                    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+                    name = lambda at, size=size: [b" ".join(said[i : i + size]).decode("utf-8", "surrogatepass") for i in at.tolist()]
+                    held[lang, size] = _named(held.get((lang, size), none), new, name)
+
+        def handed() -> Iterator[pd.DataFrame]:
+            for (lang, size), (_, n, names) in held.items():
+                for i in range(0, len(n), 50_000):
+                    yield pd.DataFrame({"lang": lang, "size": size, "phrase": names[i : i + 50_000], "n": n[i : i + 50_000]})
+            held.clear()
 
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                words, parts = held.setdefault(lang, ([], []))
+                said, parts = words.setdefault(lang, ([], []))
                 own = words_of(text)
-                words += own
+                said += own
                 parts.append(hashes(lang, own))
-                if len(words) >= NAMED:
-                    yield from counted(lang)
-        for lang in list(held):
-            yield from counted(lang)
-
-    rows = texts.mapInPandas(run, "lang string, size int, phrase string, n long")
+                if len(said) >= NAMED:
+                    count(lang)
+                    if sum(len(x[0]) for x in held.values()) >= HELD:
+                        yield from handed()
+        for lang in list(words):
+            count(lang)
+        yield from handed()
+        yield pd.DataFrame({"lang": list(total), "size": 0, "phrase": "", "n": list(total.values())})
+
+    dealt = texts.repartitionByRange("lang", F.xxhash64(F.monotonically_increasing_id()))
+    rows = dealt.mapInPandas(run, "lang string, size int, phrase string, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 

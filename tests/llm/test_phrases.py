@@ -98,3 +98,14 @@ def test_rare_phrases_do_not_pass_with_few_cells(spark):
     want = {p: n for p, n in f.items() if n >= 30}
     assert want and all(have[p] == n for p, n in want.items()) and all(f[p] == n for p, n in have.items())
     assert len(have) < 0.02 * len(f)  # every table of 64 cells is full
+
+
+def test_a_phrase_is_named_by_the_tasks_of_its_language(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "NAMED", 50)  # many stretches in a task
+    said = [("en", "red sun rises. red sun sets"), ("de", "rote sonne. red sun")]
+    texts = spark.createDataFrame([said[k % 2] for k in range(400)], "lang string, text string").repartition(16)
+    counts = phrases.phrase_counts(texts, phrases.frequent_cells(texts, 30, cells=64))
+    assert "rangepartitioning(lang" in counts._jdf.queryExecution().executedPlan().toString().lower()
+    got = {(r["lang"], r["phrase"]): r["n"] for r in counts.collect()}
+    assert got["en", "red sun"] == 400 and got["de", "red sun"] == got["de", "rote sonne"] == 200
+    assert got["en", ""] == 1200 and got["de", ""] == 800 and got["en", "red sun sets"] == 200
