@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortide.llm.components import connected_components
 from cohortide.llm.scratch import bound_batches, broadcast_small, by_value, clear, keep
+from cohortide.llm.substring_dedup import cells_of
 
 by_value(__name__)
 
@@ -35,6 +36,8 @@ CENTERS = 3
 #: Pairs left for each member of a list at which they are compared without a further center.
 PAIRS = 8
 CACHE = 100_000
+#: Bits at least, and bits for each shared shingle, of the table of cells by which lists are dropped before they are moved.
+CELLS, WIDE = 1 << 20, 8
 #: Classes of set sizes, in a circle, and the bit that tells that a list is among the first ones of a set.
 CLASSES, FIRST = 60, 1 << 60
 #: Columns with a set's parity in 256 cells.
@@ -109,6 +112,27 @@ def list_sizes(lists: DataFrame, percent: int) -> DataFrame:
     return sizes.filter((F.col("k") > 2) | two).select("token", "k")
 
 
+def shared_lists(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """node and token of the short lists whose token is in the cell of a shared one: nearly only those that are shared.
+
+    The table of cells grows with the shared tokens, so about one other list in ten passes, however many there are.
+    """
+    cells = max(CELLS, 1 << (WIDE * shared.count()).bit_length())
+    table = classes.sparkSession.sparkContext.broadcast(cells_of(shared.select(F.col("token").alias("h")), cells))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(table.value, np.uint8)
+        for pdf in batches:
+            if len(pdf):
+                token = np.concatenate(pdf["short"].to_numpy())
+                node = np.repeat(pdf["node"].to_numpy(), pdf["short"].map(len).to_numpy())
+                cell = token % cells
+                hit = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+                yield pd.DataFrame({"node": node[hit], "token": token[hit]})
+
+    return classes.select("node", "short").mapInPandas(run, "node long, token long")
+
+
 def common_shingles(docs: DataFrame, size: int, most: int = COMMON) -> pd.DataFrame:
     """The most frequent shingles over all documents, at most ``most``, with their counts.
 
@@ -357,7 +381,7 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, text: str = "t
     # the wide columns of all rows are not needed from here on
     rows = keep(sets.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("node").alias("digest")), "rows")
     clear(spark, own)
-    lists = lists.select("node", "token").join(broadcast_small(shared), "token")
+    lists = shared_lists(classes, shared).join(broadcast_small(shared), "token")
     lists = keep(lists.join(classes.select("node", "n", "copies", *SMALL), "node"), "lists", now := [])
     classes = keep(classes.drop("short"), "slim", now)
     clear(spark, shelf)

@@ -6,7 +6,7 @@ from helpers import ascii_lower, docs, prose
 from pyspark.sql import functions as F
 
 from cohortide.llm.components import connected_components
-from cohortide.llm.ngram_join import first_ones, list_sizes, ngram_join, one_of_each
+from cohortide.llm.ngram_join import first_ones, list_sizes, ngram_join, one_of_each, shared_lists
 
 
 def shingles(text, size=3):
@@ -132,3 +132,12 @@ def test_lists_without_a_possible_pair_are_dropped(spark):
         for got, percent in ((r["a"], 90), (r["b"], 80), (r["c"], 100)):
             # a partner of n shingles or more shares at least so many of them
             assert got == n + 1 - next(t for t in range(n * percent // 100, n + 1) if t * (100 + percent) >= 2 * percent * n)
+
+
+def test_lists_that_are_not_shared_are_dropped_before_the_join(spark):
+    classes = spark.createDataFrame([(k, [k * 1_000_003 + i for i in range(40)] + [-7, k % 50]) for k in range(500)], "node long, short array<long>")
+    shared = spark.createDataFrame([(-7,), *[(k,) for k in range(50)]], "token long")
+    got = [(r["node"], r["token"]) for r in shared_lists(classes, shared).collect()]
+    want = {(k, -7) for k in range(500)} | {(k, k % 50) for k in range(500)}
+    assert want <= set(got) and len(got) < len(want) + 200
+    assert shared_lists(classes.limit(0), shared).count() == 0
