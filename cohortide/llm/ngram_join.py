@@ -297,6 +297,17 @@ def _with_labels(lists: DataFrame, links: DataFrame, shelf: list[str]) -> DataFr
     return lists.withColumn("label", F.coalesce("label", "node"))
 
 
+def pairs_apart(full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members of one list that are in different components and may link.
+
+    Both sides read the same columns of one table, so Spark shuffles it once for the two.
+    """
+    x, y = full.alias("x"), full.alias("y")
+    fit = (F.col("x.label") < F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent)
+    fit = fit & _bits_fit(F.col("x.bits"), F.col("y.bits"), F.col("x.n") + F.col("y.n"), percent)
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & fit).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+
 def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, percent: int, centers: int, kept: list[str]) -> DataFrame:
     """Links (u, v) between different sets that give the same components as all links.
 
@@ -333,14 +344,9 @@ def links_of(docs: DataFrame, classes: DataFrame, lists: DataFrame, size: int, p
             return links
         if apart <= PAIRS * rows:
             break
-    full = lists.join(sets, "node")
-    x = full.select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "bits")])
-    y = full.select("token", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "bits")])
-    fit = (F.col("x_label") < F.col("y_label")) & _sizes_fit(F.col("x_n"), F.col("y_n"), percent)
-    fit = fit & _bits_fit(F.col("x_bits"), F.col("y_bits"), F.col("x_n") + F.col("y_n"), percent)
     shelf = before
-    pairs = keep(x, "x", shelf).join(keep(y, "y", shelf).withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & fit)
-    pairs = keep(pairs.select(F.col("x_node").alias("u"), F.col("y_node").alias("v")).distinct(), "pairs", shelf)
+    full = keep(lists.join(sets, "node").select("token", "node", "n", "label", "bits"), "full", shelf)
+    pairs = keep(pairs_apart(full, percent).distinct(), "pairs", shelf)
     new = verified(pairs, docs, classes, size, percent, kept)
     clear(spark, shelf)
     return links.union(new)

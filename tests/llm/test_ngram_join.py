@@ -6,7 +6,8 @@ from helpers import ascii_lower, docs, prose
 from pyspark.sql import functions as F
 
 from cohortide.llm.components import connected_components
-from cohortide.llm.ngram_join import first_ones, list_sizes, ngram_join, one_of_each, shared_lists
+from cohortide.llm.ngram_join import first_ones, list_sizes, ngram_join, one_of_each, pairs_apart, shared_lists
+from cohortide.llm.scratch import keep
 
 
 def shingles(text, size=3):
@@ -141,3 +142,17 @@ def test_lists_that_are_not_shared_are_dropped_before_the_join(spark):
     want = {(k, -7) for k in range(500)} | {(k, k % 50) for k in range(500)}
     assert want <= set(got) and len(got) < len(want) + 200
     assert shared_lists(classes.limit(0), shared).count() == 0
+
+
+def test_lists_are_shuffled_once_to_be_paired(spark):
+    rows = [(token, node, 10, node, [0] * 8) for token in range(40) for node in range(token, token + 4)]
+    full = keep(spark.createDataFrame(rows, "token long, node long, n long, label long, bits array<long>"), "full")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = pairs_apart(full, 90)
+        got = {(r["u"], r["v"]) for r in pairs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(a, b) for a in range(43) for b in range(a + 1, min(a + 4, 43))}
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1, plan
