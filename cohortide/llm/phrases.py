@@ -28,6 +28,8 @@ CELLS = 1 << 23
 CHUNK, CACHE = 500_000, 100_000
 #: Words of a language that a task counts at once by name, and phrases it holds before it hands them over.
 NAMED, HELD = 500_000, 500_000
+#: Tasks that name phrases, for each core.
+WAVES = 2
 NEVER = 255
 #: Words of eight bytes that a filter of phrases has at least.
 WORDS = 1 << 12
@@ -287,6 +289,8 @@ def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFram
     """(lang, size, phrase, n) by words, not hashes, of all phrases that pass the filters; size 0 has all words of a language.
 
     Texts are ordered by language first, so that a phrase is handed over by the few tasks of its language and not by all.
+    Each task that meets a phrase hands it over once, so there are no more tasks than keep all cores busy: they read
+    batch by batch and hold ``HELD`` phrases, however long they are.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -339,7 +343,8 @@ def phrase_counts(texts: DataFrame, frequent: dict[int, np.ndarray]) -> DataFram
         yield from handed()
         yield pd.DataFrame({"lang": list(total), "size": 0, "phrase": "", "n": list(total.values())})
 
-    dealt = texts.repartitionByRange("lang", F.xxhash64(F.monotonically_increasing_id()))
+    tasks = min(partitions(texts.sparkSession), WAVES * texts.sparkSession.sparkContext.defaultParallelism)
+    dealt = texts.repartitionByRange(tasks, "lang", F.xxhash64(F.monotonically_increasing_id()))
     rows = dealt.mapInPandas(run, "lang string, size int, phrase string, n long")
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 

@@ -109,3 +109,20 @@ def test_a_phrase_is_named_by_the_tasks_of_its_language(spark, monkeypatch):
     got = {(r["lang"], r["phrase"]): r["n"] for r in counts.collect()}
     assert got["en", "red sun"] == 400 and got["de", "red sun"] == got["de", "rote sonne"] == 200
     assert got["en", ""] == 1200 and got["de", ""] == 800 and got["en", "red sun sets"] == 200
+
+
+def test_more_partitions_hand_over_no_more_phrases(spark):
+    said = [("en", "red sun rises. red sun sets"), ("de", "rote sonne. red sun")]
+    texts = spark.createDataFrame([said[k % 2] for k in range(400)], "lang string, text string").repartition(16)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    most = phrases.WAVES * spark.sparkContext.defaultParallelism
+    frequent = phrases.frequent_cells(texts, 30, cells=64)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 3 * most)
+        counts = phrases.phrase_counts(texts, frequent)
+        tasks = int(re.search(r"rangepartitioning\(lang.*, (\d+)\), REPARTITION", counts._jdf.queryExecution().executedPlan().toString())[1])
+        got = {(r["lang"], r["phrase"]): r["n"] for r in counts.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks == most
+    assert got["en", "red sun"] == 400 and got["de", "red sun"] == 200 and got["en", ""] == 1200
