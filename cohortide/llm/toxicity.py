@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import batched, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -20,22 +20,31 @@ by_value(__name__)
 
 #: Labelled documents of each class in the index, the first in hash order.
 SAMPLE_PER_CLASS = 4000
-#: Examples in a block, and terms that a search adds up first; it doubles them while too many examples are open.
-BLOCK, STEP = 128, 128
+#: Examples in a block, and terms with bounds that a search adds up first; it doubles them while too many examples are open.
+BLOCK, STEP = 64, 96
 #: Neighbours that vote, and the weight of the prior vote.
 NEIGHBOURS, PRIOR = 15, 1.0
 #: A term weighs at least this part of its TF-IDF, and half of it where the label's log odds are this many errors off.
 LEAST, ERRORS = 0.001, 7.0
 #: Sums of short floats are off by less than this.
 SLACK = 1e-5
-#: First letters of a word that make its term.
+#: First letters of a word that make its term: at most 5, as they and the number of a text are sorted as 64 bits.
 STEM = 5
+#: Code points and texts whose words are cut at once.
+CHUNK, CHUNK_TEXTS = 1 << 19, 1 << 12
+#: Texts whose sums over common terms are held at once.
+TOGETHER = 128
 #: Lists of more than this part of the examples are held with a weight for every example.
 COMMON = 0.1
 #: A search compares what is open by their vectors once that is at most so many times the neighbours.
-OPEN = 4
+OPEN = 8
 
 _STEM = re.compile(f"({WORD[:-1]}{{1,{STEM}}}){WORD[:-1]}*")
+#: Bytes of words in lower case, any other byte as a space.
+_BYTES = bytes(b if re.match(WORD, chr(b)) else 32 for b in bytes(range(256)).lower())
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(STEM + 1)], np.uint64)
+_BEYOND_ASCII = np.uint64(sum(0x80 << 8 * k for k in range(STEM)))
+_TEXT_BITS = np.uint64(24)
 
 
 def _lower(text: str) -> str:
@@ -48,37 +57,84 @@ def stems(text: str) -> list[str]:
 
 
 class Vectors:
-    """Terms and their counts in texts, for a given vocabulary."""
+    """Terms and their counts in texts, for a given vocabulary.
+
+    Words of many texts are cut at once.  A term of ASCII is read as one number; of a word with other letters
+    among its first bytes the term is cut from the decoded word.
+    """
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms = terms
-
-    def places(self, text: str) -> np.ndarray:
-        """The different terms of a text, in no order."""
-        different = set(stems(text))
-        at = np.fromiter(map(self.terms.get, different, repeat(-1)), np.int64, len(different))
-        return at[at >= 0]
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        counts = Counter(stems(text))
-        at = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
-        n = np.fromiter(counts.values(), np.int64, len(counts))
-        known = np.flatnonzero(at >= 0)
-        known = known[np.argsort(at[known])]
-        return at[known], n[known]
-
-
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """All places of several ranges, one range after the other."""
-    end = np.cumsum(length)
-    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + length, length)
+        plain = [t for t in terms if t.isascii()]
+        number = np.array([int.from_bytes(t.encode(), "little") for t in plain], np.uint64)
+        order = np.argsort(number)
+        self.number = np.append(number[order], np.uint64(2**64 - 1))
+        self.place = np.array([terms[t] for t in plain], np.int64)[order]
+
+    def chunks(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Terms and counts of consecutive texts, each text's terms in order, and where the texts begin and end in them."""
+        some, size = [], 0
+        for t in texts:
+            if some and (size + len(t or "") > CHUNK or len(some) == CHUNK_TEXTS):
+                yield self._count(some)
+                some, size = [], 0
+            some.append(t or "")
+            size += len(some[-1])
+        if some:
+            yield self._count(some)
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Terms and counts of each text."""
+        for edge, at, n in self.chunks(texts):
+            for first, last in pairwise(edge.tolist()):
+                yield at[first:last], n[first:last]
+
+    def _count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        coded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        flat = b" ".join([b"", *coded, b" " * 8]).translate(_BYTES)
+        inside = np.frombuffer(flat, np.uint8) != 32
+        ends = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        start, length = ends[::2], ends[1::2] - ends[::2]
+        begin = np.cumsum([1, *(len(c) + 1 for c in coded)])
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, begin)))
+        eight = np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,))
+        number = eight[start] & _FIRST[np.minimum(length, STEM)]
+        other = np.flatnonzero(number & _BEYOND_ASCII)
+        plain = np.flatnonzero(number & _BEYOND_ASCII == 0)
+
+        both = np.sort(number[plain] << _TEXT_BITS | owner[plain].astype(np.uint64))
+        first = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+        n = np.diff(first, append=len(both))
+        both = both[first]
+        number = both >> _TEXT_BITS
+        place = np.searchsorted(self.number, number)
+        known = np.flatnonzero(self.number[place] == number)
+        width = max(len(self.terms), 1)
+        pair = (both[known] & ((np.uint64(1) << _TEXT_BITS) - np.uint64(1))).astype(np.int64) * width + self.place[place[known]]
+        n = n[known]
+
+        if len(other):
+            words = [flat[a : a + b] for a, b in zip(start[other].tolist(), length[other].tolist(), strict=True)]
+            term = {w: self.terms.get(w.decode("utf-8", "surrogatepass")[:STEM], -1) for w in set(words)}
+            at = np.fromiter(map(term.get, words), np.int64, len(words))
+            more, count = np.unique((owner[other] * width + at)[at >= 0], return_counts=True)
+            pair, n = np.concatenate([pair, more]), np.concatenate([n, count])
+        order = np.argsort(pair)
+        pair = pair[order]
+        return np.searchsorted(pair, np.arange(len(texts) + 1) * width), pair % width, n[order]
+
+
+def _joined(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Several ranges of an array, one after the other."""
+    return np.concatenate([values[:0], *(values[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True))])
 
 
 @dataclass
 class BlockIndex:
     """Vectors of labelled documents, as they are (``forward``, ``term``, ``weight``) and as inverted lists
-    (``lists``, ``row``, ``held``), with the largest weight of each list in each block of examples that it reaches
-    (``reach``, ``block``, ``most``) and at all (``peak``).  Lists of ``common`` terms are rows of ``full``."""
+    (``lists``, ``row``, ``held``), with the largest weight of each list (``peak``).  Lists of ``common`` terms are
+    rows of ``full``.  Another list of more examples than there are blocks is ``bound`` to a row of ``most``, its
+    largest weight in each block; shorter lists take no more work than such a row."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -92,11 +148,10 @@ class BlockIndex:
     lists: np.ndarray
     row: np.ndarray
     held: np.ndarray
-    reach: np.ndarray
-    block: np.ndarray
-    most: np.ndarray
     common: np.ndarray
     full: np.ndarray
+    bound: np.ndarray
+    most: np.ndarray
     peak: np.ndarray
     scale: tuple[float, float] = (0.0, 1.0)
 
@@ -111,50 +166,64 @@ class BlockIndex:
         """Cosines of some examples, from their own vectors."""
         asked = self.asked
         asked[at] = w
-        length = self.forward[rows + 1] - self.forward[rows]
-        places = _ranges(self.forward[rows], length)
-        owner = np.repeat(np.arange(len(rows)), length)
-        got = np.bincount(owner, asked[self.term[places]] * self.weight[places], len(rows))
+        first, last = self.forward[rows], self.forward[rows + 1]
+        owner = np.repeat(np.arange(len(rows)), last - first)
+        got = np.bincount(owner, asked[_joined(self.term, first, last)] * _joined(self.weight, first, last), len(rows))
         asked[at] = 0
         return np.round(got, 9)  # equal texts tie whatever the order of sums
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, ties to smaller ids, exactly.
-
-        Lists are added up in the order of what their blocks could give.  An example stays open while its sum so
-        far and the largest weights in its block of the lists not yet added could reach the k-th sum; once
-        few are open, or all lists are added, those are compared by their vectors.
+        """The k examples of highest cosine above 0, ties to smaller ids, exactly; ``leave`` is no candidate."""
+        return next(self.search([(at, w)], k, [leave]))
+
+    def search(self, vectors: Iterable[tuple], k: int, leave: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for several texts: lists of common terms are added up for ``TOGETHER`` texts by one product."""
+        leave = repeat(-1) if leave is None else iter(leave)
+        for some in batched(vectors, TOGETHER):
+            asked = np.zeros((len(some), len(self.full)), np.float32)
+            for row, (at, w) in zip(asked, some, strict=True):
+                common = self.common[at]
+                row[common[common >= 0]] = w[common >= 0]
+            for total, (at, w) in zip(asked @ self.full, some, strict=True):
+                yield self._nearest(at, w, k, next(leave), total.astype(float))
+
+    def _nearest(self, at: np.ndarray, w: np.ndarray, k: int, leave: int, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add up the other lists, first those without bounds, then in the order of what they could give.
+
+        An example stays open while its sum so far and the largest weights in its block of the lists not yet
+        added could reach the k-th sum; once few are open, or all lists are added, those are compared by
+        their vectors.
         """
         n = len(self.ids)
-        total, open_ = np.zeros(n), np.zeros(0, np.int64)
-        order = np.argsort(-w * self.peak[at], kind="stable")
+        whole = at, w
+        rare = self.common[at] < 0
+        at, w = at[rare], w[rare]
+        free = self.bound[at] < 0
+        order = np.argsort(np.where(free, -np.inf, -w * self.peak[at]), kind="stable")
         at, w = at[order], w[order]
-        length = self.reach[at + 1] - self.reach[at]
-        places = _ranges(self.reach[at], length)
-        cell, gain = self.block[places], np.repeat(w, length) * self.most[places]
-        edge = np.concatenate([[0], np.cumsum(length)])
-        rest = np.bincount(cell, gain, -(-n // BLOCK))
-        done, step = 0, STEP
-        while done < len(at):
-            last = min(done + step, len(at))
-            now = at[done:last]
-            full = self.common[now]
-            total += w[done:last][full >= 0].astype(np.float32) @ self.full[full[full >= 0]]
-            long = self.lists[now + 1] - self.lists[now]
-            places = _ranges(self.lists[now], long)
-            total += np.bincount(self.row[places], np.repeat(w[done:last], long) * self.held[places], n)
-            cells = slice(edge[done], edge[last])
-            rest -= np.bincount(cell[cells], gain[cells], len(rest))
+        few = np.count_nonzero(free)
+        most, part = self.most[self.bound[at[few:]]], w[few:].astype(np.float32)
+        begin, end = self.lists[at], self.lists[at + 1]
+        done, last, step = 0, few + STEP, STEP
+        while True:
+            now = slice(done, last)
+            held = np.repeat(w[now], end[now] - begin[now])
+            held *= _joined(self.held, begin[now], end[now])
+            total += np.bincount(_joined(self.row, begin[now], end[now]), held, n)
             if leave >= 0:
                 total[leave] = 0
             floor = np.partition(total, n - k)[n - k] if n >= k else 0.0
+            if last >= len(at):
+                open_ = np.flatnonzero((total > 0) & (total >= floor - SLACK))
+                break
+            rest = part[last - few :] @ most[last - few :]
             open_ = np.flatnonzero(total + np.repeat(rest, BLOCK)[:n] >= floor - SLACK)
-            done, step = last, 2 * step
             if len(open_) <= OPEN * k:
                 break
-        if leave >= 0:
-            open_ = open_[open_ != leave]
-        cos = self.cosines(at, w, open_)
+            step *= 2
+            done, last = last, last + step
+        open_ = open_[open_ != leave]
+        cos = self.cosines(*whole, open_)
         best = np.lexsort((self.ids[open_], -cos))[:k]
         best = best[cos[best] > 0]
         return open_[best], cos[best]
@@ -184,6 +253,11 @@ def informed(idf: np.ndarray, clean: np.ndarray, toxic: np.ndarray, n0: float, n
     return idf * (LEAST + (1 - LEAST) * z2 / (z2 + ERRORS**2))
 
 
+def _numbered(some: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on for what is chosen, -1 for the rest."""
+    return np.where(some, np.cumsum(some) - 1, -1).astype(np.int32)
+
+
 def build_index(
     terms: dict[str, int],
     idf: np.ndarray,
@@ -203,26 +277,24 @@ def build_index(
     row = np.repeat(np.arange(len(order), dtype=np.int32), np.diff(forward))
     by_term = np.argsort(term, kind="stable")  # rows stay in order within a list
     listed, row, held = term[by_term], row[by_term], weight[by_term]
-    every = np.arange(len(terms) + 1)
-    cells = listed.astype(np.int64) * (-(-max(len(order), 1) // BLOCK)) + row // BLOCK
-    first = np.flatnonzero(np.diff(cells, prepend=-1))
-    most = np.maximum.reduceat(held, first) if len(first) else held
     count = np.bincount(term, minlength=len(terms))
-    often = np.flatnonzero(count > COMMON * len(order))
-    common = np.full(len(terms), -1, np.int32)
-    common[often] = np.arange(len(often))
-    full = np.zeros((len(often), len(order)), np.float32)
+    common = _numbered(count > COMMON * len(order))
+    full = np.zeros((common.max(initial=-1) + 1, len(order)), np.float32)
     dense = common[listed] >= 0
     full[common[listed[dense]], row[dense]] = held[dense]
-    in_blocks, cell_rows = listed[first], row[first]
     listed, row, held = listed[~dense], row[~dense], held[~dense]
+    blocks = -(-len(order) // BLOCK)
+    bound = _numbered((common < 0) & (count > blocks))
+    most = np.zeros((bound.max(initial=-1) + 1, blocks), np.float32)
+    long = bound[listed] >= 0
+    np.maximum.at(most, (bound[listed[long]], row[long] // BLOCK), held[long])
+    lists = np.searchsorted(listed, np.arange(len(terms) + 1))
     peak = np.zeros(len(terms), np.float32)
     np.maximum.at(peak, term, weight)
     share = np.where(toxic == 1, totals[1] / max(toxic.sum(), 1), totals[0] / max((1 - toxic).sum(), 1))
     return BlockIndex(
         terms, idf, ids, toxic, share / share.mean(), totals[1] / (totals[0] + totals[1]),
-        forward, term, weight, np.searchsorted(listed, every), row, held,
-        np.searchsorted(in_blocks, every), (cell_rows // BLOCK).astype(np.int32), most, common, full, peak,
+        forward, term, weight, lists, row, held, common, full, bound, most, peak,
     )
 
 
@@ -288,8 +360,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
         seen = np.zeros(len(vectors.terms), np.int64)
         for pdf in batches:
             rows += len(pdf)
-            for t in pdf["text"]:
-                seen[vectors.places(t)] += 1
+            for _, at, _ in vectors.chunks(pdf["text"]):
+                seen += np.bincount(at, minlength=len(seen))
         some = np.flatnonzero(seen)
         yield pd.DataFrame({"term": [-1, *some], "n": [rows, *seen[some]]})
 
@@ -303,7 +375,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     def vectors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors = Vectors(received(vocabulary))
         for pdf in batches:
-            got = [vectors(t) for t in pdf["text"]]
+            got = list(vectors(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "p": [p for p, _ in got], "n": [n for _, n in got]})
 
     rows = chosen.mapInPandas(vectors_of, "doc_id long, toxic int, p array<int>, n array<int>").toPandas()
@@ -316,10 +388,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = received(whole)
         for pdf in batches:
-            out = []
-            for i in pdf["id"]:
-                own = slice(index.forward[i], index.forward[i + 1])
-                out.append(index.vote(*index.nearest(index.term[own], index.weight[own].astype(float), NEIGHBOURS, leave=i)))
+            own = [slice(index.forward[i], index.forward[i + 1]) for i in pdf["id"]]
+            vectors = [(index.term[x], index.weight[x].astype(float)) for x in own]
+            out = [index.vote(*found) for found in index.search(vectors, NEIGHBOURS, pdf["id"])]
             yield pd.DataFrame({"id": pdf["id"], "vote": out})
 
     votes = spark.range(0, len(rows), 1, 16).mapInPandas(left_out, "id long, vote double").toPandas().sort_values("id")
@@ -343,16 +414,12 @@ def score_toxicity(docs: DataFrame, index: BlockIndex | float, text: str = "text
         index = received(shared)
         vectors = None if isinstance(index, float) else Vectors(index.terms)
         for texts in batches:
-            out, copies = [], {}
-            for t in texts:
-                got = copies.get(t)
-                if got is None and vectors is None:
-                    got = copies[t] = index, [], []
-                elif got is None:
-                    rows, cos = index.nearest(*index.vector(*vectors(t or "")), NEIGHBOURS)
-                    got = copies[t] = index.calibrated(index.vote(rows, cos)), index.ids[rows], cos
-                out.append(got)
-            yield pd.DataFrame(out, columns=["score", "evidence", "cosines"])
+            copies: dict[str | None, tuple] = dict.fromkeys(texts, (index, [], []))
+            if vectors:
+                asked = (index.vector(at, n) for at, n in vectors(copies))
+                for t, (rows, cos) in zip(copies, index.search(asked, NEIGHBOURS), strict=True):
+                    copies[t] = index.calibrated(index.vote(rows, cos)), index.ids[rows], cos
+            yield pd.DataFrame([copies[t] for t in texts], columns=["score", "evidence", "cosines"])
 
     scored = F.pandas_udf(score, "score double, evidence array<long>, cosines array<double>")
     rows = docs.withColumn("_s", scored(F.col(text)))

@@ -149,6 +149,38 @@ def test_block_max_search_is_exact_and_leaves_out():
         assert got.tolist() == cos[want].tolist()
 
 
+def test_a_search_compares_only_examples_that_share_a_term():
+    examples = [(i, i % 2, [0, 1 + i % 3] if i % 100 else [0, 4], [1, 1]) for i in range(600)]
+    index = tx.build_index({t: i for i, t in enumerate("abcdef")}, np.ones(6), examples, {0: 300, 1: 300})
+    compared = []
+    cosines = index.cosines
+    index.cosines = lambda at, w, rows: compared.append(len(rows)) or cosines(at, w, rows)
+    rows, cos = index.nearest(*index.vector(np.array([4]), np.array([1])), tx.NEIGHBOURS)
+    assert index.ids[rows].tolist() == [0, 100, 200, 300, 400, 500] and cos == pytest.approx(math.sqrt(0.5))
+    assert compared == [6]
+
+
+def test_many_texts_are_cut_and_searched_like_single_ones(monkeypatch):
+    odd = ["", None, "  ", "A", "aB\x00Cd9 _x", "\u00e9t\u00e9s \u00c9T\u00c9S ete\u0301", "\u00a0 no\u00a0break \u0085 \u2003x", "\U0001f600\U0001f600abcdef abcdefg abcde abcd"]
+    odd += ["\ud800x y", "x" * 5000, "abcd\u00e9f abcd\u00e9 abcde\u00e9", "Zz" * 3 + "\t\n" + "zzzzz{zzzzzz}", "words, words; WORDS wordsmith"]
+    texts = odd + [" ".join(prose(k, 30)) for k in range(40)] + odd
+    counted = [Counter(tx.stems(t or "")) for t in texts]
+    terms = {t: i for i, t in enumerate(sorted({t for c in counted[:-9] for t in c} - {"abcd", "y"}))}
+    want = [sorted((terms[t], n) for t, n in c.items() if t in terms) for c in counted]
+    for chunk, many in [(1, 5), (200, 5), (1 << 19, 1 << 12)]:
+        monkeypatch.setattr(tx, "CHUNK", chunk)
+        monkeypatch.setattr(tx, "CHUNK_TEXTS", many)
+        got = list(tx.Vectors(terms)(texts))
+        assert [list(zip(at.tolist(), n.tolist(), strict=True)) for at, n in got] == want
+    assert [len(at) for at, _ in tx.Vectors({})(texts)] == [0] * len(texts)
+    index = tx.build_index(terms, np.linspace(0.1, 1, len(terms)), [(k, k % 2, *v) for k, v in enumerate(got)], {0: 30, 1: 30})
+    vectors = [index.vector(*v) for v in got]
+    monkeypatch.setattr(tx, "TOGETHER", 7)
+    for (rows, cos), v in zip(index.search(vectors, 5), vectors, strict=True):
+        one_rows, one_cos = index.nearest(*v, 5)
+        assert rows.tolist() == one_rows.tolist() and cos.tolist() == one_cos.tolist()
+
+
 def test_a_rare_toxic_word_is_enough(spark):
     rows = [(k, " ".join(prose(k, 60, 3000) + (["zorgon"] if k % 100 == 1 else ["vile"] if k % 4 == 1 else []))) for k in range(1200)]
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 1)) for k in range(1200)], LABELS)
