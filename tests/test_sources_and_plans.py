@@ -291,3 +291,51 @@ def test_a_run_goes_on_where_it_stopped(spark, monkeypatch):
             assert "Exchange" not in plan  # still bucketed by person
             assert second.patterns.count() > 0 and second.facts.count() > 0
         assert not os.path.exists(second.work.lasting.removeprefix("file:"))
+
+
+def test_unions_of_kept_tables_stay_in_their_buckets(spark):
+    work = workspace.Workspace(spark)
+    numbers = spark.range(100).selectExpr("id % 10 AS person_id", "id AS x")
+    one, two = work.keep(numbers, "one"), work.keep(numbers, "two")
+    both = one.select("person_id", "x", F.lit(1).alias("kind")).unionByName(two.groupBy("person_id", "x").agg(F.lit(2).alias("kind")))
+    counted = workspace.place(both).groupBy("person_id", "x").agg(F.sum("kind").alias("n"))
+    assert shuffles(counted) == []
+    assert rows(counted) == sorted((i % 10, i, 3) for i in range(100))
+    work.close()
+
+
+def test_shuffle_files_go_with_the_table_they_were_for(spark):
+    def left() -> int:
+        return sum(f.startswith("shuffle_") for root in folders for _, _, names in os.walk(root) for f in names)
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [str(f) for f in disk.localDirsString()]
+    work = workspace.Workspace(spark)
+    setting = spark.conf.get(workspace.CLEAN_UP)
+    before = left()
+    for by in ("person_id", None):
+        work.keep(spark.range(1000).selectExpr("id % 10 AS person_id", "id % 3 AS x").groupBy("person_id", "x").count(), "counts", by)
+    assert left() <= before
+    assert spark.conf.get(workspace.CLEAN_UP) == setting
+    work.close()
+
+
+def test_rules_are_decided_in_the_buckets(spark, study):
+    """Streams of index days and events don't shuffle kept tables."""
+    rules = cohort._window_rules(spark, study.specs, {c: i for i, c in enumerate(criteria_of(study.specs))})
+    assert shuffles(cohort.rules_met(study.masked, rules, study.days)) == []
+    kept = os.listdir(study.work.root.removeprefix("file:"))
+    assert not [name for name in kept if name.startswith("qualified")]  # dropped once the masks are written
+
+
+def test_larger_tables_get_more_buckets(spark, monkeypatch):
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        monkeypatch.setattr(registry, "_table_mb", lambda *_: 1000.0)
+        registry.prepare(spark, SF)
+        assert workspace.bucket_count(spark) == 1000 / registry.BUCKET_MB
+    finally:
+        monkeypatch.undo()
+        registry.prepare(spark)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    assert workspace.bucket_count(spark) <= int(width)
