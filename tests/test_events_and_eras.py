@@ -166,3 +166,33 @@ def test_many_codes_are_covered_by_few_ranges(spark):
     spans = sorted((r["lo"], r["hi"]) for r in wanted)
     assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:]))
     assert codes.withColumn("standard", F.col("concept_id")).where(events._reader_test(wanted, "d")).count() == 5000
+
+
+def test_a_code_is_tested_once_for_all_bounds(spark):
+    """A code that some criterion wants from any date on needs no test of a later bound."""
+    codes = literal_table(spark, [(5, None), (5, day("2020-01-01")), (6, day("2021-01-01")), (6, day("2020-01-01"))], "concept_id long, bound date")
+    lookup = codes.select(F.lit("d").alias("domain"), F.lit("standard").alias("concept"), "bound", "concept_id")
+    assert sorted((r["codes"], str(r["bound"])) for r in events._wanted_codes(lookup)) == [([5], "None"), ([6], "2020-01-01")]
+
+
+def test_days_are_shuffled_once_for_all_criteria_of_a_row(spark, cdm_of, codes_of):
+    sets = {f"set{i}": [10] for i in range(70)}  # more than a mask holds
+    criteria = [Criterion("drug_exposure", name, kind) for name in sets for kind in ("standard", "source")]
+    criteria.append(Criterion("drug_exposure", "set0", after=day("2021-06-01")))
+    made = cdm_of(drug_exposure=[(i, i % 5, 10, 10 if i % 2 else 9, f"2021-0{1 + i % 9}-01") for i in range(400)])
+    codes = codes_of(**sets)
+    days = events.extract_days(made, codes, criteria)
+    old = events.compact_by_day(events.extract_events(made, codes, criteria), "criterion_id")
+    assert rows(days.select(*old.columns)) == rows(old)
+    assert old.agg(F.sum("n")).first()[0] == 70 * 400 + 70 * 200 + sum(1 + i % 9 > 6 for i in range(400))
+    text = days._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(mask_0#\S+, mask_1#\S+, mask_2#\S+, person_id", text)  # combined before criteria get rows
+
+
+def test_eras_shuffle_exposures_once(spark):
+    used = spark.range(20).selectExpr(
+        "id % 3 AS person_id", "id % 2 AS drug_concept_id", "date_add(DATE'2021-01-01', CAST(id AS INT)) AS drug_exposure_start_date",
+        "CAST(NULL AS DATE) AS drug_exposure_end_date", "5 AS days_supply")
+    found = eras.drug_eras(used)
+    assert len(re.findall("Exchange hashpartitioning", found._jdf.queryExecution().executedPlan().toString())) == 1
+    assert found.count() == 6
