@@ -243,3 +243,15 @@ def test_definitions_cover_the_study():
     used = {c.codeset for s in specs for c in s.entry + s.censor}
     assert used <= set(d.CODESETS) | {name for name, *_ in d.derived_codesets()}
     assert len(d.study_members()) == 19
+
+
+def test_cubes_shuffle_a_row_for_a_cell(spark, cells):
+    """All exposures of a cell travel in one row and get rows of their own behind the shuffle."""
+    cubes = models._cubes(cells, models.SLICE)
+    text = cubes._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in text.split("Exchange")[0] and "Generate" not in text.split("Exchange")[1]
+    for i in (1, 2, 3):
+        value = F.expr(f"shiftright(mask, {i - 1}) & 1")
+        keys = [*models.SLICE, "value", "gender", "age", "months"]
+        plain = cells.withColumn("value", value).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+        assert rows(cubes.where(f"v = {i}").select(*plain.columns)) == rows(plain)
