@@ -181,7 +181,7 @@ def test_days_are_shuffled_once_for_all_criteria_of_a_row(spark, cdm_of, codes_o
     criteria.append(Criterion("drug_exposure", "set0", after=day("2021-06-01")))
     made = cdm_of(drug_exposure=[(i, i % 5, 10, 10 if i % 2 else 9, f"2021-0{1 + i % 9}-01") for i in range(400)])
     codes = codes_of(**sets)
-    days = events.extract_days(made, codes, criteria)
+    (days,) = events.extract_days(made, codes, criteria)
     old = events.compact_by_day(events.extract_events(made, codes, criteria), "criterion_id")
     assert rows(days.select(*old.columns)) == rows(old)
     assert old.agg(F.sum("n")).first()[0] == 70 * 400 + 70 * 200 + sum(1 + i % 9 > 6 for i in range(400))
