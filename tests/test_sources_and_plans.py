@@ -339,3 +339,13 @@ def test_larger_tables_get_more_buckets(spark, monkeypatch):
         registry.prepare(spark)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
     assert workspace.bucket_count(spark) <= int(width)
+
+
+def test_large_shuffles_come_one_after_another(spark):
+    """Drug histories before the tables of the cohorts, and person days of one clinical table at a time."""
+    with registry.new_study(spark, SF) as fresh:
+        assert fresh.population.count() > 0
+        names = [name.rsplit("_", 1)[0] for name in fresh.work.kept]
+        assert names.index("medication_days") < names.index("days") < names.index("masked")
+        assert names.count("days") == 4 and "qualified" not in names
+        assert shuffles(fresh.days.groupBy("person_id").count()) == []
